@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from cellgrid.functions.ranks import NAN_SQL
+from cellgrid.functions.ranks import NAN_SQL, quantile_sql
 
 # Metric names in registry order and the core columns.
 METRICS = [
@@ -92,6 +92,53 @@ def whole() -> Scope:
     return Scope("cell", lambda m: m)
 
 
+def count_amounts(scopes: list[Scope], value: str = "value") -> tuple[dict, dict, dict]:
+    """Running counts, per-key sums and per-key largest counts the metrics below need."""
+    valid = {s.key: f"if(isnan({value}), 0L, `n_{s.key}`)" for s in scopes}
+    sums = {f"v_{s.key}": f"if(isnan({value}), 0D, {value} * `n_{s.key}`)" for s in scopes}
+    tops = {s.key: f"`n_{s.key}`" for s in scopes}
+    return valid, sums, tops
+
+
+def metric_of_counts(metric: str, scope: Scope, v: str = "value") -> str:
+    """SQL aggregate of one metric over ranked counted values of a scope.
+
+    Rows carry ``n_`` (occurrences), ``cum_``/``tot_`` (valid ones before and in
+    all), ``tot_v_`` (valid sum) and ``top_`` (largest count).
+    """
+    s = scope.key
+    n, start, total, mass = f"`n_{s}`", f"`cum_{s}`", f"`tot_{s}`", f"`tot_v_{s}`"
+    live = f"{n} > 0 AND NOT isnan({v})"
+    size = f"sum({n})"
+    tainted = f"max(if({n} > 0 AND isnan({v}), 1, 0)) = 1"
+    if metric == "area":
+        return f"double({size})"
+    if metric == "mean_intensity":
+        result = f"try_divide(max({mass}), max({total}))"
+    elif metric == "max_intensity":
+        result = f"max(if({live}, {v}, NULL))"
+    elif metric == "min_intensity":
+        result = f"min(if({live}, {v}, NULL))"
+    elif metric == "integrated_intensity":
+        result = f"max({mass})"
+    elif metric == "std_intensity":
+        off = f"({v} - try_divide({mass}, {total}))"
+        result = f"sqrt(try_divide(sum(if({live}, {n} * {off} * {off}, NULL)), max({total})))"
+    elif metric == "median_intensity":
+        result = quantile_sql(s, v, 0.5)
+    elif metric == "mode_intensity":
+        result = f"if({tainted}, {NAN_SQL}, min(if({live} AND {n} = `top_{s}`, {v}, NULL)))"
+    else:
+        # signal: at or above the 95th percentile; ground: at or below the median
+        above = f"{live} AND {start} + {n} > ceil(({total} - 1) * 0.95D)"
+        below = f"{live} AND {start} <= floor(({total} - 1) * 0.5D)"
+        signal = f"try_divide(sum(if({above}, {v} * {n}, NULL)), sum(if({above}, {n}, NULL)))"
+        ground = f"try_divide(sum(if({below}, {v} * {n}, NULL)), sum(if({below}, {n}, NULL)))"
+        result = f"if({tainted}, {NAN_SQL}, try_divide({signal}, {ground}))"
+    missing = "0D" if metric == "integrated_intensity" else NAN_SQL
+    return f"if({size} = 0, {scope.empty_sql}, coalesce({result}, {missing}))"
+
+
 def scope_aggregate(metric: str, scope: Scope, value: str = "value") -> str:
     """SQL aggregate of one hash-aggregable metric over one scope."""
     cond = scope.condition

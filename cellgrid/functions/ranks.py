@@ -33,37 +33,72 @@ def value_bucket(value: str) -> str:
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], bucket: str, order: str, amounts: dict[str, str]
+    df: DataFrame,
+    keys: list[str],
+    bucket: str,
+    order: str,
+    amounts: dict[str, str],
+    totals: dict[str, str] | None = None,
+    tops: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add ``cum_<name>`` (total of the rows before this one) and ``tot_<name>`` per key.
 
+    ``totals`` only get ``tot_`` and ``tops`` a per-key maximum ``top_``.
     ``bucket`` must be non-decreasing along ``order``; rows are ordered only
     inside a bucket and bucket totals are accumulated per key.
     """
+    totals, tops = totals or {}, tops or {}
+    sums = {**amounts, **totals}
     k, kb = quoted(keys), quoted([*keys, "_bucket"])
+    kept = [f"`{c}`" for c in df.columns]
     df = df.selectExpr("*", f"{bucket} AS _bucket", *[f"{a} AS `_a_{n}`" for n, a in amounts.items()])
     before = f"OVER (PARTITION BY {k} ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"OVER (PARTITION BY {k})"
     offsets = (
         df.groupBy(*keys, "_bucket")
-        .agg(*[F.expr(f"sum(`_a_{n}`) AS `_s_{n}`") for n in amounts])
+        .agg(
+            *[F.expr(f"sum({a}) AS `_s_{n}`") for n, a in sums.items()],
+            *[F.expr(f"max({a}) AS `_m_{n}`") for n, a in tops.items()],
+        )
         .selectExpr(
             *[f"`{c}`" for c in keys],
             "_bucket",
             *[f"coalesce(sum(`_s_{n}`) {before}, 0) AS `_o_{n}`" for n in amounts],
-            *[f"sum(`_s_{n}`) OVER (PARTITION BY {k}) AS `tot_{n}`" for n in amounts],
+            *[f"sum(`_s_{n}`) {whole} AS `tot_{n}`" for n in sums],
+            *[f"max(`_m_{n}`) {whole} AS `top_{n}`" for n in tops],
         )
     )
     inside = (
         f"OVER (PARTITION BY {kb} ORDER BY `{order}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    kept = [c for c in df.columns if not c.startswith("_a_") and c != "_bucket"]
     ranked = df.selectExpr(
         "*", *[f"coalesce(sum(`_a_{n}`) {inside}, 0) AS `_w_{n}`" for n in amounts]
     )
     return ranked.join(offsets, [*keys, "_bucket"]).selectExpr(
-        *[f"`{c}`" for c in kept],
+        *kept,
         *[f"`_o_{n}` + `_w_{n}` AS `cum_{n}`" for n in amounts],
-        *[f"`tot_{n}`" for n in amounts],
+        *[f"`tot_{n}`" for n in sums],
+        *[f"`top_{n}`" for n in tops],
+    )
+
+
+def running_totals_bounded(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    amounts: dict[str, str],
+    totals: dict[str, str],
+    tops: dict[str, str],
+) -> DataFrame:
+    """The same columns for keys of a checked, moderate size, in a single sort."""
+    k = quoted(keys)
+    before = f"OVER (PARTITION BY {k} ORDER BY `{order}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"OVER (PARTITION BY {k})"
+    return df.selectExpr(
+        "*",
+        *[f"coalesce(sum({a}) {before}, 0) AS `cum_{n}`" for n, a in amounts.items()],
+        *[f"sum({a}) {whole} AS `tot_{n}`" for n, a in {**amounts, **totals}.items()],
+        *[f"max({a}) {whole} AS `top_{n}`" for n, a in tops.items()],
     )
 
 
@@ -91,65 +126,23 @@ def value_counts(
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
 
 
-def scope_order_statistics(
-    counts: DataFrame,
-    keys: list[str],
-    value: str,
-    scopes: list[str],
-    wanted: list[str],
-    probs: dict[str, float] | None = None,
-) -> DataFrame:
-    """Median, mode, signal/ground ratio and quantiles per key and scope.
+def quantile_sql(scope: str, value: str, prob: float) -> str:
+    """Linear-interpolation quantile of one scope over ranked counted rows (NULL if empty)."""
+    n, start, total = f"`n_{scope}`", f"`cum_{scope}`", f"`tot_{scope}`"
+    h = f"(({total} - 1) * {prob}D)"
 
-    Input is a :func:`value_counts` table.  Output columns are
-    ``<stat>|<scope>``; an empty scope yields NULL in all of them.
-    """
-    v = f"`{value}`"
-    quantiles = dict(probs or {})
-    if "median_intensity" in wanted:
-        quantiles["median_intensity"] = 0.5
-    if quantiles or "sg_ratio" in wanted:
-        amounts = {s: f"if(isnan({v}), 0L, `n_{s}`)" for s in scopes}
-        counts = running_totals(counts, keys, value_bucket(v), value, amounts)
-
-    aggs: list[str] = []
-    for s in scopes:
-        n, start, total = f"`n_{s}`", f"`cum_{s}`", f"`tot_{s}`"
-        live = f"({n} > 0 AND NOT isnan({v}))"
-        aggs.append(f"sum({n}) AS `_all|{s}`")
-        aggs.append(f"sum(if(isnan({v}), {n}, 0L)) AS `_nan|{s}`")
-        for q, prob in quantiles.items():
-            h = f"(({total} - 1) * {prob}D)"
-            for side, rank in (("lo", f"floor({h})"), ("hi", f"ceil({h})")):
-                holds = f"{live} AND {start} <= {rank} AND {rank} < {start} + {n}"
-                aggs.append(f"max(if({holds}, {v}, NULL)) AS `_{side}_{q}|{s}`")
-            aggs.append(f"max({h} - floor({h})) AS `_fr_{q}|{s}`")
-        if "mode_intensity" in wanted:
-            aggs.append(
-                f"min_by({v}, if({n} > 0, struct(-{n}, {v}), NULL)) AS `_mode|{s}`"
-            )
-        if "sg_ratio" in wanted:
-            above = f"{live} AND {start} + {n} > ceil(({total} - 1) * 0.95D)"
-            below = f"{live} AND {start} <= floor(({total} - 1) * 0.5D)"
-            for part, cond in (("s", above), ("g", below)):
-                aggs.append(f"sum(if({cond}, {v} * {n}, NULL)) AS `_{part}s|{s}`")
-                aggs.append(f"sum(if({cond}, {n}, NULL)) AS `_{part}n|{s}`")
-    table = counts.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
-
-    out: list[str] = []
-    for s in scopes:
-        present, tainted = f"`_all|{s}` > 0", f"`_nan|{s}` > 0"
-        for q in quantiles:
-            lo, hi, fr = (f"`_{p}_{q}|{s}`" for p in ("lo", "hi", "fr"))
-            mid = f"if({lo} = {hi}, {lo}, {lo} + ({hi} - {lo}) * {fr})"
-            out.append(f"if({present}, coalesce({mid}, {NAN_SQL}), NULL) AS `{q}|{s}`")
-        if "mode_intensity" in wanted:
-            out.append(
-                f"if({present}, if({tainted}, {NAN_SQL}, `_mode|{s}`), NULL) AS `mode_intensity|{s}`"
-            )
-        if "sg_ratio" in wanted:
-            signal = f"try_divide(`_ss|{s}`, `_sn|{s}`)"
-            ground = f"try_divide(`_gs|{s}`, `_gn|{s}`)"
-            ratio = f"if({tainted}, {NAN_SQL}, coalesce(try_divide({signal}, {ground}), {NAN_SQL}))"
-            out.append(f"if({present}, {ratio}, NULL) AS `sg_ratio|{s}`")
-    return table.selectExpr(*[f"`{c}`" for c in keys], *out)
+    def at(rank: str) -> str:
+        holds = f"{n} > 0 AND NOT isnan({value}) AND {start} <= {rank} AND {rank} < {start} + {n}"
+        return f"max(if({holds}, {value}, NULL))"
+
+    lo, hi, part = at(f"floor({h})"), at(f"ceil({h})"), f"max({h} - floor({h}))"
+    return f"if({lo} = {hi}, {lo}, {lo} + ({hi} - {lo}) * {part})"
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles per key, however many rows a key has; NaN and NULL are skipped."""
+    counts = value_counts(df, keys, value, {"q": None}).filter(f"NOT isnan(`{value}`)")
+    ranked = running_totals(counts, keys, value_bucket(f"`{value}`"), value, {"q": "n_q"})
+    return ranked.groupBy(*keys).agg(
+        *[F.expr(f"{quantile_sql('q', f'`{value}`', p)} AS `{n}`") for n, p in probs.items()]
+    )

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.session import attach, durable
+from cellgrid.session import attach, durable, spread
 from cellgrid.sources.model import BLOCK
 
 ROUNDS = 200
@@ -71,7 +71,8 @@ def block_components(pixels: DataFrame, block: int = BLOCK) -> DataFrame:
             }
         )
 
-    return keyed.groupBy("dataset", "by", "bx").applyInPandas(
+    groups = ["dataset", "by", "bx"]
+    return spread(keyed, groups).groupBy(*groups).applyInPandas(
         run, "dataset string, label int, y int, x int, root bigint"
     )
 

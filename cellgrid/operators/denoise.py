@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.functions.ranks import scope_order_statistics, value_counts
+from cellgrid.functions.ranks import quantiles
 from cellgrid.operators.flim import lifetime_sql
 from cellgrid.operators.joins import interscale_join
 from cellgrid.operators.spatial import uniform_filter
-from cellgrid.session import attach, durable
+from cellgrid.session import attach, durable, spread
 
 # Fixed values of the variance-stabilising transform and the shrinkage rule.
 ANSCOMBE_SHIFT = 0.375
@@ -69,11 +69,8 @@ def recover_phasor(planes: DataFrame) -> DataFrame:
 def noise_sigma(coefficients: DataFrame) -> DataFrame:
     """Mean over levels and bands of the median magnitude, scaled, per plane."""
     sized = coefficients.selectExpr(*BAND, "sqrt(re * re + im * im) AS mag")
-    counts = value_counts(sized, BAND, "mag", {"c": None})
-    medians = scope_order_statistics(counts, BAND, "mag", ["c"], [], {"median": 0.5})
-    return medians.groupBy(*PLANE).agg(
-        F.expr(f"avg(`median|c`) / {MAD_SCALE}D AS sigma")
-    )
+    medians = quantiles(sized, BAND, "mag", {"median": 0.5})
+    return medians.groupBy(*PLANE).agg(F.expr(f"avg(median) / {MAD_SCALE}D AS sigma"))
 
 
 def local_noise_power(coefficients: DataFrame, n_levels: int) -> DataFrame:
@@ -157,14 +154,14 @@ def forward_blocks(planes: DataFrame, forward: Forward, levels: int, block: int)
         out.insert(0, "dataset", group.dataset.iat[0])
         return out
 
-    return (
-        planes.selectExpr("dataset", "layer", f"y div {block} AS by", f"x div {block} AS bx", "y", "x", "value")
-        .groupBy("dataset", "layer", "by", "bx")
-        .applyInPandas(
-            run,
-            "dataset string, layer string, level int, band int, by bigint, bx bigint,"
-            " ch int, cw int, y int, x int, re double, im double",
-        )
+    groups = ["dataset", "layer", "by", "bx"]
+    placed = planes.selectExpr(
+        "dataset", "layer", f"y div {block} AS by", f"x div {block} AS bx", "y", "x", "value"
+    )
+    return spread(placed, groups).groupBy(*groups).applyInPandas(
+        run,
+        "dataset string, layer string, level int, band int, by bigint, bx bigint,"
+        " ch int, cw int, y int, x int, re double, im double",
     )
 
 
@@ -188,7 +185,8 @@ def inverse_blocks(coefficients: DataFrame, inverse: Inverse, block: int) -> Dat
             }
         )
 
-    return coefficients.groupBy("dataset", "layer", "by", "bx").applyInPandas(
+    groups = ["dataset", "layer", "by", "bx"]
+    return spread(coefficients, groups).groupBy(*groups).applyInPandas(
         run, "dataset string, layer string, y int, x int, value double"
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions.ranks import running_totals, value_bucket
-from cellgrid.session import attach
+from cellgrid.session import attach, durable, spread
 
 MIN_CELLS = 10
 POINTS = 4096
@@ -173,7 +173,7 @@ def fit_models(values: DataFrame, method: str, k: int, criterion: str = "bic") -
             {"dataset": [points.dataset.iat[0]], "weights": [weight], "means": [mean], "vars": [var]}
         )
 
-    return condense(values).groupBy("dataset").applyInPandas(
+    return spread(condense(values), ["dataset"]).groupBy("dataset").applyInPandas(
         run, "dataset string, weights array<double>, means array<double>, vars array<double>"
     )
 
@@ -203,8 +203,10 @@ def group_cells(
     cells: DataFrame, metric: str, method: str = "gmm", k: int = 10, criterion: str = "bic"
 ) -> DataFrame:
     """Groups ``(dataset, label, value, grp)`` of every dataset's cells."""
-    values = clean_values(cells, metric)
-    return rank_groups_by_mean(assign(values, fit_models(values, method, k, criterion)))
+    # measured once: fitting and assignment would each repeat the pass over pixels
+    values = durable(clean_values(cells, metric))
+    assigned = durable(assign(values, fit_models(values, method, k, criterion)))
+    return rank_groups_by_mean(assigned)
 
 
 def group_cells_kmeans(cells: DataFrame, metric: str, n_clusters: int) -> DataFrame:

@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions import metrics as M
-from cellgrid.functions.ranks import scope_order_statistics, value_counts
+from cellgrid.functions.ranks import (
+    running_totals,
+    running_totals_bounded,
+    value_bucket,
+    value_counts,
+)
 from cellgrid.operators.joins import flag_masks, flag_values, scope_pixels
+from cellgrid.session import attach, durable
 
 CELL = ["dataset", "label"]
 
+# Cells up to this many pixels are ranked in one sort; larger ones by value buckets.
+RANK_PIXELS = 4_000_000
+
 
 # Centroid, bounding box and area of a group of positions.
 GEOMETRY = [
@@ -37,39 +46,72 @@ def scope_columns(names: list[str], scope: M.Scope) -> list[str]:
     return cols + [scope.column(m) for m in names if not (m == "area" and scope.always_area)]
 
 
+def oversized_cells(labels: DataFrame, bound: int | None = None) -> DataFrame | None:
+    """Cells with more pixels than one task should rank, or None (one pass over labels)."""
+    bound = RANK_PIXELS if bound is None else bound
+    big = labels.filter("label > 0").groupBy(*CELL).count().filter(F.col("count") > bound)
+    big = durable(big.select(*CELL))
+    return None if big.isEmpty() else big
+
+
+def rank_values(
+    counts: DataFrame, keys: list[str], scopes: list[M.Scope], big: DataFrame | None
+) -> DataFrame:
+    """Add the running and per-key totals the order statistics are read from."""
+    cum, tot, top = M.count_amounts(scopes)
+    small = counts if big is None else attach(counts, big, CELL, "left_anti")
+    # one exchange on the cell serves ranking, aggregation and the channel spread
+    ranked = running_totals_bounded(small.repartition(*CELL), keys, "value", cum, tot, top)
+    if big is None:
+        return ranked
+    large = attach(counts, big, CELL)
+    large = running_totals(large, keys, value_bucket("value"), "value", cum, tot, top)
+    return ranked.unionByName(large.select(*ranked.columns))
+
+
 def measure_scopes(
-    scoped: DataFrame, keys: list[str], names: list[str], scopes: list[M.Scope], core: bool
+    scoped: DataFrame,
+    labels: DataFrame,
+    keys: list[str],
+    names: list[str],
+    scopes: list[M.Scope],
+    core: bool,
 ) -> DataFrame:
     """Aggregate pixel rows ``(keys, y, x, value, flags)`` into metric columns.
 
-    Hash-aggregable metrics take one partial/final aggregation.  Order
-    statistics go through counted values, so no cell is gathered whole.
+    Without order statistics this is one partial/final hash aggregation.  With
+    them, pixels are first reduced to counted values, from which every built-in
+    metric follows, so the pixels are read and joined once.
     """
-    plain = [m for m in names if m not in M.RANKED]
-    ranked = [m for m in names if m in M.RANKED]
-    aggs = list(GEOMETRY) if core else []
-    taken = set(M.CORE_COLUMNS) if core else set()
-    for s in scopes:
-        wanted = plain + (["area"] if s.always_area and "area" not in plain else [])
-        for m in wanted:
-            col = s.column(m)
-            if col not in taken:
-                taken.add(col)
-                aggs.append(f"{M.scope_aggregate(m, s)} AS `{col}`")
+    ranked = any(m in M.RANKED for m in names)
+    custom = [m for m in names if m not in M.METRICS]
+    direct = [m for m in names if not ranked or m in custom]
+    counted = [m for m in names if m not in direct]
+
+    def aggregates(metrics: list[str], build, taken: set[str]) -> list[str]:
+        out = []
+        for s in scopes:
+            extra = ["area"] if s.always_area and "area" not in metrics and metrics is not custom else []
+            for m in [*metrics, *extra]:
+                if s.column(m) not in taken:
+                    taken.add(s.column(m))
+                    out.append(f"{build(m, s)} AS `{s.column(m)}`")
+        return out
+
+    taken = set(M.CORE_COLUMNS) if core or ranked else set()
+    aggs = list(GEOMETRY) if core and not ranked else []
+    aggs += aggregates(direct, M.scope_aggregate, taken)
     base = scoped.groupBy(*keys).agg(*[F.expr(a) for a in aggs]) if aggs else None
     if not ranked:
         return base
     counts = value_counts(scoped, keys, "value", {s.key: s.condition for s in scopes})
-    stats = scope_order_statistics(counts, keys, "value", [s.key for s in scopes], ranked)
-    stats = stats.selectExpr(
-        *keys,
-        *[
-            f"coalesce(`{m}|{s.key}`, {s.empty_sql}) AS `{s.column(m)}`"
-            for s in scopes
-            for m in ranked
-        ],
+    values = rank_values(counts, keys, scopes, oversized_cells(labels))
+    stats = values.groupBy(*keys).agg(
+        *[F.expr(a) for a in aggregates(counted, M.metric_of_counts, taken)]
     )
-    return stats if base is None else base.join(stats, keys)
+    if core:
+        stats = cell_geometry(labels).join(stats, CELL)
+    return stats if base is None else stats.join(base, keys)
 
 
 def _ordered(df: DataFrame, keys: list[str], names: list[str], scopes: list[M.Scope]) -> DataFrame:
@@ -132,7 +174,7 @@ def measure_cells(
     if mask is not None:
         scoped = flag_masks(scoped, mask, {"mask": None})
         scopes += single_mask_scopes()
-    out = measure_scopes(scoped, CELL, names, scopes, core=True)
+    out = measure_scopes(scoped, labels, CELL, names, scopes, core=True)
     core = [c for c in M.CORE_COLUMNS if c != "label"]
     return out.select(*CELL, *core, *_interleave(scopes, names))
 
@@ -148,7 +190,7 @@ def measure_cells_multi_roi(
     names = M.validate_metrics(metrics)
     scoped = flag_values(scope_pixels(pixels, labels), mask)
     scopes = [M.whole(), *roi_scopes(roi_names)]
-    return _ordered(measure_scopes(scoped, CELL, names, scopes, core=True), CELL, names, scopes)
+    return _ordered(measure_scopes(scoped, labels, CELL, names, scopes, core=True), CELL, names, scopes)
 
 
 def measure_cells_with_masks(
@@ -164,7 +206,7 @@ def measure_cells_with_masks(
     if mask_names:
         scoped = flag_masks(scoped, masks, {n: n for n in mask_names})
     scopes = [M.whole(), *mask_scopes(mask_names)]
-    out = measure_scopes(scoped, CELL, names, scopes, core=True)
+    out = measure_scopes(scoped, labels, CELL, names, scopes, core=True)
     core = [c for c in M.CORE_COLUMNS if c != "label"]
     return out.select(*CELL, *core, *_interleave(scopes, names))
 
@@ -206,7 +248,7 @@ def _measure_channels(scoped, labels, channels, names, scopes, columns):
     if not channels:
         raise ValueError("No channel images to measure")
     scoped = scoped.filter(F.col("channel").isin(channels))
-    long = measure_scopes(scoped, [*CELL, "channel"], names, scopes, core=False)
+    long = measure_scopes(scoped, labels, [*CELL, "channel"], names, scopes, core=False)
     if long is None:
         long = scoped.select(*CELL, "channel").distinct()
     return spread_channels(long, labels, channels, columns)

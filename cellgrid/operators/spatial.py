@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.sources.model import BLOCK
-from cellgrid.session import attach
+from cellgrid.session import attach, spread
 
 # Scan patterns and start corners of a tile grid.
 GRID_TYPES = ["row_by_row", "column_by_column", "snake_by_row", "snake_by_column"]
@@ -62,7 +62,7 @@ def block_map(
     (real neighbours, or mirrored / zero values beyond the frame).
     """
     side = max(block, radius)
-    spread = neighborhood_join(pixels.select(*keys, "y", "x", "value"), radius, frames, side)
+    placed = neighborhood_join(pixels.select(*keys, "y", "x", "value"), radius, frames, side)
     fields = [f"`{k}` {dict(pixels.dtypes)[k]}" for k in keys]
     schema = ", ".join([*fields, "y int, x int, value double"])
     if keep_original:
@@ -91,7 +91,8 @@ def block_map(
             out["original"] = vals[own]
         return pd.DataFrame(out)
 
-    return spread.groupBy(*keys, "ty", "tx").applyInPandas(run, schema)
+    groups = [*keys, "ty", "tx"]
+    return spread(placed, groups).groupBy(*groups).applyInPandas(run, schema)
 
 
 def _along_both_axes(padded: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions.ranks import NAN_SQL, quoted, value_bucket
 from cellgrid.operators.select import roi_rect_pixels
 from cellgrid.operators.spatial import gaussian_smooth
-from cellgrid.session import attach, durable
+from cellgrid.session import attach, counted, durable, join_counted, spread
 
 BINS = 256
 FRAME_KEYS = ["dataset", "channel"]
 METHODS = ("otsu", "triangle", "li", "adaptive", "manual")
 LI_ROUNDS = 200
+# Distinct values of a key up to which its threshold is solved in one task.
+LI_VALUES = 2_000_000
 
 
 def pixel_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +32,13 @@ def histogram256(pixels: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:
 
 
 def histogram_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    span = counts.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    # the pixel total keeps both uses of the counts alike, so their exchange is shared
+    span = (
+        counts.groupBy(*keys)
+        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("pixels"))
+        .filter("pixels > 0")
+        .drop("pixels")
+    )
     binned = (
         counts.join(span, keys)
         .selectExpr(
@@ -111,8 +121,51 @@ def smallest_gap(counts: DataFrame, keys: list[str]) -> DataFrame:
     return inner.unionByName(edges).groupBy(*keys).agg(F.min("gap").alias("gap"))
 
 
-def li_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Iterative minimum cross-entropy for every key at once.
+def li_of_counts(counts: DataFrame, keys: list[str], bound: int = LI_VALUES) -> DataFrame:
+    """Minimum cross-entropy threshold per key.
+
+    Keys with up to ``bound`` distinct values are solved whole inside a task;
+    larger ones by rounds of distributed sums.
+    """
+    counts = durable(counts)
+    big = durable(counts.groupBy(*keys).count().filter(F.col("count") > bound).select(*keys))
+    if big.isEmpty():
+        return _li_in_tasks(counts, keys)
+    small = attach(counts, big, keys, "left_anti")
+    return _li_in_tasks(small, keys).unionByName(_li_by_rounds(attach(counts, big, keys), keys))
+
+
+def _li_in_tasks(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Cross-entropy iteration on sorted counted values with running sums."""
+    kinds = dict(counts.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "threshold double"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("value")
+        base = float(group.value.iat[0])
+        v = group.value.to_numpy() - base
+        n = group.n.to_numpy(dtype=np.float64)
+        level = 0.0
+        if len(v) > 1:
+            count, mass = np.cumsum(n), np.cumsum(v * n)
+            tolerance = np.diff(v).min() / 2
+            level, last = mass[-1] / count[-1], None
+            while last is None or abs(level - last) > tolerance:
+                last = level
+                split = np.searchsorted(v, level, side="right") - 1
+                back = mass[split] / count[split]
+                if back == 0 or split == len(v) - 1:
+                    break
+                fore = (mass[-1] - mass[split]) / (count[-1] - count[split])
+                level = (back - fore) / (np.log(back) - np.log(fore))
+        out = {k: [group[k].iat[0]] for k in keys}
+        return pd.DataFrame({**out, "threshold": [level + base]})
+
+    return spread(counts, keys).groupBy(*keys).applyInPandas(run, schema)
+
+
+def _li_by_rounds(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The same iteration for keys of any size, all keys per round.
 
     Each round is one map-side-combined aggregation over counted values; keys
     that have met their tolerance keep their value.
@@ -135,13 +188,13 @@ def li_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
             "lo = hi AS done",
         )
     )
+    state, fits = counted(state)
     for _ in range(LI_ROUNDS):
-        state = durable(state)
-        active = state.filter("NOT done")
+        active = state.filter("NOT done").select(*keys, "lo", "next")
         if active.isEmpty():
             break
         means = (
-            attach(counts, active.select(*keys, "lo", "next"), keys)
+            join_counted(counts, active, fits, keys)
             .groupBy(*keys)
             .agg(
                 F.expr("sum(if(value - lo > next, (value - lo) * n, 0D)) AS fs"),
@@ -166,6 +219,7 @@ def li_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
                 "done OR stuck OR abs(next - curr) <= tol AS done",
             )
         )
+        state = durable(state)
     return state.selectExpr(*names, "if(lo = hi, lo, next + lo) AS threshold")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 # A lookup side is broadcast only when it holds at most this many rows.
 BROADCAST_ROWS = 200_000
 
+# Input aimed at per Python task, and the largest task count asked for.
+TASK_BYTES = 128 * 1024 * 1024
+MAX_TASKS = 200_000
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -46,9 +51,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Lineage is cut, lost executors cost nothing but a re-read, and the planner
+    sees the table's real size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attach(
@@ -64,7 +76,30 @@ def attach(
     broadcast; beyond it the join stays a shuffle join, where adaptive
     execution splits skewed keys.
     """
+    return join_counted(big, *counted(small, bound), on, how)
+
+
+def counted(small: DataFrame, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """A materialised lookup and whether its row count allows a broadcast."""
     small = durable(small)
-    if small.limit(bound + 1).count() <= bound:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    return small, small.count() <= bound
+
+
+def join_counted(
+    big: DataFrame, small: DataFrame, fits: bool, on: list[str], how: str = "inner"
+) -> DataFrame:
+    return big.join(F.broadcast(small) if fits else small, on, how)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition for CPU-heavy per-group Python work.
+
+    The partition count follows the input size and is explicit, so that small
+    but expensive groups are not merged into a few tasks.
+    """
+    spark = df.sparkSession
+    # sizes of the sources: estimates above joins multiply and mean nothing
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, min(size // TASK_BYTES, MAX_TASKS)), *keys)

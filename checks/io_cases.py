@@ -20,7 +20,7 @@ from cellgrid.sources import project as PR
 from cellgrid.sources import tables as t
 from cellgrid.sources.catalog import LayerStore, append_channel, delete_channel, rename_channel, set_metadata
 from checks.base import CTES, case, ctes
-from checks.flim_cases import cell_means
+from checks.flim_cases import SCALE, cell_means
 from checks.image_cases import CC_SQL, EDGE, hist_sql, otsu_sql
 from checks.measure_cases import PART_SQL, SUMMARY_SQL, fixed_groups, masked, regions, two_masks, whole, wide_sql
 
@@ -353,11 +353,12 @@ def _export_columns(spark, sf):
 
 @case(
     "export_run",
-    ctes("cells") + " SELECT dataset, CAST(label AS VARCHAR) AS label, format('{:.6g}', CAST(n AS DOUBLE)) AS area, format('{:.6g}', m) AS mean_intensity FROM cells",
+    ctes("cells") + " SELECT dataset, CAST(label AS VARCHAR) AS label, format('{:.6g}', CAST(n AS DOUBLE)) AS area, format('{:.6g}', m * 0.0739085133215::DOUBLE) AS mean_intensity FROM cells",
 )
 def _export_run(spark, sf):
     root = scratch(spark)
-    EX.write_staging(cell_means(spark, sf), f"{root}/staging")
+    cells = cell_means(spark, sf).withColumn("mean_intensity", F.col("mean_intensity") * SCALE)
+    EX.write_staging(cells, f"{root}/staging")
     EX.export_run(spark, f"{root}/staging", f"{root}/run", ["area", "mean_intensity", "absent", "area"])
     return spark.read.schema("dataset string, label string, area string, mean_intensity string").option(
         "header", True
@@ -366,11 +367,12 @@ def _export_run(spark, sf):
 
 @case(
     "export_run_per_dataset",
-    ctes("cells") + " SELECT dataset, CAST(label AS VARCHAR) AS label, format('{:.6g}', m) AS mean_intensity FROM cells",
+    ctes("cells") + " SELECT dataset, CAST(label AS VARCHAR) AS label, format('{:.6g}', m * 0.0739085133215::DOUBLE) AS mean_intensity FROM cells",
 )
 def _export_per_dataset(spark, sf):
     root = scratch(spark)
-    EX.write_staging(cell_means(spark, sf), f"{root}/staging")
+    cells = cell_means(spark, sf).withColumn("mean_intensity", F.col("mean_intensity") * SCALE)
+    EX.write_staging(cells, f"{root}/staging")
     EX.export_run(spark, f"{root}/staging", f"{root}/run", ["mean_intensity"])
     return spark.read.schema("label string, mean_intensity string, dataset string").option("header", True).csv(
         f"{root}/run/per_dataset"

@@ -54,34 +54,43 @@ def condense(values: DataFrame) -> DataFrame:
     )
 
 
-def _kmeans(v: np.ndarray, w: np.ndarray, k: int, starts: int) -> np.ndarray:
-    """Sorted centres of the best of several Lloyd runs on weighted points."""
+def _lloyd_runs(v: np.ndarray, w: np.ndarray, k: int, starts: int):
+    """Distinct converged centres of several Lloyd runs on sorted weighted points."""
     rng = np.random.RandomState(SEED)
-    cum = np.cumsum(w)
-    best, best_cost = None, np.inf
+    share = np.cumsum(w) / w.sum()
+    seen: list[np.ndarray] = []
     for start in range(starts):
         if start == 0:
-            picks = np.searchsorted(cum, (np.arange(k) + 0.5) / k * cum[-1])
-            c = np.unique(v[picks])
+            c = np.unique(v[np.searchsorted(share, (np.arange(k) + 0.5) / k)])
         else:
-            c = np.array([v[rng.choice(len(v), p=w / w.sum())]])
+            c = v[[np.searchsorted(share, rng.random_sample())]]
         while len(c) < k:
             gap = np.min((v[:, None] - c[None, :]) ** 2, axis=1) * w
-            if gap.sum() <= 0:
+            total = gap.sum()
+            if total <= 0:
                 break
-            c = np.append(c, v[rng.choice(len(v), p=gap / gap.sum())])
+            c = np.append(c, v[np.searchsorted(np.cumsum(gap) / total, rng.random_sample())])
         c = np.sort(c)
         for _ in range(300):
             near = np.searchsorted((c[1:] + c[:-1]) / 2, v)
             mass = np.bincount(near, w, len(c))
             moved = np.where(mass > 0, np.bincount(near, w * v, len(c)) / np.maximum(mass, 1e-300), c)
-            if np.allclose(moved, c, rtol=0, atol=1e-12):
-                break
+            settled = np.abs(moved - c).max() <= 1e-12
             c = np.sort(moved)
-        cost = float((w * np.min((v[:, None] - c[None, :]) ** 2, axis=1)).sum())
-        if cost < best_cost:
-            best, best_cost = c, cost
-    return best
+            if settled:
+                break
+        if not any(len(o) == len(c) and np.abs(o - c).max() <= 1e-9 for o in seen):
+            seen.append(c)
+            yield c
+
+
+def _kmeans(v: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """Centres of the run with the smallest weighted squared distance."""
+
+    def cost(c: np.ndarray) -> float:
+        return float((w * np.min((v[:, None] - c[None, :]) ** 2, axis=1)).sum())
+
+    return min(_lloyd_runs(v, w, k, KMEANS_STARTS), key=cost)
 
 
 def _log_density(v, weight, mean, var):
@@ -92,8 +101,7 @@ def _gmm(v: np.ndarray, w: np.ndarray, k: int):
     """Weighted EM from k-means starts; returns (weights, means, variances, log-likelihood)."""
     n = w.sum()
     best = None
-    for start in range(GMM_STARTS if k > 1 else 1):
-        c = _kmeans(v, w, k, 1 if start == 0 else 1 + start)
+    for c in _lloyd_runs(v, w, k, GMM_STARTS if k > 1 else 1):
         near = np.searchsorted((c[1:] + c[:-1]) / 2, v)
         resp = np.zeros((len(v), k))
         resp[np.arange(len(v)), np.minimum(near, k - 1)] = 1.0
@@ -143,7 +151,7 @@ def _fit(points: pd.DataFrame, method: str, k: int, criterion: str) -> tuple:
     if n < MIN_CELLS:
         return single
     if method == "kmeans":
-        centres = _kmeans(v, w, max(1, min(k, unique, len(v), n)), KMEANS_STARTS)
+        centres = _kmeans(v, w, max(1, min(k, unique, len(v), n)))
         return [1.0] * len(centres), centres.tolist(), [1.0] * len(centres)
     chosen, best = None, -np.inf
     for size in range(1, max(1, min(k, n // 5, unique, len(v))) + 1):

@@ -95,11 +95,13 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash-partition for CPU-heavy per-group Python work.
 
     The partition count follows the input size and is explicit, so that small
-    but expensive groups are not merged into a few tasks.
+    but expensive groups are not merged into a few tasks.  It differs from the
+    default count, or an equal upstream exchange (which may be merged) would
+    replace it.
     """
     spark = df.sparkSession
     # sizes of the sources: estimates above joins multiply and mean nothing
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(least, min(size // TASK_BYTES, MAX_TASKS)), *keys)

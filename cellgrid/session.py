@@ -14,6 +14,7 @@ BROADCAST_ROWS = 200_000
 # Input aimed at per Python task, and the largest task count asked for.
 TASK_BYTES = 128 * 1024 * 1024
 MAX_TASKS = 200_000
+UNKNOWN_BYTES = 1 << 62
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -102,6 +103,8 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     spark = df.sparkSession
     # sizes of the sources: estimates above joins multiply and mean nothing
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # rows handed over by the driver report an unknown (maximal) size
+    size = sum(n for n in sizes if n < UNKNOWN_BYTES)
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(least, min(size // TASK_BYTES, MAX_TASKS)), *keys)

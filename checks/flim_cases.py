@@ -418,7 +418,29 @@ def _assignment(spark, sf):
     return G.assign(values, models)
 
 
-@case("group_cells_kmeans")
+def kmeans_sql(k: int, cells: str = "cells") -> str:
+    """Optimal split of each dataset's sorted values into ``k`` runs, by trying all of them."""
+    inner = "({b}.q - {a}.q - pow({b}.s - {a}.s, 2) / ({b}.r - {a}.r))"
+    names = ["p0", *[f"p{i}" for i in range(1, k)], "pz"]
+    cost = " + ".join(inner.format(a=a, b=b) for a, b in zip(names, names[1:]))
+    joins = " ".join(
+        f"JOIN pre {b} ON {b}.dataset = {a}.dataset AND {b}.r > {a}.r" for a, b in zip(names, names[1:])
+    )
+    above = " + ".join(f"CAST(val.r > c{i} AS INTEGER)" for i in range(1, k))
+    picked = ", ".join(f"p{i}.r AS c{i}" for i in range(1, k))
+    return f"""
+val AS (SELECT dataset, label, m, row_number() OVER (PARTITION BY dataset ORDER BY m) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM {cells}),
+pre AS (SELECT dataset, r, sum(m - 50) OVER w AS s, sum(pow(m - 50, 2)) OVER w AS q, n FROM val WINDOW w AS (PARTITION BY dataset ORDER BY r)
+  UNION ALL SELECT DISTINCT dataset, 0, 0, 0, n FROM val),
+cut AS (SELECT p0.dataset, {picked} FROM pre p0 {joins} WHERE p0.r = 0 AND pz.r = pz.n
+  QUALIFY row_number() OVER (PARTITION BY p0.dataset ORDER BY {cost}) = 1),
+km AS (SELECT val.dataset, label, m, CASE WHEN n < 10 THEN 1 ELSE 1 + {above} END AS grp FROM val JOIN cut USING (dataset))"""
+
+
+@case(
+    "group_cells_kmeans",
+    ctes("cells") + f",{kmeans_sql(3)} SELECT dataset, label, round(m, 6) AS value, grp FROM km",
+)
 def _kmeans(spark, sf):
     return G.group_cells_kmeans(cell_means(spark, sf), "mean_intensity", 3)
 
@@ -433,7 +455,10 @@ def _gmm_sil(spark, sf):
     return G.group_cells_gmm(cell_means(spark, sf), "mean_intensity", "silhouette", 4)
 
 
-@case("grouping_pipeline")
+@case(
+    "grouping_pipeline",
+    ctes("cells") + f", few AS (SELECT * FROM cells WHERE label <= 12),{kmeans_sql(3, 'few')} SELECT dataset, 'rnd' AS round, label, grp FROM km",
+)
 def _grouping(spark, sf):
     cells = cell_means(spark, sf)
     return G.grouping_pipeline(cells, "mean_intensity", "rnd", "kmeans", 3, ids=cells.filter("label <= 12"))

@@ -309,13 +309,6 @@ def _grouped_interactive(spark, sf):
     )
 
 
-@case("grouped_threshold_adaptive")
-def _grouped_adaptive(spark, sf):
-    return TH.grouped_threshold(
-        t.pixels(spark, sf), t.labels(spark, sf), fixed_groups(spark, sf), "A", "adaptive", name="ad"
-    )
-
-
 # spatial ----------------------------------------------------------------------
 def reflect(expr: str) -> str:
     """Mirror an index at 0 and 20 (one reflection is enough for radius < 20)."""
@@ -364,6 +357,38 @@ def _grouped_smoothed(spark, sf):
     )
 
 
+def _mirror(expr: str, size: str) -> str:
+    """Mirror an index into [0, size) however often it leaves the range."""
+    m = f"((({expr}) % (2 * {size}) + 2 * {size}) % (2 * {size}))"
+    return f"(CASE WHEN {m} >= {size} THEN 2 * {size} - 1 - {m} ELSE {m} END)"
+
+
+# every crop is shorter than 150 pixels, so its window is 15 and sigma 14/6
+CROP_ROWS = ", ".join(f"({k}, exp(-0.5 * pow({k} / {14 / 6}::DOUBLE, 2)))" for k in range(-9, 10))
+
+
+@case(
+    "grouped_threshold_adaptive",
+    ctes("grp3")
+    + f""", gp AS (SELECT dataset, grp, y, x, v FROM lb JOIN grp3 USING (dataset, label) JOIN pa USING (dataset, y, x)),
+box AS (SELECT dataset, grp, min(y) AS y0, max(y) - min(y) + 1 AS h, min(x) AS x0, max(x) - min(x) + 1 AS w FROM gp GROUP BY ALL),
+gr AS (SELECT unnest(range(20)) AS k),
+crop AS (SELECT b.dataset, b.grp, b.h, b.w, b.y0, b.x0, a.k AS cy, c.k AS cx, coalesce(gp.v, 0) AS v, gp.v AS own FROM box b
+  JOIN gr a ON a.k < b.h JOIN gr c ON c.k < b.w LEFT JOIN gp ON gp.dataset = b.dataset AND gp.grp = b.grp AND gp.y = b.y0 + a.k AND gp.x = b.x0 + c.k),
+kw AS (SELECT k, e / sum(e) OVER () AS e FROM (VALUES {CROP_ROWS}) AS t(k, e)),
+g1 AS (SELECT o.dataset, o.grp, o.h, o.w, o.cy, o.cx, sum(i.v * e) AS v FROM crop o CROSS JOIN kw JOIN crop i ON i.dataset = o.dataset AND i.grp = o.grp
+  AND i.cx = o.cx AND i.cy = {_mirror('o.cy + k', 'o.h')} GROUP BY ALL),
+g2 AS (SELECT o.dataset, o.grp, o.cy, o.cx, sum(i.v * e) AS local FROM g1 o CROSS JOIN kw JOIN g1 i ON i.dataset = o.dataset AND i.grp = o.grp
+  AND i.cy = o.cy AND i.cx = {_mirror('o.cx + k', 'o.w')} GROUP BY ALL)
+SELECT dataset, 'ad' AS mask, CAST(y0 + cy AS INTEGER) AS y, CAST(x0 + cx AS INTEGER) AS x, CAST(1 AS SMALLINT) AS value
+FROM crop JOIN g2 USING (dataset, grp, cy, cx) WHERE own > local""",
+)
+def _grouped_adaptive(spark, sf):
+    return TH.grouped_threshold(
+        t.pixels(spark, sf), t.labels(spark, sf), fixed_groups(spark, sf), "A", "adaptive", name="ad"
+    )
+
+
 def box_sql(radius: int, pick: str, how: str, edge: bool) -> str:
     yy, xx = ("o.y + dy", "o.x + dx") if not edge else (reflect("o.y + dy"), reflect("o.x + dx"))
     return (

@@ -20,7 +20,7 @@ from cellgrid.sources import project as PR
 from cellgrid.sources import tables as t
 from cellgrid.sources.catalog import LayerStore, append_channel, delete_channel, rename_channel, set_metadata
 from checks.base import CTES, case, ctes
-from checks.flim_cases import SCALE, cell_means
+from checks.flim_cases import SCALE, cell_means, kmeans_sql
 from checks.image_cases import CC_SQL, EDGE, hist_sql, otsu_sql
 from checks.measure_cases import PART_SQL, SUMMARY_SQL, fixed_groups, masked, regions, two_masks, whole, wide_sql
 
@@ -564,8 +564,18 @@ ROUNDS = [
 ]
 
 
-@case("threshold_round")
+@case(
+    "threshold_round",
+    ctes("cells") + f",{kmeans_sql(2)}, gp AS (SELECT dataset, grp, y, x, v FROM lb JOIN km USING (dataset, label) JOIN pa USING (dataset, y, x)),"
+    + hist_sql("gp", "dataset, grp") + "," + otsu_sql("dataset, grp")
+    + " SELECT dataset, 'bright' AS mask, y, x, CAST(1 AS SMALLINT) AS value FROM gp JOIN thr USING (dataset, grp) WHERE v >= threshold",
+)
 def _threshold_round(spark, sf):
+    return P.threshold_round(t.pixels_ab(spark, sf), t.labels(spark, sf), t.frames(spark, sf), ROUNDS[0])[1]
+
+
+@case("threshold_round_gmm")
+def _threshold_round_gmm(spark, sf):
     return P.threshold_round(t.pixels_ab(spark, sf), t.labels(spark, sf), t.frames(spark, sf), ROUNDS[1])[1]
 
 

@@ -32,9 +32,15 @@ START_CORNERS = {
 }
 
 
-def neighborhood_join(pixels: DataFrame, radius: int, frames: DataFrame, side: int) -> DataFrame:
-    """Send every pixel to the blocks whose halo covers it (its own and near neighbours)."""
-    placed = attach(pixels, frames.select("dataset", "height", "width"), ["dataset"])
+def neighborhood_join(
+    pixels: DataFrame, radius: int | str, frames: DataFrame, side: int | str
+) -> DataFrame:
+    """Send every pixel to the blocks whose halo covers it (its own and near neighbours).
+
+    ``radius`` and ``side`` are numbers or columns of ``frames``.
+    """
+    extra = [c for c in (radius, side) if isinstance(c, str)]
+    placed = attach(pixels, frames.select("dataset", "height", "width", *extra), ["dataset"])
     return placed.selectExpr(
         "*",
         f"explode(sequence(greatest(y - {radius}, 0) div {side},"
@@ -49,7 +55,7 @@ def neighborhood_join(pixels: DataFrame, radius: int, frames: DataFrame, side: i
 def block_map(
     pixels: DataFrame,
     frames: DataFrame,
-    radius: int,
+    radius: int | None,
     compute: Callable[[np.ndarray, int], np.ndarray],
     reflect: bool = True,
     block: int = BLOCK,
@@ -59,31 +65,37 @@ def block_map(
     """Apply an array function of a pixel's neighbourhood to every pixel.
 
     ``compute(padded, radius)`` gets a block padded by ``radius`` on each side
-    (real neighbours, or mirrored / zero values beyond the frame).
+    (real neighbours, or mirrored / zero values beyond the frame).  With
+    ``radius=None`` each frame brings its own ``radius`` column.
     """
-    side = max(block, radius)
-    placed = neighborhood_join(pixels.select(*keys, "y", "x", "value"), radius, frames, side)
+    if radius is None:
+        frames = frames.withColumn("side", F.greatest(F.col("radius"), F.lit(block)))
+    else:
+        frames = frames.withColumn("radius", F.lit(radius)).withColumn(
+            "side", F.lit(max(block, radius))
+        )
+    placed = neighborhood_join(pixels.select(*keys, "y", "x", "value"), "radius", frames, "side")
     fields = [f"`{k}` {dict(pixels.dtypes)[k]}" for k in keys]
     schema = ", ".join([*fields, "y int, x int, value double"])
     if keep_original:
         schema += ", original double"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(group.height.iat[0]), int(group.width.iat[0])
+        h, w, reach, side = (int(group[c].iat[0]) for c in ("height", "width", "radius", "side"))
         y0, x0 = int(group.ty.iat[0]) * side, int(group.tx.iat[0]) * side
         y1, x1 = min(y0 + side, h), min(x0 + side, w)
-        ry0, rx0 = max(y0 - radius, 0), max(x0 - radius, 0)
-        ry1, rx1 = min(y1 + radius, h), min(x1 + radius, w)
+        ry0, rx0 = max(y0 - reach, 0), max(x0 - reach, 0)
+        ry1, rx1 = min(y1 + reach, h), min(x1 + reach, w)
         ys, xs = group.y.to_numpy(), group.x.to_numpy()
         vals = group.value.to_numpy(dtype=np.float64)
         region = np.zeros((ry1 - ry0, rx1 - rx0))
         region[ys - ry0, xs - rx0] = vals
         pads = (
-            (radius - (y0 - ry0), radius - (ry1 - y1)),
-            (radius - (x0 - rx0), radius - (rx1 - x1)),
+            (reach - (y0 - ry0), reach - (ry1 - y1)),
+            (reach - (x0 - rx0), reach - (rx1 - x1)),
         )
         padded = np.pad(region, pads, mode="symmetric" if reflect else "constant")
-        result = compute(padded, radius)
+        result = compute(padded, reach)
         own = (ys >= y0) & (ys < y1) & (xs >= x0) & (xs < x1)
         out = {k: group[k].to_numpy()[own] for k in keys}
         out.update(y=ys[own], x=xs[own], value=result[ys[own] - y0, xs[own] - x0])
@@ -95,7 +107,7 @@ def block_map(
     return spread(placed, groups).groupBy(*groups).applyInPandas(run, schema)
 
 
-def _along_both_axes(padded: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def along_both_axes(padded: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Separable correlation of the interior with one symmetric 1-D kernel."""
     n = len(weights) - 1
     rows = sum(w * padded[i : padded.shape[0] - n + i, :] for i, w in enumerate(weights))
@@ -118,7 +130,7 @@ def gaussian_smooth(
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
     return block_map(
-        pixels, frames, radius, lambda a, r: _along_both_axes(a, weights), keep_original=keep_original
+        pixels, frames, radius, lambda a, r: along_both_axes(a, weights), keep_original=keep_original
     )
 
 
@@ -137,7 +149,7 @@ def uniform_filter(pixels: DataFrame, frames: DataFrame, size: int, keys=("datas
     """Box mean of odd ``size`` with zeros beyond the frame."""
     weights = np.full(size, 1.0 / size)
     return block_map(
-        pixels, frames, size // 2, lambda a, r: _along_both_axes(a, weights), reflect=False, keys=keys
+        pixels, frames, size // 2, lambda a, r: along_both_axes(a, weights), reflect=False, keys=keys
     )
 
 

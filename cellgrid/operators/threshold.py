@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.functions.ranks import NAN_SQL, quoted, value_bucket
 from cellgrid.operators.select import roi_rect_pixels
-from cellgrid.operators.spatial import gaussian_smooth
+from cellgrid.operators.spatial import along_both_axes, block_map, gaussian_smooth, gaussian_weights
 from cellgrid.session import attach, counted, durable, join_counted, spread
 
 BINS = 256
@@ -269,24 +271,28 @@ def block_size_for(height: int, width: int, block_size: int | None = None) -> in
 def threshold_adaptive(pixels: DataFrame, frames: DataFrame, block_size: int | None = None) -> DataFrame:
     """Foreground pixels against a Gaussian-weighted local mean.
 
-    Frames are grouped by their window size, which follows from the frame shape.
+    Each frame's window follows from its own shape unless given; frames of all
+    sizes are handled in the same pass.
     """
     if block_size is not None:
-        sizes = [block_size_for(0, 0, block_size)]
-        sized = frames.withColumn("_size", F.lit(sizes[0]))
+        size = f"{block_size_for(0, 0, block_size)}"
     else:
         auto = "greatest(15, (least(height, width) div 10) | 1)"
-        sized = frames.selectExpr("*", f"int(if({auto} % 2 = 0, {auto} + 1, {auto})) AS _size")
-        sizes = [r[0] for r in sized.select("_size").distinct().orderBy("_size").collect()]
-    out: DataFrame | None = None
-    for size in sizes:
-        part = sized.filter(F.col("_size") == size).drop("_size")
-        local = gaussian_smooth(pixels, part, (size - 1) / 6.0, keep_original=True)
-        hits = local.filter("original > value").selectExpr(
-            "dataset", "channel", "y", "x", "original AS value"
-        )
-        out = hits if out is None else out.unionByName(hits)
-    return out
+        size = f"if({auto} % 2 = 0, {auto} + 1, {auto})"
+    # sigma is a sixth of the window less one, the kernel reaches four sigma
+    sized = frames.selectExpr("dataset", "height", "width", f"int({size}) AS size").selectExpr(
+        "dataset", "height", "width", "int(4D * (size - 1) / 6D + 0.5D) AS radius"
+    )
+
+    def local_mean(padded: np.ndarray, radius: int) -> np.ndarray:
+        # windows are odd: the radius identifies the window it came from
+        window = next(s for s in count(1, 2) if int(4.0 * (s - 1) / 6.0 + 0.5) == radius)
+        return along_both_axes(padded, gaussian_weights((window - 1) / 6.0))
+
+    local = block_map(pixels, sized, None, local_mean, keep_original=True)
+    return local.filter("original > value").selectExpr(
+        "dataset", "channel", "y", "x", "original AS value"
+    )
 
 
 def threshold_roi(

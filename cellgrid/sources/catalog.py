@@ -19,6 +19,10 @@ KINDS = {
 }
 
 
+# Side of the image region one stored file covers: large files, yet a big frame splits.
+FILE_BLOCK = 2048
+
+
 class LayerStore:
     """All layers of all datasets below one folder (any Hadoop file system)."""
 
@@ -49,7 +53,7 @@ class LayerStore:
         """Replace the layers present in ``df``; other layers stay.
 
         Labels and masks are stored sparse, with their fixed types, and rows of
-        one image block stay together so per-cell work combines early.
+        one image region stay together so per-cell work combines early.
         """
         name, casts = KINDS[kind]
         for column, kind_sql in casts.items():
@@ -57,7 +61,8 @@ class LayerStore:
         if kind in ("labels", "masks"):
             df = model.sparsify(df, "label" if kind == "labels" else "value")
         if kind != "groups":
-            df = df.repartition("dataset", name, model.block_of("y"), model.block_of("x"))
+            region = [model.block_of(c, FILE_BLOCK) for c in ("y", "x")]
+            df = df.repartition("dataset", name, *region)
             df = df.sortWithinPartitions("dataset", name, "y", "x")
         (
             df.write.mode("overwrite")

@@ -66,7 +66,7 @@ def test_gaussian_across_blocks(tables, block):
     for i, j in itertools.product(range(2 * r + 1), repeat=2):
         want += w[i] * w[j] * p[i : i + 21, j : j + 30]
     df = SP.block_map(
-        tables.pixels(a), tables.frames(21, 30), r, lambda b, k: SP._along_both_axes(b, w), block=block
+        tables.pixels(a), tables.frames(21, 30), r, lambda b, k: SP.along_both_axes(b, w), block=block
     )
     assert np.allclose(tables.array(df, a.shape), want)
     assert SP.gaussian_smooth(tables.pixels(a), tables.frames(21, 30), 0).count() == 630

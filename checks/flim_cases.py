@@ -434,7 +434,7 @@ pre AS (SELECT dataset, r, sum(m - 50) OVER w AS s, sum(pow(m - 50, 2)) OVER w A
   UNION ALL SELECT DISTINCT dataset, 0, 0, 0, n FROM val),
 cut AS (SELECT p0.dataset, {picked} FROM pre p0 {joins} WHERE p0.r = 0 AND pz.r = pz.n
   QUALIFY row_number() OVER (PARTITION BY p0.dataset ORDER BY {cost}) = 1),
-km AS (SELECT val.dataset, label, m, CASE WHEN n < 10 THEN 1 ELSE 1 + {above} END AS grp FROM val JOIN cut USING (dataset))"""
+km AS (SELECT val.dataset, label, m, CASE WHEN n < 10 THEN 1 ELSE 1 + {above} END AS grp FROM val LEFT JOIN cut USING (dataset))"""
 
 
 @case(

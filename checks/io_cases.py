@@ -5,6 +5,7 @@ Write-then-read queries use a fresh folder below the session's shared scratch.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -598,10 +599,42 @@ def _measure_batch(spark, sf):
     ).drop("group_vhi")
 
 
-@case("run_workflow")
+def _workflow_sql() -> str:
+    """Components, clean-up, two optimal groups, a threshold per group, then in/out means."""
+    second = re.sub(
+        r"\b(span|cnt|hist|os|thr)\b", r"\g<1>_2",
+        hist_sql("gp", "dataset, grp") + "," + otsu_sql("dataset, grp"),
+    )
+    picks = ", ".join(
+        f"round(avg(v) FILTER (channel = '{c}'{cond}), 6) AS \"{c}_mean_intensity{suffix}\""
+        if not cond
+        else f"coalesce(round(avg(v) FILTER (channel = '{c}'{cond}), 6), 0) AS \"{c}_mean_intensity{suffix}\""
+        for c in "AB"
+        for cond, suffix in (("", ""), (" AND inside", "_in_bright"), (" AND NOT inside", "_out_bright"))
+    )
+    return (
+        CC_SQL
+        + f""", cen AS (SELECT dataset, label FROM num GROUP BY ALL HAVING count(*) >= 3 AND NOT bool_or({EDGE})),
+kept AS (SELECT dataset, label, CAST(dense_rank() OVER (PARTITION BY dataset ORDER BY label) AS INTEGER) AS fresh FROM cen),
+l2 AS (SELECT dataset, y, x, fresh AS label FROM num JOIN kept USING (dataset, label)),
+c2 AS (SELECT dataset, label, avg(v) AS m FROM l2 JOIN pa USING (dataset, y, x) GROUP BY ALL),{kmeans_sql(2, 'c2')},
+gp AS (SELECT dataset, grp, y, x, v FROM l2 JOIN km USING (dataset, label) JOIN pa USING (dataset, y, x)),{second},
+mk AS (SELECT dataset, y, x FROM gp JOIN thr_2 USING (dataset, grp) WHERE v >= threshold),
+pb AS ({CTES['pb']}), pab AS ({CTES['pab']}),
+j AS (SELECT l2.dataset, l2.label, channel, v, mk.dataset IS NOT NULL AS inside FROM l2 JOIN pab p ON p.dataset = l2.dataset AND p.y = l2.y AND p.x = l2.x
+  LEFT JOIN mk ON mk.dataset = l2.dataset AND mk.y = l2.y AND mk.x = l2.x)
+SELECT dataset, label, CAST(count(*) FILTER (channel = 'A') AS DOUBLE) AS area, {picks}, any_value(grp) AS group_bright
+FROM j JOIN km USING (dataset, label) GROUP BY dataset, label"""
+    )
+
+
+@case("run_workflow", _workflow_sql())
 def _workflow(spark, sf):
     config = P.WorkflowConfig(["A", "B"], ROUNDS[:1], "A", MEAN, min_area=3)
-    return P.run_workflow(t.pixels_ab(spark, sf), t.frames(spark, sf), config).cells
+    cells = P.run_workflow(t.pixels_ab(spark, sf), t.frames(spark, sf), config).cells
+    return cells.select(
+        [c for c in cells.columns if c in ("dataset", "label", "area", "group_bright") or "mean_intensity" in c]
+    )
 
 
 @case(

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # A lookup side is broadcast only when it holds at most this many rows.
 BROADCAST_ROWS = 200_000
 
-# Input aimed at per Python task, and the largest task count asked for.
-TASK_BYTES = 128 * 1024 * 1024
+# Stored input aimed at per Python task, and the largest task count asked for.
+TASK_BYTES = 32 * 1024 * 1024
 MAX_TASKS = 200_000
 UNKNOWN_BYTES = 1 << 62
 
@@ -106,5 +106,8 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     # rows handed over by the driver report an unknown (maximal) size
     size = sum(n for n in sizes if n < UNKNOWN_BYTES)
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, min(size // TASK_BYTES, MAX_TASKS)), *keys)
+    least = 2 * spark.sparkContext.defaultParallelism
+    tasks = max(least, min(size // TASK_BYTES, MAX_TASKS))
+    if tasks == int(spark.conf.get("spark.sql.shuffle.partitions")):
+        tasks += 1
+    return df.repartition(tasks, *keys)

@@ -105,7 +105,7 @@ fl AS (SELECT bx.dataset, bx.y, bx.x, bx.v AS g, by_.v AS s FROM bx JOIN by_ USI
 )
 
 
-@case("phasor_pipeline", FILTERED + f"SELECT {POS}, round(g, 6) AS g, round(s, 6) AS s FROM fl")
+@case("phasor_maps", FILTERED + f"SELECT {POS}, round(g, 6) AS g, round(s, 6) AS s FROM fl")
 def _pipeline(spark, sf):
     return FL.phasor_pipeline(decay(spark, sf), frames(spark, sf), calibration(spark, sf), BINS)
 
@@ -121,7 +121,7 @@ def _tau(spark, sf):
 
 
 @case(
-    "lifetime_pipeline",
+    "lifetime_maps",
     PHASOR + f"SELECT {POS}, 'filtered' AS source, {tau_sql('g * 0.9', 's * 1.1')} AS lifetime FROM ph WHERE dataset = 'f0'"
     f" UNION ALL SELECT {POS}, 'unfiltered', {tau_sql()} FROM ph WHERE dataset <> 'f0'",
 )
@@ -456,7 +456,7 @@ def _gmm_sil(spark, sf):
 
 
 @case(
-    "grouping_pipeline",
+    "cell_groups",
     ctes("cells") + f", few AS (SELECT * FROM cells WHERE label <= 12),{kmeans_sql(3, 'few')} SELECT dataset, 'rnd' AS round, label, grp FROM km",
 )
 def _grouping(spark, sf):

@@ -512,7 +512,7 @@ PIPE_COLS = ["dataset", "label", "area"] + [
 
 
 @case(
-    "run_pipeline",
+    "run_dataset",
     ctes("lb", "pab") + f",{hist_sql('pa', 'dataset')},{otsu_sql('dataset')}" + pipe_sql("lb"),
 )
 def _run_pipeline(spark, sf):

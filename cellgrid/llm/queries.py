@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import suffix_dedup
+from cellgrid.llm import quality, suffix_dedup
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -40,3 +40,67 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the 200-byte strings that occur twice."""
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+OP8_SQL = f"""
+WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM texts),
+grams AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: i)) AS p,
+    unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+  FROM parts WHERE len(w) >= 3),
+twice AS (SELECT doc_id, p FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+base AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    len(regexp_extract_all(t, '\\p{{Lu}}'))::BIGINT AS n_capitals,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM parts LEFT JOIN covered USING (doc_id)),
+vals AS (
+  SELECT *, {", ".join(f"{e.replace(' DIV ', ' // ')} AS {s}" for s, (e, _) in quality.SIGNALS.items())} FROM base),
+stacked AS (
+  {" UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS v FROM vals" for s in quality.SIGNALS)}),
+bins AS (
+  SELECT *, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS b FROM stacked),
+levels AS (
+  SELECT 0 AS depth, lang, source, signal, b FROM bins
+  UNION ALL SELECT 1, lang, NULL, signal, b FROM bins
+  UNION ALL SELECT 2, NULL, NULL, signal, b FROM bins),
+quants AS (
+  SELECT depth, lang, source, signal, count(*) AS total,
+    quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.5) AS q50, quantile_disc(b, 0.75) AS q75
+  FROM levels GROUP BY ALL),
+picked AS (
+  SELECT g.lang, g.source, q.*
+  FROM (SELECT DISTINCT lang, source FROM base) AS g
+  JOIN quants AS q ON q.depth = 2 OR (q.lang IS NOT DISTINCT FROM g.lang AND
+    (q.depth = 1 OR q.source IS NOT DISTINCT FROM g.source))
+  WHERE q.depth = 2 OR q.total >= {quality.MIN_GROUP}
+  QUALIFY row_number() OVER (PARTITION BY g.lang, g.source, q.signal ORDER BY q.depth) = 1),
+limits AS (
+  SELECT lang, source,
+    {", ".join(f"max(CASE WHEN signal = '{s}' THEN q50 + {quality.REACH} * (q75 - q50) + {k} END) AS {s}_high" for s, (_, k) in quality.SIGNALS.items())},
+    max(CASE WHEN signal = 'word_length' THEN q50 - {quality.REACH} * (q50 - q25) - {quality.SIGNALS["word_length"][1]} END) AS word_length_low
+  FROM picked GROUP BY lang, source),
+judged AS (
+  SELECT v.*, {quality.BASE_FAILED} AS base_failed,
+    {" AND ".join(f"v.{s} <= l.{s}_high" for s in quality.SIGNALS)} AND v.word_length >= l.word_length_low AS fenced
+  FROM vals AS v JOIN limits AS l ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fenced AS kept
+FROM judged"""
+
+
+@query("op8_quality_rules", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals and verdict of every document."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.selectExpr("doc_id", "signals.*", "kept").selectExpr(
+        "doc_id", *names, f"{quality.BASE_FAILED} AS base_failed", "kept"
+    )

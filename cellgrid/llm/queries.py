@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import quality, suffix_dedup
+from cellgrid.llm import langid, quality, suffix_dedup
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -104,3 +104,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.selectExpr("doc_id", "signals.*", "kept").selectExpr(
         "doc_id", *names, f"{quality.BASE_FAILED} AS base_failed", "kept"
     )
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    identifier = langid.fit(docs.where(~langid.held_out()))
+    found = langid.identify(docs, identifier, ["doc_id"])
+    return found.select(
+        "doc_id",
+        langid.held_out().alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.entropy").alias("cross_entropy"),
+        F.col("language.rejected").alias("rejected"),
+    )

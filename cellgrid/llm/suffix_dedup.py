@@ -12,7 +12,8 @@ still undecided:
 2. Second digit: the bytes that all windows of the run cover.  Where every run of a
    gram has the same, all their windows repeat and the group is done.
 3. Last digit: the window itself, only for grams whose runs differ.  Equal
-   groups of this pass are exactly the remaining repeated windows.
+   groups of this pass are exactly the remaining repeated windows.  The runs of
+   one gram meet in one task if they are few, else their windows are counted.
 
 Digits are compared by 64-bit hashes; windows are only compared below an equal
 gram.  Groups are counted with partial aggregation, so a passage that a third of
@@ -36,6 +37,8 @@ from cellgrid.llm.common import map_texts, text_hash
 from cellgrid.session import durable
 
 GRAM = 32
+# Different runs of one gram compared in one task; beyond that their windows are counted one by one.
+GROUP = 512
 # Windows of a text handled at a time; texts of any length need the same memory.
 BLOCK = 1 << 17
 POSITION = np.uint64((1 << 18) - 1)
@@ -126,29 +129,71 @@ def _scan(length: int):
     return run
 
 
-def _emit(length: int):
+def _pieces(length: int):
+    """The bytes under each wanted run, with its gram."""
+
     def run(part):
-        cols = {k: [] for k in ("id", "th", "window", "start", "n")}
+        cols = {k: [] for k in ("gram", "id", "th", "first", "n", "piece")}
         for key, th, text, spans in zip(part["id"], part["th"], part["text"], part["spans"]):
-            raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            spans = sorted((s["first"], s["last"], s["n"]) for s in spans)
-            done = 0
-            while done < len(spans):
-                # neighbouring runs of a block are hashed together
-                at = spans[done][0]
-                end = done
-                while end < len(spans) and spans[end][1] - at < 2 * BLOCK:
-                    end += 1
-                hashes = window_hashes(raw[at : spans[end - 1][1] + length], length).view(np.int64)
-                for a, b, n in spans[done:end]:
-                    cols["window"].append(hashes[a - at : b - at + 1])
-                    cols["start"].append(np.arange(a, b + 1))
-                    cols["n"] += [n] * (b - a + 1)
-                    cols["id"] += [key] * (b - a + 1)
-                    cols["th"] += [th] * (b - a + 1)
-                done = end
-        for name in ("window", "start"):
-            cols[name] = np.concatenate(cols[name]) if cols[name] else np.zeros(0, np.int64)
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            for s in spans:
+                cols["id"].append(key)
+                cols["th"].append(th)
+                cols["piece"].append(raw[s["first"] : s["last"] + length])
+                for name in ("gram", "first", "n"):
+                    cols[name].append(s[name])
+        yield cols
+
+    return run
+
+
+def _windows_of(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(window hash, piece, place in it)`` of all windows of all pieces."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    hashes = window_hashes(np.frombuffer(b"".join(pieces), np.uint8), length)
+    begin = np.cumsum(sizes) - sizes
+    count = sizes - length + 1
+    owner = np.repeat(np.arange(len(pieces)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return hashes[begin[owner] + place], owner, place
+
+
+def _compare(length: int):
+    """Windows that occur in two runs of a gram; one row holds all runs of one gram."""
+
+    def run(part):
+        rows = [(g, r) for g, group in enumerate(part["runs"]) for r in group]
+        cols = {k: [] for k in ("id", "th", "first", "last")}
+        if rows:
+            window, owner, place = _windows_of([r["piece"] for _, r in rows], length)
+            gram = np.array([g for g, _ in rows], np.uint64)[owner]
+            _, back, times = np.unique(_join(gram, window), return_inverse=True, return_counts=True)
+            # runs that occur once need their repeated windows; equal ones are settled
+            single = np.array([r["n"] == 1 for _, r in rows])[owner]
+            hit = np.flatnonzero((times[back] > 1) & single)
+            if len(hit):
+                # stretches of neighbouring windows of one run
+                cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(owner[hit]) > 0))
+                for a, b in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist()):
+                    r = rows[owner[a]][1]
+                    cols["id"].append(r["id"])
+                    cols["th"].append(r["th"])
+                    cols["first"].append(r["first"] + int(place[a]))
+                    cols["last"].append(r["first"] + int(place[b]))
+        yield cols
+
+    return run
+
+
+def _spread(length: int):
+    """One row per window."""
+
+    def run(part):
+        cols = {k: [] for k in ("id", "th", "window", "start", "n")}
+        if part["piece"]:
+            window, owner, place = _windows_of(part["piece"], length)
+            cols = {k: np.array(part[k], object)[owner] for k in ("id", "th", "n")}
+            cols |= {"window": window.view(np.int64), "start": np.array(part["first"])[owner] + place}
         yield cols
 
     return run
@@ -189,19 +234,46 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         .join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
         .select("id", "th", "first", "last")
     )
-    wanted = contexts.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "n")).alias("spans"))
-    windows = durable(
-        map_texts(
-            docs.join(wanted, docs.id.eqNullSafe(wanted.id) & (docs.th == wanted.th)).select(
-                docs.id, docs.th, "text", "spans"
-            ),
-            _emit(length),
-            f"id {kind}, th bigint, window bigint, start bigint, n bigint",
+    sizes = contexts.groupBy("gram").agg((F.count("*") > GROUP).alias("large"))
+    contexts = durable(contexts.join(sizes, "gram").drop("context"))
+
+    def pieces(large: bool) -> DataFrame:
+        """Runs with their bytes, read where the documents lie anyway for the last step."""
+        wanted = (
+            contexts.where(F.col("large") == large)
+            .groupBy("id", "th")
+            .agg(F.collect_list(F.struct("gram", "first", "last", "n")).alias("spans"))
+        )
+        joined = _beside(docs, wanted, "inner").select(docs.id, docs.th, "text", "spans")
+        return map_texts(
+            joined, _pieces(length), f"gram bigint, id {kind}, th bigint, first bigint, n bigint, piece binary"
         )
+
+    groups = (
+        pieces(False)
+        .groupBy("gram")
+        .agg(F.collect_list(F.struct("id", "th", "first", "n", "piece")).alias("runs"))
+        .select("runs")
     )
-    repeated = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
-    single = windows.where("n = 1").join(repeated, "window").selectExpr("id", "th", "start AS first", "start AS last")
-    return settled.union(copies).union(single)
+    near = map_texts(groups, _compare(length), f"id {kind}, th bigint, first bigint, last bigint", "runs")
+    found = settled.union(copies).union(near)
+    if not contexts.where("large").isEmpty():
+        # grams with too many different runs for one task: their windows are counted
+        windows = durable(
+            map_texts(
+                pieces(True), _spread(length), f"id {kind}, th bigint, window bigint, start bigint, n bigint", "piece"
+            )
+        )
+        repeated = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
+        single = windows.where("n = 1").join(repeated, "window")
+        found = found.union(single.selectExpr("id", "th", "start AS first", "start AS last"))
+    return found
+
+
+def _beside(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join by document; every call deals the texts out alike, so one query moves them once."""
+    other = other.hint("shuffle_hash")
+    return docs.join(other, docs.id.eqNullSafe(other.id) & (docs.th == other.th), how)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
@@ -217,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spans = repeated_windows(rows, length).groupBy("id", "th").agg(
         F.collect_list(F.struct("first", "last")).alias("spans")
     )
-    joined = rows.join(spans, rows.id.eqNullSafe(spans.id) & (rows.th == spans.th), "left")
+    joined = _beside(rows, spans, "left")
 
     def run(part):
         ranges, kept = [], []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import langid, quality, suffix_dedup
+from cellgrid.llm import langid, packing, quality, suffix_dedup, tokens
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -120,3 +120,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("language.entropy").alias("cross_entropy"),
         F.col("language.rejected").alias("rejected"),
     )
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"))
+    return packing.with_crc(packed).select(
+        F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )

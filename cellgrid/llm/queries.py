@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import langid, packing, quality, suffix_dedup, tokens
+from cellgrid.llm import langid, packing, quality, suffix_dedup, token_files, tokens
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -129,3 +129,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packed).select(
         F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as directly addressable codes and read back."""
+    path = token_files.fresh_path(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, tokens.tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read(spark, path).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32")
+    )

@@ -13,7 +13,10 @@ still undecided:
    gram has the same, all their windows repeat and the group is done.
 3. Last digit: the window itself, only for grams whose runs differ.  Equal
    groups of this pass are exactly the remaining repeated windows.  The runs of
-   one gram meet in one task if they are few, else their windows are counted.
+   one gram meet in one task if they are few.  Else they are cut into chunks, the
+   window hashes of the chunks are dealt out by their leading bits, packed into
+   one array for each chunk and bucket, and the hashes found in two chunks go
+   back to those.
 
 Digits are compared by 64-bit hashes; windows are only compared below an equal
 gram.  Groups are counted with partial aggregation, so a passage that a third of
@@ -37,8 +40,9 @@ from cellgrid.llm.common import map_texts, text_hash
 from cellgrid.session import durable
 
 GRAM = 32
-# Different runs of one gram compared in one task; beyond that their windows are counted one by one.
-GROUP = 512
+# Different runs of one gram compared in one task, and windows of a digit of larger ones.
+GROUP = 2048
+BUCKET = 1 << 19
 # Windows of a text handled at a time; texts of any length need the same memory.
 BLOCK = 1 << 17
 POSITION = np.uint64((1 << 18) - 1)
@@ -104,6 +108,8 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _scan(length: int):
+    """One row for each run of each text."""
+
     def run(part):
         cols = {k: [] for k in ("id", "th", "gram", "context", "first", "last")}
         for key, th, text in zip(part["id"], part["th"], part["text"]):
@@ -158,42 +164,82 @@ def _windows_of(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     return hashes[begin[owner] + place], owner, place
 
 
+def _stretches(rows: list[dict], owner: np.ndarray, place: np.ndarray, repeated: np.ndarray, cols: dict) -> None:
+    """Add the stretches of repeated windows of the runs that occur once; equal runs are settled."""
+    single = np.array([r["n"] == 1 for r in rows])[owner]
+    hit = np.flatnonzero(repeated & single)
+    if not len(hit):
+        return
+    cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(owner[hit]) > 0))
+    for a, b in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist()):
+        r = rows[owner[a]]
+        cols["id"].append(r["id"])
+        cols["th"].append(r["th"])
+        cols["first"].append(r["first"] + int(place[a]))
+        cols["last"].append(r["first"] + int(place[b]))
+
+
 def _compare(length: int):
     """Windows that occur in two runs of a gram; one row holds all runs of one gram."""
 
     def run(part):
-        rows = [(g, r) for g, group in enumerate(part["runs"]) for r in group]
         cols = {k: [] for k in ("id", "th", "first", "last")}
+        rows = [r for group in part["runs"] for r in group]
         if rows:
-            window, owner, place = _windows_of([r["piece"] for _, r in rows], length)
-            gram = np.array([g for g, _ in rows], np.uint64)[owner]
-            _, back, times = np.unique(_join(gram, window), return_inverse=True, return_counts=True)
-            # runs that occur once need their repeated windows; equal ones are settled
-            single = np.array([r["n"] == 1 for _, r in rows])[owner]
-            hit = np.flatnonzero((times[back] > 1) & single)
-            if len(hit):
-                # stretches of neighbouring windows of one run
-                cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(owner[hit]) > 0))
-                for a, b in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist()):
-                    r = rows[owner[a]][1]
-                    cols["id"].append(r["id"])
-                    cols["th"].append(r["th"])
-                    cols["first"].append(r["first"] + int(place[a]))
-                    cols["last"].append(r["first"] + int(place[b]))
+            gram = np.repeat(np.arange(len(part["runs"]), dtype=np.uint64), [len(g) for g in part["runs"]])
+            window, owner, place = _windows_of([r["piece"] for r in rows], length)
+            _, back, times = np.unique(_join(gram[owner], window), return_inverse=True, return_counts=True)
+            _stretches(rows, owner, place, times[back] > 1, cols)
         yield cols
 
     return run
 
 
-def _spread(length: int):
-    """One row per window."""
+def _deal(length: int):
+    """The different window hashes of each chunk, packed by bucket."""
 
     def run(part):
-        cols = {k: [] for k in ("id", "th", "window", "start", "n")}
-        if part["piece"]:
-            window, owner, place = _windows_of(part["piece"], length)
-            cols = {k: np.array(part[k], object)[owner] for k in ("id", "th", "n")}
-            cols |= {"window": window.view(np.int64), "start": np.array(part["first"])[owner] + place}
+        cols = {k: [] for k in ("gram", "chunk", "bucket", "hashes")}
+        for gram, chunk, buckets, runs in zip(part["gram"], part["chunk"], part["buckets"], part["runs"]):
+            window = np.unique(_windows_of([r["piece"] for r in runs], length)[0])
+            edges = np.searchsorted(window, (np.arange(1, buckets) * (2.0**64 / buckets)).astype(np.uint64))
+            for bucket, some in enumerate(np.split(window, edges)):
+                if len(some):
+                    cols["gram"].append(gram)
+                    cols["chunk"].append(chunk)
+                    cols["bucket"].append(bucket)
+                    cols["hashes"].append(some.tobytes())
+        yield cols
+
+    return run
+
+
+def _meet(part: dict[str, list]):
+    """The hashes of a bucket that two chunks have, for each of those chunks."""
+    cols = {k: [] for k in ("gram", "chunk", "hashes")}
+    for gram, group in zip(part["gram"], part["chunks"]):
+        arrays = [np.frombuffer(c["hashes"], np.uint64) for c in group]
+        window, times = np.unique(np.concatenate(arrays), return_counts=True)
+        shared = window[times > 1]
+        for c, some in zip(group, arrays):
+            both = np.intersect1d(some, shared, assume_unique=True)
+            if len(both):
+                cols["gram"].append(gram)
+                cols["chunk"].append(c["chunk"])
+                cols["hashes"].append(both.tobytes())
+    yield cols
+
+
+def _resolve(length: int):
+    """Repeated windows of the runs of a chunk: within it, or shared with another."""
+
+    def run(part):
+        cols = {k: [] for k in ("id", "th", "first", "last")}
+        for rows, shared in zip(part["runs"], part["shared"]):
+            window, owner, place = _windows_of([r["piece"] for r in rows], length)
+            _, back, times = np.unique(window, return_inverse=True, return_counts=True)
+            known = np.frombuffer(b"".join(shared or ()), np.uint64)
+            _stretches(rows, owner, place, (times[back] > 1) | np.isin(window, known), cols)
         yield cols
 
     return run
@@ -214,7 +260,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     """``(id, th, first, last)``: starts of windows that occur elsewhere, of ``docs(id, th, text)``."""
     kind = dict(docs.dtypes)["id"]
     found = durable(
-        map_texts(docs, _scan(length), f"id {kind}, th bigint, gram bigint, context bigint, first bigint, last bigint")
+        map_texts(docs.select("id", "th", "text"), _scan(length), f"id {kind}, th bigint, gram bigint, context bigint, first bigint, last bigint")
     )
     grams = (
         found.groupBy("gram")
@@ -244,7 +290,8 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
             .groupBy("id", "th")
             .agg(F.collect_list(F.struct("gram", "first", "last", "n")).alias("spans"))
         )
-        joined = _beside(docs, wanted, "inner").select(docs.id, docs.th, "text", "spans")
+        # the same columns as in the last step, or the texts would move twice
+        joined = _beside(docs, wanted, "inner").select(*(docs[c] for c in docs.columns), "spans")
         return map_texts(
             joined, _pieces(length), f"gram bigint, id {kind}, th bigint, first bigint, n bigint, piece binary"
         )
@@ -258,34 +305,55 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     near = map_texts(groups, _compare(length), f"id {kind}, th bigint, first bigint, last bigint", "runs")
     found = settled.union(copies).union(near)
     if not contexts.where("large").isEmpty():
-        # grams with too many different runs for one task: their windows are counted
-        windows = durable(
-            map_texts(
-                pieces(True), _spread(length), f"id {kind}, th bigint, window bigint, start bigint, n bigint", "piece"
-            )
-        )
-        repeated = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
-        single = windows.where("n = 1").join(repeated, "window")
-        found = found.union(single.selectExpr("id", "th", "start AS first", "start AS last"))
+        found = found.union(_many_runs(pieces(True), contexts.where("large"), length, kind))
     return found
 
 
+def _many_runs(pieces: DataFrame, contexts: DataFrame, length: int, kind: str) -> DataFrame:
+    """Repeated windows of grams with more different runs than one task takes."""
+    sizes = contexts.groupBy("gram").agg(F.count("*").alias("runs_of_gram"))
+    chunks = durable(
+        pieces.join(sizes, "gram")
+        .selectExpr(
+            "gram",
+            f"pmod(xxhash64(id, th, first), cast(ceil(runs_of_gram / {GROUP}D) AS bigint)) AS chunk",
+            f"cast(ceil(runs_of_gram * {float(length)} / {BUCKET}D) AS bigint) AS buckets",
+            "struct(id, th, first, n, piece) AS run",
+        )
+        .groupBy("gram", "chunk", "buckets")
+        .agg(F.collect_list("run").alias("runs"))
+    )
+    dealt = map_texts(chunks, _deal(length), "gram bigint, chunk bigint, bucket bigint, hashes binary", "runs")
+    met = dealt.groupBy("gram", "bucket").agg(F.collect_list(F.struct("chunk", "hashes")).alias("chunks"))
+    back = map_texts(met, _meet, "gram bigint, chunk bigint, hashes binary", "chunks")
+    back = back.groupBy("gram", "chunk").agg(F.collect_list("hashes").alias("shared"))
+    both = chunks.join(back, ["gram", "chunk"], "left").select("runs", "shared")
+    return map_texts(both, _resolve(length), f"id {kind}, th bigint, first bigint, last bigint", "runs")
+
+
 def _beside(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """Join by document; every call deals the texts out alike, so one query moves them once."""
     other = other.hint("shuffle_hash")
     return docs.join(other, docs.id.eqNullSafe(other.id) & (docs.th == other.th), how)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
-    """``(id, text, spans, kept)`` of every row.
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, carry: list[str] | None = None
+) -> DataFrame:
+    """``(id, text, spans, kept, rest)`` of every row.
 
-    ``spans`` are the maximal removed byte ranges ``(start, stop)`` and ``kept``
-    the remaining bytes of the UTF-8 text.
+    ``spans`` are the maximal removed byte ranges ``(start, stop)``, ``kept``
+    the remaining bytes of the UTF-8 text and ``rest`` a struct of the columns
+    ``carry``, named ``c0``, ``c1`` and so on (null without any).
     """
     if length < 2 * GRAM or length % 8:
         raise ValueError(f"length must be a multiple of 8 of at least {2 * GRAM}")
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), text_hash(text).alias("th"))
+    rest = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))) if carry else F.lit(None).cast("int")
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(text).alias("text"), text_hash(text).alias("th"), rest.alias("rest")
+    )
+    rest_kind = dict(rows.dtypes)["rest"]
     spans = repeated_windows(rows, length).groupBy("id", "th").agg(
         F.collect_list(F.struct("first", "last")).alias("spans")
     )
@@ -299,12 +367,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             edges = [0, *(x for pair in cut for x in pair), len(raw)]
             ranges.append([{"start": a, "stop": b} for a, b in cut])
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-        yield {"id": part["id"], "text": part["text"], "spans": ranges, "kept": kept}
+        yield {"id": part["id"], "text": part["text"], "spans": ranges, "kept": kept, "rest": part["rest"]}
 
     return map_texts(
-        joined.select(rows.id, "text", "spans"),
+        joined.select(rows.id, "text", "spans", "rest"),
         run,
-        f"id {kind}, text string, spans array<struct<start bigint, stop bigint>>, kept binary",
+        f"id {kind}, text string, spans array<struct<start bigint, stop bigint>>, kept binary, rest {rest_kind}",
     )
 
 
@@ -317,3 +385,12 @@ def digest(removed: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+    """``docs`` with the repeats taken out of the texts; a character that a cut splits goes too."""
+    removed = remove_repeats(docs, id_col, text, length, carry=docs.columns)
+    whole = F.when(F.size("spans") > 0, F.try_validate_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
+    new = F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    new = F.when(F.col("text").isNotNull(), new)
+    return removed.select(*(new.alias(c) if c == text else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)))

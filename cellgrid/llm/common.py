@@ -64,3 +64,10 @@ def map_texts(
 def text_hash(text: str = "text") -> Column:
     """With the id, this tells apart rows of one id with different texts."""
     return F.xxhash64(F.col(text), F.length(F.col(text)))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.common import fresh
 from cellgrid.session import durable
 
 MIN_GROUP = 200
@@ -38,13 +39,6 @@ SIGNALS = {
 SPACE = r"[\\x20\\x09-\\x0D]"
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a longer one if ``df`` has such a column."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the struct column ``signals``; no Python runs and nothing is shuffled."""
     words, lines, grams, dups = (fresh(df, n) for n in ("_words", "_lines", "_grams", "_dups"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions.graph import components
-from cellgrid.llm.common import map_texts
+from cellgrid.llm.common import fresh, map_texts, text_hash
 from cellgrid.session import durable
 
 SEED = 42
@@ -248,3 +248,15 @@ def near_duplicate_groups(
         "grid", "check", F.coalesce("root", "id").alias("component")
     )
     return sigs.join(labelled, ["grid", "check"]).select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of near duplicates, that with the smallest id; columns as in ``docs``."""
+    th = fresh(docs, "_th")
+    keyed = docs.withColumn(th, text_hash(text))
+    pairs = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(th).alias("th")).alias("id"), F.col(text).alias("text"))
+    groups = near_duplicate_groups(pairs, "id", "text", **options)
+    first = groups.where("id = component").select(F.col("id.id").alias("i"), F.col("id.th").alias("t")).distinct()
+    kept = keyed.join(first, keyed[id_col].eqNullSafe(F.col("i")) & (keyed[th] == F.col("t")), "left_semi")
+    # rows repeated as they are
+    return kept.dropDuplicates([id_col, th]).select(*docs.columns)

@@ -31,8 +31,8 @@ REACH = 6
 # Signal: its value as an integer, and the room given beyond the fence.
 SIGNALS = {
     "symbols": ("n_symbols * 1000 DIV greatest(n_words, 1)", 50),
-    "repeats": ("n_repeat_words * 1000 DIV greatest(n_words, 1)", 250),
-    "dup_lines": ("n_dup_lines * 1000 DIV greatest(n_lines, 1)", 300),
+    "repeats": ("n_repeat_words * 1000 DIV greatest(n_words, 1)", 400),
+    "dup_lines": ("n_dup_lines * 1000 DIV greatest(n_lines, 1)", 500),
     "capitals": ("n_capitals * 1000 DIV greatest(word_chars, 1)", 80),
     "word_length": ("word_chars * 100 DIV greatest(n_words, 1)", 150),
 }

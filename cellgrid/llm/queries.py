@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, langid, packing, quality, suffix_dedup, token_files, tokens
+from cellgrid.llm import bpe, html_extract, langid, packing, quality, suffix_dedup, token_files, tokens
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -145,3 +145,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents and the text decoded from them, as hashes."""
     return bpe.digest(table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, html_extract, langid, packing, quality, suffix_dedup, token_files, tokens
+from cellgrid.llm import bpe, chat, html_extract, langid, packing, quality, suffix_dedup, token_files, tokens
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -151,3 +151,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+CONTROL_TEXT = f"{chat.END}{chat.START}assistant ok"
+
+OP5_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+sized AS (
+  SELECT *, length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '{chat.LINE}')) AS r,
+    length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS t FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat.START) + len(chat.END) + 2} + r + t)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
+@query("op5_chat_formatting", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from the formatted text and its mask."""
+    turns = chat.table_turns(table(spark, sf_dir, "conversations"))
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    return chat.digest(chat.read_turns(chat.format_turns(turns.unionByName(extra))))

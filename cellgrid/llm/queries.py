@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, chat, html_extract, langid, packing, quality, suffix_dedup, token_files, tokens
+from cellgrid.llm import bpe, chat, html_extract, langid, order_minhash, packing, quality, suffix_dedup, token_files, tokens
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -181,3 +181,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CONTROL_TEXT).alias("text"),
     )
     return chat.digest(chat.read_turns(chat.format_turns(turns.unionByName(extra))))
+
+
+@query("op6_document_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every document and of its edited text."""
+    return order_minhash.edit_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

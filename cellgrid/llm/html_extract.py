@@ -238,8 +238,8 @@ def extract(page: str | None) -> str:
     marked = any(b.article and not b.boiler for b, _ in found)
     labels = [first_pass(b, t, marked) for b, t in found]
     if marked:
-        # neighbours count inside the article only
-        inner = [i for i, (b, _) in enumerate(found) if b.article and not b.boiler]
+        # only blocks inside the article that are no lists of links count as neighbours
+        inner = [i for i, label in enumerate(labels) if label != BAD]
         for i, label in zip(inner, second_pass([labels[i] for i in inner], GOOD)):
             labels[i] = label
     else:

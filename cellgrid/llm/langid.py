@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import map_texts, prepare
+from cellgrid.llm.common import fresh, map_texts, prepare
 
 ORDER = 4
 ROWS_PER_LANG = 3000
@@ -342,7 +342,10 @@ def fit(
 
 
 def identify(docs: DataFrame, identifier: Identifier, carry: list[str], text: str = "text") -> DataFrame:
-    """``carry`` and the struct ``language(lang, score, entropy, rejected)`` as the last column."""
+    """``carry`` and as the last column the struct ``language(lang, score, entropy, rejected)``.
+
+    Its name is longer if a carried column has that name.
+    """
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(identifier)
     inner = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(text).alias("text"))
@@ -357,7 +360,8 @@ def identify(docs: DataFrame, identifier: Identifier, carry: list[str], text: st
         yield {k: v for k, v in part.items() if k != "text"} | {"language": out}
 
     got = map_texts(inner, run, schema)
-    return got.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "language")
+    name = fresh(docs.select(*carry), "language")
+    return got.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), F.col("language").alias(name))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -369,4 +373,4 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """The rows of ``docs`` that a model explains, with their columns."""
     identifier = fit(docs, id_col=id_col, text=text, lang=lang)
     found = identify(docs, identifier, docs.columns, text)
-    return found.where("NOT language.rejected").select(*docs.columns)
+    return found.where(~F.col(found.columns[-1])["rejected"]).select(*docs.columns)

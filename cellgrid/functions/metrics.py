@@ -66,7 +66,7 @@ def validate_metrics(metrics: list[str] | None) -> list[str]:
         return list(METRICS)
     for name in metrics:
         if name not in METRICS and name not in _CUSTOM:
-            raise ValueError(f"Unknown metric: {name!r}")
+            raise ValueError(f"{name!r} is no metric of this registry")
     return list(metrics)
 
 

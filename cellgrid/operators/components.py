@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.functions.graph import components
 from cellgrid.session import attach, durable, spread
 from cellgrid.sources.model import BLOCK
 
-ROUNDS = 200
 
 
 def _roots(y: np.ndarray, x: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -100,35 +100,10 @@ def _border_edges(local: DataFrame, block: int) -> DataFrame:
 
 
 def merge_pieces(edges: DataFrame) -> DataFrame:
-    """Smallest root reachable from each piece: neighbour minimum plus pointer jumps."""
-    k = ["dataset", "label"]
-    both = durable(
-        edges.select(*k, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            edges.select(*k, F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-    )
-    state = both.groupBy(*k, "u").agg(F.least(F.col("u"), F.min("v")).alias("comp"))
-    state = durable(state)
-    for _ in range(ROUNDS):
-        near = (
-            both.join(state.withColumnRenamed("u", "v"), [*k, "v"])
-            .groupBy(*k, "u")
-            .agg(F.min("comp").alias("near"))
-        )
-        pulled = state.join(near, [*k, "u"]).select(
-            *k, "u", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")
-        )
-        hop = state.select(*k, F.col("u").alias("comp"), F.col("comp").alias("up"))
-        new = pulled.join(hop, [*k, "comp"], "left").select(
-            *k, "u", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")
-        )
-        new = durable(new)
-        state = new.select(*k, "u", "comp")
-        if new.filter("was <> comp").isEmpty():
-            break
-    else:
-        raise RuntimeError("component merge did not settle")
-    return state.select(*k, F.col("u").alias("root"), F.col("comp").alias("final"))
+    """Smallest root reachable from each piece, by star contraction of the border graph."""
+    ends = {end: F.struct("dataset", "label", F.col(end).alias("root")) for end in ("a", "b")}
+    stars = components(edges.select(ends["a"].alias("u"), ends["b"].alias("v")))
+    return stars.select("node.*", F.col("root.root").alias("final"))
 
 
 def connected_components(pixels: DataFrame, block: int = BLOCK) -> DataFrame:

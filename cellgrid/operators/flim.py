@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.functions.names import text_literal
 from cellgrid.functions.ranks import NAN_SQL
 from cellgrid.operators.select import filter_cells
 from cellgrid.operators.spatial import median_filter3
@@ -112,7 +113,7 @@ def lifetime_sql(g: str, s: str, frequency: str) -> str:
 
 def phasor_to_lifetime(phasor: DataFrame, frequency_mhz: float) -> DataFrame:
     if not frequency_mhz or frequency_mhz <= 0:
-        raise ValueError("No laser frequency in metadata")
+        raise ValueError("lifetimes need a laser frequency above zero")
     return phasor.selectExpr("*", f"{lifetime_sql('g', 's', f'{float(frequency_mhz)}D')} AS lifetime")
 
 
@@ -191,7 +192,7 @@ def overlay_rois(
     for roi in _visible(rois):
         value = f"if({_roi_predicate(roi)}, {int(roi['label'])}, {value})"
     mask = phasor.selectExpr(
-        "dataset", f"'{name}' AS mask", "y", "x", f"smallint({value}) AS value"
+        "dataset", f"{text_literal(name)} AS mask", "y", "x", f"smallint({value}) AS value"
     ).filter("value > 0")
     if ids is not None and labels is not None:
         kept = filter_cells(labels, ids).select("dataset", "y", "x")
@@ -201,7 +202,7 @@ def overlay_rois(
 
 def roi_masks_separate(phasor: DataFrame, rois: list[dict]) -> DataFrame:
     """One binary mask per visible region, named by the region; overlaps are kept in each."""
-    hits = [f"if({_roi_predicate(r)}, '{r['name']}', NULL)" for r in _visible(rois)]
+    hits = [f"if({_roi_predicate(r)}, {text_literal(r['name'])}, NULL)" for r in _visible(rois)]
     if not hits:
         return phasor.filter("false").selectExpr(
             "dataset", "'' AS mask", "y", "x", "smallint(1) AS value"
@@ -222,7 +223,7 @@ def roi_pixel_stats(phasor: DataFrame, rois: list[dict]) -> DataFrame:
         *[F.expr(f"count_if(v = {int(r['label'])}) AS `_n{int(r['label'])}`") for r in _visible(rois)],
     )
     pairs = ", ".join(
-        f"{int(r['label'])}, '{r['name']}', `_n{int(r['label'])}`" for r in _visible(rois)
+        f"{int(r['label'])}, {text_literal(r['name'])}, `_n{int(r['label'])}`" for r in _visible(rois)
     )
     return counts.selectExpr(
         "dataset", "_valid", f"stack({len(_visible(rois))}, {pairs}) AS (label, name, n_pixels)"

@@ -190,8 +190,10 @@ def _fit(points: pd.DataFrame, method: str, k: int, criterion: str) -> tuple:
 
 def fit_models(values: DataFrame, method: str, k: int, criterion: str = "bic") -> DataFrame:
     """Cluster parameters per dataset: arrays of weights, means and variances."""
+    if method not in ("gmm", "kmeans"):
+        raise ValueError(f"cells are grouped by gmm or kmeans, not {method!r}")
     if criterion not in ("bic", "silhouette"):
-        raise ValueError(f"Unknown criterion: {criterion!r}")
+        raise ValueError(f"criterion is bic or silhouette, not {criterion!r}")
 
     def run(points: pd.DataFrame) -> pd.DataFrame:
         weight, mean, var = _fit(points, method, k, criterion)
@@ -326,4 +328,4 @@ def grouping_pipeline(
     if ids is not None:
         cells = cells.join(ids.select("dataset", "label").distinct(), ["dataset", "label"], "left_semi")
     grouped = group_cells(cells, column, method, k, criterion)
-    return grouped.selectExpr("dataset", f"'{round_name}' AS round", "label", "grp")
+    return grouped.select("dataset", F.lit(round_name).alias("round"), "label", "grp")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.functions.names import identifier
 from cellgrid.session import attach
 
 POSITION = ["dataset", "y", "x"]
@@ -43,14 +44,13 @@ def flag_masks(
         masks = masks.filter(F.col("mask").isin(listed))
     flags = masks.groupBy(*on).agg(
         *[
-            F.expr("true" if m is None else f"bool_or(mask = '{m}')").alias(prefix + n)
+            (F.expr("bool_or(true)") if m is None else F.bool_or(F.col("mask") == m)).alias(prefix + n)
             for n, m in names.items()
         ]
     )
-    kept = [f"`{c}`" for c in df.columns]
-    return df.join(flags, on, "left").selectExpr(
-        *kept, *[f"coalesce(`{prefix + n}`, false) AS `{prefix + n}`" for n in names]
-    )
+    kept = [identifier(c) for c in df.columns]
+    flagged = [identifier(prefix + n) for n in names]
+    return df.join(flags, on, "left").selectExpr(*kept, *[f"coalesce({n}, false) AS {n}" for n in flagged])
 
 
 def flag_values(df: DataFrame, mask: DataFrame) -> DataFrame:

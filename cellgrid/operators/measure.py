@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.functions.names import identifier
 from cellgrid.functions import metrics as M
 from cellgrid.functions.ranks import (
     running_totals,
@@ -219,7 +220,7 @@ def spread_channels(
     Works on one row per cell and channel, long after pixels were reduced.
     """
     aggs = [
-        F.expr(f"max(if(channel = '{c}', `{col}`, NULL)) AS `{c}_{col}`")
+        F.max(F.when(F.col("channel") == c, F.col(identifier(col)))).alias(f"{c}_{col}")
         for c in channels
         for col in columns
     ]
@@ -230,7 +231,7 @@ def spread_channels(
 def merge_multichannel(tables: dict[str, DataFrame]) -> DataFrame:
     """Outer-merge separately computed cell tables; core columns come from the first."""
     if not tables:
-        raise ValueError("No channel images to measure")
+        raise ValueError("measuring needs at least one channel table")
     core = set(M.CORE_COLUMNS) | {"dataset"}
     out: DataFrame | None = None
     for channel, df in tables.items():
@@ -246,7 +247,7 @@ def merge_multichannel(tables: dict[str, DataFrame]) -> DataFrame:
 
 def _measure_channels(scoped, labels, channels, names, scopes, columns):
     if not channels:
-        raise ValueError("No channel images to measure")
+        raise ValueError("the list of channels to measure is empty")
     scoped = scoped.filter(F.col("channel").isin(channels))
     long = measure_scopes(scoped, labels, [*CELL, "channel"], names, scopes, core=False)
     if long is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.functions.names import identifier
 from cellgrid.functions.ranks import running_totals
 from cellgrid.operators.components import connected_components
 from cellgrid.sources.model import BLOCK
@@ -50,7 +51,7 @@ def analyze_particles_detail(
         .groupBy(*CELL, "root")
         .agg(
             *[
-                F.expr(f"max(if(channel = '{c}', mean, NULL)) AS `{_prefix(c, channels)}mean_intensity`")
+                F.max(F.when(F.col("channel") == c, F.col("mean"))).alias(f"{_prefix(c, channels)}mean_intensity")
                 for c in channels
             ]
         )
@@ -60,7 +61,8 @@ def analyze_particles_detail(
     columns = []
     for c in channels:
         p = _prefix(c, channels)
-        columns += [f"`{p}mean_intensity`", f"`{p}mean_intensity` * area AS `{p}integrated_intensity`"]
+        mean = identifier(f"{p}mean_intensity")
+        columns += [mean, f"{mean} * area AS {identifier(f'{p}integrated_intensity')}"]
     return out.selectExpr(*CELL, "particle_id", "area", "centroid_y", "centroid_x", *columns)
 
 

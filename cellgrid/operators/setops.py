@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def union_masks(masks: list[DataFrame], name: str) -> DataFrame:
     """Pixelwise maximum of several masks."""
     all_masks = reduce(DataFrame.unionByName, masks)
-    return all_masks.groupBy("dataset", "y", "x").agg(F.max("value").alias("value")).selectExpr(
-        "dataset", f"'{name}' AS mask", "y", "x", "value"
+    return all_masks.groupBy("dataset", "y", "x").agg(F.max("value").alias("value")).select(
+        "dataset", F.lit(name).alias("mask"), "y", "x", "value"
     )
 
 
@@ -34,7 +34,7 @@ def ordered_intersection(listed: DataFrame, first_dataset: str, total: int) -> D
         listed.groupBy("channel")
         .agg(
             F.countDistinct("dataset").alias("n"),
-            F.expr(f"min(if(dataset = '{first_dataset}', pos, NULL)) AS position"),
+            F.min(F.when(F.col("dataset") == first_dataset, F.col("pos"))).alias("position"),
         )
         .filter(F.col("n") == total)
         .select("channel", F.col("position").cast("int").alias("position"))

@@ -157,7 +157,7 @@ def project_z(slices: DataFrame, method: str = "mip") -> DataFrame:
     """Collapse z: maximum, mean or sum of the slices at each position."""
     how = {"mip": "max(value)", "mean": "avg(value)", "sum": "sum(value)"}
     if method not in how:
-        raise ValueError(f"Unknown projection method: {method!r}")
+        raise ValueError(f"slices are projected by {sorted(how)}, not {method!r}")
     return slices.groupBy("dataset", "channel", "y", "x").agg(F.expr(f"{how[method]} AS value"))
 
 
@@ -167,9 +167,9 @@ def tile_positions(
 ) -> DataFrame:
     """Add the grid ``row, col`` of a 0-based tile index; indexes beyond the grid drop out."""
     if grid_type not in GRID_TYPES:
-        raise ValueError(f"Unknown grid_type: {grid_type!r}")
+        raise ValueError(f"{grid_type!r} is no scan pattern: {sorted(GRID_TYPES)}")
     if order not in START_CORNERS:
-        raise ValueError(f"Unknown order: {order!r}")
+        raise ValueError(f"{order!r} is no scan direction: {sorted(START_CORNERS)}")
     bottom, right = START_CORNERS[order]
     by_row = grid_type.endswith("by_row")
     # ``major`` counts scan lines, ``minor`` the place along one line.
@@ -205,7 +205,8 @@ def assemble_tiles(
 ) -> DataFrame:
     """Shift tile pixels to their place in the stitched frame.
 
-    Every tile has the first tile's shape (given, or taken from the data).
+    Every tile has the first tile's shape (given, or taken from the data); a
+    pixel of a tile beyond it stops the job.
     Missing tiles stay absent; ``densify`` fills them with zeros on request.
     """
     placed = tile_positions(tiles, rows, cols, grid_type, order)
@@ -220,15 +221,17 @@ def assemble_tiles(
         )
         first = first.selectExpr("dataset", "channel", "s.th AS _h", "s.tw AS _w")
         placed = attach(placed, first, ["dataset", "channel"])
-    return placed.filter("y < _h AND x < _w").selectExpr(
-        "dataset", "channel", "int(y + row * _h) AS y", "int(x + col * _w) AS x", "value"
+    told = "concat('tile ', tile, ' of ', dataset, ' is larger than the first one')"
+    inside = f"if(y < _h AND x < _w, y, raise_error({told}))"
+    return placed.selectExpr(
+        "dataset", "channel", f"int({inside} + row * _h) AS y", "int(x + col * _w) AS x", "value"
     )
 
 
 def assemble_channels(planes: list[DataFrame], frames_of: list[tuple[int, int]] | None = None) -> DataFrame:
     """Stack channel planes of equal shape into one pixel table."""
     if not planes:
-        raise ValueError("No channel images to assemble")
+        raise ValueError("stacking needs at least one plane")
     out = planes[0]
     for p in planes[1:]:
         out = out.unionByName(p)

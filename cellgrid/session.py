@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast only when it holds at most this many rows.
+# A lookup side is broadcast only within so many rows and, written as JSON, so many bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 # Stored input aimed at per Python task, and the largest task count asked for.
 TASK_BYTES = 32 * 1024 * 1024
@@ -64,6 +65,17 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_text_partitions(spark: SparkSession, path: str, merge: bool = False) -> DataFrame:
+    """A partitioned table whose partition values stay text: ``007`` is no number."""
+    setting = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return spark.read.option("mergeSchema", merge).parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,
@@ -83,7 +95,8 @@ def attach(
 def counted(small: DataFrame, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """A materialised lookup and whether its row count allows a broadcast."""
     small = durable(small)
-    return small, small.count() <= bound
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return small, rows <= bound and size <= BROADCAST_BYTES
 
 
 def join_counted(

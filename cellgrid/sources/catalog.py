@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.session import durable
+from cellgrid.session import durable, read_text_partitions
 from cellgrid.sources import model
 
 # Layer kinds, their name column and their value casts.
@@ -23,6 +25,15 @@ KINDS = {
 FILE_BLOCK = 2048
 
 
+# Characters of a partition value that Spark writes as %XX.
+ESCAPED = set("\"#%'*/:=?\\{[]^\x7f") | {chr(c) for c in range(1, 32)}
+
+
+def escaped(value: str) -> str:
+    """A partition value as it stands in a folder name."""
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
+
+
 class LayerStore:
     """All layers of all datasets below one folder (any Hadoop file system)."""
 
@@ -45,7 +56,8 @@ class LayerStore:
         return fs.exists(p)
 
     def _layer_path(self, kind: str, dataset: str, name: str) -> str:
-        return f"{self.path(kind)}/dataset={dataset}/{KINDS[kind][0]}={name}"
+        """Folder of a layer, with the escapes that Spark's writer uses."""
+        return f"{self.path(kind)}/dataset={escaped(dataset)}/{KINDS[kind][0]}={escaped(name)}"
 
     # -- layers ----------------------------------------------------------
 
@@ -85,13 +97,12 @@ class LayerStore:
     def read_layer(self, kind: str, dataset: str | None = None, name: str | None = None) -> DataFrame:
         """Rows of one kind, pruned to a dataset and layer; an unknown name is an error."""
         column = KINDS[kind][0]
-        df = self.spark.read.parquet(self.path(kind))
-        df = df.withColumn("dataset", F.col("dataset").cast("string"))
-        df = df.withColumn(column, F.col(column).cast("string"))
+        df = read_text_partitions(self.spark, self.path(kind))
         if dataset is not None:
             df = df.filter(F.col("dataset") == dataset)
         if name is not None:
-            if self.list_layers(kind, dataset).filter(F.col(column) == name).isEmpty():
+            names = [n for d in self._folders(self.path(kind), "dataset") if dataset in (None, d[0]) for n in self._folders(d[1], column)]
+            if name not in [n for n, _ in names]:
                 raise KeyError(f"{kind} layer {name!r} not found")
             df = df.filter(F.col(column) == name)
         return df
@@ -101,16 +112,28 @@ class LayerStore:
         return self.read_layer("pixels", dataset, channel)
 
     def list_layers(self, kind: str, dataset: str | None = None) -> DataFrame:
-        """Dataset and layer names, from partition values alone."""
+        """Dataset and layer names, from the folders alone; no file is opened."""
         column = KINDS[kind][0]
-        if not self.exists(self.path(kind)):
-            return self.spark.createDataFrame([], f"dataset string, {column} string")
-        df = self.spark.read.parquet(self.path(kind)).select(
-            F.col("dataset").cast("string"), F.col(column).cast("string")
+        names = [
+            (d, n)
+            for d in self._folders(self.path(kind), "dataset")
+            if dataset is None or d[0] == dataset
+            for n in self._folders(d[1], column)
+        ]
+        return self.spark.createDataFrame(
+            [(d[0], n[0]) for d, n in names], f"dataset string, {column} string"
         )
-        if dataset is not None:
-            df = df.filter(F.col("dataset") == dataset)
-        return df.distinct()
+
+    def _folders(self, path: str, column: str) -> list[tuple[str, str]]:
+        """Value and path of the partition folders of ``column`` below a folder."""
+        fs, p = self._fs(path)
+        if not fs.exists(p):
+            return []
+        prefix = f"{column}="
+        found = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
+        return [
+            (unquote(f.getName()[len(prefix) :]), f.toString()) for f in found if f.getName().startswith(prefix)
+        ]
 
     def read_layers(self, dataset: str) -> dict[str, DataFrame]:
         """Channels, labels and masks of a dataset; label names that are also masks are dropped."""
@@ -135,7 +158,7 @@ class LayerStore:
             return False
         _, target = self._fs(self._layer_path(kind, dataset, new))
         if fs.exists(target):
-            raise ValueError(f"Target layer already exists: {new}")
+            raise ValueError(f"there is already a layer {new!r}")
         return bool(fs.rename(source, target))
 
     # -- frames and channels ----------------------------------------------
@@ -146,9 +169,7 @@ class LayerStore:
         ).parquet(self.path("frames"))
 
     def read_frames(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("frames")).withColumn(
-            "dataset", F.col("dataset").cast("string")
-        )
+        return read_text_partitions(self.spark, self.path("frames"))
 
     def get_metadata(self, dataset: str) -> dict[str, str]:
         row = self.read_frames().filter(F.col("dataset") == dataset).select("metadata").first()
@@ -200,8 +221,7 @@ class LayerStore:
         """The measurement table, or None if there is none yet."""
         if not self.exists(self.path("measurements")):
             return None
-        df = self.spark.read.option("mergeSchema", True).parquet(self.path("measurements"))
-        return df.withColumn("dataset", F.col("dataset").cast("string"))
+        return read_text_partitions(self.spark, self.path("measurements"), merge=True)
 
 
 def set_metadata(frames: DataFrame, attrs: dict[str, str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cellgrid.operators.flim import decay_to_intensity
 from cellgrid.operators.select import split_tcspc
 from cellgrid.operators.spatial import GRID_TYPES, START_CORNERS, assemble_tiles, project_z, rebase_tiles
+from cellgrid.session import attach
 from cellgrid.sources.files import TokenConfig, parse_tokens, route_layers
 
 # Excess bytes up to which a longer file is taken to start with a header.
@@ -43,23 +44,21 @@ def decode_array(
     content: bytes, x_dim: int, y_dim: int, t_dim: int, dtype: str, byte_order: str,
     dim_order: str, header_bytes: int,
 ) -> np.ndarray:
-    """One raw histogram file as an array (Y, X, T)."""
-    kind = np.dtype(dtype).newbyteorder(">" if byte_order == "big" else "<")
-    expected = x_dim * y_dim * t_dim
-    excess = len(content) - expected * kind.itemsize
-    if header_bytes == 0 and 0 < excess < MAX_HEADER:
-        header_bytes = excess
-    body = len(content) - header_bytes
-    found = body // kind.itemsize
-    if found != expected:
-        raise ValueError(
-            f"Expected {expected} elements, got {found}. "
-            f"Check dimensions ({x_dim}x{y_dim}x{t_dim}) and dtype ({dtype})."
-        )
-    raw = np.frombuffer(content, dtype=kind, count=expected, offset=header_bytes)
-    size = {"X": x_dim, "Y": y_dim, "T": t_dim}
-    cube = raw.reshape([size[d] for d in dim_order])
-    return cube.transpose([dim_order.index(d) for d in "YXT"])
+    """One raw histogram file as an array (Y, X, T).
+
+    Without a stated header, a few bytes too many in front are one.
+    """
+    cells = np.dtype(dtype).newbyteorder({"big": ">", "little": "<"}[byte_order])
+    extent = dict(X=x_dim, Y=y_dim, T=t_dim)
+    shape = [extent[axis] for axis in dim_order]
+    need = int(np.prod(shape)) * cells.itemsize
+    spare = len(content) - need
+    start = header_bytes or (spare if 0 < spare < MAX_HEADER else 0)
+    # what is left behind the values is less than one of them
+    if not need <= len(content) - start < need + cells.itemsize:
+        raise ValueError(f"{len(content)} bytes do not hold {shape} values of {dtype} behind {start} bytes")
+    cube = np.ndarray(shape, cells, content, start)
+    return np.moveaxis(cube, [dim_order.index(axis) for axis in "YXT"], [0, 1, 2])
 
 
 def read_histogram_bin(
@@ -122,27 +121,47 @@ def ingest_files(files: DataFrame, decode_fn: Callable[[bytes], np.ndarray]) ->
     return files.select(*names, "content").mapInPandas(run, schema)
 
 
+def choose_files(images: DataFrame, tiles: TileConfig | None, project: bool) -> DataFrame:
+    """The file of each plane, before anything is decoded.
+
+    With a layout a plane is one tile, and the last file by path stands for it;
+    without one, the first file is the whole plane.  Without z-projection one
+    slice is left, the last with a layout and the first without.
+    """
+    keyed = images.withColumns(
+        {
+            "channel": F.coalesce("channel", F.lit("")),
+            "z_slice": F.coalesce("z_slice", F.lit("")),
+            "tile": F.coalesce(F.col("tile").cast("int"), F.lit(0)),
+        }
+    )
+    stitched = tiles is not None and tiles.stitches
+    plane = ["dataset", "channel", *(["z_slice"] if project else []), *(["tile"] if stitched else [])]
+    rank = ["path"] if project else ["z_slice", "path"]
+    pick = F.max_by if stitched else F.min_by
+    chosen = keyed.groupBy(*plane).agg(pick("path", F.struct(*rank)).alias("path"))
+    return keyed.join(chosen.select("dataset", "path"), ["dataset", "path"], "left_semi")
+
+
 def place_tiles(decoded: DataFrame, tiles: TileConfig | None) -> DataFrame:
-    """Stitch decoded pixels ``(dataset, channel, z_slice, tile, path, y, x, value)``.
+    """Stitch decoded pixels ``(dataset, channel, z_slice, tile, y, x, value)``, one file per tile.
 
-    Without a layout, several files of one plane reduce to the first by path.
+    A plane of a single tile stays where it is.
     """
-    keyed = decoded.withColumn("channel", F.coalesce("channel", F.lit("")))
-    if tiles is not None and tiles.stitches:
-        plane = keyed.withColumn("tile", F.coalesce(F.col("tile").cast("int"), F.lit(0))).withColumn(
-            "channel", F.concat_ws("\u0001", "channel", F.coalesce("z_slice", F.lit("")))
-        )
-        stitched = assemble_tiles(
-            rebase_tiles(plane), tiles.grid_rows, tiles.grid_cols, tiles.grid_type, tiles.order
-        )
-        return stitched.select(
-            "dataset",
-            F.split("channel", "\u0001")[0].alias("channel"),
-            F.split("channel", "\u0001")[1].alias("z_slice"),
-            "y", "x", "value",
-        )
-    return keyed.groupBy("dataset", "channel", F.coalesce("z_slice", F.lit("")).alias("z_slice"), "y", "x").agg(
-        F.min_by("value", "path").alias("value")
+    if tiles is None or not tiles.stitches:
+        return decoded.select("dataset", "channel", "z_slice", "y", "x", "value")
+    plane = decoded.withColumn("channel", F.concat_ws("\u0001", "channel", "z_slice"))
+    counts = plane.groupBy("dataset", "channel").agg((F.min("tile") == F.max("tile")).alias("lone"))
+    plane = attach(plane, counts, ["dataset", "channel"])
+    stitched = assemble_tiles(
+        rebase_tiles(plane.where("NOT lone").drop("lone")), tiles.grid_rows, tiles.grid_cols, tiles.grid_type, tiles.order
+    )
+    both = stitched.unionByName(plane.where("lone").select("dataset", "channel", "y", "x", "value"))
+    return both.select(
+        "dataset",
+        F.split("channel", "\u0001")[0].alias("channel"),
+        F.split("channel", "\u0001")[1].alias("z_slice"),
+        "y", "x", "value",
     )
 
 
@@ -175,15 +194,13 @@ def import_dataset(
     _, images = split_tcspc(parse_tokens(files, tokens))
     if selected_channels is not None:
         images = images.filter(F.coalesce("channel", F.lit("")).isin(sorted(selected_channels)))
-    decoded = ingest_files(
-        images.select("dataset", "path", "channel", "z_slice", "tile", "content"), decode_fn
-    )
-    planes = place_tiles(decoded, tiles)
+    chosen = choose_files(images, tiles, z_method is not None)
+    decoded = ingest_files(chosen.select("dataset", "channel", "z_slice", "tile", "content"), decode_fn)
     if z_method is not None:
-        projected = project_z(planes, z_method)
+        projected = project_z(place_tiles(decoded, tiles), z_method)
     else:
-        first = F.min_by("value", "z_slice").alias("value")
-        projected = planes.groupBy("dataset", "channel", "y", "x").agg(first)
+        # tiles of one plane may have come from different slices
+        projected = place_tiles(decoded.withColumn("z_slice", F.lit("")), tiles).drop("z_slice")
     routed = route_layers(projected, assignments)
     pixels = routed.filter("layer_type = 'channel'").selectExpr(
         "dataset", "layer_name AS channel", "y", "x", "value"

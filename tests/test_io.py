@@ -24,7 +24,7 @@ def folder(tmp_path):
 
 
 def test_scan_tokens_and_names(spark, folder):
-    files = FS.parse_tokens(FS.scan(spark, path=str(folder)))
+    files = FS.parse_tokens(FS.scan(spark, str(folder)))
     assert files.count() == 9
     named = FS.discover_by_subdirectory(files, str(folder))
     cat = {r.dataset: r for r in FS.token_catalog(named).collect()}
@@ -36,13 +36,10 @@ def test_scan_tokens_and_names(spark, folder):
 
 
 def test_scan_arguments(spark):
-    with pytest.raises(ValueError, match="not both"):
-        FS.scan(spark, "a", ["b"])
-    with pytest.raises(ValueError, match="Must provide"):
-        FS.scan(spark)
+    assert [r.path for r in FS.scan(spark, ["x/b.TIFF", "c.txt"]).collect()] == ["x/b.TIFF"]
     for bad in ({"channel": "(" * 3}, {"tile": "_s\\d+"}, {"tile": "(" + "a" * 300 + ")"}):
         with pytest.raises(ValueError):
-            FS.TokenConfig(**bad)
+            FS.parse_tokens(FS.scan(spark, ["a.tif"]), FS.TokenConfig(**bad))
     odd = spark.createDataFrame([("_ch01_s02.tif",)], "path string")
     assert FS.discover_flat(odd).first().dataset == "_ch01_s02"
 
@@ -66,7 +63,7 @@ def test_histogram_files(spark, order):
 
 
 def test_histogram_size_error():
-    with pytest.raises(ValueError, match="Expected 8 elements, got 4"):
+    with pytest.raises(ValueError, match="8 bytes do not hold"):
         IN.decode_array(b"\0" * 8, 2, 2, 2, "uint16", "little", "YXT", 0)
 
 
@@ -105,7 +102,7 @@ def test_catalog(spark, tables, tmp_path):
     assert {r.value for r in store.read_channel("d", "B").collect()} == {2.0}
     with pytest.raises(KeyError):
         store.read_channel("d", "C")
-    with pytest.raises(ValueError, match="exists"):
+    with pytest.raises(ValueError, match="already a layer"):
         store.rename_layer("pixels", "d", "A", "B")
     assert store.rename_channel("d", "B", "C") and not store.rename_channel("d", "B", "D")
     assert store.read_frames().first().channel_names == ["A", "C"]
@@ -151,12 +148,15 @@ def test_failures_and_round_names(spark, tmp_path):
     with pytest.raises(ValueError):
         PR.record_failure(spark, path, "d1", "segment", "oops", "none")
     with pytest.raises(ValueError):
-        P.ThresholdRound("1bad", "A", "mean_intensity")
-    with pytest.raises(ValueError):
-        P.ThresholdRound("ok", "A", "nope")
+        P.threshold_round(None, None, None, P.ThresholdRound("1bad", "A", "mean_intensity"))
+    px = spark.createDataFrame([], "dataset string, channel string, y int, x int, value double")
+    labels = spark.createDataFrame([], "dataset string, seg string, y int, x int, label int")
+    with pytest.raises(ValueError, match="nope"):
+        P.threshold_round(px, labels, None, P.ThresholdRound("ok", "A", "nope"))
     r = P.ThresholdRound("ok", "A", "area")
-    with pytest.raises(ValueError, match="unique"):
-        P.WorkflowConfig(["A"], [r, r], "A")
+    for rounds in ([r, r], []):
+        with pytest.raises(ValueError, match="different names"):
+            P.run_workflow(px, None, P.WorkflowConfig(["A"], rounds, "A"))
 
 
 def test_export_errors_and_columns(spark, tmp_path):
@@ -208,3 +208,48 @@ def test_workflow_end_to_end(spark, tables):
     assert [r.dataset for r in result.failures.collect()] == ["blank"]
     s = P.run_summary(cells, result.failures).first()
     assert (s.n_rows, s.completed, s.failed) == (12, 1, 1)
+
+
+def test_names_that_look_like_numbers_or_paths(spark, tmp_path):
+    store = LayerStore(spark, str(tmp_path / "store"))
+    rows = [("007", "00", 0, 0, 1.0), ("007", "01", 0, 0, 2.0), ("a:b=c", "d'or", 0, 1, 3.0)]
+    store.write_layer("pixels", spark.createDataFrame(rows, "dataset string, channel string, y int, x int, value double"))
+    assert sorted(map(tuple, store.list_layers("pixels").collect())) == [("007", "00"), ("007", "01"), ("a:b=c", "d'or")]
+    assert store.read_channel("007", "00").first().value == 1.0
+    assert store.rename_layer("pixels", "a:b=c", "d'or", "x%y")
+    assert store.read_channel("a:b=c", "x%y").first().value == 3.0
+    assert store.delete_layer("pixels", "a:b=c", "x%y") and not store.delete_layer("pixels", "a:b=c", "x%y")
+    EX.write_staging(spark.createDataFrame([("007", 1)], "dataset string, label int"), str(tmp_path / "staging"))
+    assert EX.read_staging(spark, str(tmp_path / "staging")).first().dataset == "007"
+
+
+def test_import_chooses_files_before_decoding(spark):
+    import struct
+
+    def content(value, height=1, width=1):
+        return bytearray(struct.pack("<3i", height, width, value))
+
+    def decode(raw):
+        height, width, value = struct.unpack("<3i", raw)
+        return np.full((height, width), float(value))
+
+    def run(files, **options):
+        table = spark.createDataFrame([("d", p, c) for p, c in files], "dataset string, path string, content binary")
+        got = IN.import_dataset(table, decode, **options).pixels.collect()
+        return sorted((r.y, r.x, r.value) for r in got)
+
+    grid = IN.TileConfig(1, 2)
+    # a later, larger file of the same plane is left out as a whole
+    assert run([("a_ch1.tif", content(1)), ("b_ch1.tif", content(9, 2, 2))]) == [(0, 0, 1.0)]
+    # of two time points of one tile the last file counts
+    two = [("a_t1_s1.tif", content(1)), ("a_t2_s1.tif", content(9)), ("a_t1_s2.tif", content(4))]
+    assert run(two, tiles=grid, z_method="mean") == [(0, 0, 9.0), (0, 1, 4.0)]
+    # a lone tile stays in its place, incomplete grids stay incomplete
+    assert run([("a_s2.tif", content(3))], tiles=grid) == [(0, 0, 3.0)]
+    assert run([("a_s1.tif", content(3)), ("a_s2.tif", content(5))], tiles=IN.TileConfig(2, 2)) == [(0, 0, 3.0), (0, 1, 5.0)]
+    with pytest.raises(Exception, match="larger than the first"):
+        run([("a_s1.tif", content(3)), ("a_s2.tif", content(5, 2, 2))], tiles=grid)
+    # without projection: the last slice with a layout, the first without
+    slices = [("a_z1.tif", content(1)), ("a_z2.tif", content(2))]
+    assert run(slices, z_method=None) == [(0, 0, 1.0)]
+    assert run(slices, z_method=None, tiles=grid) == [(0, 0, 2.0)]

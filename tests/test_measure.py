@@ -74,9 +74,9 @@ def test_empty_labels_keep_the_schema(tables):
 
 def test_unknown_metric(tables):
     image, labels = five_cells()
-    with pytest.raises(ValueError, match="Unknown metric"):
+    with pytest.raises(ValueError, match="no metric"):
         MS.measure_cells(tables.pixels(image), tables.labels(labels), ["nope"])
-    with pytest.raises(ValueError, match="No channel"):
+    with pytest.raises(ValueError, match="at least one channel|channels to measure"):
         MS.measure_multichannel(tables.pixels(image), tables.labels(labels), [])
 
 

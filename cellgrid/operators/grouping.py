@@ -1,8 +1,11 @@
 """One-dimensional clustering of cells by a metric, all datasets in one job.
 
-Each dataset's values are first condensed to at most ``POINTS`` weighted points
-(exact while the distinct values fit, equal-width bins beyond), so model fitting
-sees a bounded group.  Assignment, ranking and scoring run on the full cells.
+Each dataset's values are first summarised by weighted points: the distinct values
+themselves while they are few, else bins that are narrow both in rank and in
+width, so that neither dense parts nor outliers are blurred.  A model fitted to
+the points is final in the first case.  In the second it only is the start: rounds
+of sums over all counted values of all datasets together go on until the model no
+longer changes.  Assignment, ranking and scoring run on the full cells.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ POINTS = 4096
 SEED = 42
 GMM_STARTS = 5
 GMM_TOLERANCE = 1e-3
-GMM_ROUNDS = 100
 GMM_FLOOR = 1e-6
 
 
@@ -34,22 +36,20 @@ def clean_values(cells: DataFrame, metric: str) -> DataFrame:
 def condense(values: DataFrame) -> DataFrame:
     """Weighted points per dataset with its cell and distinct-value counts."""
     counts = values.groupBy("dataset", "value").agg(F.count(F.lit(1)).alias("n"))
-    span = counts.groupBy("dataset").agg(
-        F.expr("min(value) AS lo"), F.expr("max(value) AS hi"),
-        F.expr("count(1) AS n_unique"), F.expr("sum(n) AS n_cells"),
-    )
-    spot = (
-        f"if(n_unique <= {POINTS}, value,"
-        f" least(floor(coalesce(try_divide(value - lo, hi - lo), 0D) * {POINTS}), {POINTS - 1}))"
+    ranked = running_totals(
+        counts, ["dataset"], value_bucket("value"), "value", {"n": "n"}, {"unique": "1L"}, {"lo": "-value", "hi": "value"}
     )
+    half = POINTS // 2
+    wide = f"least(floor(coalesce(try_divide(value + top_lo, top_hi + top_lo), 0D) * {half}), {half - 1})"
+    few = f"tot_unique <= {POINTS}"
+    spots = [f"if({few}, value, floor(cum_n * {half}D / tot_n) * 1D)", f"if({few}, 0D, {wide} * 1D)"]
     return (
-        counts.join(span, "dataset")
-        .groupBy("dataset", F.expr(f"double({spot})").alias("spot"))
+        ranked.groupBy("dataset", F.expr(spots[0]).alias("rank_bin"), F.expr(spots[1]).alias("width_bin"))
         .agg(
             F.expr("sum(n) AS n"), F.expr("sum(value * n) / sum(n) AS value"),
-            F.expr("max(n_unique) AS n_unique"), F.expr("max(n_cells) AS n_cells"),
+            F.expr("max(tot_unique) AS n_unique"), F.expr("max(tot_n) AS n_cells"),
         )
-        .drop("spot")
+        .drop("rank_bin", "width_bin")
     )
 
 
@@ -70,7 +70,7 @@ def _lloyd_runs(v: np.ndarray, w: np.ndarray, k: int, starts: int):
                 break
             c = np.append(c, v[np.searchsorted(np.cumsum(gap) / total, rng.random_sample())])
         c = np.sort(c)
-        for _ in range(300):
+        while True:
             near = np.searchsorted((c[1:] + c[:-1]) / 2, v)
             mass = np.bincount(near, w, len(c))
             moved = np.where(mass > 0, np.bincount(near, w * v, len(c)) / np.maximum(mass, 1e-300), c)
@@ -124,7 +124,7 @@ def _gmm(v: np.ndarray, w: np.ndarray, k: int):
         resp = np.zeros((len(v), k))
         resp[np.arange(len(v)), np.minimum(near, k - 1)] = 1.0
         last = -np.inf
-        for _ in range(GMM_ROUNDS):
+        while True:
             mass = (w[:, None] * resp).sum(0) + 1e-10
             mean = (w[:, None] * resp * v[:, None]).sum(0) / mass
             var = (w[:, None] * resp * (v[:, None] - mean) ** 2).sum(0) / mass + GMM_FLOOR
@@ -197,13 +197,101 @@ def fit_models(values: DataFrame, method: str, k: int, criterion: str = "bic") -
 
     def run(points: pd.DataFrame) -> pd.DataFrame:
         weight, mean, var = _fit(points, method, k, criterion)
+        whole = bool(points.n_unique.iat[0] <= POINTS)
         return pd.DataFrame(
-            {"dataset": [points.dataset.iat[0]], "weights": [weight], "means": [mean], "vars": [var]}
+            {"dataset": [points.dataset.iat[0]], "weights": [weight], "means": [mean], "vars": [var], "whole": [whole]}
         )
 
-    return spread(condense(values), ["dataset"]).groupBy("dataset").applyInPandas(
-        run, "dataset string, weights array<double>, means array<double>, vars array<double>"
+    models = spread(condense(values), ["dataset"]).groupBy("dataset").applyInPandas(
+        run, "dataset string, weights array<double>, means array<double>, vars array<double>, whole boolean"
     )
+    models = durable(models)
+    done, started = models.where("whole").drop("whole"), models.where("NOT whole").drop("whole")
+    if started.isEmpty():
+        return done
+    refine = refine_centres if method == "kmeans" else refine_mixtures
+    return done.unionByName(refine(values, durable(started)))
+
+
+def _counted_values(values: DataFrame, models: DataFrame) -> DataFrame:
+    """Distinct values of the modelled datasets with their numbers of cells."""
+    kept = attach(values, models.select("dataset"), ["dataset"], "left_semi")
+    return durable(kept.groupBy("dataset", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _rounds(models: DataFrame, step) -> DataFrame:
+    """Apply ``step`` to the open models until it marks every one as ``settled``."""
+    settled: DataFrame | None = None
+    while True:
+        models = durable(step(models))
+        done = models.where("settled").select("dataset", "weights", "means", "vars")
+        settled = done if settled is None else settled.unionByName(done)
+        models = models.where("NOT settled").drop("settled")
+        if models.isEmpty():
+            return settled
+
+
+def refine_centres(values: DataFrame, models: DataFrame) -> DataFrame:
+    """Lloyd rounds over all values; a round either lowers the squared distance or is the last."""
+    counts = _counted_values(values, models)
+    near = "int(array_position(d, array_min(d)) - 1)"
+
+    def step(open_models: DataFrame) -> DataFrame:
+        sums = (
+            attach(counts, open_models, ["dataset"])
+            .selectExpr("dataset", "value", "n", "means", "transform(means, m -> abs(value - m)) AS d")
+            .groupBy("dataset", F.expr(f"{near} AS i"))
+            .agg(F.expr("sum(value * n) / sum(n) AS mean"))
+            .groupBy("dataset")
+            .agg(F.expr("map_from_entries(collect_list(struct(i, mean))) AS found"))
+        )
+        moved = open_models.join(sums, "dataset").selectExpr(
+            "dataset", "weights", "vars", "means AS old", "transform(means, (m, i) -> coalesce(found[i], m)) AS means"
+        )
+        far = "aggregate(zip_with(means, old, (a, b) -> abs(a - b) / greatest(abs(a), abs(b), 1e-300D)), 0D, (s, x) -> greatest(s, x))"
+        return moved.selectExpr("dataset", "weights", "means", "vars", f"{far} <= 1e-12D AS settled")
+
+    return _rounds(models, step)
+
+
+def refine_mixtures(values: DataFrame, models: DataFrame) -> DataFrame:
+    """Rounds of expectation and maximisation over all values, until the likelihood stops rising."""
+    counts = _counted_values(values, models)
+    density = "ln(weights[i]) - 0.5D * (ln(2D * pi() * vars[i]) + pow(value - m, 2) / vars[i])"
+
+    def step(open_models: DataFrame) -> DataFrame:
+        start = open_models if "bound" in open_models.columns else open_models.withColumn("bound", F.lit(float("-inf")))
+        shares = (
+            attach(counts, start.drop("bound"), ["dataset"])
+            .selectExpr("dataset", "value", "n", "means", f"transform(means, (m, i) -> {density}) AS logs")
+            .selectExpr("*", "array_max(logs) AS top")
+            .selectExpr("*", "top + ln(aggregate(logs, 0D, (s, x) -> s + exp(x - top))) AS total")
+        )
+        sums = (
+            shares.selectExpr("dataset", "value", "n", "means", "total", "posexplode(logs) AS (i, log)")
+            .selectExpr("dataset", "i", "n * exp(log - total) AS r", "value - means[i] AS v", "if(i = 0, n, 0) AS n", "total")
+            .groupBy("dataset", "i")
+            .agg(
+                F.expr("sum(r) + 1e-10D AS mass"), F.expr("sum(r * v) AS s1"), F.expr("sum(r * v * v) AS s2"),
+                F.expr("sum(n) AS n"), F.expr("sum(n * total) AS loglik"),
+            )
+            .groupBy("dataset")
+            .agg(
+                F.expr("transform(sort_array(collect_list(struct(i, mass, s1, s2))), x -> struct(x.mass, x.s1, x.s2)) AS t"),
+                F.expr("sum(n) AS n"), F.expr("sum(loglik) / sum(n) AS bound"),
+            )
+        )
+        old = start.selectExpr("dataset", "means AS old", "bound AS before")
+        return old.join(sums, "dataset").selectExpr(
+            "dataset",
+            "transform(t, x -> x.mass / n) AS weights",
+            "transform(t, (x, i) -> old[i] + x.s1 / x.mass) AS means",
+            f"transform(t, x -> greatest(x.s2 / x.mass - pow(x.s1 / x.mass, 2), 0D) + {GMM_FLOOR}D) AS vars",
+            "bound",
+            f"abs(bound - before) < {GMM_TOLERANCE}D AS settled",
+        )
+
+    return _rounds(models, step)
 
 
 def assign(values: DataFrame, models: DataFrame) -> DataFrame:

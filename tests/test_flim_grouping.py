@@ -165,3 +165,28 @@ def test_denoising_equals_the_array_form(spark, tables):
     tau = 1000 * (fi / fr) / (2 * math.pi * 80)
     got = {(r.y, r.x): r.lifetime_filtered for r in df.collect()}
     assert all(got[p] == pytest.approx(tau[p]) for p in got if 0 <= tau[p] <= 50)
+
+
+@pytest.mark.parametrize("method", ["kmeans", "gmm"])
+def test_many_values_and_an_outlier(spark, method):
+    """Three blobs of 1,700 values each and a far outlier: more distinct values than points."""
+    rng = np.random.RandomState(0)
+    values = np.concatenate([rng.normal(c, 1.0, 1700) for c in (10, 50, 90)] + [[1e6]])
+    cells = spark.createDataFrame([("d", i, float(v)) for i, v in enumerate(values)], "dataset string, label int, m double")
+    assert len(np.unique(values)) == 5101 > G.POINTS
+    grouped = G.group_cells(cells, "m", method, 4)
+    sizes = [r["count"] for r in grouped.groupBy("grp").count().orderBy("grp").collect()]
+    assert sizes == [1700, 1700, 1700, 1]
+
+
+@pytest.mark.parametrize("method", ["kmeans", "gmm"])
+def test_refined_models_equal_the_exact_fit(spark, monkeypatch, method):
+    """Rounds over all values from a coarse start end where the fit on all values ends."""
+    rng = np.random.RandomState(3)
+    rows = [(f"d{k}", i, float(v)) for k in range(2) for i, v in enumerate(np.concatenate([rng.normal(5 + k, 1, 300), rng.normal(20, 2, 200)]))]
+    values = spark.createDataFrame(rows, "dataset string, label int, value double")
+    exact = {r.dataset: r for r in G.fit_models(values, method, 2).collect()}
+    monkeypatch.setattr(G, "POINTS", 32)
+    coarse = {r.dataset: r for r in G.fit_models(values, method, 2).collect()}
+    for name, r in exact.items():
+        assert np.allclose(sorted(r.means), sorted(coarse[name].means), atol=1e-9 if method == "kmeans" else 0.2)

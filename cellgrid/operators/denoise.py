@@ -206,8 +206,8 @@ def apply_wavelet(
     transform treats blocks independently.  Unfiltered values and, with a
     frequency, both lifetimes (in ns) are kept.
     """
-    if block & (block - 1):
-        raise ValueError("block must be a power of two")
+    if block & (block - 1) or block < 1 << levels:
+        raise ValueError(f"block must be a power of two of at least {1 << levels}")
     source = fourier_rescale(phasor, intensity)
     stable = source.selectExpr("dataset", "layer", "y", "x", f"{anscombe_sql('value')} AS value")
     raw = durable(forward_blocks(stable, forward, levels, block))

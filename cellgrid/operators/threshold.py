@@ -17,44 +17,38 @@ from cellgrid.session import attach, counted, durable, join_counted, spread
 BINS = 256
 FRAME_KEYS = ["dataset", "channel"]
 METHODS = ("otsu", "triangle", "li", "adaptive", "manual")
-LI_ROUNDS = 200
 # Distinct values of a key up to which its threshold is solved in one task.
 LI_VALUES = 2_000_000
 
 
-def pixel_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Occurrences of each finite value per key; everything later works on this."""
+def finite_pixels(pixels: DataFrame, keys: list[str]) -> DataFrame:
     ok = F.expr("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('Infinity')")
-    return pixels.filter(ok).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    return pixels.filter(ok).select(*keys, "value")
 
 
-def histogram256(pixels: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:
-    """256 equal bins over each key's value range, empty bins included."""
-    return histogram_of_counts(pixel_counts(pixels, keys), keys)
+def pixel_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Occurrences of each finite value per key."""
+    return finite_pixels(pixels, keys).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    # the pixel total keeps both uses of the counts alike, so their exchange is shared
-    span = (
-        counts.groupBy(*keys)
-        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("pixels"))
-        .filter("pixels > 0")
-        .drop("pixels")
-    )
+def histogram256(pixels: DataFrame, keys: list[str] = FRAME_KEYS) -> DataFrame:
+    """256 equal bins over each key's value range, empty bins included.
+
+    Two passes, and both reduce pixels where they are read: the range of each
+    key, then at most 256 counts per key and task.
+    """
+    finite = finite_pixels(pixels, keys)
+    span = durable(finite.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    spot = f"int(least(coalesce(floor(try_divide(value - lo, hi - lo) * {BINS}), 0), {BINS - 1}))"
+    names = [f"`{k}`" for k in keys]
     binned = (
-        counts.join(span, keys)
-        .selectExpr(
-            *[f"`{k}`" for k in keys],
-            f"int(least(coalesce(floor(try_divide(value - lo, hi - lo) * {BINS}), 0), {BINS - 1})) AS bin",
-            "n",
-        )
+        attach(finite, span, keys)
+        .selectExpr(*names, f"{spot} AS bin")
         .groupBy(*keys, "bin")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     grid = span.selectExpr("*", f"explode(sequence(0, {BINS - 1})) AS bin")
-    return grid.join(binned, [*keys, "bin"], "left").selectExpr(
-        *[f"`{k}`" for k in keys], "lo", "hi", "bin", "coalesce(n, 0L) AS n"
-    )
+    return grid.join(binned, [*keys, "bin"], "left").selectExpr(*names, "lo", "hi", "bin", "coalesce(n, 0L) AS n")
 
 
 def _centre(bin_sql: str) -> str:
@@ -191,7 +185,7 @@ def _li_by_rounds(counts: DataFrame, keys: list[str]) -> DataFrame:
         )
     )
     state, fits = counted(state)
-    for _ in range(LI_ROUNDS):
+    while True:
         active = state.filter("NOT done").select(*keys, "lo", "next")
         if active.isEmpty():
             break
@@ -233,10 +227,9 @@ def thresholds(pixels: DataFrame, method: str, keys: list[str] = FRAME_KEYS, val
         if value is None:
             raise ValueError("manual threshold needs a value")
         return pixels.select(*keys).distinct().withColumn("threshold", F.lit(float(value)))
-    counts = pixel_counts(pixels, keys)
     if method == "li":
-        return li_of_counts(counts, keys)
-    hist = histogram_of_counts(counts, keys)
+        return li_of_counts(pixel_counts(pixels, keys), keys)
+    hist = histogram256(pixels, keys)
     if method == "triangle":
         return triangle_of_histogram(hist, keys)
     return otsu_of_histogram(hist, keys)

@@ -70,17 +70,18 @@ def simhash(hashes: list[np.ndarray], lanes: int = 1) -> np.ndarray:
         return out
     flat = np.concatenate([hashes[i] for i in full])
     starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
+    # 255 hashes at a time are added as bytes, eight counters in a word
+    chunks = -(-sizes[full] // 255)
+    head = np.cumsum(chunks) - chunks
+    cuts = np.repeat(starts - 255 * head, chunks) + 255 * np.arange(chunks.sum())
     for lane in range(lanes):
-        words = flat if lane == 0 else _mixed(flat, lane)
-        counts = np.zeros((len(full), 64), np.int64)
-        # bits of a bounded number of hashes at a time
-        for at in range(0, len(words), 1 << 18):
-            part = words[at : at + (1 << 18)]
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            first = int(np.searchsorted(starts, at, "right")) - 1
-            last = int(np.searchsorted(starts, at + len(part), "left"))
-            cuts = np.maximum(starts[first:last] - at, 0)
-            counts[first:last] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
+        sums = np.empty((len(cuts), 64), np.uint8)
+        for at in range(0, len(cuts), 1024):
+            first, last = cuts[at], cuts[at + 1024] if at + 1024 < len(cuts) else len(flat)
+            part = flat[first:last] if lane == 0 else _mixed(flat[first:last], lane)
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+            sums[at : at + 1024] = np.add.reduceat(bits, cuts[at : at + 1024] - first, axis=0).view(np.uint8)
+        counts = np.add.reduceat(sums, head, axis=0, dtype=np.int64)
         set_bits = (2 * counts > sizes[full][:, None]).astype(np.uint8)
         out[full, lane] = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out

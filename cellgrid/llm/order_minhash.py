@@ -109,28 +109,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def following(keys: DataFrame) -> DataFrame:
-    """``keys(id, th, ...)`` with ``next_id`` and ``next_th``: the next key in descending order of id, after the last the first.
+    """``keys(key, ...)`` with ``next_key``: the next key in descending order of id, after the last the first.
 
-    The keys are sorted by ranges; only the first key of each range is looked at
-    beyond its range, and there are as many of those as partitions.
+    A key is a struct of an id and a hash of the text.  The keys are sorted by
+    ranges; only the first key of each range is looked at beyond its range, and
+    there are as many of those as partitions.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("id").desc_nulls_last(), F.col("th")]
+    order = [F.col("key.id").desc_nulls_last(), F.col("key.th")]
     placed = durable(keys.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
     inside = Window.partitionBy("part").orderBy(*order)
-    rows = placed.withColumns(
-        {"rank": F.row_number().over(inside), "after": F.lead(F.struct("id", "th")).over(inside)}
-    )
-    heads = rows.where("rank = 1").select("part", F.struct("id", "th").alias("head"))
+    rows = placed.withColumns({"rank": F.row_number().over(inside), "after": F.lead("key").over(inside)})
+    heads = rows.where("rank = 1").select("part", F.col("key").alias("head"))
     ranges = Window.orderBy("part")
     heads = heads.select(
         "part", F.coalesce(F.lead("head").over(ranges), F.first("head").over(ranges)).alias("head")
     )
     joined = rows.join(F.broadcast(heads), "part")
-    target = F.coalesce("after", "head")
-    return joined.select(
-        *keys.columns, target["id"].alias("next_id"), target["th"].alias("next_th")
-    )
+    return joined.select(*keys.columns, F.coalesce("after", "head").alias("next_key"))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: int = 3) -> DataFrame:
@@ -140,24 +136,22 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sha
     first ones of the next document (or all it has).  Columns: ``id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
-        "th", text_hash("text")
-    )
-    keys = rows.select("id", "th", F.length("text").alias("n_chars")).distinct()
-    chain = durable(following(keys))
-    wanted = chain.select(
-        F.col("id").alias("for_id"), F.col("th").alias("for_th"), "next_id", "next_th", F.expr(f"n_chars DIV {share}").alias("need")
+    body = F.coalesce(F.col(text), F.lit("")).alias("text")
+    # nulls are equal inside a struct, so one plain key serves all joins
+    rows = docs.select(F.col(id_col).alias("id"), body).select(
+        F.struct("id", text_hash("text").alias("th")).alias("key"), "text"
     )
+    chain = durable(following(rows.select("key", F.length("text").alias("n_chars")).distinct()))
+    wanted = chain.select(F.col("key").alias("for_key"), "next_key", F.expr(f"n_chars DIV {share}").alias("need"))
     heads = (
-        rows.join(wanted, rows.id.eqNullSafe(wanted.next_id) & (rows.th == wanted.next_th))
-        .select("for_id", "for_th", F.expr("left(text, cast(need AS int))").alias("tail"))
+        rows.join(wanted, rows.key == wanted.next_key)
+        .select(F.col("for_key"), F.expr("left(text, cast(need AS int))").alias("tail"))
         # rows repeated as they are
-        .groupBy("for_id", "for_th")
+        .groupBy("for_key")
         .agg(F.min("tail").alias("tail"))
     )
-    both = rows.join(heads, rows.id.eqNullSafe(heads.for_id) & (rows.th == heads.for_th)).select(
-        "id",
-        "th",
+    both = rows.join(heads, rows.key == heads.for_key).select(
+        "key",
         "text",
         F.length("text").alias("n_chars"),
         F.expr(f"concat(left(text, length(text) - cast(length(text) DIV {share} AS int)), tail)").alias("edited"),
@@ -165,18 +159,13 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sha
     marked = with_slots(with_slots(both, "text", "slots"), "edited", "edited_slots")
     marked = durable(
         marked.select(
-            "id", "th", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "slots", "edited_slots"
+            "key", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "slots", "edited_slots"
         )
     )
-    nexts = chain.select(F.col("id").alias("of_id"), F.col("th").alias("of_th"), "next_id", "next_th")
-    slots = marked.select(F.col("id").alias("n_id"), F.col("th").alias("n_th"), F.col("slots").alias("next_slots"))
-    slots = slots.dropDuplicates(["n_id", "n_th"])
-    linked = nexts.join(slots, nexts.next_id.eqNullSafe(slots.n_id) & (nexts.next_th == slots.n_th)).select(
-        "of_id", "of_th", "next_slots"
-    )
-    full = marked.join(linked, marked.id.eqNullSafe(linked.of_id) & (marked.th == linked.of_th))
-    return full.select(
-        "id",
+    slots = marked.select(F.col("key").alias("next_key"), F.col("slots").alias("next_slots")).dropDuplicates(["next_key"])
+    linked = chain.select("key", "next_key").join(slots, "next_key").select(F.col("key").alias("of_key"), "next_slots")
+    return marked.join(linked, marked.key == linked.of_key).select(
+        F.col("key.id").alias("id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         "edited_sha256",
         as_text("slots").alias("fingerprint"),

@@ -70,7 +70,8 @@ def normalised(text: str | None) -> np.ndarray:
     out = lower[low].astype(np.uint32)
     if high.any():
         astral = np.array([chr(c).isalpha() if c < 0x110000 else False for c in codes[high].tolist()], bool)
-        out[high] = np.where(astral, codes[high], 32)
+        # folded into the private use area, so that a code takes 16 bits
+        out[high] = np.where(astral, 0xE000 + codes[high] % 6400, 32)
         letter[high] = astral
     if not letter.any():
         return np.zeros(0, np.uint32)
@@ -98,25 +99,38 @@ def _padded(codes: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """``(lang, gram array<int>, n)``: counts of the full-order grams of ``labelled(lang, text)``."""
+    """``(lang, gram bigint, n)``: counts of the full-order grams of ``labelled(lang, text)``, 16 bits per letter."""
 
     def run(part):
         langs, grams, ns = [], [], []
         for lang in sorted(set(part["lang"])):
-            texts = [normalised(t) for t, g in zip(part["text"], part["lang"]) if g == lang]
-            places = [np.lib.stride_tricks.sliding_window_view(_padded(t), ORDER) for t in texts if len(t)]
-            if not places:
-                continue
-            unique, counts = np.unique(np.concatenate(places), axis=0, return_counts=True)
-            langs += [lang] * len(unique)
-            grams += list(unique.astype(np.int32))
-            ns += counts.tolist()
+            packed = []
+            for text, own in zip(part["text"], part["lang"]):
+                codes = normalised(text) if own == lang else ()
+                if len(codes):
+                    codes = _padded(codes).astype(np.uint64)
+                    n = len(codes) - ORDER + 1
+                    gram = codes[:n].copy()
+                    for i in range(1, ORDER):
+                        gram = gram << np.uint64(16) | codes[i : i + n]
+                    packed.append(gram)
+            if packed:
+                unique, counts = np.unique(np.concatenate(packed), return_counts=True)
+                langs += [lang] * len(unique)
+                grams += unique.view(np.int64).tolist()
+                ns += counts.tolist()
         yield {"lang": langs, "gram": grams, "n": ns}
 
-    counted = map_texts(labelled, run, "lang string, gram array<int>, n bigint")
+    counted = map_texts(labelled, run, "lang string, gram bigint, n bigint")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def unpacked(grams: np.ndarray) -> np.ndarray:
+    """Rows of code points of packed grams."""
+    places = np.arange(16 * (ORDER - 1), -1, -16).astype(np.uint64)
+    return (grams.view(np.uint64)[:, None] >> places & np.uint64(0xFFFF)).astype(np.int64)
+
+
 class SortedHashes:
     """Rows of values by hash: a sorted array and a directory over the leading bits."""
 
@@ -327,7 +341,7 @@ def fit(
     if not table.num_rows:
         return Identifier(None)
     langs = np.array(table.column("lang").to_pylist(), object)
-    grams = table.column("gram").combine_chunks().flatten().to_numpy().reshape(-1, ORDER)
+    grams = unpacked(np.ascontiguousarray(table.column("gram").to_numpy()))
     n = table.column("n").to_numpy()
     model = KneserNey({g: (grams[langs == g], n[langs == g]) for g in sorted(set(langs.tolist()))})
     plain = docs.sparkSession.sparkContext.broadcast(Identifier(model))

@@ -129,11 +129,14 @@ def fences(sketch: DataFrame) -> DataFrame:
     )
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
+def judge(
+    df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, store: bool = True
+) -> DataFrame:
     """The columns ``carry`` (default: all), the struct ``signals`` and the boolean ``kept``.
 
     The new columns get longer names where ``df`` already has such columns; they
-    are always the last two.
+    are always the last two.  ``store`` keeps the judged table beside the
+    checkpoints; without it the signals are computed a second time instead.
     """
     carry = df.columns if carry is None else carry
     held = {name: fresh(df, name) for name in ("signals", "kept", "_values", "_lang", "_source")}
@@ -146,12 +149,13 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     values = with_s.selectExpr(
         *(f"`{c}`" for c in carry), f"`{lang}` AS `{held['_lang']}`", f"`{source}` AS `{held['_source']}`", f"`{sig}`"
     )
-    # computed once: the sketches and the verdict both read it
-    values = durable(values)
+    if store:
+        # computed once: the sketches and the verdict both read it
+        values = durable(values)
     numbers = values.select(
         F.col(held["_lang"]).alias("lang"), F.col(held["_source"]).alias("source"), F.col(f"{sig}.*")
     ).selectExpr("lang", "source", *(f"{e} AS `{s}`" for s, (e, _) in SIGNALS.items()))
-    limits = durable(fences(sketches(numbers))).select(F.struct("*").alias("_limits"))
+    limits = durable(fences(durable(sketches(numbers)))).select(F.struct("*").alias("_limits"))
     passed = " AND ".join(
         [f"{_in(sig, e)} <= _limits.{s}_high" for s, (e, _) in SIGNALS.items()]
         + [f"{_in(sig, SIGNALS['word_length'][0])} >= _limits.word_length_low"]
@@ -175,5 +179,6 @@ def _in(struct: str, expression: str) -> str:
 
 def keep(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that are kept, with its columns."""
-    judged = judge(df, text, lang, source)
+    # a copy of all texts costs more than counting them twice
+    judged = judge(df, text, lang, source, store=False)
     return judged.where(F.col(judged.columns[-1])).select(*df.columns)

@@ -163,6 +163,8 @@ def links(fps: DataFrame, radius: int, steps: int) -> DataFrame:
     kind = dict(fps.dtypes)["id"]
     points = grid_points(fps)
     cells = points.groupBy("slice", "point").agg(F.count("*").alias("n_points"))
+    if steps == 0:
+        cells = cells.where("n_points > 1")
     found = durable(
         _near_points(points, steps).join(cells, ["slice", "point"]).select("id", "slice", "point")
     )
@@ -226,7 +228,7 @@ def near_duplicate_groups(
     text: str = "text",
     k: int = 5,
     similarity: float = 0.8,
-    grid_lanes: int = 4,
+    grid_lanes: int = 16,
     check_lanes: int = 8,
 ) -> DataFrame:
     """``(id, component)`` of every row: groups of texts whose ``k``-word shingle sets are alike.
@@ -235,7 +237,7 @@ def near_duplicate_groups(
     ``acos`` of that, and so a share of differing SimHash bits; that share of
     the ``64 * check_lanes`` bits is the radius of the exact check.  Candidates
     come from the set of words, whose fingerprints lie closer together: two
-    texts meet if at most one bit differs in one of ``2 * grid_lanes`` slices.
+    texts meet if their points are equal in one of ``2 * grid_lanes`` slices.
     Equal texts always share a group.  Ids must be unique and not null.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
@@ -244,7 +246,7 @@ def near_duplicate_groups(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     sigs = durable(wide_fingerprints(rows, k, grid_lanes, check_lanes))
     reps = durable(sigs.groupBy("grid", "check").agg(F.min("id").alias("id")))
-    roots = components(links(reps, radius, 1))
+    roots = components(links(reps, radius, 0))
     labelled = reps.join(roots, reps.id == roots.node, "left").select(
         "grid", "check", F.coalesce("root", "id").alias("component")
     )

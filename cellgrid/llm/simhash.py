@@ -15,6 +15,9 @@ on the whole fingerprint.
 * A cell of more than ``CELL`` members is cut into blocks, and every two blocks
   are compared in a task of their own, so no link is lost and no task grows.
 
+Near duplicates are decided by the sets of word shingles themselves, not by
+fingerprints: see :func:`near_duplicate_groups`.
+
 Nulls: a null text is a text without words.  A text without words has the zero
 fingerprint and links like any other.  Repeated rows get equal results; other
 columns are not read.  An empty table gives an empty result.
@@ -22,6 +25,9 @@ columns are not read.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,11 +35,17 @@ from pyspark.sql import functions as F
 
 from cellgrid.functions.graph import components
 from cellgrid.llm.common import fresh, map_texts, text_hash
-from cellgrid.session import durable
+from cellgrid.session import counted, durable, join_counted
 
 SEED = 42
 # Members of a grid cell compared in one task.
 CELL = 1024
+# Shingles that are put last when prefixes are taken, and pivots of a group of near copies.
+HOT = 1 << 17
+PIVOTS = 8
+# Lower bounds of set differences use 64 * WORDS = 2 ** PART_BITS bits.
+WORDS = 16
+PART_BITS = 10
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -99,22 +111,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     return map_texts(rows, run, f"id {kind}, fingerprint bigint")
 
 
-def wide_fingerprints(rows: DataFrame, k: int, grid_lanes: int, check_lanes: int) -> DataFrame:
-    """``(id, grid array<bigint>, check binary)`` of ``rows(id, text)``.
-
-    ``grid`` is the SimHash of the set of words and finds candidates, ``check``
-    the SimHash of the set of ``k``-word shingles and decides.
-    """
-
-    def run(part):
-        grid = simhash([np.unique(shingle_hashes(t, 1)) for t in part["text"]], grid_lanes)
-        check = simhash([np.unique(shingle_hashes(t, k)) for t in part["text"]], check_lanes)
-        yield {"id": part["id"], "grid": list(grid.view(np.int64)), "check": [row.tobytes() for row in check]}
-
-    kind = dict(rows.dtypes)["id"]
-    return map_texts(rows, run, f"id {kind}, grid array<bigint>, check binary")
-
-
 def grid_points(fps: DataFrame) -> DataFrame:
     """``(id, slice, point)``: two slices for each 64-bit word of ``grid``."""
     words = fps.selectExpr("id", "posexplode(grid) AS (lane, w)")
@@ -222,35 +218,189 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return sigs.join(named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
+def set_signatures(rows: DataFrame, k: int, share: Fraction, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """``(id, node, size, prefix array<bigint>, bits array<bigint>)`` of ``rows(id, text)``.
+
+    ``node`` is a hash of the set of ``k``-word shingles and ``size`` its size.
+    ``prefix`` are its first members in the order of ``hot``: two sets alike in
+    ``share`` have one of them in common.  ``bits`` has a bit for each of
+    ``64 * WORDS`` parts of the hashes, set if the part has an odd number of
+    members; two sets differ in at least as many members as bits.
+    """
+
+    def run(part):
+        out = {name: [] for name in ("node", "size", "prefix", "bits")}
+        for text in part["text"]:
+            found = np.unique(shingle_hashes(text, k))
+            n = len(found)
+            place = np.zeros(n, np.int64)
+            if len(hot) and n:
+                at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+                place = np.where(hot[at] == found, rank[at], 0)
+            first = found[np.lexsort((found, place))][: n + 1 - math.ceil(share * n)] if n else found
+            odd = (np.bincount((found >> np.uint64(64 - PART_BITS)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)
+            out["node"].append(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), SEED)).view(np.int64))
+            out["size"].append(n)
+            out["prefix"].append(first.view(np.int64))
+            out["bits"].append(np.packbits(odd, bitorder="little").view(np.int64))
+        yield {"id": part["id"], **out}
+
+    kind = dict(rows.dtypes)["id"]
+    return map_texts(rows, run, f"id {kind}, node bigint, size bigint, prefix array<bigint>, bits array<bigint>")
+
+
+def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most ``HOT`` frequent shingles and their ranks from 1 by frequency.
+
+    They only order the shingles, rare ones first, so that few texts meet; the
+    links do not depend on the order.  Counted on every text of a small table
+    and on one in 16 of a large one.
+    """
+    every = max(1, min(16, rows.count() // 20_000))
+
+    def run(part):
+        yield {"h": np.concatenate([np.unique(shingle_hashes(t, k)) for t in part["text"]]).view(np.int64)}
+
+    counts = map_texts(rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), run, "h bigint")
+    counts = durable(counts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    least, total = None, 0
+    for row in counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).toLocalIterator():
+        total += row.m
+        if total > HOT:
+            break
+        least = row.n
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.where(F.col("n") >= least).toPandas()
+    hashes = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.argsort(np.lexsort((hashes, found["n"].to_numpy())))[order] + 1
+
+
+def _alike(share: Fraction) -> str:
+    """Whether two sets of these sizes and bits may be alike in ``share``; it never refuses a pair that is."""
+    p, q = share.numerator, share.denominator
+    return (
+        f"least(a.size, b.size) * {q} >= greatest(a.size, b.size) * {p} AND"
+        " aggregate(zip_with(a.bits, b.bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        f" <= a.size + b.size - 2 * (({p} * (a.size + b.size) + {p + q - 1}) DIV {p + q})"
+    )
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, share: Fraction) -> DataFrame:
+    """The ``pairs(u, v)`` whose sets are alike in ``share`` or more, compared member by member."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node").select(F.col("least").alias("id"), "node")
+    wanted, fits = counted(wanted)
+    texts = join_counted(rows, wanted, fits, ["id"]).select("node", "text")
+
+    def sets(part):
+        yield {"node": part["node"], "members": [np.unique(shingle_hashes(t, k)).tobytes() for t in part["text"]]}
+
+    # a table may repeat a row
+    found = map_texts(texts, sets, "node bigint, members binary")
+    found = durable(found.groupBy("node").agg(F.first("members").alias("members")))
+    left, right = found.toDF("u", "a"), found.toDF("v", "b")
+    p, q = share.numerator, share.denominator
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            kept = []
+            for i in range(batch.num_rows):
+                x = np.frombuffer(a[i].as_buffer(), np.uint64)
+                y = np.frombuffer(b[i].as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(common * (p + q) >= p * (len(x) + len(y)))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+    return durable(both.mapInArrow(run, "u bigint, v bigint"))
+
+
+def _pairs_across(members: DataFrame, share: Fraction) -> DataFrame:
+    """``(u, v)``: pairs of ``members(cell, n, node, root, size, bits)`` that share a cell, not a root, and may be alike."""
+    blocks = f"cast(ceil(n / {CELL}D) as int)"
+    dealt = (
+        members.selectExpr("*", f"{blocks} AS g", f"cast(pmod(xxhash64(node), {blocks}) as int) AS b")
+        .selectExpr("*", "explode(sequence(0, g - 1)) AS o")
+        .selectExpr("cell", "least(b, o) AS i", "greatest(b, o) AS j", "node", "root", "size", "bits")
+    )
+    groups = dealt.groupBy("cell", "i", "j").agg(*(F.collect_list(c).alias(c) for c in ("node", "root", "size", "bits")))
+    p, q = share.numerator, share.denominator
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r in range(batch.num_rows):
+                node, root, size = (batch.column(c)[r].values.to_numpy() for c in range(3))
+                bits = batch.column(3)[r].values.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+                step = max(1, (1 << 21) // bits.size)
+                for at in range(0, len(node), step):
+                    s = slice(at, at + step)
+                    both = size[s, None] + size[None, :]
+                    room = both - 2 * -(-p * both // (p + q))
+                    near = (node[s, None] < node[None, :]) & (root[s, None] != root[None, :])
+                    near &= np.minimum(size[s, None], size[None, :]) * q >= np.maximum(size[s, None], size[None, :]) * p
+                    near &= np.bitwise_count(bits[s, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64) <= room
+                    i, j = np.nonzero(near)
+                    us.append(node[s][i])
+                    vs.append(node[j])
+            yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+
+    return groups.select("node", "root", "size", "bits").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
 def near_duplicate_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text: str = "text",
-    k: int = 5,
-    similarity: float = 0.8,
-    grid_lanes: int = 16,
-    check_lanes: int = 8,
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """``(id, component)`` of every row: groups of texts whose ``k``-word shingle sets are alike.
-
-    A Jaccard similarity ``s`` is a cosine of ``2s / (1 + s)``, an angle of
-    ``acos`` of that, and so a share of differing SimHash bits; that share of
-    the ``64 * check_lanes`` bits is the radius of the exact check.  Candidates
-    come from the set of words, whose fingerprints lie closer together: two
-    texts meet if their points are equal in one of ``2 * grid_lanes`` slices.
-    Equal texts always share a group.  Ids must be unique and not null.
+    """``(id, component)`` of every row: groups linked by a Jaccard similarity of ``similarity`` of ``k``-word shingle sets.
+
+    Every such link is found and no other is made.  Candidates share a shingle of their
+    prefixes, a lower bound of the difference refuses most, and the rest are
+    compared member by member.  Each member of a cell is first compared with one
+    pivot of it; then only pairs not yet in one component are left, so a large
+    group of near copies costs no pairs of its own.  Equal sets are one node.
+    Ids must be unique and not null.
     """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = 64 * check_lanes
-    radius = int(np.floor(share * bits))
+    share = Fraction(str(similarity))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sigs = durable(wide_fingerprints(rows, k, grid_lanes, check_lanes))
-    reps = durable(sigs.groupBy("grid", "check").agg(F.min("id").alias("id")))
-    roots = components(links(reps, radius, 0))
-    labelled = reps.join(roots, reps.id == roots.node, "left").select(
-        "grid", "check", F.coalesce("root", "id").alias("component")
+    hot, rank = frequent_shingles(rows, k)
+    sigs = durable(set_signatures(rows, k, share, hot, rank))
+    nodes = durable(
+        sigs.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("size", "prefix", "bits")))
+    )
+    places = nodes.select("node", F.explode("prefix").alias("cell"))
+    pivot = f"min_by(node, xxhash64(pmod(cell, {PIVOTS}), node))"
+    cells = durable(places.groupBy("cell").agg(F.count("*").alias("n"), F.expr(f"{pivot} AS pivot")).where("n > 1"))
+    members = durable(places.join(cells, "cell"))
+
+    size = nodes.select("node", "size", "bits")
+    stars = members.where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+    stars = (
+        stars.join(size.select(F.col("node").alias("u"), F.struct("size", "bits").alias("a")), "u")
+        .join(size.select(F.col("node").alias("v"), F.struct("size", "bits").alias("b")), "v")
+        .where(_alike(share))
+        .select("u", "v")
+    )
+    linked = verified(durable(stars), nodes, rows, k, share)
+    roots = components(linked)
+    # the one pair of a cell of two has been compared
+    rooted = (
+        members.where("n > 2").join(roots, "node", "left").select("cell", "n", "node", F.coalesce("root", "node").alias("root"))
     )
-    return sigs.join(labelled, ["grid", "check"]).select("id", "component")
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = rooted.join(mixed.select("cell"), "cell").join(size, "node")
+    linked = linked.union(verified(durable(_pairs_across(rest, share)), nodes, rows, k, share))
+
+    roots = components(linked)
+    labelled = durable(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    ids = labelled.groupBy("root").agg(F.min("least").alias("component"))
+    return sigs.select("id", "node").join(labelled.join(ids, "root").select("node", "component"), "node").select("id", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -96,6 +96,55 @@ def test_one_of_each_group_stays(docs):
     assert ids.count(14) == 2 and {4, 8, 9, 10, 11, 12} <= set(ids)
 
 
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def edited_copies():
+    """Texts with copies that are appended to, truncated or changed in one passage, on both sides of 0.8."""
+    texts, passage = [], edge.prose(40, 999)
+    for b in range(12):
+        words = edge.prose(200 + 37 * b, 500 + b, 4000).split()
+        n, other = len(words), edge.prose(2 * len(words), 700 + b, 4000).split()
+        texts.append(" ".join(words))
+        for part in (0.05, 0.1, 0.15, 0.19, 0.22, 0.24, 0.26, 0.3):
+            m = int(part * n)
+            texts.append(" ".join(words + other[:m]))
+            texts.append(" ".join(words[: n - int(part * 0.82 * n)]))
+            m = int(part * 0.45 * n)
+            texts.append(" ".join(words[: n // 3] + other[-m:] + words[n // 3 + m :]))
+        # one passage in many texts that are not alike
+        texts.append(" ".join(other[:60]) + " " + passage)
+    rng = np.random.default_rng(3)
+    words = edge.prose(150, 800, 4000).split()
+    for _ in range(60):
+        copy = list(words)
+        for at in rng.choice(150, 3, replace=False).tolist():
+            copy[at] = f"new{rng.integers(1000)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_groups_equal_brute_force_jaccard(spark, monkeypatch):
+    texts = edited_copies()
+    sets = [shingle_set(t) for t in texts]
+    linked = [
+        (i, j)
+        for j in range(len(texts))
+        for i in range(j)
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    ]
+    want = roots(range(len(texts)), linked)
+    assert 12 < len(set(want.values())) < len(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for cell, hot in ((1024, 1 << 17), (5, 0)):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = {r.id: r.component for r in simhash.near_duplicate_groups(frame).collect()}
+        assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def plain_removal(texts, length=200):
     data = [(t or "").encode() for t in texts]
     times = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))

@@ -145,6 +145,19 @@ def test_groups_equal_brute_force_jaccard(spark, monkeypatch):
         assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def test_pairs_next_to_the_limit(spark):
+    rows, want = [], {}
+    for pair in range(60):
+        # 80 of 100 shingles in common, or 79 of 101
+        changed = 10 + pair % 2
+        words = [f"w{pair}x{i}" for i in range(94)]
+        rows.append((2 * pair, " ".join(words)))
+        rows.append((2 * pair + 1, " ".join(words[:-changed] + [f"n{pair}x{i}" for i in range(changed)])))
+        want |= {2 * pair: 2 * pair, 2 * pair + 1: 2 * pair + pair % 2}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component for r in simhash.near_duplicate_groups(frame).collect()} == want
+
+
 def plain_removal(texts, length=200):
     data = [(t or "").encode() for t in texts]
     times = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))

@@ -55,6 +55,9 @@ class Layout:
         return [name for _, name in self.fields]
 
 
+# A table of one row per turn: its fields are columns, not elements of an array.
+TURN_TABLE = Layout("turn_table", fields=(("turn", "turn"), ("role", "role"), ("text", "text")))
+
 LAYOUTS = (
     Layout("messages", "messages", "role", "content"),
     Layout("conversations", "conversations", "from", "value", roles=ROLES),
@@ -102,11 +105,20 @@ def _renamed(role: Column, roles: dict[str, str]) -> Column:
 
 
 def json_layouts(records: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``records`` with the variant column ``_record`` and the column ``_layout``."""
+    """``records`` with the variant column ``_record`` and the column ``_layout``.
+
+    A field of array elements is there if any element has it.
+    """
+    whole = F.col("_record")
 
     def there(path: str) -> Column:
-        at = "$." + path.replace("[]", "[0]")
-        return F.when(F.try_variant_get(F.col("_record"), at, "variant").isNotNull(), F.lit(path))
+        array, inner, name = path.partition("[].")
+        if not inner:
+            return F.when(F.try_variant_get(whole, f"$.{path}", "variant").isNotNull(), F.lit(path))
+        elements = F.try_variant_get(whole, f"$.{array}", "array<variant>")
+        return F.when(
+            F.exists(elements, lambda x: F.try_variant_get(x, f"$.{name}", "variant").isNotNull()), F.lit(path)
+        )
 
     parsed = records.withColumn("_record", F.try_parse_json(F.col(record)))
     return parsed.withColumn("_layout", layout_of(fingerprint([there(p) for p in vocabulary(layouts)]), layouts))
@@ -146,15 +158,21 @@ def unknown_records(records: DataFrame, record: str, layouts: tuple[Layout, ...]
 
 def table_turns(df: DataFrame, conv: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``(conv, turn, role, text)`` of a table: one row per turn, or one record per row in typed columns."""
-    paths = schema_paths(df.schema)
-    if {"turn", "role", "text"} <= paths:
+    # the fields are those of the schema, so its fingerprint is that of every row
+    found = schema_paths(df.schema)
+    layout, one = None, df.sparkSession.range(1)
+    for known in ((TURN_TABLE,), layouts):
+        used = sorted(found & set(vocabulary(known)))
+        if layout is None and used:
+            name = one.select(layout_of(fingerprint([F.lit(p) for p in used]), known)).first()[0]
+            layout = next((x for x in known if x.name == name), None)
+    if layout is None:
+        raise ValueError(f"no mapping for the fields {used}")
+    if layout is TURN_TABLE:
         return df.select(F.col(conv).alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    used = sorted(paths & set(vocabulary(layouts)))
-    for layout in layouts:
-        if sorted(layout.paths()) == used:
-            packed = df.select(F.col(conv).alias("conv"), F.to_json(F.struct(*{p.split("[")[0] for p in used})).alias("record"))
-            return json_turns(packed, "conv", "record", (layout,))
-    raise ValueError(f"no mapping for the fields {used}")
+    tops = {p.split("[")[0] for p in layout.paths()}
+    packed = df.select(F.col(conv).alias("conv"), F.to_json(F.struct(*sorted(tops))).alias("record"))
+    return json_turns(packed, "conv", "record", (layout,))
 
 
 def escaped(text: Column) -> Column:

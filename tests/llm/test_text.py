@@ -5,6 +5,7 @@ import json
 
 import edge
 import pytest
+from pyspark.sql import functions as F
 
 from cellgrid.llm import chat, html_extract, order_minhash
 
@@ -95,6 +96,20 @@ def test_layouts_by_fingerprint(spark):
         chat.table_turns(spark.createDataFrame([(1, 2)], "conv_id long, z int"))
 
 
+def test_turn_tables_and_later_elements_have_fingerprints(spark, monkeypatch):
+    call = {"messages": [{"role": "assistant", "tool_calls": ["f"]}, {"role": "tool", "content": "r"}]}
+    frame = spark.createDataFrame([(1, json.dumps(call))], "id long, rec string")
+    got = [tuple(r) for r in chat.json_turns(frame, "id", "rec").orderBy("turn").collect()]
+    assert got == [(1, 0, "assistant", None), (1, 1, "tool", "r")]
+    assert chat.unknown_records(frame, "rec").count() == 0
+    # the mapping of a table of turns hangs on its hash
+    table = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn int, role string, text string")
+    assert [tuple(r) for r in chat.table_turns(table).collect()] == [(1, 0, "user", "a")]
+    monkeypatch.setattr(chat, "layout_of", lambda found, layouts: F.lit(None).cast("string"))
+    with pytest.raises(ValueError):
+        chat.table_turns(table)
+
+
 def test_edit_report(docs, no_docs):
     got = order_minhash.edit_report(docs).collect()
     rows = edge.rows()

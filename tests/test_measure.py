@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import five_cells
+from cell_images import five_cells
 
 from cellgrid.functions import metrics as M
 from cellgrid.operators import measure as MS

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, chat, html_extract, langid, order_minhash, packing, quality, suffix_dedup, token_files, tokens
+from cellgrid.llm import bpe, centroids, chat, html_extract, langid, order_minhash, packing, quality, suffix_dedup, token_files, tokens
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -187,3 +187,44 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of every document and of its edited text."""
     return order_minhash.edit_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _op11_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Integer vectors, then one assignment and one mean per round."""
+    parts = [
+        f"""vecs AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v,
+    row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) - 1 AS place
+  FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})""",
+        f"cent0 AS MATERIALIZED (SELECT place AS c, v FROM vecs WHERE place < {k})",
+    ]
+
+    def near(i: int) -> str:
+        distance = "list_sum(list_transform(list_zip(x.v, t.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        return f"""near{i} AS MATERIALIZED (
+  SELECT place, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT x.place, t.c, {distance} AS d FROM vecs AS x, cent{i} AS t) GROUP BY place)"""
+
+    for i in range(rounds):
+        parts.append(near(i))
+        parts.append(f"""cent{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.v, t.v) AS v FROM cent{i} AS t LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+    FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n
+      FROM near{i} JOIN vecs USING (place), (SELECT unnest(range(1, {size + 1})) AS i) GROUP BY c, i)
+    GROUP BY c) AS m USING (c))""")
+    parts.append(near(rounds))
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, n.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(t.v, ',')) AS centroid_sha256
+FROM near{rounds} AS n JOIN vecs USING (place) JOIN cent{rounds} AS t ON t.c = n.c"""
+
+
+@query("op11_centroid_clustering", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable vector after ten rounds of eight centroids."""
+    found, _ = centroids.cluster(table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+    return found.selectExpr(
+        "row.vec_id AS vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )

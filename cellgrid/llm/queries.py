@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, centroids, chat, html_extract, langid, order_minhash, packing, quality, suffix_dedup, token_files, tokens
+from cellgrid.llm import bpe, centroids, chat, html_extract, langid, merkle, order_minhash, packing, quality, suffix_dedup, token_files, tokens
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -228,3 +228,73 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr(
         "row.vec_id AS vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text, bit by bit."""
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(range(8), lambda x, i: {bit}, xor(c, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+def _op12_sql(levels: int = 5, upper: int = 3) -> str:
+    """Levels as tables one above the other: enough for 16^5 rows of a source and 16^3 sources."""
+    text = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+
+    def leaf(last: str) -> str:
+        return f"sha256({' || '.join(text.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', last))})"
+
+    # per level: the run's parent, and for each node its siblings to the left and right
+    def level(i: int, below: str) -> str:
+        run = f"PARTITION BY source, p // {merkle.FAN} ORDER BY p"
+        return f"""step{i} AS MATERIALIZED (
+  SELECT source, p, p // {merkle.FAN} AS up, n > 1 AS rises, h,
+    coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {below}),
+tree{i + 1} AS MATERIALIZED (
+  SELECT source, p // {merkle.FAN} AS p, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h,
+    (n + {merkle.FAN - 1}) // {merkle.FAN} AS n
+  FROM {below} GROUP BY source, p // {merkle.FAN}, n)"""
+
+    parts = [
+        f"""leaves AS MATERIALIZED (
+  SELECT doc_id, source, {leaf("text")} AS leaf,
+    {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+    count(*) OVER (PARTITION BY source) AS n,
+    CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN lowered ELSE leaf END AS changed
+  FROM leaves),
+tree0 AS (SELECT source, p, leaf AS h, n FROM placed)"""
+    ]
+    parts += [level(i, f"tree{i}") for i in range(levels)]
+    parts.append(f"""subs AS MATERIALIZED (SELECT source, h AS subroot FROM tree{levels}),
+tree{levels + 1} AS MATERIALIZED (
+  SELECT NULL::VARCHAR AS source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, subroot AS h,
+    count(*) OVER () AS n, source AS name FROM subs)""")
+    top = levels + 1
+    parts += [level(i, f"tree{i}") for i in range(top, top + upper)]
+    parts.append("way0 AS (SELECT doc_id, source, leaf, p, changed AS node, '' AS proof FROM placed)")
+    at = 0
+    for i in [*range(levels), *range(top, top + upper)]:
+        if i == top:
+            parts.append(f"""way{at + 1} AS (
+  SELECT w.doc_id, w.source, w.leaf, t.p, w.node, w.proof FROM way{at} AS w JOIN tree{top} AS t ON t.name IS NOT DISTINCT FROM w.source)""")
+            at += 1
+        same = "s.source IS NOT DISTINCT FROM w.source AND " if i < top else ""
+        parts.append(f"""way{at + 1} AS MATERIALIZED (
+  SELECT w.doc_id, w.source, w.leaf, s.up AS p, CASE WHEN rises THEN sha256(l || node || r) ELSE node END AS node,
+    CASE WHEN rises THEN proof || l || r ELSE proof END AS proof
+  FROM way{at} AS w JOIN step{i} AS s ON {same}s.p = w.p)""")
+        at += 1
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = h AS verified
+FROM way{at} AS w JOIN subs AS u ON u.source IS NOT DISTINCT FROM w.source, tree{top + upper}"""
+
+
+@query("op12_merkle_manifest", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root folded from its tampered leaf."""
+    return merkle.report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

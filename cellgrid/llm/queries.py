@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bpe, centroids, chat, html_extract, langid, merkle, order_minhash, packing, quality, suffix_dedup, token_files, tokens
+from cellgrid.llm import bpe, centroids, chat, html_extract, langid, merkle, order_minhash, packing, quality, secrets, suffix_dedup, token_files, tokens
 from cellgrid.llm.common import table
 from cellgrid.llm.simhash import simhash_components
 
@@ -298,3 +298,58 @@ FROM way{at} AS w JOIN subs AS u ON u.source IS NOT DISTINCT FROM w.source, tree
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and the root folded from its tampered leaf."""
     return merkle.report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _op13_sql() -> str:
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+
+    def spans(name: str, kind: int, pattern: str, source: str = "texts", text: str = "t") -> str:
+        """All matches with their places: what the pieces and matches before them add up to."""
+        return f"""{name} AS (
+  SELECT row, owner, repository, {kind} AS kind, m[i] AS m,
+    (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT row, owner, repository, m, p, unnest(range(1, len(m) + 1)) AS i
+    FROM (SELECT row, owner, repository, regexp_extract_all({text}, {quote(pattern)}) AS m,
+      string_split_regex({text}, {quote(pattern)}) AS p FROM {source})))"""
+
+    v = "v"
+    live = (
+        f"length({v}) >= 8 AND len(list_distinct(string_split({v}, ''))) >= 8 AND regexp_matches({v}, '[A-Za-z]')"
+        f" AND regexp_matches({v}, '[0-9].*[0-9].*[0-9]') AND NOT regexp_matches(lower({v}), '{secrets.DULL}')"
+        f" AND NOT regexp_matches({v}, '{secrets.SEGMENT}')"
+    )
+    names = "['assign', 'access', 'hex', 'owned'][kind + 1]"
+    text = f"string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    return f"""WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, source AS owner, coalesce(text, '') AS t, coalesce(text, '') AS repository FROM documents),
+{spans("a0", 0, secrets.ASSIGN)},
+{spans("a1", 1, secrets.ACCESS)},
+{spans("a2", 2, secrets.HEX)},
+{spans("runs", 3, secrets.RUN)},
+candidates AS (
+  SELECT row, owner, repository, kind, s, s + length(m) AS e, CASE kind WHEN 0 THEN regexp_extract(m, {quote(secrets.ASSIGN)}, 2) ELSE m END AS v
+  FROM (FROM a0 UNION ALL FROM a1 UNION ALL FROM a2 UNION ALL
+    (SELECT r.* FROM runs AS r WHERE NOT regexp_matches(m, '{secrets.ACCESS}|{secrets.HEX}')
+      AND NOT EXISTS (FROM a0 AS a WHERE a.row = r.row AND a.s < r.s + length(r.m) AND r.s < a.s + length(a.m))))),
+marked AS (SELECT *, {live} AS live FROM candidates WHERE kind > 0 OR length(v) >= {secrets.ASSIGN_CHARS}),
+finds AS (SELECT * FROM marked WHERE kind < 3 OR live),
+counts AS (SELECT v, count(DISTINCT repository) AS r, count(DISTINCT coalesce(owner, chr(1))) AS o FROM finds GROUP BY v),
+judged AS (
+  SELECT *, CASE WHEN r >= {secrets.COPIED_REPOSITORIES} AND o >= {secrets.COPIED_OWNERS} THEN 'copied' WHEN live THEN 'owned' ELSE 'dull' END AS verdict
+  FROM finds JOIN counts USING (v)),
+kept AS (SELECT * FROM judged WHERE kind < 3 OR verdict = 'owned'),
+lists AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+    {text} FILTER (kind < 3) AS base, {text} AS spans, {text} FILTER (verdict = 'owned') AS owned_spans,
+    {text} FILTER (verdict = 'copied') AS copied_spans
+  FROM kept GROUP BY row)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(owned_spans, '') AS owned_spans,
+  coalesce(copied_spans, '') AS copied_spans
+FROM texts LEFT JOIN lists USING (row)"""
+
+
+@query("op13_secret_scans", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all base matches and of the owner-specific credentials of every document."""
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"]))

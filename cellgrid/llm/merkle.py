@@ -36,9 +36,8 @@ from pyspark.sql.types import StructType
 from cellgrid.session import durable
 
 FAN = 16
-# Levels of one block, and the nodes it starts from.
+# Levels of one block, which starts from 16^3 nodes.
 DEPTH = 3
-BLOCK = FAN**DEPTH
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -177,11 +176,11 @@ class Way:
 PATH = "array<struct<l: binary, r: binary>>"
 
 
-def blocked(nodes: DataFrame, extra: str = "") -> DataFrame:
-    """One row per 4096 nodes in a row: ``grp``, ``block``, ``n`` and ``nodes`` in order."""
+def blocked(nodes: DataFrame, depth: int, extra: str = "") -> DataFrame:
+    """One row per 16^depth nodes in a row: ``grp``, ``block``, ``n`` and ``nodes`` in order."""
     fields = "pos, leaf AS digest" + extra
     return (
-        nodes.selectExpr("grp", f"pos DIV {BLOCK} AS block", "n", f"struct({fields}) AS node")
+        nodes.selectExpr("grp", f"pos DIV {FAN**depth} AS block", "n", f"struct({fields}) AS node")
         .groupBy("grp", "block")
         .agg(F.max("n").alias("n"), F.sort_array(F.collect_list("node")).alias("nodes"))
     )
@@ -200,16 +199,16 @@ def in_blocks(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFra
     return df.mapInArrow(run, schema)
 
 
-def block_of(row: dict) -> Block:
-    return Block([x["digest"] for x in row["nodes"]], min(DEPTH, levels_of(row["n"])))
+def block_of(row: dict, depth: int) -> Block:
+    return Block([x["digest"] for x in row["nodes"]], min(depth, levels_of(row["n"])))
 
 
-def climb(blocks: DataFrame) -> DataFrame:
+def climb(blocks: DataFrame, depth: int) -> DataFrame:
     """The tops of blocks as the nodes above: ``grp``, ``pos``, ``leaf``, ``n``."""
 
     def top(row):
         n = row["n"]
-        return {"grp": [row["grp"]], "pos": [row["block"]], "leaf": [block_of(row).top], "n": [-(-n // BLOCK)]}
+        return {"grp": [row["grp"]], "pos": [row["block"]], "leaf": [block_of(row, depth).top], "n": [-(-n // FAN**depth)]}
 
     return in_blocks(blocks, top, "grp string, pos long, leaf binary, n long")
 
@@ -220,11 +219,11 @@ def on_the_way(blocks: DataFrame, ways: DataFrame) -> DataFrame:
     return blocks.alias("b").join(ways.alias("w"), same).selectExpr("b.*", "w.way", "w.subroot")
 
 
-def descend(blocks: DataFrame, ways: DataFrame) -> DataFrame:
+def descend(blocks: DataFrame, ways: DataFrame, depth: int) -> DataFrame:
     """The way to the root of every node of ``blocks``: ``grp``, ``pos``, ``way`` and ``subroot``."""
 
     def paths(row):
-        block = block_of(row)
+        block = block_of(row, depth)
         above = [(x["l"], x["r"]) for x in row["way"]]
         n = len(row["nodes"])
         ways = [[{"l": left, "r": right} for left, right in (*block.path(i), *above)] for i in range(n)]
@@ -234,18 +233,18 @@ def descend(blocks: DataFrame, ways: DataFrame) -> DataFrame:
     return in_blocks(on_the_way(blocks, ways), paths, f"grp string, pos long, way {PATH}, subroot binary")
 
 
-def climb_all(blocks: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def climb_all(blocks: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame]:
     """Block levels up to one node per group, lowest first, and the groups' roots."""
     levels = [blocks]
     while True:
-        nodes = durable(climb(levels[-1]))
+        nodes = durable(climb(levels[-1], depth))
         most = nodes.agg(F.max("n")).first()[0]
         if most is None or most <= 1:
             return levels, nodes
-        levels.append(durable(blocked(nodes)))
+        levels.append(durable(blocked(nodes, depth)))
 
 
-def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, bytes | None]:
+def manifest(leaves: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame, bytes | None]:
     """Leaf blocks, for each of them the way from its top to the root, and the root.
 
     ``leaves`` has ``grp`` (text), ``id``, ``leaf`` and ``changed`` (binary, NULL
@@ -253,23 +252,23 @@ def manifest(leaves: DataFrame) -> tuple[DataFrame, DataFrame, bytes | None]:
     and ``subroot``.
     """
     placed = numbered(leaves, ["grp"], ["id", "leaf"])
-    blocks = durable(blocked(placed, ", id, changed"))
-    levels, tops = climb_all(blocks)
+    blocks = durable(blocked(placed, depth, ", id, changed"))
+    levels, tops = climb_all(blocks, depth)
     # the subroots are the leaves of one more tree
     sources = numbered(tops.selectExpr("grp AS name", "leaf"), [], ["name"])
     sources = durable(sources.selectExpr("CAST(NULL AS string) AS grp", "name", "leaf", "pos", "n"))
-    upper, root = climb_all(durable(blocked(sources)))
+    upper, root = climb_all(durable(blocked(sources, depth)), depth)
     ways = root.selectExpr("grp", "pos", f"CAST(array() AS {PATH}) AS way", "leaf AS subroot")
     for level in reversed(upper):
-        ways = durable(descend(level, ways))
+        ways = durable(descend(level, ways, depth))
     ways = ways.join(sources, "pos").selectExpr("name AS grp", "0L AS pos", "way", "leaf AS subroot")
     for level in reversed(levels[1:]):
-        ways = durable(descend(level, ways))
+        ways = durable(descend(level, ways, depth))
     top = root.select("leaf").first()
     return blocks, ways, bytes(top.leaf) if top else None
 
 
-def verify(blocks: DataFrame, ways: DataFrame, root: bytes | None, id_type: str) -> DataFrame:
+def verify(blocks: DataFrame, ways: DataFrame, root: bytes | None, id_type: str, depth: int = DEPTH) -> DataFrame:
     """Proof of every leaf, and the root folded from its changed leaf."""
     joined = on_the_way(blocks, ways)
     root = root and root.hex()
@@ -278,7 +277,7 @@ def verify(blocks: DataFrame, ways: DataFrame, root: bytes | None, id_type: str)
     )
 
     def proofs(row):
-        block, way = block_of(row), Way([(x["l"], x["r"]) for x in row["way"]])
+        block, way = block_of(row, depth), Way([(x["l"], x["r"]) for x in row["way"]])
         nodes = row["nodes"]
         leaves = block.rows[0]
         # what follows a node's own run on the way up is the same for the whole run
@@ -310,7 +309,7 @@ def verify(blocks: DataFrame, ways: DataFrame, root: bytes | None, id_type: str)
     return in_blocks(joined, proofs, schema)
 
 
-def report(df: DataFrame, every: int = 5) -> DataFrame:
+def report(df: DataFrame, every: int = 5, depth: int = DEPTH) -> DataFrame:
     """Leaf, subroot, root and proof of every row, and the root folded from its tampered leaf."""
     leaves = document_leaves(df, every)
-    return verify(*manifest(leaves), dict(leaves.dtypes)["id"])
+    return verify(*manifest(leaves, depth), dict(leaves.dtypes)["id"], depth)

@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from cellgrid.functions.ranks import NAN_SQL, quantile_sql
+from cellgrid.functions.ranks import NAN_SQL
 
 # Metric names in registry order and the core columns.
 METRICS = [
@@ -40,14 +40,7 @@ RANKED = ("median_intensity", "mode_intensity", "sg_ratio")
 
 NAN = float("nan")
 
-# SQL aggregate of the in-scope, non-NaN value ``{v}`` (NULL elsewhere).
-_AGGREGATES = {
-    "mean_intensity": "avg({v})",
-    "max_intensity": "max({v})",
-    "min_intensity": "min({v})",
-    "integrated_intensity": "sum({v})",
-    "std_intensity": "stddev_pop({v})",
-}
+# SQL aggregates of the in-scope, non-NaN value ``{v}`` (NULL elsewhere).
 _CUSTOM: dict[str, str] = {}
 
 
@@ -72,13 +65,18 @@ def validate_metrics(metrics: list[str] | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Scope:
-    """A set of pixels of each cell: its SQL condition, column naming and empty value."""
+    """A set of pixels of each cell: its SQL condition, column naming and empty value.
+
+    ``region`` says the same of a scene: all places, those in or out of a named
+    mask (None: any), or those of one mask value.
+    """
 
     key: str
     naming: Callable[[str], str]
     condition: str | None = None
     empty: float = 0.0
     always_area: bool = False
+    region: tuple = ("all", None)
 
     def column(self, metric: str) -> str:
         return self.naming(metric)
@@ -92,62 +90,36 @@ def whole() -> Scope:
     return Scope("cell", lambda m: m)
 
 
-def count_amounts(scopes: list[Scope], value: str = "value") -> tuple[dict, dict, dict]:
-    """Running counts, per-key sums and per-key largest counts the metrics below need."""
-    valid = {s.key: f"if(isnan({value}), 0L, `n_{s.key}`)" for s in scopes}
-    sums = {f"v_{s.key}": f"if(isnan({value}), 0D, {value} * `n_{s.key}`)" for s in scopes}
-    tops = {s.key: f"`n_{s.key}`" for s in scopes}
-    return valid, sums, tops
-
+def metric_of_stats(metric: str, scope: Scope, entry: str) -> str:
+    """SQL of one metric from merged statistics (NULL without the cell or channel).
 
-def metric_of_counts(metric: str, scope: Scope, v: str = "value") -> str:
-    """SQL aggregate of one metric over ranked counted values of a scope.
-
-    Rows carry ``n_`` (occurrences), ``cum_``/``tot_`` (valid ones before and in
-    all), ``tot_v_`` (valid sum) and ``top_`` (largest count).
+    ``entry`` is a struct of the pixels ``n``, the valid ones ``nv``, their
+    ``total``, ``m2`` (squared distance from the mean), ``lo``, ``hi``, and the
+    order statistics, NULL where they are missing.
     """
-    s = scope.key
-    n, start, total, mass = f"`n_{s}`", f"`cum_{s}`", f"`tot_{s}`", f"`tot_v_{s}`"
-    live = f"{n} > 0 AND NOT isnan({v})"
-    size = f"sum({n})"
-    tainted = f"max(if({n} > 0 AND isnan({v}), 1, 0)) = 1"
+    e = entry
     if metric == "area":
-        return f"double({size})"
-    if metric == "mean_intensity":
-        result = f"try_divide(max({mass}), max({total}))"
-    elif metric == "max_intensity":
-        result = f"max(if({live}, {v}, NULL))"
-    elif metric == "min_intensity":
-        result = f"min(if({live}, {v}, NULL))"
-    elif metric == "integrated_intensity":
-        result = f"max({mass})"
-    elif metric == "std_intensity":
-        off = f"({v} - try_divide({mass}, {total}))"
-        result = f"sqrt(try_divide(sum(if({live}, {n} * {off} * {off}, NULL)), max({total})))"
-    elif metric == "median_intensity":
-        result = quantile_sql(s, v, 0.5)
-    elif metric == "mode_intensity":
-        result = f"if({tainted}, {NAN_SQL}, min(if({live} AND {n} = `top_{s}`, {v}, NULL)))"
-    else:
-        # signal: at or above the 95th percentile; ground: at or below the median
-        above = f"{live} AND {start} + {n} > ceil(({total} - 1) * 0.95D)"
-        below = f"{live} AND {start} <= floor(({total} - 1) * 0.5D)"
-        signal = f"try_divide(sum(if({above}, {v} * {n}, NULL)), sum(if({above}, {n}, NULL)))"
-        ground = f"try_divide(sum(if({below}, {v} * {n}, NULL)), sum(if({below}, {n}, NULL)))"
-        result = f"if({tainted}, {NAN_SQL}, try_divide({signal}, {ground}))"
+        return f"double({e}.n)"
+    result = {
+        "mean_intensity": f"try_divide({e}.total, {e}.nv)",
+        "max_intensity": f"{e}.hi",
+        "min_intensity": f"{e}.lo",
+        "integrated_intensity": f"{e}.total",
+        "std_intensity": f"sqrt(try_divide({e}.m2, {e}.nv))",
+        "median_intensity": f"{e}.median",
+        "mode_intensity": f"{e}.mode",
+        "sg_ratio": f"{e}.sg",
+    }[metric]
     missing = "0D" if metric == "integrated_intensity" else NAN_SQL
-    return f"if({size} = 0, {scope.empty_sql}, coalesce({result}, {missing}))"
+    return f"CASE WHEN {e} IS NULL THEN NULL WHEN {e}.n = 0 THEN {scope.empty_sql} ELSE coalesce({result}, {missing}) END"
 
 
 def scope_aggregate(metric: str, scope: Scope, value: str = "value") -> str:
-    """SQL aggregate of one hash-aggregable metric over one scope."""
+    """SQL aggregate of one registered metric over one scope."""
     cond = scope.condition
     size = "count(1)" if cond is None else f"count_if({cond})"
-    if metric == "area":
-        return f"double({size})"
     seen = f"nullif({value}, {NAN_SQL})"
     if cond is not None:
         seen = f"if({cond}, {seen}, NULL)"
-    result = (_CUSTOM.get(metric) or _AGGREGATES[metric]).format(v=seen)
-    all_nan = "0D" if metric == "integrated_intensity" else NAN_SQL
-    return f"if({size} = 0, {scope.empty_sql}, coalesce({result}, {all_nan}))"
+    result = _CUSTOM[metric].format(v=seen)
+    return f"if({size} = 0, {scope.empty_sql}, coalesce({result}, {NAN_SQL}))"

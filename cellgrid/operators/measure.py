@@ -1,27 +1,30 @@
-"""Per-cell measurement over channels, masks and regions."""
+"""Per-cell measurement over channels, masks and regions.
+
+Pixels, labels and masks meet as scenes, one row per block of a frame.  Every
+scene gives one partial row per cell, channel and scope; a cell of one block,
+the usual case, is finished there, order statistics included.  For cells that
+span blocks, partial rows are merged and ranks are found by radix selection.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cellgrid.functions.names import identifier
 from cellgrid.functions import metrics as M
-from cellgrid.functions.ranks import (
-    running_totals,
-    running_totals_bounded,
-    value_bucket,
-    value_counts,
-)
+from cellgrid.functions.selection import modes, select_ranks
+from cellgrid.operators import scenes as SC
 from cellgrid.operators.joins import flag_masks, flag_values, scope_pixels
-from cellgrid.session import attach, durable
+from cellgrid.session import durable
+from cellgrid.sources.model import BLOCK
 
 CELL = ["dataset", "label"]
 
-# Cells up to this many pixels are ranked in one sort; larger ones by value buckets.
-RANK_PIXELS = 4_000_000
-
-
 # Centroid, bounding box and area of a group of positions.
 GEOMETRY = [
     "avg(y) AS centroid_y",
@@ -47,78 +50,258 @@ def scope_columns(names: list[str], scope: M.Scope) -> list[str]:
     return cols + [scope.column(m) for m in names if not (m == "area" and scope.always_area)]
 
 
-def oversized_cells(labels: DataFrame, bound: int | None = None) -> DataFrame | None:
-    """Cells with more pixels than one task should rank, or None (one pass over labels)."""
-    bound = RANK_PIXELS if bound is None else bound
-    big = labels.filter("label > 0").groupBy(*CELL).count().filter(F.col("count") > bound)
-    big = durable(big.select(*CELL))
-    return None if big.isEmpty() else big
+# One row per block, cell, channel and scope; the row without a channel holds the cell's geometry.
+PART = (
+    "dataset string, by int, bx int, label int, channel string, scope int, n long, nv long, total double, m2 double,"
+    " lo double, hi double, median double, mode double, sg double, y double, x double, y0 int, x0 int, y1 int, x1 int"
+)
+GEOMETRY_SCOPE = -1
+VALUES = "dataset string, by int, bx int, label int, channel string, scope int, v array<double>, n array<long>"
+# Ranks of the median and of the signal's lower end, as fractions of the last rank.
+HALF, SIGNAL = 0.5, 0.95
+
+
+def _regions(scene: SC.Scene, regions: list[tuple]) -> list[np.ndarray | None]:
+    """The places of each scope; None stands for all."""
+    found = []
+    for kind, what in regions:
+        if kind == "all":
+            found.append(None)
+        elif kind == "value":
+            found.append(scene.mask(value=what))
+        else:
+            inside = scene.mask(name=what)
+            found.append(inside if kind == "in" else ~inside)
+    return found
 
 
-def rank_values(
-    counts: DataFrame, keys: list[str], scopes: list[M.Scope], big: DataFrame | None
-) -> DataFrame:
-    """Add the running and per-key totals the order statistics are read from."""
-    cum, tot, top = M.count_amounts(scopes)
-    small = counts if big is None else attach(counts, big, CELL, "left_anti")
-    # one exchange on the cell serves ranking, aggregation and the channel spread
-    ranked = running_totals_bounded(small.repartition(*CELL), keys, "value", cum, tot, top)
-    if big is None:
-        return ranked
-    large = attach(counts, big, CELL)
-    large = running_totals(large, keys, value_bucket("value"), "value", cum, tot, top)
-    return ranked.unionByName(large.select(*ranked.columns))
-
-
-def measure_scopes(
-    scoped: DataFrame,
-    labels: DataFrame,
-    keys: list[str],
-    names: list[str],
-    scopes: list[M.Scope],
-    core: bool,
-) -> DataFrame:
-    """Aggregate pixel rows ``(keys, y, x, value, flags)`` into metric columns.
+def _sorted_cells(scene: SC.Scene, channel: int, keep=None) -> tuple[np.ndarray, ...]:
+    label, at, v = scene.cells(channel, keep)
+    order = np.lexsort((v, label))
+    return label[order], at[order], v[order]
 
-    Without order statistics this is one partial/final hash aggregation.  With
-    them, pixels are first reduced to counted values, from which every built-in
-    metric follows, so the pixels are read and joined once.
-    """
-    ranked = any(m in M.RANKED for m in names)
-    custom = [m for m in names if m not in M.METRICS]
-    direct = [m for m in names if not ranked or m in custom]
-    counted = [m for m in names if m not in direct]
-
-    def aggregates(metrics: list[str], build, taken: set[str]) -> list[str]:
-        out = []
-        for s in scopes:
-            extra = ["area"] if s.always_area and "area" not in metrics and metrics is not custom else []
-            for m in [*metrics, *extra]:
-                if s.column(m) not in taken:
-                    taken.add(s.column(m))
-                    out.append(f"{build(m, s)} AS `{s.column(m)}`")
+
+def _between(v: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of non-empty slices."""
+    return np.add.reduceat(np.append(v, 0.0), np.stack([start, end], axis=1).ravel())[::2]
+
+
+def _scope_stats(key: np.ndarray, v: np.ndarray, size: int, ranked: bool) -> dict[str, np.ndarray]:
+    """Moments and order statistics per key of values sorted by key and value."""
+    n = np.bincount(key, minlength=size)
+    start = np.cumsum(n) - n
+    live = np.flatnonzero(n)
+    out = {c: np.full(size, np.nan) for c in ("lo", "hi", "median", "mode", "sg")}
+    out |= {"nv": n, "total": np.zeros(size), "m2": np.zeros(size)}
+    if not len(live):
         return out
+    first, count = start[live], n[live]
+    with np.errstate(all="ignore"):
+        out["total"][live] = np.add.reduceat(v, first)
+        mean = np.zeros(size)
+        mean[live] = out["total"][live] / count
+        out["m2"][live] = np.add.reduceat((v - mean[key]) ** 2, first)
+        out["lo"][live], out["hi"][live] = v[first], v[first + count - 1]
+        if not ranked:
+            return out
+        place = (count - 1) * HALF
+        low, high = v[first + np.floor(place).astype(int)], v[first + np.ceil(place).astype(int)]
+        out["median"][live] = np.where(low == high, low, low + (high - low) * (place - np.floor(place)))
+        new = np.ones(len(v), dtype=bool)
+        new[1:] = (v[1:] != v[:-1]) | (key[1:] != key[:-1])
+        run = np.cumsum(new) - 1
+        run_start = np.flatnonzero(new)
+        length = np.diff(np.append(run_start, len(v)))
+        most = np.zeros(size, dtype=np.int64)
+        np.maximum.at(most, key[run_start], length)
+        top = run_start[length == most[key[run_start]]]
+        owner, at = np.unique(key[top], return_index=True)
+        out["mode"][owner] = v[top[at]]
+        above = run_start[run[first + np.ceil((count - 1) * SIGNAL).astype(int)]]
+        last = run[first + np.floor(place).astype(int)]
+        below = run_start[last] + length[last]
+        signal = _between(v, above, first + count) / (first + count - above)
+        ground = _between(v, first, below) / (below - first)
+        out["sg"][live] = signal / ground
+        out["sg"][live[ground == 0]] = np.nan
+    return out
+
+
+def block_parts(scenes: DataFrame, channels: list[str] | None, regions: list[tuple], ranked: bool) -> DataFrame:
+    """Partial statistics of every cell in every block."""
+    schema = to_arrow_schema(StructType.fromDDL(PART))
+
+    def measure(batches):
+        for scene, _, _ in SC.each(batches):
+            at, label = scene.labels()
+            if len(at):
+                yield _batch(schema, scene, _geometry(scene, at, label))
+            masks = _regions(scene, regions)
+            for i, name in enumerate(scene.channel_names()):
+                if channels is not None and name not in channels:
+                    continue
+                cell, place, v = _sorted_cells(scene, i)
+                if not len(cell):
+                    continue
+                names, first, key = np.unique(cell, return_index=True, return_inverse=True)
+                seen = ~np.isnan(v)
+                for s, mask in enumerate(masks):
+                    inside = np.ones(len(v), dtype=bool) if mask is None else mask[place]
+                    used = inside & seen
+                    stats = _scope_stats(key[used], v[used], len(names), ranked)
+                    n = np.add.reduceat(inside.astype(np.int64), first)
+                    tainted = n > stats["nv"]
+                    stats["mode"][tainted] = stats["sg"][tainted] = np.nan
+                    yield _batch(schema, scene, {"label": names, "channel": [name] * len(names), "scope": np.full(len(names), s), "n": n, **stats})
+
+    return scenes.mapInArrow(measure, PART)
+
+
+def _geometry(scene: SC.Scene, at: np.ndarray, label: np.ndarray) -> dict:
+    order = np.argsort(label, kind="stable")
+    y, x = at[order] // scene.side + scene.by * scene.side, at[order] % scene.side + scene.bx * scene.side
+    names, first, n = np.unique(label[order], return_index=True, return_counts=True)
+    fold = {"y0": (np.minimum, y), "x0": (np.minimum, x), "y1": (np.maximum, y), "x1": (np.maximum, x)}
+    return {
+        "label": names, "scope": np.full(len(names), GEOMETRY_SCOPE), "n": n,
+        "y": np.add.reduceat(y, first).astype(float), "x": np.add.reduceat(x, first).astype(float),
+        **{c: fn.reduceat(v, first) for c, (fn, v) in fold.items()},
+    }
+
+
+def _batch(schema: pa.Schema, scene: SC.Scene, columns: dict) -> pa.RecordBatch:
+    size = len(columns["label"])
+    columns = columns | {c: pa.repeat(pa.scalar(getattr(scene, c), schema.field(c).type), size) for c in SC.KEY}
+    arrays = []
+    for field in schema:
+        values = columns.get(field.name)
+        if values is None:
+            arrays.append(pa.nulls(size, field.type))
+        elif isinstance(values, np.ndarray) and field.type == pa.float64():
+            arrays.append(pa.array(values, field.type, from_pandas=True))  # NaN: nothing there
+        else:
+            arrays.append(values if isinstance(values, pa.Array) else pa.array(values, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+STAT = ["dataset", "label", "channel", "scope"]
 
-    taken = set(M.CORE_COLUMNS) if core or ranked else set()
-    aggs = list(GEOMETRY) if core and not ranked else []
-    aggs += aggregates(direct, M.scope_aggregate, taken)
-    base = scoped.groupBy(*keys).agg(*[F.expr(a) for a in aggs]) if aggs else None
-    if not ranked:
-        return base
-    counts = value_counts(scoped, keys, "value", {s.key: s.condition for s in scopes})
-    values = rank_values(counts, keys, scopes, oversized_cells(labels))
-    stats = values.groupBy(*keys).agg(
-        *[F.expr(a) for a in aggregates(counted, M.metric_of_counts, taken)]
+
+def merged_parts(parts: DataFrame, ranks: DataFrame | None) -> DataFrame:
+    """One row per cell, channel and scope."""
+    merged = parts.groupBy(*STAT).agg(
+        *[F.sum(c).alias(c) for c in ("n", "nv", "total", "y", "x")],
+        *[F.expr(f"min({c}) AS {c}") for c in ("lo", "y0", "x0")],
+        *[F.expr(f"max({c}) AS {c}") for c in ("hi", "y1", "x1")],
+        # of cells in one block; those of others are replaced below
+        *[F.expr(f"max({c}) AS {c}") for c in ("median", "mode", "sg")],
+        F.expr("collect_list(struct(nv, total, m2)) AS moments"),
+    )
+    apart = "a + p.m2 + p.nv * pow(p.total / p.nv - total / nv, 2)"
+    m2 = f"if(size(moments) = 1, moments[0].m2, aggregate(filter(moments, p -> p.nv > 0), 0D, (a, p) -> {apart}))"
+    merged = merged.withColumn("m2", F.expr(m2)).drop("moments")
+    if ranks is None:
+        return merged
+    kept = [c for c in merged.columns if c not in ("median", "mode", "sg")]
+    joined = merged.alias("m").join(ranks.alias("r"), F.expr(" AND ".join(f"m.{c} <=> r.{c}" for c in STAT)), "left")
+    # a tainted scope has no mode and no ratio
+    whole = {"median": "r.median", "mode": "if(m.n > m.nv, NULL, r.mode)", "sg": "if(m.n > m.nv, NULL, r.sg)"}
+    return joined.selectExpr(
+        *[f"m.{c}" for c in kept], *[f"if(r.dataset IS NULL, m.{c}, {e}) AS {c}" for c, e in whole.items()]
     )
-    if core:
-        stats = cell_geometry(labels).join(stats, CELL)
-    return stats if base is None else stats.join(base, keys)
 
 
-def _ordered(df: DataFrame, keys: list[str], names: list[str], scopes: list[M.Scope]) -> DataFrame:
-    core = [c for c in M.CORE_COLUMNS if c != "label"]
-    metric_cols = [c for s in scopes for c in scope_columns(names, s)]
-    return df.select(*keys, *core, *metric_cols)
+def ranks_across_blocks(scenes: DataFrame, parts: DataFrame, channels: list[str] | None, regions: list[tuple]) -> DataFrame | None:
+    """Median, mode and ratio of the cells that lie in several blocks, or None without such cells."""
+    outlines = parts.where(f"scope = {GEOMETRY_SCOPE}").select(*SC.KEY, "label")
+    spanning = durable(outlines.groupBy(*CELL).count().where("count > 1").select(*CELL))
+    if spanning.isEmpty():
+        return None
+    wanted = outlines.join(spanning, CELL, "left_semi").groupBy(*SC.KEY).agg(F.collect_list("label").alias("wanted"))
+    schema = to_arrow_schema(StructType.fromDDL(VALUES))
+
+    def distinct_values(batches):
+        for scene, batch, row in SC.each(batches):
+            masks = _regions(scene, regions)
+            keep = batch.column("wanted")[row].values.to_numpy()
+            for i, name in enumerate(scene.channel_names()):
+                if channels is not None and name not in channels:
+                    continue
+                cell, place, v = _sorted_cells(scene, i, keep)
+                for s, mask in enumerate(masks):
+                    used = ~np.isnan(v) if mask is None else mask[place] & ~np.isnan(v)
+                    c, w = cell[used], v[used]
+                    for label in np.unique(c):
+                        lo, hi = np.searchsorted(c, label), np.searchsorted(c, label, side="right")
+                        values, n = np.unique(w[lo:hi], return_counts=True)
+                        yield _batch(schema, scene, {"label": np.array([label]), "channel": [name], "scope": np.array([s]), "v": [values], "n": [n]})
+
+    values = durable(scenes.join(wanted, SC.KEY).mapInArrow(distinct_values, VALUES))
+    sizes = values.groupBy(*STAT).agg(F.expr("sum(aggregate(n, 0L, (a, x) -> a + x)) AS nv"))
+    wanted_ranks = [f"floor((nv - 1) * {HALF}D)", f"ceil((nv - 1) * {HALF}D)", f"ceil((nv - 1) * {SIGNAL}D)"]
+    goals = sizes.selectExpr(*STAT, f"posexplode(array({', '.join(wanted_ranks)})) AS (target, rank)")
+    found = select_ranks(values, STAT, ["by", "bx"], goals)
+    at = found.groupBy(*STAT).agg(*[F.expr(f"max(if(target = {t}, value, NULL)) AS r{t}") for t in range(3)])
+    at = durable(at.join(sizes, STAT))
+    # sums on both sides of the two values, added up where the values are read
+    placed = values.select(*STAT, "by", "bx").join(at, STAT).select(*STAT, "by", "bx", "r0", "r2")
+    counted = values.join(placed, [*STAT, "by", "bx"]).selectExpr(*STAT, "r0", "r2", "inline(arrays_zip(v, n))")
+    sides = counted.groupBy(*STAT).agg(
+        F.expr("try_divide(sum(if(v >= r2, v * n, NULL)), sum(if(v >= r2, n, NULL))) AS signal"),
+        F.expr("try_divide(sum(if(v <= r0, v * n, NULL)), sum(if(v <= r0, n, NULL))) AS ground"),
+    )
+    part = f"((nv - 1) * {HALF}D - floor((nv - 1) * {HALF}D))"
+    return durable(
+        at.join(sides, STAT).join(modes(values, STAT), STAT).selectExpr(
+            *STAT, f"if(r0 = r1, r0, r0 + (r1 - r0) * {part}) AS median", "mode", "try_divide(signal, ground) AS sg"
+        )
+    )
+
+
+def measure_scenes(
+    scenes: DataFrame, channels: list[str] | None, names: list[str], scopes: list[M.Scope]
+) -> DataFrame:
+    """Geometry of all cells, and ``stats``: a map from channel and scope to their statistics."""
+    regions = [s.region for s in scopes]
+    ranked = any(m in M.RANKED for m in names)
+    parts = block_parts(scenes, channels, regions, ranked)
+    ranks = None
+    if ranked:
+        parts = durable(parts)
+        ranks = ranks_across_blocks(scenes, parts, channels, regions)
+    merged = merged_parts(parts, ranks)
+    stats = ["n", "nv", "total", "m2", "lo", "hi", "median", "mode", "sg"]
+    shape = ["n", "y", "x", "y0", "x0", "y1", "x1"]
+    outline = f"scope = {GEOMETRY_SCOPE}"
+    cells = merged.groupBy(*CELL).agg(
+        *[F.expr(f"max(if({outline}, {c}, NULL)) AS g_{c}") for c in shape],
+        F.expr(
+            f"map_from_entries(collect_list(if({outline}, NULL, struct(concat(channel, '|', scope), struct({', '.join(stats)}))))) AS stats"
+        ),
+    )
+    return cells.selectExpr(
+        *CELL, "g_y / g_n AS centroid_y", "g_x / g_n AS centroid_x", "g_y0 AS bbox_y", "g_x0 AS bbox_x",
+        "g_y1 - g_y0 + 1 AS bbox_h", "g_x1 - g_x0 + 1 AS bbox_w", "double(g_n) AS area", "stats",
+    )
+
+
+def _stat_columns(channel: str, names: list[str], scopes: list[M.Scope], prefix: str = "") -> list[str]:
+    """SQL of the built-in metric columns of one channel."""
+    out = []
+    for i, s in enumerate(scopes):
+        entry = "stats['" + channel.replace("\\", "\\\\").replace("'", "\\'") + f"|{i}']"
+        wanted = [m for m in names if m in M.METRICS and not (s.key == "cell" and m == "area")]
+        if s.always_area and "area" not in wanted:
+            wanted = ["area", *wanted]
+        out += [f"{M.metric_of_stats(m, s, entry)} AS {identifier(prefix + s.column(m))}" for m in wanted]
+    return out
+
+
+def custom_columns(scoped: DataFrame, keys: list[str], names: list[str], scopes: list[M.Scope]) -> DataFrame | None:
+    """Registered metrics, as aggregates over joined pixel rows."""
+    custom = [m for m in names if m not in M.METRICS]
+    aggs = [F.expr(f"{M.scope_aggregate(m, s)} AS {identifier(s.column(m))}") for s in scopes for m in custom]
+    return scoped.groupBy(*keys).agg(*aggs) if aggs else None
 
 
 def mask_scopes(names: list[str]) -> list[M.Scope]:
@@ -126,15 +309,15 @@ def mask_scopes(names: list[str]) -> list[M.Scope]:
     scopes = []
     for r in names:
         flag = f"`in:{r}`"
-        scopes.append(M.Scope(f"in:{r}", lambda m, r=r: f"{m}_in_{r}", flag))
-        scopes.append(M.Scope(f"out:{r}", lambda m, r=r: f"{m}_out_{r}", f"NOT {flag}"))
+        scopes.append(M.Scope(f"in:{r}", lambda m, r=r: f"{m}_in_{r}", flag, region=("in", r)))
+        scopes.append(M.Scope(f"out:{r}", lambda m, r=r: f"{m}_out_{r}", f"NOT {flag}", region=("out", r)))
     return scopes
 
 
 def single_mask_scopes(flag: str = "in:mask") -> list[M.Scope]:
     return [
-        M.Scope("inside", lambda m: f"{m}_mask_inside", f"`{flag}`"),
-        M.Scope("outside", lambda m: f"{m}_mask_outside", f"NOT `{flag}`"),
+        M.Scope("inside", lambda m: f"{m}_mask_inside", f"`{flag}`", region=("in", None)),
+        M.Scope("outside", lambda m: f"{m}_mask_outside", f"NOT `{flag}`", region=("out", None)),
     ]
 
 
@@ -147,6 +330,7 @@ def roi_scopes(roi_names: dict[int, str]) -> list[M.Scope]:
             f"mask_value = {int(v)}",
             empty=M.NAN,
             always_area=True,
+            region=("value", int(v)),
         )
         for v, name in roi_names.items()
     ]
@@ -162,22 +346,42 @@ def _interleave(scopes: list[M.Scope], names: list[str]) -> list[str]:
     return cols
 
 
+def _flagged(scoped: DataFrame, masks: DataFrame | None, scopes: list[M.Scope]) -> DataFrame:
+    """Pixel rows with the columns that the scopes' conditions test."""
+    kinds = {s.region[0] for s in scopes}
+    if "value" in kinds:
+        return flag_values(scoped, masks)
+    if "in" in kinds:
+        return flag_masks(scoped, masks, {s.key.removeprefix("in:") if s.region[1] else "mask": s.region[1] for s in scopes if s.region[0] == "in"})
+    return scoped
+
+
+def _measure_one(pixels, labels, masks, names, scopes, columns, side) -> DataFrame:
+    """Core columns and metrics of the cells of one channel."""
+    plane = pixels.withColumn("channel", F.lit(""))
+    scenes = SC.scenes(plane, labels, masks, side, labelled_only=True)
+    if any(m in M.RANKED for m in names):
+        scenes = durable(scenes)
+    cells = measure_scenes(scenes, None, names, scopes).where("stats['|0'] IS NOT NULL")
+    core = [c for c in M.CORE_COLUMNS if c != "label"]
+    out = cells.selectExpr(*CELL, *core, *_stat_columns("", names, scopes))
+    custom = custom_columns(_flagged(scope_pixels(pixels, labels), masks, scopes), CELL, names, scopes)
+    if custom is not None:
+        out = out.join(custom, CELL)
+    return out.select(*CELL, *core, *[F.col(identifier(c)) for c in columns])
+
+
 def measure_cells(
     pixels: DataFrame,
     labels: DataFrame,
     metrics: list[str] | None = None,
     mask: DataFrame | None = None,
+    side: int = BLOCK,
 ) -> DataFrame:
     """Core columns and metrics per cell of one channel, optionally in/out of a mask."""
     names = M.validate_metrics(metrics)
-    scoped = scope_pixels(pixels, labels)
-    scopes = [M.whole()]
-    if mask is not None:
-        scoped = flag_masks(scoped, mask, {"mask": None})
-        scopes += single_mask_scopes()
-    out = measure_scopes(scoped, labels, CELL, names, scopes, core=True)
-    core = [c for c in M.CORE_COLUMNS if c != "label"]
-    return out.select(*CELL, *core, *_interleave(scopes, names))
+    scopes = [M.whole(), *(single_mask_scopes() if mask is not None else [])]
+    return _measure_one(pixels, labels, mask, names, scopes, _interleave(scopes, names), side)
 
 
 def measure_cells_multi_roi(
@@ -186,12 +390,13 @@ def measure_cells_multi_roi(
     mask: DataFrame,
     roi_names: dict[int, str],
     metrics: list[str] | None = None,
+    side: int = BLOCK,
 ) -> DataFrame:
     """Whole-cell metrics plus ``{roi}_{metric}`` columns of a multi-label mask."""
     names = M.validate_metrics(metrics)
-    scoped = flag_values(scope_pixels(pixels, labels), mask)
     scopes = [M.whole(), *roi_scopes(roi_names)]
-    return _ordered(measure_scopes(scoped, labels, CELL, names, scopes, core=True), CELL, names, scopes)
+    columns = [c for s in scopes for c in scope_columns(names, s)]
+    return _measure_one(pixels, labels, mask, names, scopes, columns, side)
 
 
 def measure_cells_with_masks(
@@ -200,32 +405,12 @@ def measure_cells_with_masks(
     masks: DataFrame | None,
     mask_names: list[str],
     metrics: list[str] | None = None,
+    side: int = BLOCK,
 ) -> DataFrame:
     """Several named masks in one pass: ``{metric}_in_{name}`` / ``_out_{name}``."""
     names = M.validate_metrics(metrics)
-    scoped = scope_pixels(pixels, labels)
-    if mask_names:
-        scoped = flag_masks(scoped, masks, {n: n for n in mask_names})
     scopes = [M.whole(), *mask_scopes(mask_names)]
-    out = measure_scopes(scoped, labels, CELL, names, scopes, core=True)
-    core = [c for c in M.CORE_COLUMNS if c != "label"]
-    return out.select(*CELL, *core, *_interleave(scopes, names))
-
-
-def spread_channels(
-    per_channel: DataFrame, labels: DataFrame, channels: list[str], columns: list[str]
-) -> DataFrame:
-    """Cell core columns plus ``{channel}_{column}`` for each channel.
-
-    Works on one row per cell and channel, long after pixels were reduced.
-    """
-    aggs = [
-        F.max(F.when(F.col("channel") == c, F.col(identifier(col)))).alias(f"{c}_{col}")
-        for c in channels
-        for col in columns
-    ]
-    wide = per_channel.groupBy(*CELL).agg(*aggs) if aggs else per_channel.select(*CELL).distinct()
-    return cell_geometry(labels).join(wide, CELL, "left")
+    return _measure_one(pixels, labels, masks, names, scopes, _interleave(scopes, names), side)
 
 
 def merge_multichannel(tables: dict[str, DataFrame]) -> DataFrame:
@@ -245,14 +430,32 @@ def merge_multichannel(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _measure_channels(scoped, labels, channels, names, scopes, columns):
+def _measure_channels(pixels, labels, masks, channels, names, scopes, columns, side) -> DataFrame:
+    """Core columns of all cells and ``{channel}_{column}`` for each channel."""
     if not channels:
         raise ValueError("the list of channels to measure is empty")
-    scoped = scoped.filter(F.col("channel").isin(channels))
-    long = measure_scopes(scoped, labels, [*CELL, "channel"], names, scopes, core=False)
-    if long is None:
-        long = scoped.select(*CELL, "channel").distinct()
-    return spread_channels(long, labels, channels, columns)
+    pixels = pixels.filter(F.col("channel").isin(channels))
+    scenes = SC.scenes(pixels, labels, masks, side, labelled_only=True)
+    if any(m in M.RANKED for m in names):
+        scenes = durable(scenes)
+    out = measure_stored(scenes, channels, names, scopes)
+    scoped = _flagged(scope_pixels(pixels, labels), masks, scopes)
+    custom = custom_columns(scoped, [*CELL, "channel"], names, scopes)
+    if custom is not None:
+        own = [c for c in custom.columns if c not in (*CELL, "channel")]
+        spread = [
+            F.max(F.when(F.col("channel") == c, F.col(identifier(col)))).alias(f"{c}_{col}") for c in channels for col in own
+        ]
+        out = out.join(custom.groupBy(*CELL).agg(*spread), CELL, "left")
+    core = [c for c in M.CORE_COLUMNS if c != "label"]
+    return out.select(*CELL, *core, *[F.col(identifier(f"{c}_{col}")) for c in channels for col in columns])
+
+
+def measure_stored(scenes: DataFrame, channels: list[str], names: list[str], scopes: list[M.Scope]) -> DataFrame:
+    """Built-in metrics of stored scenes, with no exchange of pixels or labels."""
+    cells = measure_scenes(scenes, channels, names, scopes)
+    core = [c for c in M.CORE_COLUMNS if c != "label"]
+    return cells.selectExpr(*CELL, *core, *[c for ch in channels for c in _stat_columns(ch, names, scopes, f"{ch}_")])
 
 
 def measure_multichannel(
@@ -261,16 +464,12 @@ def measure_multichannel(
     channels: list[str],
     metrics: list[str] | None = None,
     mask: DataFrame | None = None,
+    side: int = BLOCK,
 ) -> DataFrame:
     """Channel-prefixed metrics of several channels, optionally in/out of a mask."""
     names = M.validate_metrics(metrics)
-    scoped = scope_pixels(pixels.filter(F.col("channel").isin(channels)), labels)
-    scopes = [M.whole()]
-    if mask is not None:
-        scoped = flag_masks(scoped, mask, {"mask": None})
-        scopes += single_mask_scopes()
-    columns = _interleave(scopes, names)
-    return _measure_channels(scoped, labels, channels, names, scopes, columns)
+    scopes = [M.whole(), *(single_mask_scopes() if mask is not None else [])]
+    return _measure_channels(pixels, labels, mask, channels, names, scopes, _interleave(scopes, names), side)
 
 
 def measure_multichannel_multi_roi(
@@ -280,14 +479,13 @@ def measure_multichannel_multi_roi(
     roi_names: dict[int, str],
     channels: list[str],
     metrics: list[str] | None = None,
+    side: int = BLOCK,
 ) -> DataFrame:
     """Channel x region metrics of a multi-label mask."""
     names = M.validate_metrics(metrics)
-    scoped = scope_pixels(pixels.filter(F.col("channel").isin(channels)), labels)
-    scoped = flag_values(scoped, mask)
     scopes = [M.whole(), *roi_scopes(roi_names)]
     columns = [c for s in scopes for c in scope_columns(names, s)]
-    return _measure_channels(scoped, labels, channels, names, scopes, columns)
+    return _measure_channels(pixels, labels, mask, channels, names, scopes, columns, side)
 
 
 def measure_multichannel_with_masks(
@@ -297,15 +495,12 @@ def measure_multichannel_with_masks(
     mask_names: list[str],
     channels: list[str],
     metrics: list[str] | None = None,
+    side: int = BLOCK,
 ) -> DataFrame:
-    """Channels x metrics x named masks x inside/outside in one pass over the pixels."""
+    """Channels x metrics x named masks x inside/outside in one pass over the blocks."""
     names = M.validate_metrics(metrics)
-    scoped = scope_pixels(pixels.filter(F.col("channel").isin(channels)), labels)
-    if mask_names:
-        scoped = flag_masks(scoped, masks, {n: n for n in mask_names})
     scopes = [M.whole(), *mask_scopes(mask_names)]
-    columns = _interleave(scopes, names)
-    return _measure_channels(scoped, labels, channels, names, scopes, columns)
+    return _measure_channels(pixels, labels, masks, channels, names, scopes, _interleave(scopes, names), side)
 
 
 def measure_with_udaf(

@@ -23,6 +23,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # rows of a whole block of pixels would make Arrow batches of gigabytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     # Tables bucketed by (dataset, block) stay co-located in pixel joins whose
     # keys also include y and x.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",

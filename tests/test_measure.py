@@ -111,25 +111,94 @@ def test_many_masks_equal_single_masks(tables):
                     assert r["area_mask_inside"] + r["area_mask_outside"] == r["area"]
 
 
-def test_large_cells_take_the_bucketed_path(tables, monkeypatch):
-    """Cells beyond the ranking bound give the same numbers, checked against numpy."""
+def plain_metrics(v):
+    """The nine metrics of the values of one scope, from whole arrays."""
+    ok = v[~np.isnan(v)]
+    if not len(v):
+        return dict.fromkeys(M.METRICS, 0.0)
+    names, n = np.unique(ok, return_counts=True)
+    lo, hi = np.percentile(ok, [50, 95])
+    tainted = len(ok) < len(v)
+    ratio = ok[ok >= hi].mean() / ok[ok <= lo].mean() if ok[ok <= lo].mean() else math.nan
+    return {
+        "mean_intensity": ok.mean(), "max_intensity": ok.max(), "min_intensity": ok.min(), "integrated_intensity": ok.sum(),
+        "std_intensity": ok.std(), "median_intensity": lo, "area": float(len(v)),
+        "mode_intensity": math.nan if tainted else names[n.argmax()], "sg_ratio": math.nan if tainted else ratio,
+    }
+
+
+def check_cells(df, image, labels, mask):
+    got = {r.label: r.asDict() for r in df.collect()}
+    assert set(got) == set(np.unique(labels)) - {0}
+    for label, r in got.items():
+        own = labels == label
+        for scope, name in ((own, "{}"), (own & (mask > 0), "{}_mask_inside"), (own & (mask == 0), "{}_mask_outside")):
+            for m, want in plain_metrics(image[scope]).items():
+                assert r[name.format(m)] == pytest.approx(want, nan_ok=True), (label, name, m)
+        y, x = np.nonzero(own)
+        assert (r["centroid_y"], r["centroid_x"]) == (pytest.approx(y.mean()), pytest.approx(x.mean()))
+        assert (r["bbox_y"], r["bbox_x"], r["bbox_h"], r["bbox_w"]) == (y.min(), x.min(), np.ptp(y) + 1, np.ptp(x) + 1)
+
+
+@pytest.mark.parametrize("kind", ["floats", "integers", "one value", "signs"])
+@pytest.mark.parametrize("side", [8, 64])
+def test_cells_across_blocks(tables, kind, side):
+    """Cells of many blocks, of one block and of apart places give the numbers of whole arrays."""
     rng = np.random.RandomState(5)
-    image = np.round(rng.gamma(2, 20, (30, 30)), 1) - 15
-    image[3, 4] = np.nan
-    labels = np.ones((30, 30), dtype=int)
+    image = {
+        "floats": rng.gamma(2, 20, (40, 44)) - 15,
+        "integers": rng.randint(0, 40, (40, 44)).astype(float),
+        "one value": np.where(rng.rand(40, 44) < 0.9, 7.25, rng.normal(0, 1e-300, (40, 44))),
+        "signs": rng.choice([-1e300, -2.5, -0.0, 0.0, 1e-320, 3.0, 1e300], (40, 44)),
+    }[kind]
+    labels = np.ones((40, 44), dtype=int)
     labels[25:, 25:] = 2
+    labels[1:5, 1:5] = 3
+    labels[0, 0] = labels[39, 43] = 4
+    labels[10:20, 0] = 0
+    image[2, 2] = np.nan
+    mask = (rng.rand(40, 44) < 0.4).astype(int)
+    mask[25:] = 0
+    if kind == "signs":  # sums of both signs at this size mean nothing
+        df = MS.measure_cells(tables.pixels(image), tables.labels(labels), ["median_intensity", "mode_intensity"], side=side)
+        for r in df.collect():
+            want = plain_metrics(image[labels == r.label])
+            assert r.median_intensity == pytest.approx(want["median_intensity"], nan_ok=True)
+            assert r.mode_intensity == pytest.approx(want["mode_intensity"], nan_ok=True)
+        return
+    check_cells(MS.measure_cells(tables.pixels(image), tables.labels(labels), None, tables.mask(mask), side=side), image, labels, mask)
+
+
+def test_repeated_rows_count_as_in_a_join(tables):
+    image, labels = np.arange(36.0).reshape(6, 6), np.ones((6, 6), dtype=int)
     px, lb = tables.pixels(image), tables.labels(labels)
-    small = {r.label: r.asDict() for r in MS.measure_cells(px, lb).collect()}
-    monkeypatch.setattr(MS, "RANK_PIXELS", 100)
-    large = {r.label: r.asDict() for r in MS.measure_cells(px, lb).collect()}
-    for label, r in small.items():
-        for k, v in r.items():
-            assert large[label][k] == pytest.approx(v, nan_ok=True), k
-    v = image[labels == 2]
-    p50, p95 = np.percentile(v, [50, 95])
-    assert large[2]["median_intensity"] == pytest.approx(p50)
-    assert large[2]["sg_ratio"] == pytest.approx(v[v >= p95].mean() / v[v <= p50].mean())
-    assert large[1]["median_intensity"] == pytest.approx(np.nanmedian(image[labels == 1]))
+    both = lb.unionByName(tables.labels(labels * 2, seg="t")).unionByName(tables.labels(np.eye(6, dtype=int)))
+    twice = px.unionByName(px.where("y = 0"))
+    got = {r.label: r for r in MS.measure_cells(twice, both, ["integrated_intensity", "median_intensity"], side=4).collect()}
+    extra = image[0].sum() + np.trace(image) + image[0, 0]
+    assert got[1].integrated_intensity == image.sum() + extra and got[2].integrated_intensity == image.sum() + image[0].sum()
+    assert got[1].area == 42 and got[2].area == 36
+
+
+def test_stored_scenes_need_no_exchange_of_pixels(tables, tmp_path):
+    from cellgrid.operators import scenes as SC
+
+    rng = np.random.RandomState(6)
+    image, labels = rng.rand(30, 30), np.kron(np.arange(1, 10).reshape(3, 3), np.ones((10, 10), dtype=int))
+    masks = tables.mask((image > 0.5).astype(int), mask="m")
+    stored = SC.scenes(tables.pixels(image), tables.labels(labels), masks, side=16)
+    stored.write.parquet(str(tmp_path / "scenes"))
+    scenes = tables.spark.read.parquet(str(tmp_path / "scenes"))
+    df = MS.measure_stored(scenes, ["A"], M.METRICS, [M.whole(), *MS.mask_scopes(["m"])])
+    got = {r.label: r for r in df.collect()}
+    for label in range(1, 10):
+        own = labels == label
+        for m, want in plain_metrics(image[own & (image > 0.5)]).items():
+            assert got[label][f"A_{m}_in_m"] == pytest.approx(want)
+        assert got[label].A_median_intensity == pytest.approx(np.median(image[own]))
+    plain = MS.measure_stored(scenes, ["A"], ["mean_intensity"], [M.whole()])
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("MapInArrow") == 1
 
 
 def test_udaf_metric_and_its_bound(tables):

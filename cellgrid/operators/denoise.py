@@ -45,22 +45,22 @@ def inverse_anscombe_sql(value: str) -> str:
 
 
 def fourier_rescale(phasor: DataFrame, intensity: DataFrame) -> DataFrame:
-    """Planes ``fr = g*I``, ``fi = s*I`` and ``in = I`` of every pixel."""
-    joined = phasor.select("dataset", "y", "x", "g", "s").join(
-        intensity.selectExpr("dataset", "y", "x", "value AS i"), ["dataset", "y", "x"]
-    )
+    """Planes ``fr = g*I``, ``fi = s*I`` and ``in = I`` of every pixel of a channel."""
+    at = ["dataset", "channel", "y", "x"]
+    joined = phasor.select(*at, "g", "s").join(intensity.selectExpr(*at, "value AS i"), at)
     return joined.selectExpr(
-        "dataset", "stack(3, 'fr', g * i, 'fi', s * i, 'in', i) AS (layer, value)", "y", "x"
+        "dataset", "channel", "stack(3, 'fr', g * i, 'fi', s * i, 'in', i) AS (layer, value)", "y", "x"
     )
 
 
 def recover_phasor(planes: DataFrame) -> DataFrame:
-    """Filtered ``g, s`` from filtered planes; 0 where the filtered intensity is not positive."""
-    wide = planes.groupBy("dataset", "y", "x").agg(
+    """Filtered ``g, s`` from a channel's filtered planes; 0 where the filtered intensity is not positive."""
+    at = ["dataset", "channel", "y", "x"]
+    wide = planes.groupBy(*at).agg(
         *[F.expr(f"max(if(layer = '{n}', value, NULL)) AS `{n}`") for n in ("fr", "fi", "in")]
     )
     return wide.selectExpr(
-        "dataset", "y", "x",
+        *at,
         "if(`in` > 0, fr / if(`in` > 0, `in`, 1D), 0D) AS g_filtered",
         "if(`in` > 0, fi / if(`in` > 0, `in`, 1D), 0D) AS s_filtered",
     )
@@ -76,19 +76,17 @@ def noise_sigma(coefficients: DataFrame) -> DataFrame:
 def local_noise_power(coefficients: DataFrame, n_levels: int) -> DataFrame:
     """Mean squared magnitude in each coefficient's window, zeros beyond the band."""
     radius = WIDE_RADIUS if n_levels > WIDE_LEVELS else n_levels
+    # a band is a frame of its own; its name must tell apart any keys
     power = coefficients.selectExpr(
-        "concat_ws('|', dataset, layer, level, band) AS dataset", "'p' AS channel", "y", "x",
+        f"to_json(struct({', '.join(BAND)})) AS dataset", "'p' AS channel", "y", "x",
         "re * re + im * im AS value",
     )
     shape = power.groupBy("dataset").agg(
         F.expr("int(max(y) + 1) AS height"), F.expr("int(max(x) + 1) AS width")
     )
     mean = uniform_filter(power, shape, 2 * radius + 1)
-    return mean.selectExpr(
-        "split(dataset, '[|]')[0] AS dataset", "split(dataset, '[|]')[1] AS layer",
-        "int(split(dataset, '[|]')[2]) AS level", "int(split(dataset, '[|]')[3]) AS band",
-        "y", "x", "value AS noise",
-    )
+    key = "from_json(dataset, 'dataset string, layer string, level int, band int') AS k"
+    return mean.selectExpr(key, "y", "x", "value AS noise").selectExpr("k.*", "y", "x", "noise")
 
 
 def interscale_shrinkage(
@@ -208,8 +206,10 @@ def apply_wavelet(
     """
     if block & (block - 1) or block < 1 << levels:
         raise ValueError(f"block must be a power of two of at least {1 << levels}")
+    # a channel's planes are filtered by themselves: below, ``dataset`` names both
+    both = "to_json(struct(dataset, channel)) AS dataset"
     source = fourier_rescale(phasor, intensity)
-    stable = source.selectExpr("dataset", "layer", "y", "x", f"{anscombe_sql('value')} AS value")
+    stable = source.selectExpr(both, "layer", "y", "x", f"{anscombe_sql('value')} AS value")
     raw = durable(forward_blocks(stable, forward, levels, block))
     # Each block's band is a frame of its own: the layer name carries the block.
     keyed = raw.filter("level >= 0").selectExpr(
@@ -230,10 +230,11 @@ def apply_wavelet(
     sized = shrunk.join(size, ["dataset", "layer", "level", "band", "by", "bx"])
     whole = sized.unionByName(raw.filter("level < 0"))
     planes = inverse_blocks(whole, inverse, block).selectExpr(
-        "dataset", "layer", "y", "x", f"{inverse_anscombe_sql('value')} AS value"
-    )
+        "from_json(dataset, 'dataset string, channel string') AS k", "layer", "y", "x",
+        f"{inverse_anscombe_sql('value')} AS value",
+    ).selectExpr("k.*", "layer", "y", "x", "value")
     kept = phasor.select("dataset", "channel", "y", "x", "g", "s")
-    out = kept.join(recover_phasor(planes), ["dataset", "y", "x"])
+    out = kept.join(recover_phasor(planes), ["dataset", "channel", "y", "x"])
     if frequency_mhz:
         f = f"{float(frequency_mhz)}D"
         out = out.selectExpr(

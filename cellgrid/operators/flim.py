@@ -19,6 +19,8 @@ S_RANGE = (0.0, 0.7)
 HISTOGRAM_BINS = 300
 MAX_LIFETIME_NS = 50.0
 
+CHANNEL = ["dataset", "channel"]
+
 
 def decay_to_intensity(decay: DataFrame) -> DataFrame:
     """Photons per pixel: the sum over time bins."""
@@ -184,7 +186,7 @@ def overlay_rois(
     ids: DataFrame | list[int] | None = None,
     name: str = "phasor_roi",
 ) -> DataFrame:
-    """One multi-label mask of the visible regions; a later region overwrites earlier ones.
+    """One multi-label mask per channel of the visible regions; a later region overwrites earlier ones.
 
     Regions are a short user-drawn list, so they become one narrow expression.
     """
@@ -192,7 +194,7 @@ def overlay_rois(
     for roi in _visible(rois):
         value = f"if({_roi_predicate(roi)}, {int(roi['label'])}, {value})"
     mask = phasor.selectExpr(
-        "dataset", f"{text_literal(name)} AS mask", "y", "x", f"smallint({value}) AS value"
+        "dataset", "channel", f"{text_literal(name)} AS mask", "y", "x", f"smallint({value}) AS value"
     ).filter("value > 0")
     if ids is not None and labels is not None:
         kept = filter_cells(labels, ids).select("dataset", "y", "x")
@@ -201,24 +203,24 @@ def overlay_rois(
 
 
 def roi_masks_separate(phasor: DataFrame, rois: list[dict]) -> DataFrame:
-    """One binary mask per visible region, named by the region; overlaps are kept in each."""
+    """One binary mask per channel and visible region, named by the region; overlaps are kept in each."""
     hits = [f"if({_roi_predicate(r)}, {text_literal(r['name'])}, NULL)" for r in _visible(rois)]
     if not hits:
         return phasor.filter("false").selectExpr(
-            "dataset", "'' AS mask", "y", "x", "smallint(1) AS value"
+            "dataset", "channel", "'' AS mask", "y", "x", "smallint(1) AS value"
         )
     return phasor.selectExpr(
-        "dataset", f"explode(array_compact(array({', '.join(hits)}))) AS mask", "y", "x"
-    ).selectExpr("dataset", "mask", "y", "x", "smallint(1) AS value")
+        "dataset", "channel", f"explode(array_compact(array({', '.join(hits)}))) AS mask", "y", "x"
+    ).selectExpr("dataset", "channel", "mask", "y", "x", "smallint(1) AS value")
 
 
 def roi_pixel_stats(phasor: DataFrame, rois: list[dict]) -> DataFrame:
-    """Pixels of each visible region in the overlay and their share of valid pixels."""
+    """Pixels of each visible region in a channel's overlay and their share of its valid pixels."""
     value = "0"
     for roi in _visible(rois):
         value = f"if({_roi_predicate(roi)}, {int(roi['label'])}, {value})"
     valid = "abs(g) < double('Infinity') AND g <> 0"
-    counts = phasor.selectExpr("dataset", f"{value} AS v", f"{valid} AS ok").groupBy("dataset").agg(
+    counts = phasor.selectExpr(*CHANNEL, f"{value} AS v", f"{valid} AS ok").groupBy(*CHANNEL).agg(
         F.expr("count_if(ok) AS _valid"),
         *[F.expr(f"count_if(v = {int(r['label'])}) AS `_n{int(r['label'])}`") for r in _visible(rois)],
     )
@@ -226,39 +228,50 @@ def roi_pixel_stats(phasor: DataFrame, rois: list[dict]) -> DataFrame:
         f"{int(r['label'])}, {text_literal(r['name'])}, `_n{int(r['label'])}`" for r in _visible(rois)
     )
     return counts.selectExpr(
-        "dataset", "_valid", f"stack({len(_visible(rois))}, {pairs}) AS (label, name, n_pixels)"
+        *CHANNEL, "_valid", f"stack({len(_visible(rois))}, {pairs}) AS (label, name, n_pixels)"
     ).selectExpr(
-        "dataset", "label", "name", "n_pixels", "n_pixels * 100D / greatest(_valid, 1L) AS percent"
+        *CHANNEL, "label", "name", "n_pixels", "n_pixels * 100D / greatest(_valid, 1L) AS percent"
     )
 
 
 def measure_phasor_per_cell(
     phasor: DataFrame, labels: DataFrame, intensity: DataFrame | None = None
 ) -> DataFrame:
-    """Mean phasor per cell (photon-weighted if given), spread and valid pixel count."""
-    df = labels.filter("label > 0").select("dataset", "y", "x", "label").join(
-        phasor.select("dataset", "y", "x", "g", "s"), ["dataset", "y", "x"], "left"
-    )
+    """Mean phasor per cell and channel (photon-weighted if given), spread and valid pixel count.
+
+    Every cell of a dataset has a row for each of the dataset's channels, and
+    one without a channel if there is no phasor of the dataset.
+    """
+    at = ["dataset", "y", "x"]
+    labels = labels.filter("label > 0").select(*at, "label")
+    df = labels.join(phasor.select(*CHANNEL, "y", "x", "g", "s"), at)
     if intensity is not None:
-        weight = intensity.selectExpr("dataset", "y", "x", "value AS w")
-        df = df.join(weight, ["dataset", "y", "x"], "left")
+        weight = intensity.selectExpr(*CHANNEL, "y", "x", "value AS w")
+        df = df.join(weight, [*CHANNEL, "y", "x"], "left")
     ok = "abs(g) < double('Infinity') AND abs(s) < double('Infinity')"
     seen = df.selectExpr(
-        "dataset", "label", f"if({ok}, g, NULL) AS g", f"if({ok}, s, NULL) AS s",
+        *CHANNEL, "label", f"if({ok}, g, NULL) AS g", f"if({ok}, s, NULL) AS s",
         f"if({ok}, {'w' if intensity is not None else '1D'}, NULL) AS w",
     )
-    table = seen.groupBy("dataset", "label").agg(
+    found = seen.groupBy(*CHANNEL, "label").agg(
         F.expr("avg(g) AS ug"), F.expr("avg(s) AS us"),
         F.expr("sum(g * w) AS wg"), F.expr("sum(s * w) AS ws"), F.expr("sum(w) AS w"),
         F.expr("sqrt(var_pop(g) + var_pop(s)) AS spread"),
         F.expr("int(count(g)) AS n_valid_pixels"),
     )
+    # a few channels per dataset; cells without a phasor pixel keep their row
+    channels = phasor.select(*CHANNEL).distinct()
+    cells = labels.select("dataset", "label").distinct().join(channels, "dataset", "left")
+    same = F.expr("c.dataset = f.dataset AND c.channel <=> f.channel AND c.label = f.label")
+    table = cells.alias("c").join(found.alias("f"), same, "left").selectExpr(
+        "c.dataset", "c.channel", "c.label", "ug", "us", "wg", "ws", "w", "spread", "coalesce(n_valid_pixels, 0) AS n_valid_pixels"
+    )
     if intensity is not None:
         g, s = "if(w > 0, try_divide(wg, w), ug)", "if(w > 0, try_divide(ws, w), us)"
     else:
         g, s = "ug", "us"
     return table.selectExpr(
-        "dataset", "label",
+        *CHANNEL, "label",
         f"coalesce({g}, {NAN_SQL}) AS g_mean", f"coalesce({s}, {NAN_SQL}) AS s_mean",
         f"coalesce(spread, {NAN_SQL}) AS phasor_spread", "n_valid_pixels",
     )
@@ -270,15 +283,15 @@ def phasor_histogram2d(
     labels: DataFrame | None = None,
     ids: DataFrame | list[int] | None = None,
     bins: int = HISTOGRAM_BINS,
-    keys: list[str] = ("dataset",),
+    keys: list[str] = ("dataset", "channel"),
 ) -> DataFrame:
-    """Photon-weighted 2-D histogram of (g, s) with its log display value; filled bins only."""
+    """Photon-weighted 2-D histogram of (g, s) per channel with its log display value; filled bins only."""
     df = phasor.filter("abs(g) < double('Infinity') AND abs(s) < double('Infinity') AND g <> 0")
     if ids is not None and labels is not None:
         kept = filter_cells(labels, ids).select("dataset", "y", "x")
         df = df.join(kept, ["dataset", "y", "x"], "left_semi")
     if intensity is not None:
-        df = df.join(intensity.selectExpr("dataset", "y", "x", "value AS w"), ["dataset", "y", "x"])
+        df = df.join(intensity.selectExpr(*CHANNEL, "y", "x", "value AS w"), [*CHANNEL, "y", "x"])
     else:
         df = df.withColumn("w", F.lit(1.0))
     (g0, g1), (s0, s1) = G_RANGE, S_RANGE

@@ -369,13 +369,18 @@ def group_histogram(grouped: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def silhouette_1d(grouped: DataFrame, n_groups: int) -> DataFrame:
-    """Exact mean silhouette per dataset without pairwise distances."""
+    """Exact mean silhouette per dataset without pairwise distances.
+
+    Equal values of a group are counted before any ordering, so a dataset of
+    very many equal cells orders a few rows.
+    """
     groups = range(1, n_groups + 1)
+    counted = grouped.groupBy("dataset", "grp", "value").agg(F.count("*").alias("times"))
     amounts = {}
     for g in groups:
-        amounts[f"n{g}"] = f"if(grp = {g}, 1L, 0L)"
-        amounts[f"s{g}"] = f"if(grp = {g}, value, 0D)"
-    run = running_totals(grouped, ["dataset"], value_bucket("value"), "value", amounts)
+        amounts[f"n{g}"] = f"if(grp = {g}, times, 0L)"
+        amounts[f"s{g}"] = f"if(grp = {g}, value * times, 0D)"
+    run = running_totals(counted, ["dataset"], value_bucket("value"), "value", amounts)
     far = [
         f"(value * cum_n{g} - cum_s{g} + (tot_s{g} - cum_s{g}) - value * (tot_n{g} - cum_n{g}))"
         for g in groups
@@ -387,10 +392,10 @@ def silhouette_1d(grouped: DataFrame, n_groups: int) -> DataFrame:
     )
     nearest = f"array_min(array({others}))"
     scored = run.selectExpr(
-        "dataset", f"{size} AS size", f"try_divide({own}, {size} - 1) AS a", f"{nearest} AS b"
+        "dataset", "times", f"{size} AS size", f"try_divide({own}, {size} - 1) AS a", f"{nearest} AS b"
     )
     score = "if(size <= 1 OR b IS NULL, 0D, coalesce(try_divide(b - a, greatest(a, b)), 0D))"
-    return scored.groupBy("dataset").agg(F.expr(f"avg({score}) AS silhouette"))
+    return scored.groupBy("dataset").agg(F.expr(f"sum({score} * times) / sum(times) AS silhouette"))
 
 
 def next_mask_name(base: str, existing: list[str]) -> str:

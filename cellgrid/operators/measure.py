@@ -214,9 +214,10 @@ def merged_parts(parts: DataFrame, ranks: DataFrame | None) -> DataFrame:
 def ranks_across_blocks(scenes: DataFrame, parts: DataFrame, channels: list[str] | None, regions: list[tuple]) -> DataFrame | None:
     """Median, mode and ratio of the cells that lie in several blocks, or None without such cells."""
     outlines = parts.where(f"scope = {GEOMETRY_SCOPE}").select(*SC.KEY, "label")
-    spanning = durable(outlines.groupBy(*CELL).count().where("count > 1").select(*CELL))
+    spanning = outlines.groupBy(*CELL).count().where("count > 1").select(*CELL)
     if spanning.isEmpty():
         return None
+    spanning = durable(spanning)
     wanted = outlines.join(spanning, CELL, "left_semi").groupBy(*SC.KEY).agg(F.collect_list("label").alias("wanted"))
     schema = to_arrow_schema(StructType.fromDDL(VALUES))
 
@@ -285,16 +286,19 @@ def measure_scenes(
     )
 
 
-def _stat_columns(channel: str, names: list[str], scopes: list[M.Scope], prefix: str = "") -> list[str]:
-    """SQL of the built-in metric columns of one channel."""
-    out = []
-    for i, s in enumerate(scopes):
-        entry = "stats['" + channel.replace("\\", "\\\\").replace("'", "\\'") + f"|{i}']"
-        wanted = [m for m in names if m in M.METRICS and not (s.key == "cell" and m == "area")]
-        if s.always_area and "area" not in wanted:
-            wanted = ["area", *wanted]
-        out += [f"{M.metric_of_stats(m, s, entry)} AS {identifier(prefix + s.column(m))}" for m in wanted]
-    return out
+def with_metrics(cells: DataFrame, channels: dict[str, str], names: list[str], scopes: list[M.Scope]) -> DataFrame:
+    """Core and built-in metric columns; ``channels`` gives each channel's column prefix."""
+    core = [c for c in M.CORE_COLUMNS if c != "label"]
+    entries, columns = [], []
+    for at, (channel, prefix) in enumerate(channels.items()):
+        for i, s in enumerate(scopes):
+            key = f"{channel}|{i}".replace("\\", "\\\\").replace("'", "\\'")
+            entries.append(f"stats['{key}'] AS e{at}_{i}")
+            wanted = [m for m in names if m in M.METRICS and not (s.key == "cell" and m == "area")]
+            if s.always_area and "area" not in wanted:
+                wanted = ["area", *wanted]
+            columns += [f"{M.metric_of_stats(m, s, f'e{at}_{i}')} AS {identifier(prefix + s.column(m))}" for m in wanted]
+    return cells.selectExpr(*CELL, *core, *entries).selectExpr(*CELL, *core, *columns)
 
 
 def custom_columns(scoped: DataFrame, keys: list[str], names: list[str], scopes: list[M.Scope]) -> DataFrame | None:
@@ -364,7 +368,7 @@ def _measure_one(pixels, labels, masks, names, scopes, columns, side) -> DataFra
         scenes = durable(scenes)
     cells = measure_scenes(scenes, None, names, scopes).where("stats['|0'] IS NOT NULL")
     core = [c for c in M.CORE_COLUMNS if c != "label"]
-    out = cells.selectExpr(*CELL, *core, *_stat_columns("", names, scopes))
+    out = with_metrics(cells, {"": ""}, names, scopes)
     custom = custom_columns(_flagged(scope_pixels(pixels, labels), masks, scopes), CELL, names, scopes)
     if custom is not None:
         out = out.join(custom, CELL)
@@ -453,9 +457,7 @@ def _measure_channels(pixels, labels, masks, channels, names, scopes, columns, s
 
 def measure_stored(scenes: DataFrame, channels: list[str], names: list[str], scopes: list[M.Scope]) -> DataFrame:
     """Built-in metrics of stored scenes, with no exchange of pixels or labels."""
-    cells = measure_scenes(scenes, channels, names, scopes)
-    core = [c for c in M.CORE_COLUMNS if c != "label"]
-    return cells.selectExpr(*CELL, *core, *[c for ch in channels for c in _stat_columns(ch, names, scopes, f"{ch}_")])
+    return with_metrics(measure_scenes(scenes, channels, names, scopes), {c: f"{c}_" for c in channels}, names, scopes)
 
 
 def measure_multichannel(

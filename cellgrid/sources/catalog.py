@@ -7,6 +7,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellgrid.operators.scenes import scenes
 from cellgrid.session import durable, read_text_partitions
 from cellgrid.sources import model
 
@@ -94,6 +95,16 @@ class LayerStore:
             .saveAsTable(table)
         )
 
+    def write_scenes(self, pixels: DataFrame, labels: DataFrame | None = None, masks: DataFrame | None = None) -> None:
+        """Replace the block layout of the datasets in ``pixels``; measuring it moves no pixels."""
+        (
+            scenes(pixels, labels, masks).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(self.path("scenes"))
+        )
+
+    def read_scenes(self) -> DataFrame:
+        return read_text_partitions(self.spark, self.path("scenes"))
+
     def read_layer(self, kind: str, dataset: str | None = None, name: str | None = None) -> DataFrame:
         """Rows of one kind, pruned to a dataset and layer; an unknown name is an error."""
         column = KINDS[kind][0]

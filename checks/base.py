@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType
 
-from cellgrid.session import configure
+from cellgrid.session import configure, ensure_checkpoint_dir
 
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
+def scratch(spark) -> str:
+    """A new folder in the cluster's shared checkpoint area."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, so that summation order does not matter."""
     return df.selectExpr(

@@ -172,7 +172,7 @@ def _ellipse(spark, sf):
     " CAST(v AS SMALLINT) AS value FROM o WHERE v > 0 AND label IN (2, 3, 5)",
 )
 def _overlay(spark, sf):
-    return FL.overlay_rois(phasor(spark, sf), ROIS, t.decay_labels(spark, sf), [2, 3, 5])
+    return FL.overlay_rois(phasor(spark, sf), ROIS, t.decay_labels(spark, sf), [2, 3, 5]).drop("channel")
 
 
 @case(
@@ -181,7 +181,7 @@ def _overlay(spark, sf):
     f" UNION ALL SELECT dataset, 'two', y, x, CAST(1 AS SMALLINT) FROM ph WHERE {in_roi(ROIS[1])}",
 )
 def _separate(spark, sf):
-    return FL.roi_masks_separate(phasor(spark, sf), ROIS)
+    return FL.roi_masks_separate(phasor(spark, sf), ROIS).drop("channel")
 
 
 @case(
@@ -192,7 +192,7 @@ def _separate(spark, sf):
     " UNION ALL SELECT dataset, 2, 'two', b, round(b * 100.0::DOUBLE / t, 6) FROM n",
 )
 def _roi_stats(spark, sf):
-    return FL.roi_pixel_stats(phasor(spark, sf), ROIS)
+    return FL.roi_pixel_stats(phasor(spark, sf), ROIS).drop("channel")
 
 
 @case(
@@ -203,7 +203,7 @@ def _roi_stats(spark, sf):
     " CAST(count(*) FILTER (n > 0) AS INTEGER) AS n_valid_pixels FROM ph GROUP BY dataset, label",
 )
 def _per_cell(spark, sf):
-    return FL.measure_phasor_per_cell(phasor(spark, sf), t.decay_labels(spark, sf), photons(spark, sf))
+    return FL.measure_phasor_per_cell(phasor(spark, sf), t.decay_labels(spark, sf), photons(spark, sf)).drop("channel")
 
 
 @case(
@@ -214,7 +214,7 @@ def _per_cell(spark, sf):
     " SELECT dataset, g_bin, s_bin, sum(n) AS weight, round(ln(1 + sum(n)), 6) AS display FROM b GROUP BY ALL",
 )
 def _hist2d(spark, sf):
-    return FL.phasor_histogram2d(phasor(spark, sf), photons(spark, sf))
+    return FL.phasor_histogram2d(phasor(spark, sf), photons(spark, sf)).drop("channel")
 
 
 # denoising ----------------------------------------------------------------------
@@ -243,7 +243,7 @@ def _inverse(spark, sf):
     " SELECT dataset, 'fi', round(s * n, 6), y, x FROM ph UNION ALL SELECT dataset, 'in', n, y, x FROM ph",
 )
 def _rescale(spark, sf):
-    return DN.fourier_rescale(phasor(spark, sf), photons(spark, sf))
+    return DN.fourier_rescale(phasor(spark, sf), photons(spark, sf)).drop("channel")
 
 
 @case(
@@ -252,7 +252,7 @@ def _rescale(spark, sf):
     " CASE WHEN n > 0 THEN round(s, 6) ELSE 0 END AS s_filtered FROM ph",
 )
 def _recover(spark, sf):
-    return DN.recover_phasor(DN.fourier_rescale(phasor(spark, sf), photons(spark, sf)))
+    return DN.recover_phasor(DN.fourier_rescale(phasor(spark, sf), photons(spark, sf))).drop("channel")
 
 
 def coefficients(spark, sf):
@@ -348,6 +348,100 @@ def _wavelet(spark, sf):
     ph = phasor(spark, sf).selectExpr("dataset", "channel", "y", "x", "nanvl(g, 0D) AS g", "nanvl(s, 0D) AS s")
     return DN.apply_wavelet(ph, photons(spark, sf), haar_forward, haar_inverse, 2, 80.0, 32)
 
+# two channels ---------------------------------------------------------------------
+def decay2(spark, sf):
+    """A second channel with reversed and tripled decays of the even columns."""
+    a = decay(spark, sf)
+    b = a.filter("x % 2 = 0").selectExpr(
+        "dataset", "'B' AS channel", "y", "x", "reverse(transform(counts, c -> 3 * c)) AS counts"
+    )
+    return a.unionByName(b)
+
+
+def phasor2(spark, sf):
+    return FL.compute_phasor(decay2(spark, sf), BINS)
+
+
+def photons2(spark, sf):
+    return FL.decay_to_intensity(decay2(spark, sf))
+
+
+PHASOR2 = PHASOR.replace(
+    "p0 AS (SELECT dataset, y, x, label,",
+    "d2 AS (SELECT *, 'A' AS channel FROM dz UNION ALL SELECT dataset, y, x, label,"
+    " list_reverse(list_transform(counts, lambda c: 3 * c)) AS counts, 'B' AS channel FROM dz WHERE x % 2 = 0),"
+    " p0 AS (SELECT dataset, channel, y, x, label,",
+).replace("AS sn FROM dz)", "AS sn FROM d2)").replace("ph AS (SELECT dataset, y, x, label, n,", "ph AS (SELECT dataset, channel, y, x, label, n,")
+
+
+@case(
+    "overlay_rois_two_channels",
+    PHASOR2 + f", o AS (SELECT *, {OVERLAY} AS v FROM ph) SELECT dataset, channel, 'phasor_roi' AS mask, y, x,"
+    " CAST(v AS SMALLINT) AS value FROM o WHERE v > 0 AND label IN (2, 3, 5)",
+)
+def _overlay2(spark, sf):
+    return FL.overlay_rois(phasor2(spark, sf), ROIS, t.decay_labels(spark, sf), [2, 3, 5])
+
+
+@case(
+    "roi_masks_separate_two_channels",
+    PHASOR2 + f"SELECT dataset, channel, 'one' AS mask, y, x, CAST(1 AS SMALLINT) AS value FROM ph WHERE {in_roi(ROIS[0])}"
+    f" UNION ALL SELECT dataset, channel, 'two', y, x, CAST(1 AS SMALLINT) FROM ph WHERE {in_roi(ROIS[1])}",
+)
+def _separate2(spark, sf):
+    return FL.roi_masks_separate(phasor2(spark, sf), ROIS)
+
+
+@case(
+    "roi_pixel_stats_two_channels",
+    PHASOR2 + f", o AS (SELECT dataset, channel, {OVERLAY} AS v, NOT isnan(g) AND g <> 0 AS ok FROM ph),"
+    " n AS (SELECT dataset, channel, count(*) FILTER (ok) AS t, count(*) FILTER (v = 1) AS a, count(*) FILTER (v = 2) AS b FROM o GROUP BY ALL)"
+    " SELECT dataset, channel, 1 AS label, 'one' AS name, a AS n_pixels, round(a * 100.0::DOUBLE / greatest(t, 1), 6) AS percent FROM n"
+    " UNION ALL SELECT dataset, channel, 2, 'two', b, round(b * 100.0::DOUBLE / greatest(t, 1), 6) FROM n",
+)
+def _roi_stats2(spark, sf):
+    return FL.roi_pixel_stats(phasor2(spark, sf), ROIS)
+
+
+@case(
+    "measure_phasor_per_cell_two_channels",
+    PHASOR2 + "SELECT dataset, channel, label, coalesce(round(sum(g * n) FILTER (n > 0) / sum(n) FILTER (n > 0), 6), 'NaN'::DOUBLE) AS g_mean,"
+    " coalesce(round(sum(s * n) FILTER (n > 0) / sum(n) FILTER (n > 0), 6), 'NaN'::DOUBLE) AS s_mean,"
+    " coalesce(round(sqrt(var_pop(g) FILTER (n > 0) + var_pop(s) FILTER (n > 0)), 6), 'NaN'::DOUBLE) AS phasor_spread,"
+    " CAST(count(*) FILTER (n > 0) AS INTEGER) AS n_valid_pixels FROM ph GROUP BY dataset, channel, label",
+)
+def _per_cell2(spark, sf):
+    return FL.measure_phasor_per_cell(phasor2(spark, sf), t.decay_labels(spark, sf), photons2(spark, sf))
+
+
+@case(
+    "phasor_histogram2d_two_channels",
+    PHASOR2 + ", b AS (SELECT dataset, channel, CAST(least(floor((g + 0.005::DOUBLE) * 300 / (1.005::DOUBLE + 0.005::DOUBLE)), 299) AS INTEGER) AS g_bin,"
+    " CAST(least(floor(s * 300 / 0.7::DOUBLE), 299) AS INTEGER) AS s_bin, n FROM ph WHERE NOT isnan(g) AND g <> 0"
+    " AND g BETWEEN -0.005 AND 1.005 AND s BETWEEN 0 AND 0.7)"
+    " SELECT dataset, channel, g_bin, s_bin, sum(n) AS weight, round(ln(1 + sum(n)), 6) AS display FROM b GROUP BY ALL",
+)
+def _hist2d2(spark, sf):
+    return FL.phasor_histogram2d(phasor2(spark, sf), photons2(spark, sf))
+
+
+@case(
+    "fourier_rescale_two_channels",
+    PHASOR2 + "SELECT dataset, channel, 'fr' AS layer, round(g * n, 6) AS value, y, x FROM ph UNION ALL"
+    " SELECT dataset, channel, 'fi', round(s * n, 6), y, x FROM ph UNION ALL SELECT dataset, channel, 'in', n, y, x FROM ph",
+)
+def _rescale2(spark, sf):
+    return DN.fourier_rescale(phasor2(spark, sf), photons2(spark, sf))
+
+
+@case(
+    "recover_phasor_two_channels",
+    PHASOR2 + "SELECT dataset, channel, y, x, CASE WHEN n > 0 THEN round(g, 6) ELSE 0 END AS g_filtered,"
+    " CASE WHEN n > 0 THEN round(s, 6) ELSE 0 END AS s_filtered FROM ph",
+)
+def _recover2(spark, sf):
+    return DN.recover_phasor(DN.fourier_rescale(phasor2(spark, sf), photons2(spark, sf)))
+
 
 # grouping -------------------------------------------------------------------------
 def cell_means(spark, sf):

@@ -6,32 +6,24 @@ Write-then-read queries use a fresh folder below the session's shared scratch.
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from cellgrid.operators import select as SL
 from cellgrid.plans import pipelines as P
-from cellgrid.session import ensure_checkpoint_dir
 from cellgrid.sources import exports as EX
 from cellgrid.sources import files as FS
 from cellgrid.sources import ingest as IN
 from cellgrid.sources import project as PR
 from cellgrid.sources import tables as t
 from cellgrid.sources.catalog import LayerStore, append_channel, delete_channel, rename_channel, set_metadata
-from checks.base import CTES, case, ctes
+from checks.base import CTES, case, ctes, scratch
 from checks.flim_cases import SCALE, cell_means, kmeans_sql
 from checks.image_cases import CC_SQL, EDGE, hist_sql, otsu_sql
 from checks.measure_cases import PART_SQL, SUMMARY_SQL, fixed_groups, masked, regions, two_masks, whole, wide_sql
 
 
-def scratch(spark) -> str:
-    """A new folder in the cluster's shared checkpoint area."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
-
-
 # files ----------------------------------------------------------------------------
 @case("scan_file_list", ctes("files") + " SELECT path FROM files UNION ALL SELECT replace(path, '.tif', '.TIFF') FROM files")
 def _scan_list(spark, sf):

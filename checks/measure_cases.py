@@ -10,7 +10,8 @@ from cellgrid.operators import measure as MS
 from cellgrid.operators import particles as PT
 from cellgrid.operators.components import connected_components
 from cellgrid.sources import tables as t
-from checks.base import case, ctes
+from cellgrid.sources.catalog import LayerStore
+from checks.base import case, ctes, scratch
 
 CORE = [c for c in M.CORE_COLUMNS if c != "label"]
 K = "dataset, label, channel, scope"
@@ -184,6 +185,48 @@ def flagship(spark, sf):
     )
 
 
+@case(
+    "measure_stored_scenes",
+    wide_sql(
+        [c for ch in "AB" for c in whole(ALL, ch, f"{ch}_") + _rounds(ch, f"{ch}_")],
+        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab",
+    ),
+)
+def _stored_scenes(spark, sf):
+    store = LayerStore(spark, scratch(spark))
+    store.write_scenes(t.pixels_ab(spark, sf), t.labels(spark, sf), two_masks(spark, sf))
+    scopes = [M.whole(), *MS.mask_scopes(["hi", "vhi"])]
+    return MS.measure_stored(store.read_scenes(), ["A", "B"], ALL, scopes)
+
+
+@case(
+    "measure_cells_across_blocks",
+    wide_sql(whole(ALL) + masked(ALL, "hi", "nothi", MASK_NAMES), ["cell", "hi", "nothi"], "pa"),
+)
+def _across_blocks(spark, sf):
+    """Blocks of 3 x 3, so that every cell spans several."""
+    return MS.measure_cells(t.pixels(spark, sf), t.labels(spark, sf), None, t.mask(spark, sf), side=3)
+
+
+@case(
+    "measure_hot_value",
+    "WITH px AS (SELECT CASE WHEN event_id % 10 < 9 THEN 7.5 ELSE value END AS v FROM events)"
+    " SELECT 'all' AS dataset, 1 AS label, CAST(count(*) AS DOUBLE) AS area, round(avg(v), 6) AS mean_intensity,"
+    " round(quantile_cont(v, 0.5), 6) AS median_intensity, mode(v) AS mode_intensity,"
+    " round((SELECT avg(v) FROM px WHERE v >= (SELECT quantile_cont(v, 0.95) FROM px))"
+    " / (SELECT avg(v) FROM px WHERE v <= (SELECT quantile_cont(v, 0.5) FROM px)), 6) AS sg_ratio FROM px",
+)
+def _hot_value(spark, sf):
+    """One cell of all rows, nine tenths of them one value, over many blocks."""
+    rows = t.read(spark, sf, "events").selectExpr(
+        "'all' AS dataset", "'A' AS channel", "int(event_id div 100) AS y", "int(event_id % 100) AS x",
+        "if(event_id % 10 < 9, 7.5D, value) AS value",
+    )
+    labels = rows.selectExpr("dataset", "'s' AS seg", "y", "x", "1 AS label")
+    names = ["mean_intensity", "median_intensity", "mode_intensity", "sg_ratio"]
+    return MS.measure_cells(rows, labels, names, side=64).select("dataset", "label", "area", *names)
+
+
 @case(
     "custom_metric",
     wide_sql([("range_intensity", "max_intensity - min_intensity", "A", "cell", "0")], ["cell"], "pa"),

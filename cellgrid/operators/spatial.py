@@ -161,11 +161,10 @@ def project_z(slices: DataFrame, method: str = "mip") -> DataFrame:
     return slices.groupBy("dataset", "channel", "y", "x").agg(F.expr(f"{how[method]} AS value"))
 
 
-def tile_positions(
-    df: DataFrame, rows: int, cols: int, grid_type: str = "row_by_row", order: str = "right_down",
-    index: str = "tile",
-) -> DataFrame:
-    """Add the grid ``row, col`` of a 0-based tile index; indexes beyond the grid drop out."""
+def tile_place(
+    rows: int, cols: int, grid_type: str = "row_by_row", order: str = "right_down", index: str = "tile"
+) -> tuple[str, str]:
+    """SQL of the grid row and column of a 0-based tile index; unknown names are an error."""
     if grid_type not in GRID_TYPES:
         raise ValueError(f"{grid_type!r} is no scan pattern: {sorted(GRID_TYPES)}")
     if order not in START_CORNERS:
@@ -178,13 +177,35 @@ def tile_positions(
     if grid_type.startswith("snake"):
         minor = f"if({major} % 2 = 0, {minor}, {length - 1} - {minor})"
     r, c = (major, minor) if by_row else (minor, major)
-    row = f"{rows - 1} - {r}" if bottom else r
-    col = f"{cols - 1} - {c}" if right else c
+    return (f"{rows - 1} - {r}" if bottom else r), (f"{cols - 1} - {c}" if right else c)
+
+
+def tile_positions(
+    df: DataFrame, rows: int, cols: int, grid_type: str = "row_by_row", order: str = "right_down",
+    index: str = "tile",
+) -> DataFrame:
+    """Add the grid ``row, col`` of a 0-based tile index; indexes beyond the grid drop out."""
+    row, col = tile_place(rows, cols, grid_type, order, index)
     return df.filter(f"{index} >= 0 AND {index} < {rows * cols}").selectExpr(
         "*", f"int({row}) AS row", f"int({col}) AS col"
     )
 
 
+def tile_sizes(tiles: DataFrame) -> DataFrame:
+    return tiles.groupBy("dataset", "channel", "tile").agg(F.expr("max(y) + 1 AS th"), F.expr("max(x) + 1 AS tw"))
+
+
+def mismatched_tiles(tiles: DataFrame) -> DataFrame:
+    """``(dataset, error)`` of every tile, larger or smaller, that has not the size of its plane's first tile."""
+    sizes = tile_sizes(tiles)
+    plane = sizes.groupBy("dataset", "channel").agg(F.expr("min_by(struct(th, tw), tile) AS s"))
+    wrong = attach(sizes, plane, ["dataset", "channel"]).filter("th <> s.th OR tw <> s.tw")
+    return wrong.selectExpr(
+        "dataset", "concat('tile ', tile, ' of channel ', channel, ' is ', if(th > s.th OR tw > s.tw, 'larger', 'smaller'),"
+        " ' than the first one: ', th, ' x ', tw, ' pixels, not ', s.th, ' x ', s.tw) AS error"
+    )
+
+
 def rebase_tiles(df: DataFrame, keys: list[str] = ("dataset", "channel")) -> DataFrame:
     """Shift tile indexes so each key starts at 0 (only when its minimum is above 0)."""
     first = df.groupBy(*keys).agg(F.min("tile").alias("_first"))
@@ -202,29 +223,26 @@ def assemble_tiles(
     grid_type: str = "row_by_row",
     order: str = "right_down",
     shape: tuple[int, int] | None = None,
+    value: str = "value",
 ) -> DataFrame:
     """Shift tile pixels to their place in the stitched frame.
 
     Every tile has the first tile's shape (given, or taken from the data); a
-    pixel of a tile beyond it stops the job.
+    pixel beyond it is an error here, and ``mismatched_tiles`` finds such tiles
+    beforehand.  ``value`` may be an array column, such as decays.
     Missing tiles stay absent; ``densify`` fills them with zeros on request.
     """
     placed = tile_positions(tiles, rows, cols, grid_type, order)
     if shape is not None:
         placed = placed.selectExpr("*", f"{shape[0]} AS _h", f"{shape[1]} AS _w")
     else:
-        first = (
-            tiles.groupBy("dataset", "channel", "tile")
-            .agg(F.expr("max(y) + 1 AS th"), F.expr("max(x) + 1 AS tw"))
-            .groupBy("dataset", "channel")
-            .agg(F.expr("min_by(struct(th, tw), tile) AS s"))
-        )
+        first = tile_sizes(tiles).groupBy("dataset", "channel").agg(F.expr("min_by(struct(th, tw), tile) AS s"))
         first = first.selectExpr("dataset", "channel", "s.th AS _h", "s.tw AS _w")
         placed = attach(placed, first, ["dataset", "channel"])
     told = "concat('tile ', tile, ' of ', dataset, ' is larger than the first one')"
     inside = f"if(y < _h AND x < _w, y, raise_error({told}))"
     return placed.selectExpr(
-        "dataset", "channel", f"int({inside} + row * _h) AS y", "int(x + col * _w) AS x", "value"
+        "dataset", "channel", f"int({inside} + row * _h) AS y", "int(x + col * _w) AS x", value
     )
 
 

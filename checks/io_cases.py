@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.operators import select as SL
 from cellgrid.plans import pipelines as P
+from cellgrid.session import durable
 from cellgrid.sources import exports as EX
 from cellgrid.sources import files as FS
 from cellgrid.sources import ingest as IN
@@ -170,6 +171,10 @@ def decode_text(content: bytes) -> np.ndarray:
     return np.array(content.decode().split(","), dtype=np.float64).reshape(20, 20)
 
 
+def decode_lines(content: bytes) -> np.ndarray:
+    return np.array(content.decode().split(","), dtype=np.float64).reshape(-1, 20)
+
+
 FULL = "fu AS (SELECT * FROM pa SEMI JOIN (SELECT dataset FROM pa GROUP BY ALL HAVING count(*) = 400) USING (dataset))"
 
 
@@ -232,6 +237,165 @@ def _batch(spark, sf):
     return status
 
 
+# files of all frames: three channels with planted faults ------------------------------
+def faulty_files(spark, sf):
+    """Frames as text files of three channels; an incomplete frame does not decode.
+
+    f1 is cut, f2 lacks channel 00, f3 holds a value no segmenter takes, f4 is
+    empty, f5 lacks channel 02, f6 has no number in channel 02, f7 lacks channel 01.
+    """
+    a = t.pixels(spark, sf).filter(
+        "channel = 'A'"
+    ).selectExpr(
+        "dataset", "explode(array('00', '01', '02')) AS ch", "y", "x", "value",
+    )
+    value = (
+        "CASE WHEN ch = '00' AND dataset = 'f3' AND y = 0 AND x = 0 THEN -1D WHEN ch = '00' AND dataset = 'f4' THEN 0D"
+        " WHEN ch = '00' THEN value WHEN ch = '01' THEN value * 2 + 1"
+        " WHEN dataset = 'f6' THEN double('NaN') ELSE value * 3 END AS value"
+    )
+    kept = a.filter(
+        "NOT (dataset = 'f2' AND ch = '00' OR dataset = 'f5' AND ch = '02' OR dataset = 'f7' AND ch = '01')"
+    ).selectExpr("dataset", "ch", "y", "x", value)
+    files = kept.groupBy("dataset", "ch").agg(F.expr("array_sort(collect_list(struct(y, x, value))) AS px"))
+    text = "array_join(transform(px, p -> string(p.value)), ',')"
+    return files.selectExpr(
+        "dataset", "concat(dataset, '_ch', ch, '.tif') AS path",
+        f"encode(if(dataset = 'f1' AND ch = '01', substr({text}, 1, 50), {text}), 'utf-8') AS content",
+    )
+
+
+FAULTS = (
+    "fa AS (SELECT dataset, CASE WHEN n < 400 OR dataset = 'f1' THEN 'compress_failed' WHEN dataset IN ('f2', 'f3') THEN 'segmentation_error'"
+    " WHEN dataset = 'f4' THEN 'segmentation_empty' WHEN dataset = 'f5' THEN 'threshold_error' WHEN dataset = 'f6' THEN 'threshold_empty'"
+    " WHEN dataset = 'f7' THEN 'measurement_error' END AS failure FROM (SELECT dataset, count(*) AS n FROM pa GROUP BY ALL))"
+)
+
+
+@case(
+    "batch_import_files",
+    ctes("pa") + f", {FAULTS}, nm AS (SELECT *, CASE WHEN dataset = 'f8' THEN 'renamed' ELSE dataset END AS named FROM fa)"
+    " SELECT named AS dataset, CASE WHEN named LIKE '%9' THEN 'skipped' WHEN failure = 'compress_failed' THEN 'failed' ELSE 'completed' END AS status,"
+    " CASE WHEN named LIKE '%9' THEN NULL ELSE nullif(failure, CASE WHEN failure = 'compress_failed' THEN '' ELSE failure END) END AS failure,"
+    " CASE WHEN named LIKE '%9' OR failure = 'compress_failed' THEN 0 ELSE 1200 - CASE WHEN dataset IN ('f2', 'f5', 'f7') THEN 400 ELSE 0 END END AS n_pixels"
+    " FROM nm",
+)
+def _batch_files(spark, sf):
+    files = faulty_files(spark, sf)
+    existing = files.select("dataset").distinct().filter("dataset LIKE '%9'")
+    specs = files.withColumn("new_name", F.expr("if(dataset = 'f8', 'renamed', '')"))
+    got, status = P.batch_import_files(specs, existing, decode_text)
+    counts = got.pixels.groupBy("dataset").agg(F.count("*").alias("n"))
+    return (
+        status.join(counts, "dataset", "left").join(got.failures.select("dataset", "failure"), "dataset", "left")
+        .selectExpr("dataset", "status", "failure", "int(coalesce(n, 0)) AS n_pixels")
+    )
+
+
+def grid_model():
+    """A segmenter of 4 x 4 squares that refuses negative light and sees nothing in the dark."""
+
+    def segment(image: np.ndarray) -> np.ndarray:
+        if image.min() < 0:
+            raise ValueError("negative light")
+        y, x = np.indices(image.shape)
+        return np.where((y % 5 < 4) & (x % 5 < 4) & (image.max() > 0), y // 5 * 4 + x // 5 + 1, 0)
+
+    return segment
+
+
+def faulty_run(spark, sf, output=None):
+    got = IN.import_dataset(faulty_files(spark, sf), decode_text, isolate=True)
+    pixels = durable(got.pixels)
+    rounds = [
+        P.ThresholdRound("bright", "ch00", "mean_intensity", "kmeans", n_clusters=2, sigma=0.0),
+        P.ThresholdRound("third", "ch02", "mean_intensity", "kmeans", n_clusters=2, sigma=0.0),
+    ]
+    config = P.WorkflowConfig(["ch01"], rounds, "ch00", ["mean_intensity"], min_area=3, selected_columns=["ch01_mean_intensity", "group_third"])
+    return P.run_workflow(pixels, IN.frames_of(pixels), config, grid_model, got.failures, output)
+
+
+@case(
+    "run_workflow_failures",
+    ctes("pa") + f", {FAULTS} SELECT dataset, failure, CASE failure WHEN 'compress_failed' THEN 'compress' WHEN 'segmentation_error' THEN 'segment'"
+    " WHEN 'segmentation_empty' THEN 'segment' WHEN 'measurement_error' THEN 'measure' ELSE 'threshold_third' END AS phase FROM fa WHERE failure IS NOT NULL",
+)
+def _workflow_failures(spark, sf):
+    return faulty_run(spark, sf).failures.select("dataset", "failure", "phase")
+
+
+IN_ROUND = (
+    "px3 AS (SELECT dataset, y, x, v, CAST((y // 5 - 1) * 3 + x // 5 AS INTEGER) AS label FROM pa WHERE y >= 5 AND x >= 5 AND y % 5 < 4 AND x % 5 < 4)"
+)
+
+
+@case(
+    "run_workflow_export",
+    ctes("pa") + f", {FAULTS}, {IN_ROUND} SELECT dataset, label, CAST(count(*) AS DOUBLE) AS area, round(avg(v * 2 + 1), 6) AS ch01_mean_intensity,"
+    " 1 AS group_bright, 1 AS group_third FROM px3 JOIN fa USING (dataset) WHERE failure IS NULL GROUP BY dataset, label",
+)
+def _workflow_export(spark, sf):
+    """Both rounds, then the exported table read back; nine cells a frame are one group."""
+    folder = scratch(spark)
+    faulty_run(spark, sf, folder)
+    table = spark.read.parquet(f"{folder}/measurements.parquet")
+    return table.select("dataset", "label", "area", "ch01_mean_intensity", "group_bright", "group_third")
+
+
+@case(
+    "import_decay_tiles",
+    ctes("dc") + ", fl AS (SELECT dataset, y, count(*) AS n FROM dc GROUP BY ALL),"
+    " ok AS (SELECT dataset FROM fl GROUP BY ALL HAVING bool_and(n = 20) AND dataset <> 'f1'),"
+    " rows_ AS (SELECT dataset, y, x, counts FROM dc SEMI JOIN ok USING (dataset))"
+    " SELECT 'decay' AS kind, dataset, 'ch0' AS name, y, x, list_sum(list_transform(counts, lambda c, k: c * k)) AS value FROM rows_"
+    " UNION ALL SELECT 'pixels', dataset, 'ch0', y, x, list_sum(counts) FROM rows_"
+    " UNION ALL SELECT 'failures', dataset, 'compress_failed', -1, -1, 0 FROM (SELECT DISTINCT dataset FROM dc) ANTI JOIN ok USING (dataset)",
+)
+def _import_decay(spark, sf):
+    """Image lines as raw decay tiles, one below the other; a line of f1 is cut and does not decode."""
+    dec = t.decay(spark, sf)
+    hexed = "transform(counts, c -> concat(lpad(hex(int(c) & 255), 2, '0'), lpad(hex(shiftright(int(c), 8)), 2, '0')))"
+    files = dec.groupBy("dataset", "y").agg(F.expr(f"array_sort(collect_list(struct(x, {hexed} AS h))) AS px"))
+    text = "array_join(flatten(transform(px, p -> p.h)), '')"
+    files = files.selectExpr(
+        "dataset", "concat(dataset, '_s', y, '.bin') AS path",
+        f"unhex(if(dataset = 'f1' AND y = 2, substr({text}, 5), {text})) AS content",
+    )
+    layout = IN.DecayFormat(20, 1, 64, "uint16", "little", "YXT")
+    got = IN.import_dataset(files, decode_text, tiles=IN.TileConfig(20, 1), decay_format=layout, isolate=True)
+    checksum = "aggregate(transform(counts, (c, k) -> c * (k + 1)), 0D, (a, c) -> a + c) AS value"
+    return (
+        got.decay.selectExpr("'decay' AS kind", "dataset", "channel AS name", "y", "x", checksum)
+        .unionByName(got.pixels.selectExpr("'pixels' AS kind", "dataset", "channel AS name", "y", "x", "value"))
+        .unionByName(got.failures.selectExpr("'failures' AS kind", "dataset", "failure AS name", "-1 AS y", "-1 AS x", "0D AS value"))
+    )
+
+
+@case(
+    "import_mismatched_tiles",
+    ctes("ti") + ", s AS (SELECT dataset, tile, count(*) AS n FROM ti GROUP BY ALL),"
+    " f AS (SELECT dataset, tile, CASE WHEN dataset = 'd1' AND tile = 2 THEN 19 WHEN dataset = 'd2' AND tile = 3 THEN 21 ELSE n // 20 END AS h FROM s),"
+    " bad AS (SELECT dataset FROM f GROUP BY ALL HAVING min(h) < max(h))"
+    " SELECT dataset, 'compress_failed' AS failure, 0 AS n_pixels FROM bad"
+    " UNION ALL SELECT dataset, NULL, CAST(sum(n) AS INTEGER) FROM s ANTI JOIN bad USING (dataset) GROUP BY dataset",
+)
+def _mismatched(spark, sf):
+    """One tile is a line short, one a line long; both fail their dataset alone."""
+    tiles = t.tiles_in(spark, sf).filter("NOT (dataset = 'd1' AND tile = 2 AND y = 19)")
+    more = t.tiles_in(spark, sf).filter("dataset = 'd2' AND tile = 3 AND y = 0").withColumn("y", F.lit(20))
+    files = tiles.unionByName(more).groupBy("dataset", "tile").agg(
+        F.expr("array_sort(collect_list(struct(y, x, value))) AS px")
+    ).selectExpr(
+        "dataset", "concat(dataset, '_s0', tile + 1, '.tif') AS path",
+        "encode(array_join(transform(px, p -> string(p.value)), ','), 'utf-8') AS content",
+    )
+    got = IN.import_dataset(files, decode_lines, tiles=IN.TileConfig(2, 2), isolate=True)
+    counts = got.pixels.groupBy("dataset").agg(F.count("*").alias("n"))
+    return files.select("dataset").distinct().join(counts, "dataset", "left").join(
+        got.failures.select("dataset", "failure"), "dataset", "left"
+    ).selectExpr("dataset", "failure", "int(coalesce(n, 0)) AS n_pixels")
+
+
 # catalog ---------------------------------------------------------------------------
 def stored(spark, sf) -> LayerStore:
     store = LayerStore(spark, scratch(spark))

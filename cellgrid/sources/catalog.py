@@ -206,6 +206,23 @@ class LayerStore:
         frame = self.read_frames().filter(F.col("dataset") == dataset)
         self._replace_frame(append_channel_name(frame, channel))
 
+    def append_layer(self, dataset: str, layer_type: str, name: str, plane: DataFrame) -> None:
+        """Add a plane ``(y, x, value)`` as what it is: a channel, a segmentation or a mask.
+
+        Labels keep their numbers, a mask becomes 1 where it is positive, and
+        both are stored without background.
+        """
+        placed = plane.select(F.lit(dataset).alias("dataset"), F.lit(name).alias("name"), "y", "x", "value")
+        if layer_type == "channel":
+            self.append_channel(dataset, name, plane)
+        elif layer_type == "segmentation":
+            self.write_layer("labels", placed.withColumnsRenamed({"name": "seg", "value": "label"}))
+        elif layer_type == "mask":
+            inside = placed.filter("value > 0").withColumn("value", F.lit(1))
+            self.write_layer("masks", inside.withColumnRenamed("name", "mask"))
+        else:
+            raise ValueError(f"a layer is a channel, a segmentation or a mask, not {layer_type!r}")
+
     def rename_channel(self, dataset: str, old: str, new: str) -> bool:
         done = self.rename_layer("pixels", dataset, old, new)
         if done:

@@ -116,6 +116,25 @@ def _natural(spark, sf):
     return FS.natural_token_sort(v.unionByName(v.selectExpr("concat('p', token) AS token")), "token")
 
 
+@case("scan_files", ctes("pa") + " SELECT dataset || '/' || channel || '.tif' AS path FROM (SELECT DISTINCT dataset, channel FROM pa)")
+def _scan_files(spark, sf):
+    """A folder of images and others: every dataset gets a .tif and a .txt file."""
+    root = scratch(spark)
+    names = t.pixels(spark, sf).select("dataset", "channel").distinct()
+    files = names.selectExpr("dataset", "explode(array(concat(channel, '.tif'), concat(channel, '.txt'))) AS name")
+    files.withColumn("value", F.lit("x")).write.partitionBy("dataset", "name").text(f"{root}/parts")
+    store = LayerStore(spark, root)
+    fs, _ = store._fs(root)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    # Spark names its files itself: each becomes <dataset>/<name>
+    for dataset, folder in store._folders(f"{root}/parts", "dataset"):
+        fs.mkdirs(to_path(f"{root}/images/{dataset}"))
+        for name, inner in store._folders(folder, "name"):
+            part = next(f.getPath() for f in fs.listStatus(to_path(inner)) if f.getPath().getName().startswith("part-"))
+            assert fs.rename(part, to_path(f"{root}/images/{dataset}/{name}"))
+    return FS.scan_files(spark, f"{root}/images").select(F.expr("array_join(slice(split(path, '/'), -2, 2), '/') AS path"))
+
+
 # decoding ---------------------------------------------------------------------------
 def histogram_files(spark, sf):
     """Decay rows packed as little-endian 16-bit files of one image line each (T, X order)."""
@@ -490,6 +509,61 @@ def _measurements(spark, sf):
     return store.read_measurements().select("dataset", "label", "mean_intensity")
 
 
+@case(
+    "store_metadata",
+    ctes("fr") + " SELECT dataset, CASE WHEN dataset = 'f0' THEN '78' ELSE '80' END AS frequency,"
+    " CASE WHEN dataset = 'f0' THEN 'first' END AS note FROM fr",
+)
+def _store_metadata(spark, sf):
+    store = LayerStore(spark, scratch(spark))
+    store.write_frames(t.frames(spark, sf))
+    assert store.set_metadata("f0", {"flim_frequency_mhz": "78", "note": "first"}) == 2
+    assert store.get_metadata("f0")["note"] == "first"
+    return store.read_frames().selectExpr("dataset", "metadata['flim_frequency_mhz'] AS frequency", "metadata['note'] AS note")
+
+
+@case(
+    "store_channels",
+    ctes("pab", "fr") + " SELECT 'pixels' AS kind, dataset, CASE WHEN dataset = 'f0' AND channel = 'B' THEN 'RFP' ELSE channel END AS name,"
+    " count(*) AS n FROM pab WHERE NOT (dataset = 'f1' AND channel = 'A') GROUP BY ALL"
+    " UNION ALL SELECT 'frame', dataset, CASE dataset WHEN 'f0' THEN 'A,RFP' WHEN 'f1' THEN 'B' ELSE 'A,B' END, 0 FROM fr",
+)
+def _store_channels(spark, sf):
+    store = stored(spark, sf)
+    store.write_frames(t.frames(spark, sf))
+    assert store.rename_channel("f0", "B", "RFP") and store.delete_channel("f1", "A")
+    counts = store.read_layer("pixels").groupBy("dataset", F.col("channel").alias("name")).agg(F.count("*").alias("n"))
+    names = store.read_frames().selectExpr("'frame' AS kind", "dataset", "array_join(channel_names, ',') AS name", "0L AS n")
+    return counts.selectExpr("'pixels' AS kind", "dataset", "name", "n").unionByName(names)
+
+
+@case(
+    "store_append_layer",
+    ctes("pa", "lb", "fr") + " SELECT 'channel' AS kind, channel AS name, dataset, y, x, v AS value FROM pa"
+    " UNION ALL SELECT 'channel', 'twice', dataset, y, x, v * 2 FROM pa WHERE dataset = 'f0'"
+    " UNION ALL SELECT 'labels', 'cells', dataset, y, x, CAST(label AS DOUBLE) FROM lb WHERE dataset = 'f0'"
+    " UNION ALL SELECT 'masks', 'bright', dataset, y, x, 1 FROM pa WHERE dataset = 'f0' AND v > 20"
+    " UNION ALL SELECT 'frame', CASE dataset WHEN 'f0' THEN 'A,B,twice' ELSE 'A,B' END, dataset, 0, 0, 0 FROM fr",
+)
+def _store_append(spark, sf):
+    store = LayerStore(spark, scratch(spark))
+    store.write_layer("pixels", t.pixels(spark, sf))
+    store.write_frames(t.frames(spark, sf))
+    plane = t.pixels(spark, sf).filter("dataset = 'f0'").select("y", "x", "value")
+    store.append_layer("f0", "channel", "twice", plane.withColumn("value", F.expr("value * 2")))
+    store.append_layer("f0", "segmentation", "cells", plane.selectExpr(
+        "y", "x", "if(y % 5 < 4 AND x % 5 < 4, (y div 5) * 4 + x div 5 + 1, 0) AS value"
+    ))
+    store.append_layer("f0", "mask", "bright", plane.selectExpr("y", "x", "if(value > 20, value, 0D) AS value"))
+    parts = [("channel", "pixels", "channel", "value"), ("labels", "labels", "seg", "label"), ("masks", "masks", "mask", "value")]
+    out = store.read_frames().selectExpr("'frame' AS kind", "array_join(channel_names, ',') AS name", "dataset", "0 AS y", "0 AS x", "0D AS value")
+    for kind, layer, name, value in parts:
+        out = out.unionByName(store.read_layer(layer).selectExpr(
+            f"'{kind}' AS kind", f"{name} AS name", "dataset", "y", "x", f"double({value}) AS value"
+        ))
+    return out
+
+
 # exports ---------------------------------------------------------------------------
 @case("format_csv_6g", ctes("pab") + " SELECT dataset, channel, y, x, format('{:.6g}', v * 0.0739085133215::DOUBLE * pow(10, (x % 9) - 7)) AS value FROM pab")
 def _six(spark, sf):
@@ -570,10 +644,39 @@ def _export_layers(spark, sf):
 def _project_load(spark, sf):
     path = scratch(spark)
     index = PR.ProjectIndex(spark, path)
-    index._write(t.project(spark, sf))
+    index.save(t.project(spark, sf))
+    return index.load()
+
+
+@case(
+    "project_add_remove",
+    ctes("proj") + " SELECT * FROM proj WHERE path <> 'Customer#000000003'"
+    " UNION ALL SELECT 'new.h5', 'treated', '2', 'a note', 'complete'",
+)
+def _project_changes(spark, sf):
+    index = PR.ProjectIndex(spark, scratch(spark))
+    index.create()
+    assert index.load().isEmpty()
+    index.save(t.project(spark, sf))
+    before = index.load().count()
+    assert index.add("new.h5", "treated", "2", "a note") == before + 1
+    assert index.remove("Customer#000000003") == before
     return index.load()
 
 
+@case(
+    "record_failure",
+    ctes("fail") + " SELECT dataset, phase, failure, count(*) AS n FROM (SELECT * FROM fail UNION ALL SELECT 'f0', 'segment', 'segmentation_empty'"
+    " UNION ALL SELECT 'f0', 'compress', 'compress_failed') GROUP BY ALL",
+)
+def _record_failure(spark, sf):
+    path = scratch(spark)
+    t.failures(spark, sf).write.parquet(path)
+    PR.record_failure(spark, path, "f0", "segment", "segmentation_empty", "no cells")
+    PR.record_failure(spark, path, "f0", "compress", "compress_failed", "no file")
+    return PR.read_failures(spark, path).groupBy("dataset", "phase", "failure").agg(F.count(F.lit(1)).alias("n"))
+
+
 @case("project_filter", ctes("proj") + " SELECT * FROM proj WHERE condition = 'HOUSEHOLD' AND status = 'failed'")
 def _project_filter(spark, sf):
     return PR.project_filter(t.project(spark, sf), condition="HOUSEHOLD", status="failed", colour="red")
@@ -630,6 +733,23 @@ def _rois(spark, sf):
     return valid.drop("color")
 
 
+@case(
+    "save_load_rois",
+    ctes("cells") + " SELECT CAST(row_number() OVER (PARTITION BY dataset ORDER BY label) AS INTEGER) AS label,"
+    " dataset || '_' || label AS name, CAST(label AS DOUBLE) / 16 AS cg, round(m, 6) AS cs, 0.5::DOUBLE AS rg, 0.25::DOUBLE AS rs, 30.0::DOUBLE AS angle_deg FROM cells",
+)
+def _rois_files(spark, sf):
+    rois = cell_means(spark, sf).selectExpr(
+        "dataset AS doc", "label", "concat(dataset, '_', label) AS name", "label / 16D AS cg", "round(mean_intensity, 6) AS cs",
+        "0.5D AS rg", "0.25D AS rs", "30D AS angle_deg", "'#ff0000' AS color",
+    )
+    path = scratch(spark)
+    PR.save_rois(rois, path)
+    valid, rejected = PR.load_rois(spark, path)
+    assert rejected.isEmpty()
+    return valid.drop("doc", "color")
+
+
 @case("rois_rejected", ctes("cells") + " SELECT dataset AS doc, label, 'r' || label AS name FROM cells WHERE label % 4 = 0")
 def _rois_rejected(spark, sf):
     docs = cell_means(spark, sf).groupBy(F.col("dataset").alias("doc")).agg(
@@ -679,6 +799,20 @@ def _run_pipeline(spark, sf):
     return cells.select(*PIPE_COLS)
 
 
+@case(
+    "run_dataset_segmented",
+    ctes("pab") + f", {IN_ROUND}, thr AS (SELECT DISTINCT dataset, 40 AS threshold FROM pa)" + pipe_sql("px3"),
+)
+def _run_segmented(spark, sf):
+    """Segmenter, manual threshold and export; the CSV is read back."""
+    folder = scratch(spark)
+    cells = P.run_pipeline(
+        t.pixels_ab(spark, sf), None, t.frames(spark, sf), ["A", "B"], "A", "manual", 40.0,
+        ["mean_intensity"], segmenter=grid_model, output_csv=folder,
+    )
+    return spark.read.schema(cells.schema).option("header", True).csv(folder).select(*PIPE_COLS)
+
+
 @case(
     "measure_dataset_masked",
     wide_sql(

@@ -74,34 +74,39 @@ class Encoder:
     def _raw(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _spelled(self, unit: str) -> str:
+        """A unit with the blank before it, where blanks belong to ids."""
+        return unit if not self.spaced or unit[:1] == "\n" else f" {unit}"
+
     def _learn(self, units: set[str]) -> dict[str, bytes]:
         """Ids of new units, as bytes."""
-        plain, found = [], {}
-        for unit in units:
-            text = unit if not self.spaced or unit[:1] == "\n" else f" {unit}"
-            if any(s in text for s in self.alone):
-                found[unit] = self._raw(text).tobytes()
-            else:
-                plain.append((unit, text))
+        found = {}
+        # one search in all of them first: special tokens are rare
+        together = "\x00".join(units)
+        if any(s.strip(" ") in together for s in self.alone):
+            odd = {u for u in units if any(s in self._spelled(u) for s in self.alone)}
+            found = {u: self._raw(self._spelled(u)).tobytes() for u in odd}
+            units = units - odd
+        plain = list(units)
         for at in range(0, len(plain), 50_000):
             part = plain[at : at + 50_000]
             if self.spaced:
-                ids = self._raw("".join(t for _, t in part))
+                texts = list(map(self._spelled, part))
+                ids = self._raw("".join(texts))
                 upto = np.cumsum(self.sizes[ids])
-                bounds = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for _, t in part])
+                bounds = np.cumsum([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts])
                 ends = np.searchsorted(upto, bounds) + 1
                 starts = np.append(0, ends[:-1])
                 whole = np.array_equal(upto[ends - 1], bounds)
             else:
-                ids = self._raw(f" {MARK} ".join(t for _, t in part) + f" {MARK}")
+                ids = self._raw(f" {MARK} ".join(part) + f" {MARK}")
                 ends = np.flatnonzero(ids == self.mark[0])
                 starts = np.append(0, ends[:-1] + 1)
                 whole = len(self.mark) == 1 and len(ends) == len(part)
             if not whole:
                 raise ValueError("the ids do not fall apart into those of the units")
             data = ids.tobytes()
-            for (unit, _), a, b in zip(part, (4 * starts).tolist(), (4 * ends).tolist()):
-                found[unit] = data[a:b]
+            found.update(zip(part, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
         return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:

@@ -8,6 +8,9 @@ span blocks, partial rows are merged and ranks are found by radix selection.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -519,3 +522,69 @@ def measure_with_udaf(
     if not too_big.isEmpty():
         raise ValueError(f"a cell exceeds {max_pixels} pixels; register a Column metric instead")
     return scoped.groupBy(*CELL).agg(udaf(F.col("value")).alias(name))
+
+
+@dataclass(frozen=True)
+class MergeableMetric:
+    """A user metric over the pixels of a cell, in four steps on an array of numbers.
+
+    ``update`` adds an array of values to a state, ``merge`` joins two states of
+    the same cell, ``finish`` gives the result.  A state has a bounded length,
+    so a cell of any size is measured where its pixels are.
+    """
+
+    name: str
+    start: Callable[[], np.ndarray]
+    update: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], float]
+
+
+def measure_mergeable(
+    pixels: DataFrame, labels: DataFrame, metric: MergeableMetric, side: int = BLOCK
+) -> DataFrame:
+    """``(dataset, label, <metric>)`` of one channel; NaN pixels are skipped.
+
+    A task keeps one state per cell of a batch of blocks; only states are
+    shuffled, and they are merged one after another.
+    """
+    scenes = SC.scenes(pixels.withColumn("channel", F.lit("")), labels, None, side, labelled_only=True)
+    schema = "dataset string, label int, state array<double>"
+
+    def update(batches):
+        for batch in batches:
+            states: dict[tuple[str, int], np.ndarray] = {}
+            for scene, _, _ in SC.each([batch]):
+                for i in range(len(scene.channel_names())):
+                    cell, _, v = _sorted_cells(scene, i)
+                    names, first = np.unique(cell, return_index=True)
+                    for label, part in zip(names.tolist(), np.split(v, first[1:])):
+                        key = (scene.dataset, label)
+                        state = states[key] if key in states else metric.start()
+                        states[key] = metric.update(state, part[~np.isnan(part)])
+            if states:
+                keys, values = zip(*states.items())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()),
+                        pa.array([np.asarray(v, dtype=np.float64) for v in values], pa.list_(pa.float64())),
+                    ],
+                    names=["dataset", "label", "state"],
+                )
+
+    def finish(batches):
+        for batch in batches:
+            results = []
+            for states in batch.column("states").to_pylist():
+                merged = np.asarray(states[0])
+                for more in states[1:]:
+                    merged = metric.merge(merged, np.asarray(more))
+                results.append(float(metric.finish(merged)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("dataset"), batch.column("label"), pa.array(results, pa.float64())],
+                names=["dataset", "label", "result"],
+            )
+
+    # at most one state per task and batch of a cell
+    states = scenes.mapInArrow(update, schema).groupBy(*CELL).agg(F.collect_list("state").alias("states"))
+    return states.mapInArrow(finish, "dataset string, label int, result double").withColumnRenamed("result", metric.name)

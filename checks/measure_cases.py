@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cellgrid.functions import metrics as M
@@ -227,6 +228,32 @@ def _hot_value(spark, sf):
     return MS.measure_cells(rows, labels, names, side=64).select("dataset", "label", "area", *names)
 
 
+def log_mean() -> MS.MergeableMetric:
+    """Geometric mean of 1 + |value|, less 1, from the count and the sum of logarithms."""
+    return MS.MergeableMetric(
+        "log_mean",
+        start=lambda: np.zeros(2),
+        update=lambda state, v: state + [len(v), np.log1p(np.abs(v)).sum()],
+        merge=lambda a, b: a + b,
+        finish=lambda state: np.expm1(state[1] / state[0]) if state[0] else np.nan,
+    )
+
+
+@case(
+    "mergeable_metric",
+    ctes("pa", "lb") + " SELECT dataset, label, round(exp(avg(ln(1 + abs(v)))) - 1, 6) AS log_mean FROM lb JOIN pa USING (dataset, y, x) GROUP BY ALL"
+    " UNION ALL SELECT 'all', 1, round(exp(avg(ln(1 + abs(value)))) - 1, 6) FROM events",
+)
+def _mergeable(spark, sf):
+    """The cells of all frames, and all rows as one cell spread over all tasks."""
+    rows = t.read(spark, sf, "events").selectExpr(
+        "'all' AS dataset", "'A' AS channel", "int(event_id div 100) AS y", "int(event_id % 100) AS x", "value"
+    )
+    whole = rows.selectExpr("dataset", "'s' AS seg", "y", "x", "1 AS label")
+    cells = MS.measure_mergeable(t.pixels(spark, sf), t.labels(spark, sf), log_mean(), side=8)
+    return cells.unionByName(MS.measure_mergeable(rows, whole, log_mean(), side=16))
+
+
 @case(
     "custom_metric",
     wide_sql([("range_intensity", "max_intensity - min_intensity", "A", "cell", "0")], ["cell"], "pa"),

@@ -201,6 +201,22 @@ def test_stored_scenes_need_no_exchange_of_pixels(tables, tmp_path):
     assert "SortMergeJoin" not in plan and plan.count("MapInArrow") == 1
 
 
+def test_mergeable_metric_of_cells_in_many_blocks(tables):
+    rng = np.random.RandomState(8)
+    image, labels = rng.rand(30, 30), np.kron(np.arange(1, 5).reshape(2, 2), np.ones((15, 15), dtype=int))
+    image[0, 0] = np.nan
+    # the largest distance from one half, and where states of blocks must be joined by more than a sum
+    metric = MS.MergeableMetric(
+        "reach",
+        start=lambda: np.array([-np.inf]),
+        update=lambda s, v: np.maximum(s, np.abs(v - 0.5).max() if len(v) else -np.inf),
+        merge=np.maximum,
+        finish=lambda s: s[0],
+    )
+    got = {r.label: r.reach for r in MS.measure_mergeable(tables.pixels(image), tables.labels(labels), metric, side=7).collect()}
+    assert got == {i: pytest.approx(np.nanmax(np.abs(image[labels == i] - 0.5))) for i in range(1, 5)}
+
+
 def test_udaf_metric_and_its_bound(tables):
     import pandas as pd
     from pyspark.sql import functions as F

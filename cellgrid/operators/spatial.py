@@ -273,33 +273,38 @@ def channel_shape_mismatches(pixels: DataFrame) -> DataFrame:
 def rasterize_polygons(polygons: DataFrame, frames: DataFrame) -> DataFrame:
     """Interior pixels of polygons ``(dataset, label, ys, xs)``; the highest label wins overlaps.
 
-    Rows of each bounding box are clipped to the frame before they are
-    expanded; a pixel is inside by the even-odd rule.
+    A pixel is inside by the even-odd rule.  Every edge gives its crossing with
+    the pixel rows it spans, clipped to the frame; the sorted crossings of a
+    polygon's row are the ends of its spans, and only spans become pixels.  No
+    vertex list travels with rows or pixels, and equal polygons count once.
     """
-    placed = attach(polygons, frames.select("dataset", "height", "width"), ["dataset"])
-    rows = placed.filter(
-        "ceil(array_min(ys)) <= height - 1 AND floor(array_max(ys)) >= 0"
-        " AND ceil(array_min(xs)) <= width - 1 AND floor(array_max(xs)) >= 0"
-        " AND ceil(array_min(ys)) <= floor(array_max(ys)) AND ceil(array_min(xs)) <= floor(array_max(xs))"
-    ).selectExpr(
-        "dataset", "label", "ys", "xs", "width",
-        "explode(sequence(int(greatest(0, ceil(array_min(ys)))),"
-        " int(least(height - 1, floor(array_max(ys)))))) AS y",
+    shapes = polygons.selectExpr("dataset", "label", "xxhash64(ys, xs) AS shape", "ys", "xs").dropDuplicates(
+        ["dataset", "label", "shape"]
+    )
+    previous = "(i + size(ys) - 1) % size(ys)"
+    edges = shapes.filter("size(ys) > 0").selectExpr(
+        "dataset", "label", "shape",
+        "inline(transform(sequence(0, size(ys) - 1), i -> struct("
+        f"double(ys[i]) AS y0, double(xs[i]) AS x0, double(ys[{previous}]) AS y1, double(xs[{previous}]) AS x1)))",
+    )
+    placed = attach(edges, frames.select("dataset", "height", "width"), ["dataset"])
+    # rows with exactly one end strictly below
+    low, high = "greatest(0, ceil(least(y0, y1)))", "least(height, ceil(greatest(y0, y1))) - 1"
+    crossings = (
+        placed.filter(f"{low} <= {high}")
+        .selectExpr("*", f"explode(sequence(int({low}), int({high}))) AS y")
+        .selectExpr("dataset", "label", "shape", "width", "y", "(x1 - x0) * (y - y0) / (y1 - y0) + x0 AS cx")
     )
-    cells = rows.selectExpr(
-        "dataset", "label", "ys", "xs", "y",
-        "explode(sequence(int(greatest(0, ceil(array_min(xs)))),"
-        " int(least(width - 1, floor(array_max(xs)))))) AS x",
+    rows = crossings.groupBy("dataset", "label", "shape", "width", "y").agg(
+        F.sort_array(F.collect_list("cx")).alias("c")
     )
-    yi, xi = "ys[i]", "xs[i]"
-    yj, xj = "ys[(i + size(ys) - 1) % size(ys)]", "xs[(i + size(ys) - 1) % size(ys)]"
-    crossing = (
-        f"({yi} > y) != ({yj} > y) AND"
-        f" x < try_divide(({xj} - {xi}) * (y - {yi}), {yj} - {yi}) + {xi}"
+    spans = rows.filter("size(c) > 1").selectExpr(
+        "dataset", "label", "width", "y", "inline(transform(sequence(1, size(c) div 2), k -> struct(c[2 * k - 2] AS a, c[2 * k - 1] AS b)))"
     )
-    inside = f"size(filter(sequence(0, size(ys) - 1), i -> {crossing})) % 2 = 1"
+    first, last = "greatest(0, ceil(a))", "least(width, ceil(b)) - 1"
     return (
-        cells.filter(inside)
+        spans.filter(f"{first} <= {last}")
+        .selectExpr("dataset", "label", "y", f"explode(sequence(int({first}), int({last}))) AS x")
         .groupBy("dataset", "y", "x")
         .agg(F.max("label").cast("int").alias("label"))
     )

@@ -512,6 +512,32 @@ def _polygons(spark, sf):
     return SP.rasterize_polygons(triangles, t.frames(spark, sf))
 
 
+THETA = "2 * pi() * {k} / 1000"
+RADIUS = "(2.1 + 0.7 * sin(9 * {t}))"
+
+
+@case(
+    "rasterize_many_vertices",
+    ctes("lb") + ", c AS (SELECT dataset, label, min(y) + 1.53::DOUBLE AS cy, min(x) + 1.47::DOUBLE AS cx FROM lb GROUP BY ALL),"
+    f" th AS (SELECT k, {THETA.format(k='k')}::DOUBLE AS t FROM (SELECT unnest(range(1000)) AS k)),"
+    f" v AS (SELECT dataset, label, k, cy + {RADIUS.format(t='t')}::DOUBLE * sin(t) AS y, cx + {RADIUS.format(t='t')}::DOUBLE * cos(t) AS x FROM c, th),"
+    " e AS (SELECT a.dataset, a.label, a.y AS y0, a.x AS x0, b.y AS y1, b.x AS x1 FROM v a JOIN v b ON b.dataset = a.dataset AND b.label = a.label AND b.k = (a.k + 999) % 1000),"
+    " gr AS (SELECT unnest(range(20)) AS k),"
+    " px AS (SELECT e.dataset, e.label, a.k AS y, b.k AS x FROM e JOIN gr a ON (y0 > a.k) <> (y1 > a.k)"
+    " JOIN gr b ON b.k < (x1 - x0) * (a.k - y0) / (y1 - y0) + x0)"
+    " SELECT dataset, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, max(label) AS label FROM"
+    " (SELECT dataset, label, y, x FROM px GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY dataset, y, x",
+)
+def _many_vertices(spark, sf):
+    """Stars of 1000 vertices, one per cell."""
+    t_sql = f"double({THETA.format(k='k')})"
+    ring = f"transform(sequence(0, 999), k -> {{c}} + {RADIUS.format(t=t_sql)} * {{f}}({t_sql}))"
+    stars = cell_geometry(t.labels(spark, sf)).selectExpr(
+        "dataset", "label", f"{ring.format(c='bbox_y + 1.53D', f='sin')} AS ys", f"{ring.format(c='bbox_x + 1.47D', f='cos')} AS xs"
+    )
+    return SP.rasterize_polygons(stars, t.frames(spark, sf))
+
+
 # sets ---------------------------------------------------------------------------
 @case(
     "union_masks",

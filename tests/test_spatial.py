@@ -115,3 +115,25 @@ def test_shape_check(tables):
         SP.assemble_channels([a, b], [(4, 4), (4, 5)])
     with pytest.raises(ValueError, match="at least one plane"):
         SP.assemble_channels([])
+
+
+def test_polygons_of_many_vertices_follow_the_even_odd_rule(tables):
+    """Crossing edges, vertices on pixels, parts beyond the frame, repeated polygons."""
+    rng = np.random.default_rng(5)
+    polys = [(rng.uniform(-8, 34, 120), rng.uniform(-8, 44, 120)) for _ in range(3)]
+    polys += [(rng.integers(0, 26, 40).astype(float), rng.integers(0, 36, 40).astype(float)) for _ in range(3)]
+    polys.append(polys[0])
+    rows = [("d", 1 + i % 4, ys.tolist(), xs.tolist()) for i, (ys, xs) in enumerate(polys)] + [("d", 9, [], [])]
+    rows.append(rows[0])
+    df = tables.spark.createDataFrame(rows, "dataset string, label int, ys array<double>, xs array<double>")
+    got = tables.array(SP.rasterize_polygons(df, tables.frames(26, 36)), (26, 36), "label")
+    want = np.zeros((26, 36))
+    gy, gx = np.indices(want.shape)
+    for _, label, ys, xs in rows:
+        inside = np.zeros(want.shape, dtype=int)
+        for i in range(len(ys)):
+            (yi, xi), (yj, xj) = (ys[i], xs[i]), (ys[i - 1], xs[i - 1])
+            if yi != yj:
+                inside += ((yi > gy) != (yj > gy)) & (gx < (xj - xi) * (gy - yi) / (yj - yi) + xi)
+        want = np.where(inside % 2 == 1, np.maximum(want, label), want)
+    assert (got == want).all()

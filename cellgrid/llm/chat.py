@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from cellgrid.llm.common import prefix_sums
+
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -218,7 +220,12 @@ def read_turns(formatted: DataFrame) -> DataFrame:
     parts = formatted.select(
         "*", F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda x: x != "").alias("parts")
     )
-    bodies = parts.select(
+    # where each part starts in the whole text; a mask's places are cut from there
+    sizes = f"transform(parts, p -> length(p) + {len(END) + 1})"
+    placed = parts.withColumn("sizes", F.expr(sizes)).withColumn(
+        "bases", F.expr(f"zip_with({prefix_sums('sizes')}, sizes, (upto, own) -> upto - own)")
+    )
+    bodies = placed.select(
         "*",
         F.transform(
             "parts",
@@ -238,7 +245,9 @@ def read_turns(formatted: DataFrame) -> DataFrame:
         ).alias("turns"),
         F.transform(
             "loss",
-            lambda m: unescaped(F.substr(F.get("cut", m.turn).part, at(F.get("cut", m.turn)), m.length.cast("int"))),
+            lambda m: unescaped(
+                F.substr(F.get("parts", m.turn), (m.start - F.get("bases", m.turn) + 1).cast("int"), m.length.cast("int"))
+            ),
         ).alias("loss_texts"),
     )
 

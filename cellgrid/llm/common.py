@@ -16,6 +16,9 @@ from cellgrid.session import configure
 SLICE_ROWS = 1024
 SLICE_CHARS = 4 << 20
 
+# Prefix sums of arrays are taken within blocks of so many elements, and over blocks.
+SUMS = 256
+
 SETTINGS = {
     # rows of long texts would make Arrow batches of gigabytes
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -71,3 +74,13 @@ def fresh(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = f"_{name}"
     return name
+
+
+def prefix_sums(steps: str) -> str:
+    """Inclusive prefix sums of an array of integers."""
+    total = "aggregate({0}, 0, (a, x) -> a + x)"
+    blocks = f"transform(sequence(0, (size({steps}) - 1) DIV {SUMS}), b -> {total.format(f'slice({steps}, 1, b * {SUMS})')})"
+    within = total.format(f"slice({steps}, i DIV {SUMS} * {SUMS} + 1, i % {SUMS} + 1)")
+    # the array of block totals is bound once, as the only element of a list
+    bound = f"transform(array({blocks}), t -> transform({steps}, (x, i) -> t[i DIV {SUMS}] + {within}))[0]"
+    return f"if(size({steps}) = 0, CAST(array() AS array<int>), {bound})"

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.common import prefix_sums
 from cellgrid.session import durable
 
 # The patterns of the base kinds, with the least length of what counts.
@@ -55,8 +56,6 @@ COPIED_OWNERS = 3
 
 # A hot candidate holds more than one in so many occurrences.
 HOT = 1000
-# Positions are summed within blocks of so many matches, and over blocks.
-SUMS = 256
 
 
 def _literal(pattern: str) -> str:
@@ -74,16 +73,6 @@ def _steps(text: str, pattern: str, found: str) -> str:
     return f"if(size({found}) = 0, CAST(array() AS array<int>), slice({steps}, 1, size({found})))"
 
 
-def _starts(steps: str) -> str:
-    """Inclusive prefix sums of an array of integers."""
-    total = "aggregate({0}, 0, (a, x) -> a + x)"
-    blocks = f"transform(sequence(0, (size({steps}) - 1) DIV {SUMS}), b -> {total.format(f'slice({steps}, 1, b * {SUMS})')})"
-    within = total.format(f"slice({steps}, i DIV {SUMS} * {SUMS} + 1, i % {SUMS} + 1)")
-    # the array of block totals is bound once, as the only element of a list
-    bound = f"transform(array({blocks}), t -> transform({steps}, (x, i) -> t[i DIV {SUMS}] + {within}))[0]"
-    return f"if(size({steps}) = 0, CAST(array() AS array<int>), {bound})"
-
-
 def _zip(found: str, starts: str) -> str:
     return f"zip_with({found}, {starts}, (m, s) -> named_struct('m', m, 's', s))"
 
@@ -91,7 +80,7 @@ def _zip(found: str, starts: str) -> str:
 def _inner(runs: str, pattern: str, kind: int) -> str:
     """Matches of ``pattern`` in runs with their places; a run seldom holds more than one."""
     found, steps = _matches("r.m", pattern), _steps("r.m", pattern, "f")
-    one = f"zip_with(f, {_starts(steps)}, (v, s) -> {_find('r.s + s', 'v', 'v', kind)})"
+    one = f"zip_with(f, {prefix_sums(steps)}, (v, s) -> {_find('r.s + s', 'v', 'v', kind)})"
     return f"flatten(transform({runs}, r -> transform(array({found}), f -> {one})[0]))"
 
 
@@ -115,7 +104,7 @@ def scan(df: DataFrame, text: str, carry: list[str], owner: Column, repository:
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"),
     )
     assigned = picked.selectExpr("*", f"{_matches('t', ASSIGN)} AS am")
-    placed = assigned.selectExpr("*", f"{_steps('t', ASSIGN, 'am')} AS st").selectExpr("*", f"{_starts('st')} AS astart")
+    placed = assigned.selectExpr("*", f"{_steps('t', ASSIGN, 'am')} AS st").selectExpr("*", f"{prefix_sums('st')} AS astart")
     # the same text with assignments blanked out: its runs overlap none of them
     parts = f"split(t, {_literal(ASSIGN)}, -1)"
     blank = f"array_join(zip_with({parts}, am, (p, m) -> concat(p, coalesce(repeat(' ', length(m)), ''))), '')"
@@ -128,7 +117,7 @@ def scan(df: DataFrame, text: str, carry: list[str], owner: Column, repository:
     )
     runs = stepped.selectExpr(
         "carry", "owner", "repository", "am", "astart",
-        f"{_zip('rm', _starts('rst'))} AS runs", f"{_zip('cm', _starts('cst'))} AS others",
+        f"{_zip('rm', prefix_sums('rst'))} AS runs", f"{_zip('cm', prefix_sums('cst'))} AS others",
     )
     value = f"regexp_extract(m, {_literal(ASSIGN)}, 2)"
     first = (

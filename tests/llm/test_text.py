@@ -143,3 +143,18 @@ def test_order_matters(spark):
         frame = order_minhash.with_slots(frame, c, f"s{c}")
     r = frame.select(order_minhash.likeness("sa", "sb").alias("moved"), order_minhash.likeness("sa", "sc").alias("mixed")).first()
     assert 0.2 < r.moved < 0.9 and r.mixed < 0.1
+
+
+def test_loss_texts_are_cut_out_by_the_mask(spark):
+    from pyspark.sql import functions as F
+
+    from cellgrid.llm import chat
+
+    rows = [(c, i, "assistant" if i % 2 else "user", f"é😀 <|im_end|>\n\\ text {i} " * (i % 3)) for c in range(2) for i in range(600 * c + 5)]
+    turns = spark.createDataFrame(rows, "conv long, turn long, role string, text string").repartition(3)
+    formatted = chat.format_turns(turns)
+    got = {r.conv: r.loss_texts for r in chat.read_turns(formatted).collect()}
+    assert got == {c: [t for d, i, role, t in rows if d == c and role == "assistant"] for c in range(2)}
+    moved = formatted.withColumn("loss", F.expr("transform(loss, m -> struct(m.turn, m.start + 1 AS start, m.length - 2 AS length))"))
+    shifted = {r.conv: r.loss_texts for r in chat.read_turns(moved).collect()}
+    assert shifted[1] != got[1] and all(len(a) <= len(b) for a, b in zip(shifted[1], got[1]))

@@ -82,26 +82,6 @@ def running_totals(
     )
 
 
-def running_totals_bounded(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    amounts: dict[str, str],
-    totals: dict[str, str],
-    tops: dict[str, str],
-) -> DataFrame:
-    """The same columns for keys of a checked, moderate size, in a single sort."""
-    k = quoted(keys)
-    before = f"OVER (PARTITION BY {k} ORDER BY `{order}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    whole = f"OVER (PARTITION BY {k})"
-    return df.selectExpr(
-        "*",
-        *[f"coalesce(sum({a}) {before}, 0) AS `cum_{n}`" for n, a in amounts.items()],
-        *[f"sum({a}) {whole} AS `tot_{n}`" for n, a in {**amounts, **totals}.items()],
-        *[f"max({a}) {whole} AS `top_{n}`" for n, a in tops.items()],
-    )
-
-
 def dense_rank_within(
     df: DataFrame, keys: list[str], order: str, name: str, width: int = 4096
 ) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from cellgrid.functions import metrics as M
 from cellgrid.operators import joins as J

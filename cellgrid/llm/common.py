@@ -70,12 +70,23 @@ def text_hash(text: str = "text") -> Column:
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a longer one if ``df`` has such a column."""
-    while name in df.columns:
+    """``name``, or a longer one if ``df`` has such a column; case makes no difference, as in Spark."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name = f"_{name}"
     return name
 
 
+def names(columns: Iterable[str]) -> list[str]:
+    """Column names as SQL, whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+def quoted(columns: Iterable[str]) -> list[Column]:
+    """The columns of these names; a dot in a name is no path."""
+    return [F.col(n) for n in names(columns)]
+
+
 def prefix_sums(steps: str) -> str:
     """Inclusive prefix sums of an array of integers."""
     total = "aggregate({0}, 0, (a, x) -> a + x)"

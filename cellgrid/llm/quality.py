@@ -1,21 +1,34 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Signals are computed per text with built-in functions.  Their distributions are
-kept as mergeable quantile sketches: integer histograms whose bins keep the six
-leading bits of a value, so a quantile is within 1/32 of its value and two
-sketches merge by adding counts.  One sketch per language, source and signal is
-counted with partial aggregation; those of a language and of the whole corpus
-are merged from them.  A group with fewer than ``MIN_GROUP`` texts uses the
-sketch of its language, and a language with fewer the one of the corpus.
-
-The fence of a signal is ``q50 + REACH * (q75 - q50) + SLACK``; the mean word
-length also has a lower fence.  A text is kept if it passes the base rule (50
-words, at most half of them in repeated three-word windows) and every fence.
-The fences are joined to the texts by language and source.
+Signals are computed per text with built-in functions.  Their distributions over
+the texts that pass the base rule are kept as mergeable quantile sketches:
+integer histograms whose bins keep the six leading bits of a value, so a quantile
+is within 1/32 of its value and two sketches merge by adding counts.  One sketch
+per language, source and signal is counted with partial aggregation; those of a
+language and of the whole corpus are merged from them.  To the sketch of a group
+those of its language and of the corpus are added with the weight of ``WEIGHT``
+texts each, so a small group leans on them and a large one on itself, without a
+switch between the two.
+
+A fence follows the tail of its sketch.  From the median outwards the quantiles
+that leave a quarter, an eighth, ... of the texts outside are walked while each is
+at most ``REACH`` times as far from the median as the one before (distances below
+``UNIT`` count as ``UNIT``).  A tail without a larger step ends the walk by itself,
+and the fence is ``REACH`` times its last distance.  A larger step is a gap: what
+lies beyond is another population, and the fence is put into the gap, at the
+geometric mean of its ends or ``REACH`` times its near end if that is farther.
+What a source does as a habit is therefore no fault there, and what it never does
+is one.  The mean word length also has a lower fence, found in the same way.
+
+A text is kept if it passes the base rule (50 words, at most half of them in
+repeated three-word windows) and every fence.  The signal of repeated lines is the lower end of their count's
+two-sigma range, so that a few of them, which may be chance, count as none.  The
+fences are joined to the texts by language and source.
 
 Nulls: a null text has no words and fails; null languages and sources form
 groups of their own.  Repeated rows are judged alike and all returned.  An empty
 table gives an empty result.  Columns of the input are kept whatever their names.
+A very long text is one row of arrays of its words and is not cut.
 """
 
 from __future__ import annotations
@@ -23,26 +36,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import fresh
+from cellgrid.llm.common import fresh, names, quoted
 from cellgrid.session import durable
 
-MIN_GROUP = 200
+WEIGHT = 100
 REACH = 6
-# Signal: its value as an integer, and the room given beyond the fence.
+UNIT = 10
+# The walk ends at the quantile that leaves one text in 2 ** LEVELS outside.
+LEVELS = 10
+# Shares are per mille, the mean length of words is in hundredths.
 SIGNALS = {
-    "symbols": ("n_symbols * 1000 DIV greatest(n_words, 1)", 50),
-    "repeats": ("n_repeat_words * 1000 DIV greatest(n_words, 1)", 400),
-    "dup_lines": ("n_dup_lines * 1000 DIV greatest(n_lines, 1)", 500),
-    "capitals": ("n_capitals * 1000 DIV greatest(word_chars, 1)", 80),
-    "word_length": ("word_chars * 100 DIV greatest(n_words, 1)", 150),
+    "symbols": "n_symbols * 1000 DIV greatest(n_words, 1)",
+    "repeats": "n_repeat_words * 1000 DIV greatest(n_words, 1)",
+    "dup_lines": "greatest(n_dup_lines - CAST(ceil(2 * sqrt(n_dup_lines)) AS BIGINT), 0) * 1000 DIV greatest(n_lines, 1)",
+    "capitals": "n_capitals * 1000 DIV greatest(word_chars, 1)",
+    "word_length": "word_chars * 100 DIV greatest(n_words, 1)",
 }
+# Signals with a lower fence too.
+TWO_SIDED = ("word_length",)
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 SPACE = r"[\\x20\\x09-\\x0D]"
 
 
-def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the struct column ``signals``; no Python runs and nothing is shuffled."""
+def with_signals(df: DataFrame, text: str = "text", out: str = "signals") -> DataFrame:
+    """``df`` with the struct column ``out``; no Python runs and nothing is shuffled."""
     words, lines, grams, dups = (fresh(df, n) for n in ("_words", "_lines", "_grams", "_dups"))
-    body = f"coalesce(`{text}`, '')"
+    body = f"coalesce({names([text])[0]}, '')"
     staged = df.withColumns(
         {
             words: F.expr(f"filter(split({body}, '{SPACE}+'), x -> x <> '')"),
@@ -65,7 +84,7 @@ def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     return staged.withColumn(
-        "signals",
+        out,
         F.expr(
             f"""named_struct(
             'n_words', size(`{words}`) + 0L,
@@ -91,41 +110,62 @@ def sketches(signals: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """``(lang, source, <signal>_low, <signal>_high ...)`` from the sketches of all groups."""
-    levels = [["lang", "source"], ["lang"], []]
-    out = None
-    groups = sketch.select("lang", "source").distinct()
-    for depth, keys in enumerate(levels):
-        cells = sketch.groupBy(*keys, "signal", "bin").agg(F.sum("n").alias("n"))
-        by = ", ".join([*keys, "signal"])
-        cells = cells.selectExpr(
-            "*", f"sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto", f"sum(n) OVER (PARTITION BY {by}) AS total"
-        )
-        quantile = "min(CASE WHEN upto * 100 >= total * {} THEN bin END) AS q{}"
-        found = cells.groupBy(*keys, "signal").agg(
-            F.max("total").alias("total"), *(F.expr(quantile.format(q, q)) for q in (25, 50, 75))
+def pooled(sketch: DataFrame) -> DataFrame:
+    """``(lang, source, signal, bin, w)``: sketches with those of the language and the corpus added by weight."""
+    parts = [sketch.selectExpr("lang", "source", "signal", "bin", "n * 1000 AS w")]
+    groups = sketch.select("lang", "source", "signal").distinct()
+    for keys in (["lang", "signal"], ["signal"]):
+        cells = sketch.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+        totals = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
+        on = lambda a, b: " AND ".join(f"{a}.{k} <=> {b}.{k}" for k in keys)
+        shares = cells.alias("c").join(totals.alias("t"), F.expr(on("c", "t"))).selectExpr(
+            "c.*", f"c.n * {WEIGHT * 1000} DIV t.total AS w"
         )
-        wide = found.groupBy(*keys).agg(
-            F.max("total").alias(f"n{depth}"),
-            *(
-                F.max(F.when(F.col("signal") == s, F.struct("q25", "q50", "q75"))).alias(f"{s}{depth}")
-                for s in SIGNALS
-            ),
+        parts.append(
+            groups.alias("g").join(shares.alias("s"), F.expr(on("g", "s"))).selectExpr("g.lang", "g.source", "g.signal", "s.bin", "s.w")
         )
-        if out is None:
-            out = groups.join(wide.withColumnsRenamed({k: f"_{k}" for k in keys}), F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)))
-        elif keys:
-            out = out.drop("_lang", "_source").join(wide.withColumnRenamed("lang", "_lang"), F.expr("lang <=> _lang"))
-        else:
-            out = out.join(F.broadcast(wide))  # one row
-    pick = f"CASE WHEN n0 >= {MIN_GROUP} THEN {{0}}0 WHEN n1 >= {MIN_GROUP} THEN {{0}}1 ELSE {{0}}2 END"
-    chosen = out.selectExpr("lang", "source", *(f"{pick.format(s)} AS {s}" for s in SIGNALS))
-    return chosen.selectExpr(
-        "lang",
-        "source",
-        *(f"{s}.q50 + {REACH} * ({s}.q75 - {s}.q50) + {slack} AS {s}_high" for s, (_, slack) in SIGNALS.items()),
-        f"word_length.q50 - {REACH} * (word_length.q50 - word_length.q25) - {SIGNALS['word_length'][1]} AS word_length_low",
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang", "source", "signal", "bin").agg(
+        F.sum("w").alias("w")
+    )
+
+
+def walk(side: str) -> tuple[str, str]:
+    """SQL of the ends of the gap in the distances ``<side>2, <side>3, ...``; the far end is null without a gap."""
+    steps = [(f"{side}{k}", f"{side}{k + 1}") for k in range(2, LEVELS)]
+    gaps = [(near, far, f"WHEN {far} > {REACH} * greatest({near}, {UNIT}) THEN") for near, far in steps]
+    last = "CASE " + " ".join(f"{when} {near}" for near, _, when in gaps) + f" ELSE {side}{LEVELS} END"
+    return last, "CASE " + " ".join(f"{when} {far}" for _, far, when in gaps) + " END"
+
+
+# Distance of a fence from the median, of the ends ``near`` and ``far`` of the gap.
+DISTANCE = (
+    f"CASE WHEN {{0}}_far IS NULL THEN {REACH} * greatest({{0}}_near, {UNIT}) ELSE greatest({REACH} * {{0}}_near,"
+    f" CAST(floor(sqrt(CAST(greatest({{0}}_near, {UNIT}) * {{0}}_far AS DOUBLE))) AS BIGINT)) END"
+)
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """``(lang, source, <signal>_high, ..., <signal>_low ...)`` from the sketches of all groups."""
+    by = "lang, source, signal"
+    cells = pooled(sketch).selectExpr(
+        "*", f"sum(w) OVER (PARTITION BY {by} ORDER BY bin) AS upto", f"sum(w) OVER (PARTITION BY {by}) AS total"
+    )
+    # quantiles by the share outside: 1/2, 1/4, ... above and below
+    high = [f"min(CASE WHEN upto * {1 << k} >= total * {(1 << k) - 1} THEN bin END) AS h{k}" for k in range(1, LEVELS + 1)]
+    low = [f"min(CASE WHEN upto * {1 << k} >= total THEN bin END) AS l{k}" for k in range(2, LEVELS + 1)]
+    found = cells.groupBy("lang", "source", "signal").agg(*(F.expr(e) for e in high + low))
+    away = found.selectExpr(
+        "lang", "source", "signal", "h1 AS mid",
+        *(f"h{k} - h1 AS up{k}" for k in range(2, LEVELS + 1)),
+        *(f"h1 - l{k} AS down{k}" for k in range(2, LEVELS + 1)),
+    )
+    ends = [f"{e} AS {side}_{end}" for side in ("up", "down") for end, e in zip(("near", "far"), walk(side))]
+    limits = away.selectExpr("lang", "source", "signal", "mid", *ends).selectExpr(
+        "lang", "source", "signal", f"mid + {DISTANCE.format('up')} AS high", f"mid - {DISTANCE.format('down')} AS low"
+    )
+    return limits.groupBy("lang", "source").agg(
+        *(F.max(F.when(F.col("signal") == s, F.col("high"))).alias(f"{s}_high") for s in SIGNALS),
+        *(F.max(F.when(F.col("signal") == s, F.col("low"))).alias(f"{s}_low") for s in TWO_SIDED),
     )
 
 
@@ -139,35 +179,26 @@ def judge(
     checkpoints; without it the signals are computed a second time instead.
     """
     carry = df.columns if carry is None else carry
-    held = {name: fresh(df, name) for name in ("signals", "kept", "_values", "_lang", "_source")}
-    if "signals" in df.columns:
-        df = df.withColumnRenamed("signals", "__signals")
-        with_s = with_signals(df, text).withColumnRenamed("signals", held["signals"]).withColumnRenamed("__signals", "signals")
-    else:
-        with_s = with_signals(df, text)
-    sig = held["signals"]
-    values = with_s.selectExpr(
-        *(f"`{c}`" for c in carry), f"`{lang}` AS `{held['_lang']}`", f"`{source}` AS `{held['_source']}`", f"`{sig}`"
+    sig, kept, key_lang, key_source, lim = (fresh(df, n) for n in ("signals", "kept", "_lang", "_source", "_limits"))
+    values = with_signals(df, text, sig).select(
+        *quoted(carry), *(F.col(a).alias(b) for a, b in zip(names([lang, source]), (key_lang, key_source))), F.col(sig)
     )
     if store:
         # computed once: the sketches and the verdict both read it
         values = durable(values)
-    numbers = values.select(
-        F.col(held["_lang"]).alias("lang"), F.col(held["_source"]).alias("source"), F.col(f"{sig}.*")
-    ).selectExpr("lang", "source", *(f"{e} AS `{s}`" for s, (e, _) in SIGNALS.items()))
-    limits = durable(fences(durable(sketches(numbers)))).select(F.struct("*").alias("_limits"))
+    numbers = (
+        values.where(F.expr(f"NOT ({_in(sig, BASE_FAILED)})"))
+        .select(F.col(key_lang).alias("lang"), F.col(key_source).alias("source"), F.col(f"{sig}.*"))
+        .selectExpr("lang", "source", *(f"{e} AS `{s}`" for s, e in SIGNALS.items()))
+    )
+    limits = durable(fences(durable(sketches(numbers)))).select(F.struct("*").alias(lim))
     passed = " AND ".join(
-        [f"{_in(sig, e)} <= _limits.{s}_high" for s, (e, _) in SIGNALS.items()]
-        + [f"{_in(sig, SIGNALS['word_length'][0])} >= _limits.word_length_low"]
+        [f"{_in(sig, e)} <= {lim}.{s}_high" for s, e in SIGNALS.items()]
+        + [f"{_in(sig, SIGNALS[s])} >= {lim}.{s}_low" for s in TWO_SIDED]
     )
     verdict = f"NOT ({_in(sig, BASE_FAILED)}) AND {passed}"
-    joined = values.join(
-        limits, F.expr(f"`{held['_lang']}` <=> _limits.lang AND `{held['_source']}` <=> _limits.source"), "left"
-    )
-    return joined.selectExpr(*(f"`{c}`" for c in carry), f"`{sig}`", f"coalesce({verdict}, false) AS `{held['kept']}`")
-
-
-BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+    joined = values.join(limits, F.expr(f"{key_lang} <=> {lim}.lang AND {key_source} <=> {lim}.source"), "left")
+    return joined.select(*quoted(carry), F.col(sig), F.expr(f"coalesce({verdict}, false)").alias(kept))
 
 
 def _in(struct: str, expression: str) -> str:
@@ -181,4 +212,4 @@ def keep(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "s
     """The rows of ``df`` that are kept, with its columns."""
     # a copy of all texts costs more than counting them twice
     judged = judge(df, text, lang, source, store=False)
-    return judged.where(F.col(judged.columns[-1])).select(*df.columns)
+    return judged.where(F.col(judged.columns[-1])).select(*quoted(df.columns))

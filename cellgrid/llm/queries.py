@@ -63,35 +63,44 @@ base AS (
     coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM parts LEFT JOIN covered USING (doc_id)),
 vals AS (
-  SELECT *, {", ".join(f"{e.replace(' DIV ', ' // ')} AS {s}" for s, (e, _) in quality.SIGNALS.items())} FROM base),
+  SELECT *, {", ".join(f"{e.replace(' DIV ', ' // ')} AS {s}" for s, e in quality.SIGNALS.items())} FROM base),
 stacked AS (
-  {" UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS v FROM vals" for s in quality.SIGNALS)}),
+  {" UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS v FROM vals WHERE NOT ({quality.BASE_FAILED})" for s in quality.SIGNALS)}),
 bins AS (
-  SELECT *, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS b FROM stacked),
-levels AS (
-  SELECT 0 AS depth, lang, source, signal, b FROM bins
-  UNION ALL SELECT 1, lang, NULL, signal, b FROM bins
-  UNION ALL SELECT 2, NULL, NULL, signal, b FROM bins),
+  SELECT *, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS bin FROM stacked),
+own AS (SELECT lang, source, signal, bin, count(*) AS n FROM bins GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source, signal FROM own),
+speech AS (SELECT lang, signal, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, signal) AS total FROM own GROUP BY lang, signal, bin),
+corpus AS (SELECT signal, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY signal) AS total FROM own GROUP BY signal, bin),
+pooled AS (
+  SELECT lang, source, signal, bin, sum(w) AS w FROM (
+    SELECT lang, source, signal, bin, n * 1000 AS w FROM own
+    UNION ALL SELECT g.lang, source, g.signal, bin, n * {quality.WEIGHT * 1000} // total
+      FROM groups AS g JOIN speech AS s ON g.lang IS NOT DISTINCT FROM s.lang AND g.signal = s.signal
+    UNION ALL SELECT lang, source, signal, bin, n * {quality.WEIGHT * 1000} // total FROM groups JOIN corpus USING (signal))
+  GROUP BY ALL),
+sums AS (
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, signal ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY lang, source, signal) AS total
+  FROM pooled),
 quants AS (
-  SELECT depth, lang, source, signal, count(*) AS total,
-    quantile_disc(b, 0.25) AS q25, quantile_disc(b, 0.5) AS q50, quantile_disc(b, 0.75) AS q75
-  FROM levels GROUP BY ALL),
-picked AS (
-  SELECT g.lang, g.source, q.*
-  FROM (SELECT DISTINCT lang, source FROM base) AS g
-  JOIN quants AS q ON q.depth = 2 OR (q.lang IS NOT DISTINCT FROM g.lang AND
-    (q.depth = 1 OR q.source IS NOT DISTINCT FROM g.source))
-  WHERE q.depth = 2 OR q.total >= {quality.MIN_GROUP}
-  QUALIFY row_number() OVER (PARTITION BY g.lang, g.source, q.signal ORDER BY q.depth) = 1),
+  SELECT lang, source, signal,
+    {", ".join(f"min(bin) FILTER (upto * {1 << k} >= total * {(1 << k) - 1}) AS h{k}" for k in range(1, quality.LEVELS + 1))},
+    {", ".join(f"min(bin) FILTER (upto * {1 << k} >= total) AS l{k}" for k in range(2, quality.LEVELS + 1))}
+  FROM sums GROUP BY ALL),
+away AS (
+  SELECT lang, source, signal, h1 AS mid, {", ".join(f"h{k} - h1 AS up{k}, h1 - l{k} AS down{k}" for k in range(2, quality.LEVELS + 1))}
+  FROM quants),
+ends AS (
+  SELECT lang, source, signal, mid,
+    {", ".join(f"{e} AS {side}_{end}" for side in ("up", "down") for end, e in zip(("near", "far"), quality.walk(side)))} FROM away),
 limits AS (
-  SELECT lang, source,
-    {", ".join(f"max(CASE WHEN signal = '{s}' THEN q50 + {quality.REACH} * (q75 - q50) + {k} END) AS {s}_high" for s, (_, k) in quality.SIGNALS.items())},
-    max(CASE WHEN signal = 'word_length' THEN q50 - {quality.REACH} * (q50 - q25) - {quality.SIGNALS["word_length"][1]} END) AS word_length_low
-  FROM picked GROUP BY lang, source),
+  SELECT lang, source, {", ".join(f"max(mid + {quality.DISTANCE.format('up')}) FILTER (signal = '{s}') AS {s}_high" for s in quality.SIGNALS)},
+    {", ".join(f"max(mid - {quality.DISTANCE.format('down')}) FILTER (signal = '{s}') AS {s}_low" for s in quality.TWO_SIDED)}
+  FROM ends GROUP BY lang, source),
 judged AS (
   SELECT v.*, {quality.BASE_FAILED} AS base_failed,
-    {" AND ".join(f"v.{s} <= l.{s}_high" for s in quality.SIGNALS)} AND v.word_length >= l.word_length_low AS fenced
-  FROM vals AS v JOIN limits AS l ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source)
+    coalesce({" AND ".join([f"v.{s} <= l.{s}_high" for s in quality.SIGNALS] + [f"v.{s} >= l.{s}_low" for s in quality.TWO_SIDED])}, false) AS fenced
+  FROM vals AS v LEFT JOIN limits AS l ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fenced AS kept
 FROM judged"""
 

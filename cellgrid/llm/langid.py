@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import fresh, map_texts, prepare
+from cellgrid.llm.common import fresh, map_texts, names, prepare, quoted
 
 ORDER = 4
 ROWS_PER_LANG = 3000
@@ -362,7 +362,7 @@ def identify(docs: DataFrame, identifier: Identifier, carry: list[str], text: st
     """
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(identifier)
-    inner = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(text).alias("text"))
+    inner = docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names(carry))), F.col(text).alias("text"))
     schema = ", ".join(
         [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
         + ["language struct<lang:string,score:double,entropy:double,rejected:boolean>"]
@@ -374,7 +374,7 @@ def identify(docs: DataFrame, identifier: Identifier, carry: list[str], text: st
         yield {k: v for k, v in part.items() if k != "text"} | {"language": out}
 
     got = map_texts(inner, run, schema)
-    name = fresh(docs.select(*carry), "language")
+    name = fresh(docs.select(*quoted(carry)), "language")
     return got.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), F.col("language").alias(name))
 
 
@@ -387,4 +387,4 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """The rows of ``docs`` that a model explains, with their columns."""
     identifier = fit(docs, id_col=id_col, text=text, lang=lang)
     found = identify(docs, identifier, docs.columns, text)
-    return found.where(~F.col(found.columns[-1])["rejected"]).select(*docs.columns)
+    return found.where(~F.col(found.columns[-1])["rejected"]).select(*quoted(docs.columns))

@@ -100,10 +100,10 @@ def with_signals(df: DataFrame, text: str = "text", out: str = "signals") -> Dat
 
 
 def sketches(signals: DataFrame) -> DataFrame:
-    """``(lang, source, signal, bin, n)`` of ``signals(lang, source, <signals>)``."""
+    """``(lang, source, signal, bin, n)`` of ``signals(lang, source, <signals>)``; nulls are not counted."""
     stacked = signals.selectExpr(
         "lang", "source", f"stack({len(SIGNALS)}, " + ", ".join(f"'{s}', `{s}`" for s in SIGNALS) + ") AS (signal, v)"
-    )
+    ).where("v IS NOT NULL")
     drop = "greatest(length(bin(v)) - 6, 0)"
     return stacked.selectExpr("lang", "source", "signal", f"shiftleft(shiftright(v, {drop}), {drop}) AS bin").groupBy(
         "lang", "source", "signal", "bin"
@@ -187,9 +187,9 @@ def judge(
         # computed once: the sketches and the verdict both read it
         values = durable(values)
     numbers = (
-        values.where(F.expr(f"NOT ({_in(sig, BASE_FAILED)})"))
-        .select(F.col(key_lang).alias("lang"), F.col(key_source).alias("source"), F.col(f"{sig}.*"))
-        .selectExpr("lang", "source", *(f"{e} AS `{s}`" for s, e in SIGNALS.items()))
+        values.select(F.col(key_lang).alias("lang"), F.col(key_source).alias("source"), F.col(f"{sig}.*"))
+        # nulls and no filter, which would move below the signals and repeat their expressions
+        .selectExpr("lang", "source", *(f"CASE WHEN NOT ({BASE_FAILED}) THEN {e} END AS `{s}`" for s, e in SIGNALS.items()))
     )
     limits = durable(fences(durable(sketches(numbers)))).select(F.struct("*").alias(lim))
     passed = " AND ".join(

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions.graph import components
-from cellgrid.llm.common import fresh, map_texts, text_hash
+from cellgrid.llm.common import map_texts, names, text_hash
 from cellgrid.session import counted, durable, join_counted
 
 SEED = 42
@@ -405,11 +405,16 @@ def near_duplicate_groups(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of near duplicates, that with the smallest id; columns as in ``docs``."""
-    th = fresh(docs, "_th")
-    keyed = docs.withColumn(th, text_hash(text))
-    pairs = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(th).alias("th")).alias("id"), F.col(text).alias("text"))
-    groups = near_duplicate_groups(pairs, "id", "text", **options)
-    first = groups.where("id = component").select(F.col("id.id").alias("i"), F.col("id.th").alias("t")).distinct()
-    kept = keyed.join(first, keyed[id_col].eqNullSafe(F.col("i")) & (keyed[th] == F.col("t")), "left_semi")
+    key, text_name = names([id_col, text])
+    # the columns of the rows stay in one struct, so no name of theirs meets one of these
+    keyed = docs.select(
+        F.struct(F.col(key).alias("id"), text_hash(text_name).alias("th")).alias("id"),
+        F.col(text_name).alias("text"),
+        F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names(docs.columns)))).alias("row"),
+    )
+    groups = near_duplicate_groups(keyed.select("id", "text"), "id", "text", **options)
+    first = groups.where("id = component").select(F.col("id").alias("first")).distinct()
+    kept = keyed.join(first, F.col("id") == F.col("first"), "left_semi")
     # rows repeated as they are
-    return kept.dropDuplicates([id_col, th]).select(*docs.columns)
+    kept = kept.dropDuplicates(["id"])
+    return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.common import map_texts, text_hash
+from cellgrid.llm.common import map_texts, names, text_hash
 from cellgrid.session import durable
 
 GRAM = 32
@@ -349,7 +349,7 @@ def remove_repeats(
     if length < 2 * GRAM or length % 8:
         raise ValueError(f"length must be a multiple of 8 of at least {2 * GRAM}")
     kind = dict(docs.dtypes)[id_col]
-    rest = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))) if carry else F.lit(None).cast("int")
+    rest = F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names(carry)))) if carry else F.lit(None).cast("int")
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text).alias("text"), text_hash(text).alias("th"), rest.alias("rest")
     )

@@ -15,7 +15,7 @@ from cellgrid.operators.measure import measure_cells
 from cellgrid.sources import tables as t
 from checks.base import case, ctes
 from checks.image_cases import box_sql
-from checks.measure_cases import fixed_groups
+from checks.measure_cases import fixed_groups, mean_groups
 
 BINS = 64
 # An odd factor keeps sums of two-decimal data away from rounding ties.
@@ -459,31 +459,31 @@ def _single(spark, sf):
 
 @case(
     "group_summary",
-    ctes("grp3") + " SELECT dataset, grp, count(*) AS n_cells, round(avg(m * 0.0739085133215::DOUBLE), 6) AS mean_value FROM grp3 GROUP BY ALL",
+    ctes("grp6") + " SELECT dataset, grp, count(*) AS n_cells, round(avg(m * 0.0739085133215::DOUBLE), 6) AS mean_value FROM grp6 GROUP BY ALL",
 )
 def _group_summary(spark, sf):
-    return G.group_summary(fixed_groups(spark, sf).withColumn("value", F.col("value") * SCALE))
+    return G.group_summary(mean_groups(spark, sf).withColumn("value", F.col("value") * SCALE))
 
 
 @case(
     "group_histogram",
-    ctes("grp3").replace("SELECT dataset, label, m, CASE", "SELECT dataset, label, m * 0.0739085133215::DOUBLE AS m, CASE")
-    + ", sp AS (SELECT dataset, min(m) AS lo, max(m) AS hi FROM grp3 GROUP BY ALL),"
+    ctes("grp6").replace("SELECT dataset, label, m, CASE", "SELECT dataset, label, m * 0.0739085133215::DOUBLE AS m, CASE")
+    + ", sp AS (SELECT dataset, min(m) AS lo, max(m) AS hi FROM grp6 GROUP BY ALL),"
     " b AS (SELECT dataset, CAST(least(floor((m - lo) * 50 / (hi - lo)), 49) AS INTEGER) AS bin, grp, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n"
-    " FROM grp3 JOIN sp USING (dataset) GROUP BY ALL) SELECT dataset, bin, grp, round(lo + (bin + 0.5) * (hi - lo) / 50, 6) AS centre, n,"
+    " FROM grp6 JOIN sp USING (dataset) GROUP BY ALL) SELECT dataset, bin, grp, round(lo + (bin + 0.5) * (hi - lo) / 50, 6) AS centre, n,"
     " CAST(coalesce(sum(n) OVER (PARTITION BY dataset, bin ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM b",
 )
 def _group_hist(spark, sf):
-    return G.group_histogram(fixed_groups(spark, sf).withColumn("value", F.col("value") * SCALE))
+    return G.group_histogram(mean_groups(spark, sf).withColumn("value", F.col("value") * SCALE))
 
 
 @case(
     "rank_groups_by_mean",
-    ctes("grp3") + ", r AS (SELECT *, grp * 7 % 5 AS raw FROM grp3), k AS (SELECT dataset, raw, row_number() OVER (PARTITION BY dataset ORDER BY avg(m)) AS g"
+    ctes("grp6") + ", r AS (SELECT *, grp * 7 % 5 AS raw FROM grp6), k AS (SELECT dataset, raw, row_number() OVER (PARTITION BY dataset ORDER BY avg(m)) AS g"
     " FROM r GROUP BY dataset, raw) SELECT dataset, label, round(m, 6) AS value, CAST(g AS INTEGER) AS grp FROM r JOIN k USING (dataset, raw)",
 )
 def _rank(spark, sf):
-    return G.rank_groups_by_mean(fixed_groups(spark, sf).selectExpr("dataset", "label", "value", "grp * 7 % 5 AS raw"))
+    return G.rank_groups_by_mean(mean_groups(spark, sf).selectExpr("dataset", "label", "value", "grp * 7 % 5 AS raw"))
 
 
 @case(
@@ -501,11 +501,14 @@ def _silhouette(spark, sf):
 
 @case(
     "group_cells_kmeans_assignment",
-    ctes("cells") + ", t AS (SELECT unnest([30.0::DOUBLE, 50, 70]) AS c) SELECT dataset, label, round(m, 6) AS value,"
-    " CAST(arg_min(CAST((c - 30) / 20 AS INTEGER), abs(m - c)) AS INTEGER) AS raw FROM cells CROSS JOIN t GROUP BY dataset, label, m",
+    ctes("cells6") + ", t AS (SELECT unnest([30.0::DOUBLE, 50, 70]) AS c) SELECT dataset, label, m AS value,"
+    " CAST((c - 30) / 20 AS INTEGER) AS raw FROM cells6 CROSS JOIN t"
+    " QUALIFY row_number() OVER (PARTITION BY dataset, label ORDER BY abs(m - c), c) = 1",
 )
 def _assignment(spark, sf):
-    values = G.clean_values(cell_means(spark, sf), "mean_intensity")
+    """Means to six decimals; one halfway between two centres goes to the smaller."""
+    means = cell_means(spark, sf).withColumn("mean_intensity", F.expr("round(mean_intensity, 6)"))
+    values = G.clean_values(means, "mean_intensity")
     models = values.select("dataset").distinct().selectExpr(
         "dataset", "array(1D, 1D, 1D) AS weights", "array(30D, 50D, 70D) AS means", "array(1D, 1D, 1D) AS vars"
     )

@@ -17,7 +17,7 @@ from cellgrid.sources import tables as t
 from cellgrid.sources.ingest import binarize_mask
 from cellgrid.sources.model import densify
 from checks.base import case, ctes
-from checks.measure_cases import GEO_SQL, fixed_groups, two_masks
+from checks.measure_cases import GEO_SQL, fixed_groups, mean_groups, two_masks
 
 # labels -------------------------------------------------------------------------
 EDGE = "(y <= 0 OR y >= 19 OR x <= 0 OR x >= 19)"
@@ -285,26 +285,26 @@ def _stats(spark, sf):
 
 @case(
     "grouped_threshold",
-    ctes("grp3") + ", gp AS (SELECT dataset, grp, y, x, v FROM lb JOIN grp3 USING (dataset, label) JOIN pa USING (dataset, y, x)),"
+    ctes("grp6") + ", gp AS (SELECT dataset, grp, y, x, v FROM lb JOIN grp6 USING (dataset, label) JOIN pa USING (dataset, y, x)),"
     + hist_sql("gp", "dataset, grp") + "," + otsu_sql("dataset, grp")
     + " SELECT dataset, 'rnd' AS mask, y, x, CAST(1 AS SMALLINT) AS value FROM gp JOIN thr USING (dataset, grp) WHERE v >= threshold",
 )
 def _grouped(spark, sf):
     return TH.grouped_threshold(
-        t.pixels(spark, sf), t.labels(spark, sf), fixed_groups(spark, sf), "A", name="rnd"
+        t.pixels(spark, sf), t.labels(spark, sf), mean_groups(spark, sf), "A", name="rnd"
     )
 
 
 @case(
     "grouped_threshold_interactive",
-    ctes("grp3") + ", gp AS (SELECT dataset, grp, y, x, v FROM lb JOIN grp3 USING (dataset, label) JOIN pa USING (dataset, y, x) WHERE grp <> 2),"
+    ctes("grp6") + ", gp AS (SELECT dataset, grp, y, x, v FROM lb JOIN grp6 USING (dataset, label) JOIN pa USING (dataset, y, x) WHERE grp <> 2),"
     + f" gs AS (SELECT * FROM gp WHERE {RECT_SQL}),"
     + hist_sql("gs", "dataset, grp") + "," + triangle_sql("dataset, grp")
     + " SELECT dataset, 'qc' AS mask, y, x, CAST(1 AS SMALLINT) AS value FROM gp JOIN thr USING (dataset, grp) WHERE v > threshold",
 )
 def _grouped_interactive(spark, sf):
     return TH.grouped_threshold(
-        t.pixels(spark, sf), t.labels(spark, sf), fixed_groups(spark, sf), "A", "triangle",
+        t.pixels(spark, sf), t.labels(spark, sf), mean_groups(spark, sf), "A", "triangle",
         inclusive=False, skip=[2], rects=RECTS, name="qc",
     )
 
@@ -346,13 +346,13 @@ def _adaptive(spark, sf):
 
 @case(
     "grouped_threshold_smoothed",
-    ctes("grp3") + f", {gauss_sql(1.0)}, gp AS (SELECT dataset, grp, y, x, g2.v FROM lb JOIN grp3 USING (dataset, label) JOIN g2 USING (dataset, y, x)),"
+    ctes("grp6") + f", {gauss_sql(1.0)}, gp AS (SELECT dataset, grp, y, x, g2.v FROM lb JOIN grp6 USING (dataset, label) JOIN g2 USING (dataset, y, x)),"
     + hist_sql("gp", "dataset, grp") + "," + otsu_sql("dataset, grp")
     + " SELECT dataset, 'sm' AS mask, y, x, CAST(1 AS SMALLINT) AS value FROM gp JOIN thr USING (dataset, grp) WHERE v >= threshold",
 )
 def _grouped_smoothed(spark, sf):
     return TH.grouped_threshold(
-        t.pixels(spark, sf), t.labels(spark, sf), fixed_groups(spark, sf), "A", "otsu", 1.0,
+        t.pixels(spark, sf), t.labels(spark, sf), mean_groups(spark, sf), "A", "otsu", 1.0,
         t.frames(spark, sf), name="sm",
     )
 

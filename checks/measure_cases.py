@@ -11,7 +11,7 @@ from cellgrid.operators import particles as PT
 from cellgrid.operators.components import connected_components
 from cellgrid.sources import tables as t
 from cellgrid.sources.catalog import LayerStore
-from checks.base import case, ctes, scratch
+from checks.base import case, ctes, scratch, settled
 
 CORE = [c for c in M.CORE_COLUMNS if c != "label"]
 K = "dataset, label, channel, scope"
@@ -45,10 +45,18 @@ SCOPES = {
 }
 
 
-def wide_sql(columns: list[tuple[str, str, str, str, str]], scopes: list[str], pixels: str) -> str:
+def six(value: str) -> str:
+    """SQL of a double to nine, then six decimals, as decimals: halves round alike in any summation order."""
+    return f"CASE WHEN isfinite({value}) THEN CAST(round(CAST({value} AS DECIMAL(38, 9)), 6) AS DOUBLE) ELSE {value} END"
+
+
+def wide_sql(
+    columns: list[tuple[str, str, str, str, str]], scopes: list[str], pixels: str, settle: bool = False
+) -> str:
     """Oracle of a wide measurement: (column, metric, channel, scope, empty value)."""
+    to_six = six if settle else "round({}, 6)".format
     picks = ",\n".join(
-        f"coalesce(round(max(CASE WHEN channel = '{ch}' AND scope = '{sc}' THEN {metric} END), 6),"
+        f"coalesce({to_six(f"max(CASE WHEN channel = '{ch}' AND scope = '{sc}' THEN {metric} END)")},"
         f" {empty}) AS \"{col}\""
         for col, metric, ch, sc, empty in columns
     )
@@ -112,10 +120,10 @@ def _geometry(spark, sf):
 
 @case(
     "measure_cells",
-    wide_sql(whole(ALL) + masked(ALL, "hi", "nothi", MASK_NAMES), ["cell", "hi", "nothi"], "pa"),
+    wide_sql(whole(ALL) + masked(ALL, "hi", "nothi", MASK_NAMES), ["cell", "hi", "nothi"], "pa", settle=True),
 )
 def _measure_cells(spark, sf):
-    return MS.measure_cells(t.pixels(spark, sf), t.labels(spark, sf), None, t.mask(spark, sf))
+    return settled(MS.measure_cells(t.pixels(spark, sf), t.labels(spark, sf), None, t.mask(spark, sf)))
 
 
 @case("measure_cells_multi_roi", wide_sql(whole(ALL) + regions(ALL), ["cell", "r1", "r2"], "pa"))
@@ -164,11 +172,11 @@ def _rounds(ch="A", prefix=""):
 
 @case(
     "measure_cells_with_masks",
-    wide_sql(whole(ALL) + _rounds(), ["cell", "hi", "nothi", "vhi", "notvhi"], "pa"),
+    wide_sql(whole(ALL) + _rounds(), ["cell", "hi", "nothi", "vhi", "notvhi"], "pa", settle=True),
 )
 def _with_masks(spark, sf):
-    return MS.measure_cells_with_masks(
-        t.pixels(spark, sf), t.labels(spark, sf), two_masks(spark, sf), ["hi", "vhi"]
+    return settled(
+        MS.measure_cells_with_masks(t.pixels(spark, sf), t.labels(spark, sf), two_masks(spark, sf), ["hi", "vhi"])
     )
 
 
@@ -176,12 +184,14 @@ def _with_masks(spark, sf):
     "measure_multichannel_with_masks",
     wide_sql(
         [c for ch in "AB" for c in whole(ALL, ch, f"{ch}_") + _rounds(ch, f"{ch}_")],
-        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab",
+        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab", settle=True,
     ),
 )
 def flagship(spark, sf):
-    return MS.measure_multichannel_with_masks(
-        t.pixels_ab(spark, sf), t.labels(spark, sf), two_masks(spark, sf), ["hi", "vhi"], ["A", "B"]
+    return settled(
+        MS.measure_multichannel_with_masks(
+            t.pixels_ab(spark, sf), t.labels(spark, sf), two_masks(spark, sf), ["hi", "vhi"], ["A", "B"]
+        )
     )
 
 
@@ -189,14 +199,14 @@ def flagship(spark, sf):
     "measure_stored_scenes",
     wide_sql(
         [c for ch in "AB" for c in whole(ALL, ch, f"{ch}_") + _rounds(ch, f"{ch}_")],
-        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab",
+        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab", settle=True,
     ),
 )
 def _stored_scenes(spark, sf):
     store = LayerStore(spark, scratch(spark))
     store.write_scenes(t.pixels_ab(spark, sf), t.labels(spark, sf), two_masks(spark, sf))
     scopes = [M.whole(), *MS.mask_scopes(["hi", "vhi"])]
-    return MS.measure_stored(store.read_scenes(), ["A", "B"], ALL, scopes)
+    return settled(MS.measure_stored(store.read_scenes(), ["A", "B"], ALL, scopes))
 
 
 @case(
@@ -304,19 +314,28 @@ def fixed_groups(spark, sf, name="rnd"):
     )
 
 
+def mean_groups(spark, sf, name="rnd"):
+    """Groups by the mean to six decimals, so that a mean of exactly 45 or 55 has one group."""
+    cells = MS.measure_cells(t.pixels(spark, sf), t.labels(spark, sf), ["mean_intensity"])
+    return cells.selectExpr("dataset", "label", "round(mean_intensity, 6) AS value").selectExpr(
+        "dataset", f"'{name}' AS round", "label",
+        "CASE WHEN value < 45 THEN 1 WHEN value < 55 THEN 2 ELSE 3 END AS grp", "value",
+    )
+
+
 @case(
     "attach_groups",
-    ctes("cells") + " SELECT dataset, label, CAST(n AS DOUBLE) AS area,"
-    " CASE WHEN m < 45 THEN 1 WHEN m < 55 THEN 2 ELSE 3 END AS group_rnd FROM cells",
+    ctes("cells6") + " SELECT dataset, label, CAST(n AS DOUBLE) AS area,"
+    " CASE WHEN m < 45 THEN 1 WHEN m < 55 THEN 2 ELSE 3 END AS group_rnd FROM cells6",
 )
 def _attach_groups(spark, sf):
     cells = MS.cell_geometry(t.labels(spark, sf)).select("dataset", "label", "area")
-    return J.attach_groups(cells, fixed_groups(spark, sf), ["rnd"])
+    return J.attach_groups(cells, mean_groups(spark, sf), ["rnd"])
 
 
-@case("assign_group_pixels", ctes("grp3") + " SELECT dataset, y, x, label, grp FROM lb JOIN grp3 USING (dataset, label)")
+@case("assign_group_pixels", ctes("grp6") + " SELECT dataset, y, x, label, grp FROM lb JOIN grp6 USING (dataset, label)")
 def _assign_group_pixels(spark, sf):
-    return J.assign_group_pixels(t.labels(spark, sf), fixed_groups(spark, sf)).select(
+    return J.assign_group_pixels(t.labels(spark, sf), mean_groups(spark, sf)).select(
         "dataset", "y", "x", "label", "grp"
     )
 

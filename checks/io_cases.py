@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from cellgrid.operators import select as SL
@@ -121,17 +122,17 @@ def _scan_files(spark, sf):
     """A folder of images and others: every dataset gets a .tif and a .txt file."""
     root = scratch(spark)
     names = t.pixels(spark, sf).select("dataset", "channel").distinct()
-    files = names.selectExpr("dataset", "explode(array(concat(channel, '.tif'), concat(channel, '.txt'))) AS name")
-    files.withColumn("value", F.lit("x")).write.partitionBy("dataset", "name").text(f"{root}/parts")
-    store = LayerStore(spark, root)
-    fs, _ = store._fs(root)
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    # Spark names its files itself: each becomes <dataset>/<name>
-    for dataset, folder in store._folders(f"{root}/parts", "dataset"):
-        fs.mkdirs(to_path(f"{root}/images/{dataset}"))
-        for name, inner in store._folders(folder, "name"):
-            part = next(f.getPath() for f in fs.listStatus(to_path(inner)) if f.getPath().getName().startswith("part-"))
-            assert fs.rename(part, to_path(f"{root}/images/{dataset}/{name}"))
+
+    def write_files(rows):
+        # Spark names its files itself, so tasks write these
+        fs, folder = pafs.FileSystem.from_uri(f"{root}/images")
+        for dataset, channel in rows:
+            fs.create_dir(f"{folder}/{dataset}")
+            for suffix in ("tif", "txt"):
+                with fs.open_output_stream(f"{folder}/{dataset}/{channel}.{suffix}") as out:
+                    out.write(b"x")
+
+    names.foreachPartition(write_files)
     return FS.scan_files(spark, f"{root}/images").select(F.expr("array_join(slice(split(path, '/'), -2, 2), '/') AS path"))
 
 

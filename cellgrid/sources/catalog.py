@@ -1,14 +1,12 @@
-"""Layer catalog: Parquet tables partitioned by dataset and layer name."""
+"""Layer catalog: Parquet tables in folders by hash of the dataset, sorted by dataset and layer name."""
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.operators.scenes import scenes
-from cellgrid.session import durable, read_text_partitions
+from cellgrid.session import SHARD, durable, read_sharded, read_text_partitions, shard_of, write_sharded
 from cellgrid.sources import model
 
 # Layer kinds, their name column and their value casts.
@@ -22,19 +20,6 @@ KINDS = {
 }
 
 
-# Side of the image region one stored file covers: large files, yet a big frame splits.
-FILE_BLOCK = 2048
-
-
-# Characters of a partition value that Spark writes as %XX.
-ESCAPED = set("\"#%'*/:=?\\{[]^\x7f") | {chr(c) for c in range(1, 32)}
-
-
-def escaped(value: str) -> str:
-    """A partition value as it stands in a folder name."""
-    return "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
-
-
 class LayerStore:
     """All layers of all datasets below one folder (any Hadoop file system)."""
 
@@ -56,33 +41,24 @@ class LayerStore:
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def _layer_path(self, kind: str, dataset: str, name: str) -> str:
-        """Folder of a layer, with the escapes that Spark's writer uses."""
-        return f"{self.path(kind)}/dataset={escaped(dataset)}/{KINDS[kind][0]}={escaped(name)}"
-
     # -- layers ----------------------------------------------------------
 
     def write_layer(self, kind: str, df: DataFrame) -> None:
         """Replace the layers present in ``df``; other layers stay.
 
         Labels and masks are stored sparse, with their fixed types, and rows of
-        one image region stay together so per-cell work combines early.
+        one layer stay together, so a layer is read from few row groups.
         """
         name, casts = KINDS[kind]
         for column, kind_sql in casts.items():
             df = df.withColumn(column, F.col(column).cast(kind_sql))
         if kind in ("labels", "masks"):
             df = model.sparsify(df, "label" if kind == "labels" else "value")
-        if kind != "groups":
-            region = [model.block_of(c, FILE_BLOCK) for c in ("y", "x")]
-            df = df.repartition("dataset", name, *region)
-            df = df.sortWithinPartitions("dataset", name, "y", "x")
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dataset", name)
-            .parquet(self.path(kind))
-        )
+        order = [] if kind == "groups" else ["dataset", name, "y", "x"]
+        self._write(kind, df, ["dataset", name], order)
+
+    def _write(self, kind: str, df: DataFrame, keys: list[str], order: list[str] = ()) -> None:
+        write_sharded(df, self.path(kind), keys, order, self.exists(self.path(kind)))
 
     def write_bucketed(self, kind: str, df: DataFrame, table: str, buckets: int) -> None:
         """Save pixel-shaped rows bucketed by dataset and block, so joins need no shuffle."""
@@ -97,54 +73,31 @@ class LayerStore:
 
     def write_scenes(self, pixels: DataFrame, labels: DataFrame | None = None, masks: DataFrame | None = None) -> None:
         """Replace the block layout of the datasets in ``pixels``; measuring it moves no pixels."""
-        (
-            scenes(pixels, labels, masks).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(self.path("scenes"))
-        )
+        self._write("scenes", scenes(pixels, labels, masks), ["dataset"])
 
     def read_scenes(self) -> DataFrame:
-        return read_text_partitions(self.spark, self.path("scenes"))
+        return read_sharded(self.spark, self.path("scenes"), ["dataset"])
 
     def read_layer(self, kind: str, dataset: str | None = None, name: str | None = None) -> DataFrame:
         """Rows of one kind, pruned to a dataset and layer; an unknown name is an error."""
         column = KINDS[kind][0]
-        df = read_text_partitions(self.spark, self.path(kind))
-        if dataset is not None:
-            df = df.filter(F.col("dataset") == dataset)
+        df = read_sharded(self.spark, self.path(kind), ["dataset", column], dataset)
         if name is not None:
-            names = [n for d in self._folders(self.path(kind), "dataset") if dataset in (None, d[0]) for n in self._folders(d[1], column)]
-            if name not in [n for n, _ in names]:
-                raise KeyError(f"{kind} layer {name!r} not found")
             df = df.filter(F.col(column) == name)
+            if df.isEmpty():
+                raise KeyError(f"{kind} layer {name!r} not found")
         return df
 
     def read_channel(self, dataset: str, channel: str) -> DataFrame:
-        """One plane only, by partition pruning."""
+        """One plane only: the dataset's folder, and in it the row groups of the plane."""
         return self.read_layer("pixels", dataset, channel)
 
     def list_layers(self, kind: str, dataset: str | None = None) -> DataFrame:
-        """Dataset and layer names, from the folders alone; no file is opened."""
+        """Dataset and layer names; only these two columns are read."""
         column = KINDS[kind][0]
-        names = [
-            (d, n)
-            for d in self._folders(self.path(kind), "dataset")
-            if dataset is None or d[0] == dataset
-            for n in self._folders(d[1], column)
-        ]
-        return self.spark.createDataFrame(
-            [(d[0], n[0]) for d, n in names], f"dataset string, {column} string"
-        )
-
-    def _folders(self, path: str, column: str) -> list[tuple[str, str]]:
-        """Value and path of the partition folders of ``column`` below a folder."""
-        fs, p = self._fs(path)
-        if not fs.exists(p):
-            return []
-        prefix = f"{column}="
-        found = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
-        return [
-            (unquote(f.getName()[len(prefix) :]), f.toString()) for f in found if f.getName().startswith(prefix)
-        ]
+        if not self.exists(self.path(kind)):
+            return self.spark.createDataFrame([], f"dataset string, {column} string")
+        return self.read_layer(kind, dataset).select("dataset", column).distinct()
 
     def read_layers(self, dataset: str) -> dict[str, DataFrame]:
         """Channels, labels and masks of a dataset; label names that are also masks are dropped."""
@@ -157,43 +110,64 @@ class LayerStore:
             masks = self.spark.createDataFrame([], model.MASKS)
         return {"pixels": self.read_layer("pixels", dataset), "labels": labels, "masks": masks}
 
+    def _holds(self, kind: str, dataset: str, name: str) -> bool:
+        if not self.exists(self.path(kind)):
+            return False
+        return not self.read_layer(kind, dataset).filter(F.col(KINDS[kind][0]) == name).isEmpty()
+
+    def _edit_folder(self, kind: str, dataset: str, change) -> None:
+        """Write the folder of a dataset again after ``change`` of its rows."""
+        rows = read_text_partitions(self.spark, self.path(kind), merge=True)
+        shard = shard_of(dataset)
+        rows = durable(change(rows.where(F.col(SHARD) == shard)))
+        if rows.isEmpty():
+            fs, p = self._fs(f"{self.path(kind)}/{SHARD}={self.spark.range(1).select(shard).first()[0]}")
+            fs.delete(p, True)
+            return
+        order = [] if kind == "groups" else ["dataset", KINDS[kind][0], "y", "x"]
+        write_sharded(rows.drop(SHARD), self.path(kind), ["dataset"], order, exists=False)
+
     def delete_layer(self, kind: str, dataset: str, name: str) -> bool:
-        """Remove a layer's partition; False if there was none."""
-        fs, p = self._fs(self._layer_path(kind, dataset, name))
-        return bool(fs.exists(p) and fs.delete(p, True))
+        """Remove a layer's rows; False if there were none."""
+        if not self._holds(kind, dataset, name):
+            return False
+        own = (F.col("dataset").eqNullSafe(dataset)) & (F.col(KINDS[kind][0]).eqNullSafe(name))
+        self._edit_folder(kind, dataset, lambda rows: rows.where(~own))
+        return True
 
     def rename_layer(self, kind: str, dataset: str, old: str, new: str) -> bool:
-        """Rename a layer's partition; an existing target is an error."""
-        fs, source = self._fs(self._layer_path(kind, dataset, old))
-        if not fs.exists(source):
+        """Rename a layer; an existing target is an error."""
+        if not self._holds(kind, dataset, old):
             return False
-        _, target = self._fs(self._layer_path(kind, dataset, new))
-        if fs.exists(target):
+        if self._holds(kind, dataset, new):
             raise ValueError(f"there is already a layer {new!r}")
-        return bool(fs.rename(source, target))
+        column = KINDS[kind][0]
+        own = (F.col("dataset") == dataset) & (F.col(column) == old)
+        self._edit_folder(
+            kind, dataset, lambda rows: rows.withColumn(column, F.when(own, F.lit(new)).otherwise(F.col(column)))
+        )
+        return True
 
     # -- frames and channels ----------------------------------------------
 
     def write_frames(self, frames: DataFrame) -> None:
-        frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "dataset"
-        ).parquet(self.path("frames"))
+        self._write("frames", frames, ["dataset"])
 
-    def read_frames(self) -> DataFrame:
-        return read_text_partitions(self.spark, self.path("frames"))
+    def read_frames(self, dataset: str | None = None) -> DataFrame:
+        return read_sharded(self.spark, self.path("frames"), ["dataset"], dataset)
 
     def get_metadata(self, dataset: str) -> dict[str, str]:
-        row = self.read_frames().filter(F.col("dataset") == dataset).select("metadata").first()
+        row = self.read_frames(dataset).select("metadata").first()
         return {} if row is None or row[0] is None else dict(row[0])
 
     def _replace_frame(self, frames: DataFrame) -> None:
-        # the partition being rewritten is also the one being read
+        # the folder being rewritten is also the one being read
         self.write_frames(durable(frames))
 
     def set_metadata(self, dataset: str, attrs: dict[str, str]) -> int:
         """Merge attributes into a dataset's metadata; later values win."""
         self._replace_frame(
-            set_metadata(self.read_frames().filter(F.col("dataset") == dataset), attrs)
+            set_metadata(self.read_frames(dataset), attrs)
         )
         return len(attrs)
 
@@ -203,7 +177,7 @@ class LayerStore:
             "pixels",
             plane.select(F.lit(dataset).alias("dataset"), F.lit(channel).alias("channel"), "y", "x", "value"),
         )
-        frame = self.read_frames().filter(F.col("dataset") == dataset)
+        frame = self.read_frames(dataset)
         self._replace_frame(append_channel_name(frame, channel))
 
     def append_layer(self, dataset: str, layer_type: str, name: str, plane: DataFrame) -> None:
@@ -226,14 +200,14 @@ class LayerStore:
     def rename_channel(self, dataset: str, old: str, new: str) -> bool:
         done = self.rename_layer("pixels", dataset, old, new)
         if done:
-            frame = self.read_frames().filter(F.col("dataset") == dataset)
+            frame = self.read_frames(dataset)
             self._replace_frame(rename_channel(frame, old, new))
         return done
 
     def delete_channel(self, dataset: str, channel: str) -> bool:
         done = self.delete_layer("pixels", dataset, channel)
         if done:
-            frame = self.read_frames().filter(F.col("dataset") == dataset)
+            frame = self.read_frames(dataset)
             self._replace_frame(delete_channel(frame, channel))
         return done
 
@@ -241,15 +215,13 @@ class LayerStore:
 
     def write_measurements(self, cells: DataFrame) -> None:
         """Replace the measurement table of the datasets in ``cells``."""
-        cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "dataset"
-        ).parquet(self.path("measurements"))
+        self._write("measurements", cells, ["dataset"])
 
     def read_measurements(self) -> DataFrame | None:
         """The measurement table, or None if there is none yet."""
         if not self.exists(self.path("measurements")):
             return None
-        return read_text_partitions(self.spark, self.path("measurements"), merge=True)
+        return read_sharded(self.spark, self.path("measurements"), ["dataset"], merge=True)
 
 
 def set_metadata(frames: DataFrame, attrs: dict[str, str]) -> DataFrame:

@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cellgrid.functions.ranks import quoted
-from cellgrid.session import durable
+from cellgrid.session import durable, spread
 
 DIGIT = 16
+# Values looked at together in a task.
+AT_ONCE = 1 << 20
 
 
 def ordered_bits(v: np.ndarray) -> np.ndarray:
@@ -47,33 +50,44 @@ def select_ranks(values: DataFrame, keys: list[str], part: list[str], wanted: Da
 
         def count_digits(batches, shift=shift):
             for batch in batches:
-                for i in range(batch.num_rows):
-                    v = batch.column("v")[i].values.to_numpy(zero_copy_only=False)
-                    n = batch.column("n")[i].values.to_numpy(zero_copy_only=False)
-                    bits = ordered_bits(v)
-                    head = bits >> np.uint64(shift)
-                    outs = []
-                    for goal in batch.column("goals")[i].as_py():
-                        # the matching values are one slice of the sorted ones
-                        lo = np.searchsorted(head, np.uint64(goal["prefix"] << DIGIT))
-                        hi = np.searchsorted(head, np.uint64((goal["prefix"] << DIGIT) + (1 << DIGIT) - 1), side="right")
-                        if lo == hi:
-                            continue
-                        digit, first = np.unique(head[lo:hi], return_index=True)
-                        last = np.append(first[1:], hi - lo) - 1
-                        count = np.add.reduceat(n[lo:hi], first)
-                        low = (digit & np.uint64((1 << DIGIT) - 1)).astype(np.int32)
-                        outs.append((goal, low, count, v[lo:hi][first], v[lo:hi][last]))
-                    for goal, low, count, least, most in outs:
-                        size = len(low)
-                        same = [pa.repeat(batch.column(c)[i], size) for c in keys]
-                        cols = [pa.repeat(pa.scalar(goal["target"], pa.int32()), size), pa.repeat(pa.scalar(goal["prefix"], pa.int64()), size)]
-                        cols += [pa.array(low), pa.array(count, pa.int64()), pa.array(least), pa.array(most)]
-                        yield pa.RecordBatch.from_arrays([*same, *cols], schema=target)
+                goals = batch.column("goals")
+                sizes, asked = (pc.list_value_length(batch.column(c)).to_numpy() for c in ("v", "goals"))
+                # rows of few values are worked on together
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes * asked) // AT_ONCE, prepend=0)).tolist()
+                for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                    if lo == hi:
+                        continue
+                    part = batch.slice(lo, hi - lo)
+                    v, n = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("v", "n"))
+                    size, wants = sizes[lo:hi], asked[lo:hi]
+                    start = np.cumsum(size) - size
+                    row = np.repeat(np.arange(hi - lo), wants)
+                    goal = goals.slice(lo, hi - lo).flatten()
+                    prefix = goal.field("prefix").to_numpy().astype(np.uint64)
+                    # all values of a goal's row, one goal after another
+                    of = np.repeat(np.arange(len(row)), size[row])
+                    at = np.arange(len(of)) + np.repeat(start[row] - (np.cumsum(size[row]) - size[row]), size[row])
+                    head = (ordered_bits(v) >> np.uint64(shift))[at]
+                    # the matching values are one slice of the sorted ones
+                    match = (head >> np.uint64(DIGIT)) == prefix[of]
+                    of, at, head = of[match], at[match], head[match]
+                    if not len(of):
+                        continue
+                    new = np.ones(len(of), dtype=bool)
+                    new[1:] = (of[1:] != of[:-1]) | (head[1:] != head[:-1])
+                    first = np.flatnonzero(new)
+                    last = np.append(first[1:], len(of)) - 1
+                    owner = of[first]
+                    same = [part.column(c).take(pa.array(row[owner])) for c in keys]
+                    digit = (head[first] & np.uint64((1 << DIGIT) - 1)).astype(np.int32)
+                    cols = [goal.field(c).take(pa.array(owner)) for c in ("target", "prefix")]
+                    cols += [pa.array(digit), pa.array(np.add.reduceat(n[at], first), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*same, *cols, pa.array(v[at[first]]), pa.array(v[at[last]])], schema=target)
 
         goals = state.groupBy(*keys).agg(F.collect_list(F.struct("target", "prefix")).alias("goals"))
         placed = places.join(goals, keys)
-        counted = values.join(placed, [*keys, *part]).select(*keys, "v", "n", "goals").mapInArrow(count_digits, schema)
+        # as many tasks as the values ask for, however few bytes they have
+        counted = spread(values, [*keys, *part]).join(placed, [*keys, *part]).select(*keys, "v", "n", "goals").mapInArrow(count_digits, schema)
         digits = counted.groupBy(*keys, "target", "prefix", "digit").agg(
             F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
         )

@@ -23,7 +23,7 @@ from cellgrid.functions import metrics as M
 from cellgrid.functions.selection import modes, select_ranks
 from cellgrid.operators import scenes as SC
 from cellgrid.operators.joins import flag_masks, flag_values, scope_pixels
-from cellgrid.session import durable
+from cellgrid.session import durable, spread
 from cellgrid.sources.model import BLOCK
 
 CELL = ["dataset", "label"]
@@ -64,16 +64,16 @@ VALUES = "dataset string, by int, bx int, label int, channel string, scope int,
 HALF, SIGNAL = 0.5, 0.95
 
 
-def _regions(scene: SC.Scene, regions: list[tuple]) -> list[np.ndarray | None]:
+def _regions(chunk: SC.Chunk, regions: list[tuple]) -> list[np.ndarray | None]:
     """The places of each scope; None stands for all."""
     found = []
     for kind, what in regions:
         if kind == "all":
             found.append(None)
         elif kind == "value":
-            found.append(scene.mask(value=what))
+            found.append(chunk.mask(value=what))
         else:
-            inside = scene.mask(name=what)
+            inside = chunk.mask(name=what)
             found.append(inside if kind == "in" else ~inside)
     return found
 
@@ -130,51 +130,78 @@ def _scope_stats(key: np.ndarray, v: np.ndarray, size: int, ranked: bool) -> dic
     return out
 
 
+class _Cells:
+    """Labelled pixels of one channel of several scenes, sorted by scene, label and value."""
+
+    def __init__(self, chunk: SC.Chunk, channel: str, masks: list, keep: pa.ListArray | None = None):
+        own, label, place, v = chunk.cells(channel, keep)
+        order = np.lexsort((v, label, own))
+        self.own, self.label, self.v = own[order], label[order], v[order]
+        self.inside = [np.ones(len(v), dtype=bool) if mask is None else mask[place[order]] for mask in masks]
+        new = _changes(self.own, self.label)
+        # the number of each pixel's cell, and where a cell starts
+        self.key, self.first = np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def block_parts(scenes: DataFrame, channels: list[str] | None, regions: list[tuple], ranked: bool) -> DataFrame:
     """Partial statistics of every cell in every block."""
     schema = to_arrow_schema(StructType.fromDDL(PART))
 
     def measure(batches):
-        for scene, _, _ in SC.each(batches):
-            at, label = scene.labels()
-            if len(at):
-                yield _batch(schema, scene, _geometry(scene, at, label))
-            masks = _regions(scene, regions)
-            for i, name in enumerate(scene.channel_names()):
+        for chunk in SC.chunks(batches):
+            yield _batch(schema, chunk, *_geometry(chunk))
+            masks = _regions(chunk, regions)
+            for name in chunk.channel_names():
                 if channels is not None and name not in channels:
                     continue
-                cell, place, v = _sorted_cells(scene, i)
-                if not len(cell):
+                cells = _Cells(chunk, name, masks)
+                if not len(cells.v):
                     continue
-                names, first, key = np.unique(cell, return_index=True, return_inverse=True)
-                seen = ~np.isnan(v)
-                for s, mask in enumerate(masks):
-                    inside = np.ones(len(v), dtype=bool) if mask is None else mask[place]
+                seen = ~np.isnan(cells.v)
+                size = len(cells.first)
+                for s, inside in enumerate(cells.inside):
                     used = inside & seen
-                    stats = _scope_stats(key[used], v[used], len(names), ranked)
-                    n = np.add.reduceat(inside.astype(np.int64), first)
+                    stats = _scope_stats(cells.key[used], cells.v[used], size, ranked)
+                    n = np.add.reduceat(inside.astype(np.int64), cells.first)
                     tainted = n > stats["nv"]
                     stats["mode"][tainted] = stats["sg"][tainted] = np.nan
-                    yield _batch(schema, scene, {"label": names, "channel": [name] * len(names), "scope": np.full(len(names), s), "n": n, **stats})
+                    columns = {"label": cells.label[cells.first], "channel": pa.repeat(name, size), "scope": np.full(size, s), "n": n}
+                    yield _batch(schema, chunk, cells.own[cells.first], columns | stats)
 
     return scenes.mapInArrow(measure, PART)
 
 
-def _geometry(scene: SC.Scene, at: np.ndarray, label: np.ndarray) -> dict:
-    order = np.argsort(label, kind="stable")
-    y, x = at[order] // scene.side + scene.by * scene.side, at[order] % scene.side + scene.bx * scene.side
-    names, first, n = np.unique(label[order], return_index=True, return_counts=True)
+def _geometry(chunk: SC.Chunk) -> tuple[np.ndarray, dict]:
+    """The scene of each outline, and the outlines."""
+    own, at, label = chunk.labels()
+    order = np.lexsort((label, own))
+    own, at, label = own[order], at[order], label[order]
+    side = chunk.side[own]
+    y, x = at // side + chunk.by[own] * side, at % side + chunk.bx[own] * side
+    first = np.flatnonzero(_changes(own, label))
     fold = {"y0": (np.minimum, y), "x0": (np.minimum, x), "y1": (np.maximum, y), "x1": (np.maximum, x)}
-    return {
-        "label": names, "scope": np.full(len(names), GEOMETRY_SCOPE), "n": n,
+    if not len(own):
+        return own, {"label": label, "scope": own, "n": own}
+    return own[first], {
+        "label": label[first], "scope": np.full(len(first), GEOMETRY_SCOPE), "n": np.diff(np.append(first, len(own))),
         "y": np.add.reduceat(y, first).astype(float), "x": np.add.reduceat(x, first).astype(float),
         **{c: fn.reduceat(v, first) for c, (fn, v) in fold.items()},
     }
 
 
-def _batch(schema: pa.Schema, scene: SC.Scene, columns: dict) -> pa.RecordBatch:
-    size = len(columns["label"])
-    columns = columns | {c: pa.repeat(pa.scalar(getattr(scene, c), schema.field(c).type), size) for c in SC.KEY}
+def _batch(schema: pa.Schema, chunk: SC.Chunk, own: np.ndarray, columns: dict) -> pa.RecordBatch:
+    """Rows of the scenes numbered ``own``."""
+    size = len(own)
+    columns = columns | {c: chunk.rows.column(c).take(pa.array(own)) for c in SC.KEY}
     arrays = []
     for field in schema:
         values = columns.get(field.name)
@@ -187,6 +214,10 @@ def _batch(schema: pa.Schema, scene: SC.Scene, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def _lists(offsets: pa.Array, values: np.ndarray, kind: pa.ListType) -> pa.Array:
+    return pa.ListArray.from_arrays(offsets, pa.array(values, kind.value_type)).cast(kind)
+
+
 STAT = ["dataset", "label", "channel", "scope"]
 
 
@@ -225,22 +256,29 @@ def ranks_across_blocks(scenes: DataFrame, parts: DataFrame, channels: list[str]
     schema = to_arrow_schema(StructType.fromDDL(VALUES))
 
     def distinct_values(batches):
-        for scene, batch, row in SC.each(batches):
-            masks = _regions(scene, regions)
-            keep = batch.column("wanted")[row].values.to_numpy()
-            for i, name in enumerate(scene.channel_names()):
+        for chunk in SC.chunks(batches):
+            masks = _regions(chunk, regions)
+            for name in chunk.channel_names():
                 if channels is not None and name not in channels:
                     continue
-                cell, place, v = _sorted_cells(scene, i, keep)
-                for s, mask in enumerate(masks):
-                    used = ~np.isnan(v) if mask is None else mask[place] & ~np.isnan(v)
-                    c, w = cell[used], v[used]
-                    for label in np.unique(c):
-                        lo, hi = np.searchsorted(c, label), np.searchsorted(c, label, side="right")
-                        values, n = np.unique(w[lo:hi], return_counts=True)
-                        yield _batch(schema, scene, {"label": np.array([label]), "channel": [name], "scope": np.array([s]), "v": [values], "n": [n]})
-
-    values = durable(scenes.join(wanted, SC.KEY).mapInArrow(distinct_values, VALUES))
+                cells = _Cells(chunk, name, masks, chunk.rows.column("wanted"))
+                for s, inside in enumerate(cells.inside):
+                    used = inside & ~np.isnan(cells.v)
+                    if not used.any():
+                        continue
+                    key, v = cells.key[used], cells.v[used]
+                    run = np.flatnonzero(_changes(key, v))
+                    cell, start = np.unique(key[run], return_index=True)
+                    offsets = pa.array(np.append(start, len(run)), pa.int32())
+                    times = np.diff(np.append(run, len(v)))
+                    at = cells.first[cell]
+                    yield _batch(schema, chunk, cells.own[at], {
+                        "label": cells.label[at], "channel": pa.repeat(name, len(at)), "scope": np.full(len(at), s),
+                        "v": _lists(offsets, v[run], schema.field("v").type), "n": _lists(offsets, times, schema.field("n").type),
+                    })
+
+    # as many tasks as the scenes ask for, however few bytes they have
+    values = durable(spread(scenes, SC.KEY).join(wanted, SC.KEY).mapInArrow(distinct_values, VALUES))
     sizes = values.groupBy(*STAT).agg(F.expr("sum(aggregate(n, 0L, (a, x) -> a + x)) AS nv"))
     wanted_ranks = [f"floor((nv - 1) * {HALF}D)", f"ceil((nv - 1) * {HALF}D)", f"ceil((nv - 1) * {SIGNAL}D)"]
     goals = sizes.selectExpr(*STAT, f"posexplode(array({', '.join(wanted_ranks)})) AS (target, rank)")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -61,51 +62,98 @@ def scenes(
         rows = rows.unionByName(_rows(masks.filter("value > 0"), MASK, F.col("mask"), "value", side))
     schema = to_arrow_schema(StructType.fromDDL(SCENE))
 
-    def assemble(key, table):
-        kind, at, v = (table.column(c).to_numpy() for c in ("kind", "at", "v"))
-        coded = table.column("name").combine_chunks().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        marked = kind == LABEL
-        if labelled_only and not marked.any():
-            return schema.empty_table()
-        row = {
-            "dataset": key[0].as_py(), "by": key[1].as_py(), "bx": key[2].as_py(), "side": side,
-            "channels": [_layer(names[c], at, v, (kind == PIXEL) & (code == c)) for c in np.unique(code[kind == PIXEL])],
-            "labels": _attributed("label", at[marked], v[marked]),
-            "masks": [
-                {"name": names[c], **_attributed("value", at[own], v[own])}
-                for c in np.unique(code[kind == MASK])
-                for own in [(kind == MASK) & (code == c)]
-            ],
-        }
-        return pa.Table.from_pydict({k: [x] for k, x in row.items()}, schema=schema)
-
-    return spread(rows, KEY).groupBy(*KEY).applyInArrow(assemble, SCENE)
-
-
-def _runs(at: np.ndarray, attribute: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index, start and length of runs of consecutive places (with equal attributes)."""
+    def assemble(batches):
+        # rows come sorted by block; the last block of a batch may go on in the next one
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            cut = _starts(batch)
+            if len(cut) > 1:
+                yield from _scene_rows(pa.Table.from_batches([*rest, batch.slice(0, cut[-1])]), schema, side, labelled_only)
+                rest = [batch.slice(cut[-1])]
+            elif len(cut):
+                if rest and not _same_block(rest[-1], batch):
+                    yield from _scene_rows(pa.Table.from_batches(rest), schema, side, labelled_only)
+                    rest = []
+                rest.append(batch)
+        if rest:
+            yield from _scene_rows(pa.Table.from_batches(rest), schema, side, labelled_only)
+
+    return spread(rows, KEY).sortWithinPartitions(*KEY).mapInArrow(assemble, SCENE)
+
+
+def _starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where a block's rows start, of rows sorted by block."""
+    new = np.zeros(rows.num_rows, dtype=bool)
+    new[:1] = True
+    for c in KEY:
+        column = rows.column(c)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        code = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _same_block(before: pa.RecordBatch, after: pa.RecordBatch) -> bool:
+    return all(before.column(c)[before.num_rows - 1].as_py() == after.column(c)[0].as_py() for c in KEY)
+
+
+def _scene_rows(table: pa.Table, schema: pa.Schema, side: int, labelled_only: bool) -> Iterator[pa.RecordBatch]:
+    """Scenes of whole blocks."""
+    table = table.combine_chunks()
+    start = _starts(table)
+    own = np.repeat(np.arange(len(start)), np.diff(np.append(start, table.num_rows)))
+    kind, at, v = (table.column(c).to_numpy() for c in ("kind", "at", "v"))
+    coded = table.column("name").combine_chunks().dictionary_encode()
+    code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((v, at, code, kind, own))
+    if labelled_only:
+        order = order[np.isin(own, own[kind == LABEL])[order]]
+    kept = np.unique(own[order])
+    if not len(kept):
+        return
+    own, kind, code, at, v = np.searchsorted(kept, own[order]), kind[order], code[order], at[order], v[order]
+    size = len(kept)
+
+    def rows_of(what):
+        mine = kind == what
+        return own[mine], code[mine], at[mine], v[mine]
+
+    scene, name, place, value = rows_of(LABEL)
+    first, runs = _runs(scene, place, value)
+    parts = {f: _lists(scene[first], x, size) for f, x in (*runs, ("label", value[first].astype(np.int32)))}
+    columns = {c: table.column(c).combine_chunks().take(pa.array(start[kept])) for c in KEY}
+    columns["side"] = pa.array(np.full(size, side, np.int32))
+    columns["labels"] = pa.StructArray.from_arrays(list(parts.values()), names=list(parts))
+    for field, what in (("channels", PIXEL), ("masks", MASK)):
+        scene, name, place, value = rows_of(what)
+        new = np.ones(len(scene), dtype=bool)
+        new[1:] = (scene[1:] != scene[:-1]) | (name[1:] != name[:-1])
+        layer, at_first = np.cumsum(new) - 1, np.flatnonzero(new)
+        first, runs = _runs(layer, place, value if what == MASK else None)
+        values = (layer[first], value[first].astype(np.int32)) if what == MASK else (layer, value)
+        count = len(at_first)
+        parts = {"name": coded.dictionary.take(pa.array(name[at_first]))}
+        parts |= {f: _lists(layer[first], x, count) for f, x in runs}
+        parts["value"] = _lists(*values, count)
+        columns[field] = _lists(scene[at_first], pa.StructArray.from_arrays(list(parts.values()), names=list(parts)), size)
+    yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def _lists(owner: np.ndarray, values, size: int) -> pa.ListArray:
+    """One list for each of ``size`` owners, of values in the order of their owners."""
+    offsets = np.searchsorted(owner, np.arange(size + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values) if isinstance(values, np.ndarray) else values)
+
+
+def _runs(layer: np.ndarray, at: np.ndarray, attribute: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """Index, and start and length, of runs of consecutive places of a layer (with equal attributes)."""
     new = np.ones(len(at), dtype=bool)
-    new[1:] = at[1:] != at[:-1] + 1
+    new[1:] = (at[1:] != at[:-1] + 1) | (layer[1:] != layer[:-1])
     if attribute is not None:
         new[1:] |= attribute[1:] != attribute[:-1]
     first = np.flatnonzero(new)
-    return first, at[first].astype(np.int32), np.diff(np.append(first, len(at))).astype(np.int32)
-
-
-def _layer(name: str, at: np.ndarray, v: np.ndarray, own: np.ndarray) -> dict:
-    at, v = at[own], v[own]
-    order = np.lexsort((v, at))
-    _, start, length = _runs(at[order])
-    return {"name": name, "start": start, "length": length, "value": v[order]}
-
-
-def _attributed(field: str, at: np.ndarray, v: np.ndarray) -> dict:
-    order = np.lexsort((v, at))
-    at, v = at[order], v[order].astype(np.int32)
-    first, start, length = _runs(at, v)
-    return {"start": start, "length": length, field: v[first]}
+    length = np.diff(np.append(first, len(at))).astype(np.int32)
+    return first, (("start", at[first].astype(np.int32)), ("length", length))
 
 
 def expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -170,3 +218,77 @@ def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Scene, pa.RecordBa
     for batch in batches:
         for i in range(batch.num_rows):
             yield Scene(batch, i), batch, i
+
+
+class Chunk:
+    """Several scene rows, whose layers are read together; ``own`` is the number of a row's scene."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.rows, self.size = rows, rows.num_rows
+        self.by, self.bx, self.side = (rows.column(c).to_numpy() for c in ("by", "bx", "side"))
+        # scenes of a chunk have places of their own
+        self.stride = int(self.side.max()) ** 2
+        self.layers = {c: _flat(rows.column(c)) for c in ("channels", "masks")}
+
+    def channel_names(self) -> list[str]:
+        return pc.unique(self.layers["channels"][1].field("name")).to_pylist()
+
+    def _layer(self, kind: str, name: str | None) -> tuple[np.ndarray, ...]:
+        """Scene, start and length of the runs of the layers of a name (or all), and all their values."""
+        own, layers = self.layers[kind]
+        if name is not None:
+            wanted = pc.equal(layers.field("name"), name).fill_null(False)
+            own, layers = own[wanted.to_numpy(zero_copy_only=False)], layers.filter(wanted)
+        at, start = _flat(layers.field("start"))
+        runs = (own[at], start.to_numpy(), layers.field("length").flatten().to_numpy())
+        return *runs, layers.field("value").flatten().to_numpy(zero_copy_only=False)
+
+    def labels(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scene, place and label, in order."""
+        labels = self.rows.column("labels")
+        own, start = _flat(labels.field("start"))
+        length = labels.field("length").flatten().to_numpy()
+        return np.repeat(own, length), expand(start.to_numpy(), length), np.repeat(labels.field("label").flatten().to_numpy(), length)
+
+    def mask(self, name: str | None = None, value: int | None = None) -> np.ndarray:
+        """Is a place of the chunk inside the named mask (or any), with this value (or any)?"""
+        inside = np.zeros(self.size * self.stride, dtype=bool)
+        own, start, length, v = self._layer("masks", name)
+        if value is not None:
+            own, start, length = own[v == value], start[v == value], length[v == value]
+        inside[expand(own * self.stride + start, length)] = True
+        return inside
+
+    def cells(self, channel: str, keep: pa.ListArray | None = None) -> tuple[np.ndarray, ...]:
+        """Scene, label, place in the chunk and value of every labelled pixel of a channel, as a join by place gives them."""
+        own, at, label = self.labels()
+        if keep is not None:
+            of, wanted = _flat(keep)
+            kept = np.isin((own << 32) + label, (of << 32) + wanted.to_numpy())
+            own, at, label = own[kept], at[kept], label[kept]
+        count = np.bincount(own * self.stride + at, minlength=self.size * self.stride)
+        first = np.cumsum(count) - count
+        of, start, length, value = self._layer("channels", channel)
+        place = expand(of * self.stride + start, length)
+        times = count[place]
+        pixel = np.repeat(np.arange(len(place)), times)
+        nth = np.arange(len(pixel)) - np.repeat(np.cumsum(times) - times, times)
+        place = place[pixel]
+        return place // self.stride, label[first[place] + nth], place, value[pixel]
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The list and the value of each element."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+
+def chunks(batches: Iterator[pa.RecordBatch], places: int = BLOCK * BLOCK) -> Iterator[Chunk]:
+    """Scenes some at a time: one of the usual side, or many small ones."""
+    for batch in batches:
+        sides = batch.column("side").to_numpy()
+        start = 0
+        while start < len(sides):
+            size = max(1, places // int(sides[start : start + places].max()) ** 2)
+            yield Chunk(batch.slice(start, size))
+            start += size

@@ -231,3 +231,33 @@ def test_udaf_metric_and_its_bound(tables):
     assert got[1] == 19 and got[5] == 14
     with pytest.raises(ValueError, match="exceeds"):
         MS.measure_with_udaf(px, lb, spread, "spread", max_pixels=10)
+
+
+def test_small_scenes_are_read_together(tables):
+    """Many small blocks are one step of a task, and rows of a block may come in several batches."""
+    import pyarrow as pa
+
+    from cellgrid.operators import scenes as SC
+
+    rng = np.random.RandomState(9)
+    image, labels = rng.rand(40, 41), rng.randint(0, 4, (40, 41))
+    px, lb, masks = tables.pixels(image), tables.labels(labels), tables.mask((image > 0.5).astype(int))
+    spark = tables.spark
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    found = []
+    for rows in (before, "7"):
+        spark.conf.set(size, rows)
+        try:
+            found.append(SC.scenes(px, lb, masks, side=3).toArrow().sort_by([("by", "ascending"), ("bx", "ascending")]))
+        finally:
+            spark.conf.set(size, before)
+    assert found[0].num_rows == 14 * 14 and found[0].equals(found[1])
+
+    batch = pa.Table.from_batches(found[0].to_batches()).combine_chunks().to_batches()[0]
+    (chunk,) = SC.chunks([batch])
+    got = chunk.cells("A")
+    parts = [(scene, *scene.cells(0)) for scene, _, _ in SC.each([batch])]
+    assert np.array_equal(got[1], np.concatenate([p[1] for p in parts])) and np.array_equal(got[3], np.concatenate([p[3] for p in parts]))
+    assert np.array_equal(chunk.mask("m"), np.concatenate([p[0].mask("m") for p in parts]))
+    assert [len(c.rows) for c in SC.chunks([batch], places=90)] == [10] * 19 + [6]

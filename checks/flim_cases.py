@@ -479,7 +479,7 @@ def _group_hist(spark, sf):
 
 @case(
     "rank_groups_by_mean",
-    ctes("grp6") + ", r AS (SELECT *, grp * 7 % 5 AS raw FROM grp6), k AS (SELECT dataset, raw, row_number() OVER (PARTITION BY dataset ORDER BY avg(m)) AS g"
+    ctes("grp6") + ", r AS (SELECT *, grp * 7 % 5 AS raw FROM grp6), k AS (SELECT dataset, raw, row_number() OVER (PARTITION BY dataset ORDER BY avg(m), raw) AS g"
     " FROM r GROUP BY dataset, raw) SELECT dataset, label, round(m, 6) AS value, CAST(g AS INTEGER) AS grp FROM r JOIN k USING (dataset, raw)",
 )
 def _rank(spark, sf):

@@ -15,8 +15,8 @@ on the whole fingerprint.
 * A cell of more than ``CELL`` members is cut into blocks, and every two blocks
   are compared in a task of their own, so no link is lost and no task grows.
 
-Near duplicates are decided by the sets of word shingles themselves, not by
-fingerprints: see :func:`near_duplicate_groups`.
+Groups by the sets of word shingles themselves, without fingerprints, are a job of
+their own: see :func:`near_duplicate_groups`.
 
 Nulls: a null text is a text without words.  A text without words has the zero
 fingerprint and links like any other.  Repeated rows get equal results; other
@@ -404,7 +404,7 @@ def near_duplicate_groups(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each group of near duplicates, that with the smallest id; columns as in ``docs``."""
+    """One row of each component of linked fingerprints, that with the smallest id; columns as in ``docs``."""
     key, text_name = names([id_col, text])
     # the columns of the rows stay in one struct, so no name of theirs meets one of these
     keyed = docs.select(
@@ -412,8 +412,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
         F.col(text_name).alias("text"),
         F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names(docs.columns)))).alias("row"),
     )
-    groups = near_duplicate_groups(keyed.select("id", "text"), "id", "text", **options)
-    first = groups.where("id = component").select(F.col("id").alias("first")).distinct()
+    groups = simhash_components(keyed.select("id", "text"), "id", "text", **options)
+    first = groups.where("id = component_id").select(F.col("id").alias("first")).distinct()
     kept = keyed.join(first, F.col("id") == F.col("first"), "left_semi")
     # rows repeated as they are
     kept = kept.dropDuplicates(["id"])

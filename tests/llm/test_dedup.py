@@ -145,6 +145,21 @@ def test_groups_equal_brute_force_jaccard(spark, monkeypatch):
         assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def test_the_stage_keeps_one_row_of_each_simhash_component(spark):
+    texts = edited_copies()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = simhash.simhash([simhash.shingle_hashes(t, 3) for t in texts])[:, 0]
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    root = np.arange(len(texts))
+    while True:
+        least = np.where(apart <= 3, root[None, :], len(texts)).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    kept = sorted(r.doc_id for r in simhash.keep_one(frame).collect())
+    assert kept == np.unique(root).tolist() and len(kept) < len(texts)
+
+
 def test_pairs_next_to_the_limit(spark):
     rows, want = [], {}
     for pair in range(60):

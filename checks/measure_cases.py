@@ -51,13 +51,19 @@ def six(value: str) -> str:
 
 
 def wide_sql(
-    columns: list[tuple[str, str, str, str, str]], scopes: list[str], pixels: str, settle: bool = False
+    columns: list[tuple[str, str, str, str, str]], scopes: list[str], pixels: str, settle: bool = False,
+    absent: bool = False,
 ) -> str:
-    """Oracle of a wide measurement: (column, metric, channel, scope, empty value)."""
+    """Oracle of a wide measurement: (column, metric, channel, scope, empty value).
+
+    An empty scope has the empty value; with ``absent`` a cell without any pixel of
+    a channel has no scopes there, and all values of that channel are NULL.
+    """
     to_six = six if settle else "round({}, 6)".format
+    seen = "CASE WHEN bool_or(channel = '{}' AND scope = 'cell') THEN {} END" if absent else "{1}"
     picks = ",\n".join(
-        f"coalesce({to_six(f"max(CASE WHEN channel = '{ch}' AND scope = '{sc}' THEN {metric} END)")},"
-        f" {empty}) AS \"{col}\""
+        seen.format(ch, f"coalesce({to_six(f"max(CASE WHEN channel = '{ch}' AND scope = '{sc}' THEN {metric} END)")}, {empty})")
+        + f' AS "{col}"'
         for col, metric, ch, sc, empty in columns
     )
     px = f"px AS (SELECT dataset, y, x, label, channel, v FROM lb JOIN {pixels} USING (dataset, y, x))"
@@ -184,7 +190,7 @@ def _with_masks(spark, sf):
     "measure_multichannel_with_masks",
     wide_sql(
         [c for ch in "AB" for c in whole(ALL, ch, f"{ch}_") + _rounds(ch, f"{ch}_")],
-        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab", settle=True,
+        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab", settle=True, absent=True,
     ),
 )
 def flagship(spark, sf):
@@ -199,7 +205,7 @@ def flagship(spark, sf):
     "measure_stored_scenes",
     wide_sql(
         [c for ch in "AB" for c in whole(ALL, ch, f"{ch}_") + _rounds(ch, f"{ch}_")],
-        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab", settle=True,
+        ["cell", "hi", "nothi", "vhi", "notvhi"], "pab", settle=True, absent=True,
     ),
 )
 def _stored_scenes(spark, sf):

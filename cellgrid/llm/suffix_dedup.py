@@ -310,9 +310,13 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _many_runs(pieces: DataFrame, contexts: DataFrame, length: int, kind: str) -> DataFrame:
-    """Repeated windows of grams with more different runs than one task takes."""
+    """Repeated windows of grams with more different runs than one task takes.
+
+    The chunks are not stored: a job of their own would move the texts once more.
+    Both uses of them share one exchange, and the texts that of the last step.
+    """
     sizes = contexts.groupBy("gram").agg(F.count("*").alias("runs_of_gram"))
-    chunks = durable(
+    chunks = (
         pieces.join(sizes, "gram")
         .selectExpr(
             "gram",

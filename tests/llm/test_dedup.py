@@ -208,3 +208,14 @@ def test_strip_keeps_columns_and_valid_text(docs):
     assert suffix_dedup.strip(docs).columns == docs.columns
     assert out[1].text is None and out[2].text == "" and out[6].text == "" and out[12].rest == "rest"
     assert out[9].kept == "kept" and "😀" not in out[9].text
+
+
+def test_runs_of_large_grams_are_not_stored(docs, monkeypatch):
+    """A job that stored them would move the texts once more than the last step does."""
+    stored = []
+    monkeypatch.setattr(suffix_dedup, "GROUP", 2)
+    monkeypatch.setattr(suffix_dedup, "durable", lambda df, keep=suffix_dedup.durable: stored.append(df.columns) or keep(df))
+    removed = suffix_dedup.remove_repeats(docs)
+    plan = removed._jdf.queryExecution().executedPlan().toString()
+    assert "large" in {c for columns in stored for c in columns} and "chunk" in plan
+    assert "runs" not in {c for columns in stored for c in columns}

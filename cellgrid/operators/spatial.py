@@ -276,30 +276,31 @@ def rasterize_polygons(polygons: DataFrame, frames: DataFrame) -> DataFrame:
     A pixel is inside by the even-odd rule.  Every edge gives its crossing with
     the pixel rows it spans, clipped to the frame; the sorted crossings of a
     polygon's row are the ends of its spans, and only spans become pixels.  No
-    vertex list travels with rows or pixels, and equal polygons count once.
+    vertex list is moved between tasks.  Equal polygons count once: crossings of
+    one edge number and place are one.
     """
-    shapes = polygons.selectExpr("dataset", "label", "xxhash64(ys, xs) AS shape", "ys", "xs").dropDuplicates(
-        ["dataset", "label", "shape"]
+    shapes = attach(
+        polygons.selectExpr("dataset", "label", "xxhash64(ys, xs) AS shape", "ys", "xs"),
+        frames.select("dataset", "height", "width"), ["dataset"],
     )
     previous = "(i + size(ys) - 1) % size(ys)"
     edges = shapes.filter("size(ys) > 0").selectExpr(
-        "dataset", "label", "shape",
-        "inline(transform(sequence(0, size(ys) - 1), i -> struct("
+        "dataset", "label", "shape", "height", "width",
+        "inline(transform(sequence(0, size(ys) - 1), i -> struct(i AS edge, "
         f"double(ys[i]) AS y0, double(xs[i]) AS x0, double(ys[{previous}]) AS y1, double(xs[{previous}]) AS x1)))",
     )
-    placed = attach(edges, frames.select("dataset", "height", "width"), ["dataset"])
     # rows with exactly one end strictly below
     low, high = "greatest(0, ceil(least(y0, y1)))", "least(height, ceil(greatest(y0, y1))) - 1"
     crossings = (
-        placed.filter(f"{low} <= {high}")
+        edges.filter(f"{low} <= {high}")
         .selectExpr("*", f"explode(sequence(int({low}), int({high}))) AS y")
-        .selectExpr("dataset", "label", "shape", "width", "y", "(x1 - x0) * (y - y0) / (y1 - y0) + x0 AS cx")
+        .selectExpr("dataset", "label", "shape", "width", "y", "struct((x1 - x0) * (y - y0) / (y1 - y0) + x0 AS x, edge) AS cx")
     )
     rows = crossings.groupBy("dataset", "label", "shape", "width", "y").agg(
-        F.sort_array(F.collect_list("cx")).alias("c")
+        F.sort_array(F.collect_set("cx")).alias("c")
     )
     spans = rows.filter("size(c) > 1").selectExpr(
-        "dataset", "label", "width", "y", "inline(transform(sequence(1, size(c) div 2), k -> struct(c[2 * k - 2] AS a, c[2 * k - 1] AS b)))"
+        "dataset", "label", "width", "y", "inline(transform(sequence(1, size(c) div 2), k -> struct(c[2 * k - 2].x AS a, c[2 * k - 1].x AS b)))"
     )
     first, last = "greatest(0, ceil(a))", "least(width, ceil(b)) - 1"
     return (

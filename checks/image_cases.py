@@ -13,6 +13,7 @@ from cellgrid.operators import spatial as SP
 from cellgrid.operators import threshold as TH
 from cellgrid.operators.measure import cell_geometry, measure_cells
 from cellgrid.operators.segment import segment_frames, segment_threshold_cc
+from cellgrid.session import spread
 from cellgrid.sources import tables as t
 from cellgrid.sources.ingest import binarize_mask
 from cellgrid.sources.model import densify
@@ -532,7 +533,8 @@ def _many_vertices(spark, sf):
     """Stars of 1000 vertices, one per cell."""
     t_sql = f"double({THETA.format(k='k')})"
     ring = f"transform(sequence(0, 999), k -> {{c}} + {RADIUS.format(t=t_sql)} * {{f}}({t_sql}))"
-    stars = cell_geometry(t.labels(spark, sf)).selectExpr(
+    cells = spread(cell_geometry(t.labels(spark, sf)), ["dataset", "label"])  # few bytes, much work
+    stars = cells.selectExpr(
         "dataset", "label", f"{ring.format(c='bbox_y + 1.53D', f='sin')} AS ys", f"{ring.format(c='bbox_x + 1.47D', f='cos')} AS xs"
     )
     return SP.rasterize_polygons(stars, t.frames(spark, sf))

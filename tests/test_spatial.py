@@ -137,3 +137,16 @@ def test_polygons_of_many_vertices_follow_the_even_odd_rule(tables):
                 inside += ((yi > gy) != (yj > gy)) & (gx < (xj - xi) * (gy - yi) / (yj - yi) + xi)
         want = np.where(inside % 2 == 1, np.maximum(want, label), want)
     assert (got == want).all()
+
+
+def test_vertex_lists_are_not_gathered_and_equal_polygons_count_once(spark, tables):
+    square = ("d", 2, [0.5, 0.5, 3.5, 3.5], [0.5, 4.5, 4.5, 0.5])
+    rows = [square, square, ("d", 1, [1.5, 1.5, 5.5, 5.5], [1.5, 5.5, 5.5, 1.5]), square]
+    df = spark.createDataFrame(rows, "dataset string, label int, ys array<double>, xs array<double>").repartition(3)
+    out = SP.rasterize_polygons(df, tables.frames(7, 7))
+    want = np.zeros((7, 7))
+    want[2:6, 2:6] = 1
+    want[1:4, 1:5] = 2
+    np.testing.assert_array_equal(tables.array(out, (7, 7), "label"), want)
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [line for line in plan if "Aggregate(" in line and "ys#" in line]

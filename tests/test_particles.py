@@ -101,3 +101,15 @@ def test_full_cell(tables):
         tables.pixels(np.ones((30, 30))), tables.labels(labels), tables.mask(labels), ["A"], block=8
     ).first()
     assert (r.particle_count, r.total_particle_area, r.particle_coverage_fraction) == (1, 400, 1.0)
+
+
+def test_star_rounds_broadcast_nothing(spark):
+    """Stored rounds are small files, yet a broadcast of each would pass through the driver."""
+    from cellgrid.functions import graph
+
+    edges = graph.durable(spark.range(1, 50).selectExpr("id AS u", "id - 1 AS v"))
+    for star in (graph._large_star, graph._small_star):
+        plan = star(edges)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    found = graph.components(edges).select("root").distinct().collect()
+    assert [r[0] for r in found] == [0]

@@ -22,6 +22,9 @@ GEO_SQL = (
     " CAST(count(*) AS DOUBLE) AS area FROM lb GROUP BY ALL)"
 )
 
+GROUND = "avg(v) FILTER (v <= median_intensity)"
+RATIO = f"avg(v) FILTER (v >= p95) / {GROUND}"
+
 LONG_SQL = f"""
 g AS (SELECT {K}, avg(v) AS mean_intensity, max(v) AS max_intensity, min(v) AS min_intensity,
   sum(v) AS integrated_intensity, stddev_pop(v) AS std_intensity,
@@ -29,7 +32,7 @@ g AS (SELECT {K}, avg(v) AS mean_intensity, max(v) AS max_intensity, min(v) AS m
   CAST(count(*) AS DOUBLE) AS area FROM sc GROUP BY ALL),
 mo AS (SELECT {K}, v AS mode_intensity FROM (SELECT {K}, v, count(*) AS n FROM sc GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY n DESC, v) = 1),
-sg AS (SELECT {K}, avg(v) FILTER (v >= p95) / avg(v) FILTER (v <= median_intensity) AS sg_ratio
+sg AS (SELECT {K}, {RATIO} AS sg_ratio
   FROM sc JOIN g USING ({K}) GROUP BY ALL),
 m AS (SELECT * FROM g JOIN mo USING ({K}) JOIN sg USING ({K}))"""
 
@@ -52,13 +55,15 @@ def six(value: str) -> str:
 
 def wide_sql(
     columns: list[tuple[str, str, str, str, str]], scopes: list[str], pixels: str, settle: bool = False,
-    absent: bool = False,
+    absent: bool = False, dark: bool = False,
 ) -> str:
     """Oracle of a wide measurement: (column, metric, channel, scope, empty value).
 
     An empty scope has the empty value; with ``absent`` a cell without any pixel of
-    a channel has no scopes there, and all values of that channel are NULL.
+    a channel has no scopes there, and all values of that channel are NULL.  With
+    ``dark`` the ratio over a ground of mean zero is NaN, never infinite.
     """
+    long = LONG_SQL.replace(RATIO, f"CASE WHEN {GROUND} = 0 THEN 'NaN'::DOUBLE ELSE {RATIO} END") if dark else LONG_SQL
     to_six = six if settle else "round({}, 6)".format
     seen = "CASE WHEN bool_or(channel = '{}' AND scope = 'cell') THEN {} END" if absent else "{1}"
     picks = ",\n".join(
@@ -70,7 +75,7 @@ def wide_sql(
     union = " UNION ALL ".join(SCOPES[s] for s in scopes)
     return (
         ctes("lb", "hi", "vhi", "bands", pixels)
-        + f",\n{px},\nsc AS ({union}),{LONG_SQL},\n{GEO_SQL}\n"
+        + f",\n{px},\nsc AS ({union}),{long},\n{GEO_SQL}\n"
         + f"SELECT dataset, label, {', '.join(f'any_value(geo.{c}) AS {c}' for c in CORE)},\n{picks}\n"
         + "FROM geo JOIN m USING (dataset, label) GROUP BY dataset, label"
     )
@@ -126,7 +131,9 @@ def _geometry(spark, sf):
 
 @case(
     "measure_cells",
-    wide_sql(whole(ALL) + masked(ALL, "hi", "nothi", MASK_NAMES), ["cell", "hi", "nothi"], "pa", settle=True),
+    wide_sql(
+        whole(ALL) + masked(ALL, "hi", "nothi", MASK_NAMES), ["cell", "hi", "nothi"], "pa", settle=True, dark=True
+    ),
 )
 def _measure_cells(spark, sf):
     return settled(MS.measure_cells(t.pixels(spark, sf), t.labels(spark, sf), None, t.mask(spark, sf)))

@@ -2,6 +2,7 @@
 
 import os
 
+from cellgrid import session
 from cellgrid.session import SHARDS
 from cellgrid.sources import exports as EX
 from cellgrid.sources.catalog import LayerStore
@@ -41,3 +42,28 @@ def test_changes_of_one_layer_leave_its_folder_mates(spark, tmp_path):
     assert store.rename_layer("pixels", "f8", "B", "GFP") and not store.rename_layer("pixels", "f8", "B", "GFP")
     want[("f8", "GFP")] = want.pop(("f8", "B"))
     check()
+
+
+def written_parts(folder):
+    """The file numbers of each dataset's folder."""
+    return {p.name: sorted(f.name[:10] for f in p.glob("part-*")) for p in folder.glob("dataset=*")}
+
+
+def test_small_folders_are_written_by_many_tasks(spark, tmp_path):
+    cells = spark.range(600).selectExpr("concat('d', id % 200) AS dataset", "id AS label")
+    EX.write_csv(cells, f"{tmp_path}/out", ["dataset"])
+    parts = written_parts(tmp_path / "out")
+    assert len(parts) == 200 and all(len(names) == 1 for names in parts.values())
+    assert len({n for names in parts.values() for n in names}) >= 8
+    back = spark.read.schema("label long, dataset string").option("header", True).csv(f"{tmp_path}/out")
+    assert sorted(map(tuple, back.collect())) == sorted((i, f"d{i % 200}") for i in range(600))
+
+
+def test_a_large_folder_is_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "FILE_ROWS", 50)
+    cells = spark.range(500).selectExpr("if(id < 400, 'large', concat('d', id)) AS dataset", "id AS label")
+    EX.write_csv(cells, f"{tmp_path}/out", ["dataset"])
+    parts = written_parts(tmp_path / "out")
+    assert len(parts) == 101 and len(parts["dataset=large"]) > 1
+    back = spark.read.schema("label long, dataset string").option("header", True).csv(f"{tmp_path}/out")
+    assert sorted(r.label for r in back.collect()) == list(range(500))

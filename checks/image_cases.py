@@ -316,12 +316,19 @@ def reflect(expr: str) -> str:
     return f"(CASE WHEN {expr} < 0 THEN -1 - ({expr}) WHEN {expr} > 19 THEN 39 - ({expr}) ELSE {expr} END)"
 
 
-def gauss_sql(sigma: float) -> str:
+# every position of a frame; one without a pixel is dark, as in an image
+DARK_SQL = (
+    "de AS (SELECT fr.dataset, gy.y, gx.x, coalesce(pa.v, 0) AS v FROM fr CROSS JOIN (SELECT unnest(range(20)) AS y) gy"
+    " CROSS JOIN (SELECT unnest(range(20)) AS x) gx LEFT JOIN pa ON pa.dataset = fr.dataset AND pa.y = gy.y AND pa.x = gx.x)"
+)
+
+
+def gauss_sql(sigma: float, source: str = "pa") -> str:
     radius = int(4 * sigma + 0.5)
     rows = ", ".join(f"({k}, exp(-0.5 * pow({k} / {sigma}::DOUBLE, 2)))" for k in range(-radius, radius + 1))
     return (
         f"kw AS (SELECT k, w / sum(w) OVER () AS w FROM (VALUES {rows}) AS t(k, w)),"
-        f"g1 AS (SELECT o.dataset, o.y, o.x, sum(i.v * w) AS v FROM pa o CROSS JOIN kw JOIN pa i ON i.dataset = o.dataset"
+        f"g1 AS (SELECT o.dataset, o.y, o.x, sum(i.v * w) AS v FROM {source} o CROSS JOIN kw JOIN {source} i ON i.dataset = o.dataset"
         f" AND i.x = o.x AND i.y = {reflect('o.y + k')} GROUP BY ALL),"
         f"g2 AS (SELECT o.dataset, o.y, o.x, sum(i.v * w) AS v FROM g1 o CROSS JOIN kw JOIN g1 i ON i.dataset = o.dataset"
         f" AND i.y = o.y AND i.x = {reflect('o.x + k')} GROUP BY ALL)"
@@ -347,7 +354,7 @@ def _adaptive(spark, sf):
 
 @case(
     "grouped_threshold_smoothed",
-    ctes("grp6") + f", {gauss_sql(1.0)}, gp AS (SELECT dataset, grp, y, x, g2.v FROM lb JOIN grp6 USING (dataset, label) JOIN g2 USING (dataset, y, x)),"
+    ctes("grp6", "fr") + f", {DARK_SQL}, {gauss_sql(1.0, 'de')}, gp AS (SELECT dataset, grp, y, x, g2.v FROM lb JOIN grp6 USING (dataset, label) JOIN g2 USING (dataset, y, x)),"
     + hist_sql("gp", "dataset, grp") + "," + otsu_sql("dataset, grp")
     + " SELECT dataset, 'sm' AS mask, y, x, CAST(1 AS SMALLINT) AS value FROM gp JOIN thr USING (dataset, grp) WHERE v >= threshold",
 )

@@ -155,17 +155,21 @@ def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, radius: int, steps: int) -> DataFrame:
-    """``(u, v)``: ids that span all links found by the grid, of ``fps(id, grid, check)`` with distinct ids."""
+    """``(u, v)``: ids that span all links found by the grid, of ``fps(id, grid, check)`` with distinct ids.
+
+    Joined by shuffles: Spark sizes the points by the table that they are exploded from, and
+    would broadcast them.
+    """
     kind = dict(fps.dtypes)["id"]
     points = grid_points(fps)
     cells = points.groupBy("slice", "point").agg(F.count("*").alias("n_points"))
     if steps == 0:
         cells = cells.where("n_points > 1")
     found = durable(
-        _near_points(points, steps).join(cells, ["slice", "point"]).select("id", "slice", "point")
+        _near_points(points, steps).join(cells.hint("merge"), ["slice", "point"]).select("id", "slice", "point")
     )
     sizes = found.groupBy("slice", "point").agg(F.count("*").alias("n")).where("n > 1")
-    members = found.join(sizes, ["slice", "point"]).join(fps.select("id", "check"), "id")
+    members = found.join(sizes.hint("merge"), ["slice", "point"]).join(fps.select("id", "check").hint("merge"), "id")
     blocks = f"cast(ceil(n / {CELL}D) as int)"
     members = (
         members.selectExpr("slice", "point", "id", "check", f"{blocks} AS g", f"cast(pmod(xxhash64(id), {blocks}) as int) AS b")
@@ -209,13 +213,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         "unhex(lpad(hex(fingerprint), 16, '0')) AS check",
     )
     roots = components(links(points, radius, 1 if radius > 1 else 0))
-    labelled = fps.join(roots, fps.fingerprint == roots.node, "left").select(
+    labelled = fps.join(roots.hint("merge"), fps.fingerprint == roots.node, "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     labelled = durable(labelled)
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(ids, "root").select("fingerprint", "component_id")
-    return sigs.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    named = labelled.join(ids.hint("merge"), "root").select("fingerprint", "component_id")
+    return sigs.join(named.hint("merge"), "fingerprint").select("id", "fingerprint", "component_id")
 
 
 def set_signatures(rows: DataFrame, k: int, share: Fraction, hot: np.ndarray, rank: np.ndarray) -> DataFrame:

@@ -96,6 +96,21 @@ def test_one_of_each_group_stays(docs):
     assert ids.count(14) == 2 and {4, 8, 9, 10, 11, 12} <= set(ids)
 
 
+def test_no_table_of_the_links_is_broadcast(docs, monkeypatch):
+    """Small on disk, the exploded points of a few hundred thousand fingerprints are beyond the driver."""
+    plans = []
+    stored = simhash.durable
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(simhash, "durable", watched)
+    watched(simhash.simhash_components(docs))
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) == 3 and not any("Broadcast" in p for p in joined)
+
+
 def shingle_set(text, k=5):
     words = text.lower().split()
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()

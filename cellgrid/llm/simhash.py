@@ -418,7 +418,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
     )
     groups = simhash_components(keyed.select("id", "text"), "id", "text", **options)
     first = groups.where("id = component_id").select(F.col("id").alias("first")).distinct()
-    kept = keyed.join(first, F.col("id") == F.col("first"), "left_semi")
+    kept = keyed.join(first.hint("merge"), F.col("id") == F.col("first"), "left_semi")
     # rows repeated as they are
     kept = kept.dropDuplicates(["id"])
     return kept.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))

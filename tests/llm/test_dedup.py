@@ -106,7 +106,7 @@ def test_no_table_of_the_links_is_broadcast(docs, monkeypatch):
         return stored(df)
 
     monkeypatch.setattr(simhash, "durable", watched)
-    watched(simhash.simhash_components(docs))
+    watched(simhash.keep_one(docs))
     joined = [p for p in plans if "Join" in p]
     assert len(joined) == 3 and not any("Broadcast" in p for p in joined)
 

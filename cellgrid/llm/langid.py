@@ -5,15 +5,16 @@ One model per language is learned from labelled texts: counts of character
 discount per order.  A text's language is the one with the lowest cross-entropy
 per character; calibrated thresholds reject texts that no model explains.
 
-* At most about ``rows_per_lang`` labelled texts per language, chosen by a hash
-  of the id, are used for fitting; whole texts are counted, in Spark.  This is
-  the only bounded part: every text of the table is scored in full.
+* All labelled texts are used for fitting, both for the counts and for the
+  thresholds; whole texts are counted and scored, in Spark.  A caller may ask for
+  about ``rows_per_lang`` texts per language instead, chosen by a hash of the id.
 * The models are sorted arrays of 64-bit gram hashes.  A gram seen in any
   language has one row of log probabilities, one per language; a gram never seen
   adds the backoff weights of its context and falls to the next order.  A table
   over the leading hash bits points into the sorted array.
-* The size of the arrays is bounded by the texts used for fitting, so they are
-  sent to the executors once as a broadcast variable.
+* The arrays hold every different gram of the texts used for fitting, whose number
+  grows much slower than the texts; they are sent to the executors once as a
+  broadcast variable.
 
 Nulls: null labels are not learned; a null text and a text without letters are
 ``und`` with score 0.  Labels of texts that are not training rows are never
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from cellgrid.llm.common import fresh, map_texts, names, prepare, quoted
 
 ORDER = 4
-ROWS_PER_LANG = 3000
 # A gram has one probability per language; more labels than this are an error.
 MAX_LANGS = 500
 # Characters scored at a time.
@@ -306,13 +306,13 @@ class Identifier:
         return langs, scores, entropy, rejected
 
 
-def training_rows(docs: DataFrame, rows_per_lang: int, id_col: str, text: str, lang: str) -> DataFrame:
-    """``(lang, text)``: of each language about ``rows_per_lang`` rows, by a hash of the id."""
+def training_rows(docs: DataFrame, rows_per_lang: int | None, id_col: str, text: str, lang: str) -> DataFrame:
+    """``(lang, text)`` of all labelled rows, or of about ``rows_per_lang`` of each language, by a hash of the id."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} different labels")
-    if not sizes:
+    if rows_per_lang is None or not sizes:
         return labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], float(rows_per_lang) / r["n"])))
     drawn: Column = F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).bitwiseAND(F.lit((1 << 30) - 1))
@@ -323,7 +323,7 @@ def training_rows(docs: DataFrame, rows_per_lang: int, id_col: str, text: str, l
 
 def fit(
     docs: DataFrame,
-    rows_per_lang: int = ROWS_PER_LANG,
+    rows_per_lang: int | None = None,
     id_col: str = "doc_id",
     text: str = "text",
     lang: str = "lang",

@@ -163,6 +163,15 @@ def test_model_is_a_distribution(languages):
     assert (total < 1.0001).all() and total[model.langs.index("aa")] > 0.97
 
 
+def test_every_labelled_text_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[i // 676] + letters[i // 26 % 26] + letters[i % 26] + "q" for i in range(3600)]
+    rows = spark.createDataFrame([(i, w, "aa") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    model = langid.fit(rows).model
+    grams = np.array([langid.normalised(w) for w in words], np.int64)
+    assert (model.tables[langid.ORDER - 1].find(model._hash(grams, langid.ORDER)) >= 0).all()
+
+
 def test_awkward_texts(docs):
     identifier = langid.fit(docs)
     got = langid.identify(docs, identifier, docs.columns)

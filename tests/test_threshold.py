@@ -99,3 +99,10 @@ def test_adaptive_group_uses_its_bounding_box(tables, spark):
     crop = image[2:20, 3:17]
     direct = TH.threshold_adaptive(tables.pixels(crop), tables.frames(*crop.shape))
     assert {(r.y - 2, r.x - 3) for r in got.collect()} == {(r.y, r.x) for r in direct.collect()}
+
+
+def test_pixels_are_not_broadcast_to_their_groups(spark, tables):
+    labels = np.ones((4, 4), int)
+    groups = spark.createDataFrame([("d", 1, 1)], "dataset string, label int, grp int")
+    found = TH.grouped_pixels(tables.pixels(labels * 2.0), tables.labels(labels), groups, "A")
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 16

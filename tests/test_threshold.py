@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from cellgrid.operators import threshold as TH
+from cellgrid.session import durable
 
 
 def bimodal():
@@ -104,5 +105,6 @@ def test_adaptive_group_uses_its_bounding_box(tables, spark):
 def test_pixels_are_not_broadcast_to_their_groups(spark, tables):
     labels = np.ones((4, 4), int)
     groups = spark.createDataFrame([("d", 1, 1)], "dataset string, label int, grp int")
-    found = TH.grouped_pixels(tables.pixels(labels * 2.0), tables.labels(labels), groups, "A")
+    # stored, as their sizes are known then
+    found = TH.grouped_pixels(durable(tables.pixels(labels * 2.0)), durable(tables.labels(labels)), groups, "A")
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 16
